@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality
+from . import decontaminate, lm, quality, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_substring_dedup": substring.op3_substring_dedup,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op10_lm_scoring": lm.op10_lm_scoring,
 }
 
 SQL: dict[str, str] = {
+    "op3_substring_dedup": substring.OP3_SQL,
     "op6_quality_rules": quality.OP6_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
 }
