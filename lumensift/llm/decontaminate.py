@@ -31,13 +31,14 @@ BROADCAST_NGRAMS = 200_000
 #: A document is contaminated when SHARE * hit words >= words.
 SHARE = 20
 
-_SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_SEPARATORS = "".join(map(chr, [*range(1, 48), *range(58, 65), *range(91, 97), *range(123, 128)]))
 
 
 def words(text: Column) -> Column:
-    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    plain = F.trim(F.regexp_replace(lower, _SEPARATORS, " "))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+    # translate can't name U+0000, so it is replaced by itself
+    plain = F.translate(F.replace(F.coalesce(text, F.lit("")), F.lit("\0"), F.lit(" ")), _UPPER + _SEPARATORS, _UPPER.lower() + " " * len(_SEPARATORS))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def windows(tokens: Column, n: int) -> Column:
@@ -60,18 +61,46 @@ def _held(grams: DataFrame) -> DataFrame:
     return F.broadcast(grams) if count <= BROADCAST_NGRAMS else grams
 
 
+def _anchored(cut: DataFrame, grams: DataFrame, n: int, held: DataFrame) -> DataFrame:
+    """key, pos, n, items of the hits among windows of n words, found without building every window.
+
+    A window of n words holds a run of ``g`` words that starts at a multiple of
+    ``n - g + 1``, and exactly one. So documents are probed at those places alone
+    with runs of g words, and only where the benchmark has the run are the windows
+    around it built and looked up. No hit can be missed or found twice.
+    """
+    g = max(1, n // 2 + 2)
+    step = n - g + 1
+    runs = grams.where(F.col("n") == n).select(F.explode(windows(F.split("ngram", " "), g)).alias("run")).distinct()
+    count = runs.limit(BROADCAST_NGRAMS + 1).count()
+    last = F.size("w") - g
+    from_ = lambda p: F.greatest(p - (step - 1), F.lit(0))
+    probes = F.when(last < 0, F.array()).otherwise(
+        F.transform(
+            F.sequence(F.lit(0), last, F.lit(step)),
+            lambda p: F.struct(from_(p).alias("at"), F.array_join(F.slice("w", p + 1, F.lit(g)), " ").alias("run"), F.array_join(F.slice("w", from_(p) + 1, p + n - from_(p)), " ").alias("around")),
+        )
+    )
+    near = cut.select("key", F.inline(probes)).join(F.broadcast(runs) if count <= BROADCAST_NGRAMS else runs, "run", "left_semi")
+    cuts = near.select("key", "at", F.posexplode(windows(F.split("around", " "), n)).alias("j", "ngram"))
+    return cuts.join(held.where(F.col("n") == n).drop("n"), "ngram").select("key", (F.col("at") + F.col("j")).alias("pos"), F.lit(n).alias("n"), "items")
+
+
 def hits(docs: DataFrame, bench: DataFrame, n: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, pos, n, items for every window of docs that is in the benchmark's set."""
     grams = ngram_set(bench, n)
-    short = sorted(r[0] for r in grams.select("n").distinct().collect())  # at most n values
-    if not short:
+    sizes = sorted(r[0] for r in grams.select("n").distinct().collect())  # at most n values
+    if not sizes:
         return docs.select(F.col(key).alias("key"), F.lit(0).alias("pos"), F.lit(n).alias("n"), F.array().cast("array<string>").alias("items")).limit(0)
     cut = docs.select(F.col(key).alias("key"), words(F.col(text)).alias("w"))
     held = _held(grams)
     found = []
-    for size in short:
-        exploded = cut.select("key", F.posexplode(windows(F.col("w"), size)).alias("pos", "ngram"))
-        found.append(exploded.join(held.where(F.col("n") == size) if len(short) > 1 else held, "ngram").select("key", "pos", F.lit(size).alias("n"), "items"))
+    for size in sizes:
+        if size == n:
+            found.append(_anchored(cut, grams, n, held))
+        else:  # short items are windows of their own size
+            exploded = cut.select("key", F.posexplode(windows(F.col("w"), size)).alias("pos", "ngram"))
+            found.append(exploded.join(held.where(F.col("n") == size).drop("n"), "ngram").select("key", "pos", F.lit(size).alias("n"), "items"))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lm, quality, substring
+from . import decontaminate, langid, lm, quality, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": substring.op3_substring_dedup,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_language_id": langid.op8_language_id,
     "op10_lm_scoring": lm.op10_lm_scoring,
 }
 
