@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .vector import NO_ID, Words, chunks, gram_hashes, mix, whole_grams, word_hashes, words_of
 
 K = 20
-M = 3
+M = 2
 
 #: Packed bytes after which a map task sends its blocks.
 SLICE_BYTES = 48 << 20
@@ -64,7 +64,7 @@ def _sliding_min(a: np.ndarray, w: int) -> np.ndarray:
 
 
 def _block(kind: int, arrays: list[np.ndarray], packed: bytes = b"") -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(_HEAD.pack(kind, len(arrays[0])) + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays) + packed)
+    return zstandard.ZstdCompressor(level=5).compress(_HEAD.pack(kind, len(arrays[0])) + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays) + packed)
 
 
 def _unblock(blob: bytes) -> tuple[int, list[np.ndarray], bytes]:
