@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, licenses, lm, quality, substring
+from . import decontaminate, jaccard, langid, licenses, lm, quality, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": substring.op3_substring_dedup,
     "op4_license_scan": licenses.op4_license_scan,
+    "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_language_id": langid.op8_language_id,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op3_substring_dedup": substring.OP3_SQL,
     "op4_license_scan": licenses.OP4_SQL,
+    "op5_jaccard_join": jaccard.OP5_SQL,
     "op6_quality_rules": quality.OP6_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
 }
