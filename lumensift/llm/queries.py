@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, langid, licenses, lm, quality, substring
+from . import decontaminate, html, jaccard, langid, licenses, lm, packing, quality, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": html.op1_html_extraction,
     "op3_substring_dedup": substring.op3_substring_dedup,
     "op4_license_scan": licenses.op4_license_scan,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_language_id": langid.op8_language_id,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_lm_scoring": lm.op10_lm_scoring,
 }
 
