@@ -20,9 +20,9 @@ shingle in which they differ from the centre (``_pivot_pairs``). Only components
 are asked for, so pairs inside one need no comparison; no pair of different
 components is left out, and no region is capped.
 
-Classes with fewer than two shingles would be met by chance; they are no
-regions. r has room for ``s`` of them. A document with more also uses a second
-family of classes, and with more there too a third one, of which all classes
+Classes with too few shingles (none, or one where the threshold is high) would be
+met by chance; they are no regions. r has room for ``s`` of them. A document with
+more also uses a next family of classes, up to the last one, of which all classes
 count. Two documents that both have more than s share the next family, and
 otherwise agree in a class that counts, so exactness stays.
 
@@ -56,6 +56,9 @@ THRESHOLD = Fraction(90, 100)
 #: Sizes in one band: up to this times the smallest.
 BAND = 1.5
 
+#: Ways of dealing shingles into classes; in the last, weak classes count too.
+FAMILIES = 4
+
 #: Bits of the filter that keeps most documents without a partner out of the second scan (at most 32 MB).
 FILTER_BITS = 1 << 28
 
@@ -68,6 +71,8 @@ class Bands:
 
     def __init__(self, threshold: Fraction):
         self.t = threshold
+        #: Classes with fewer shingles are weak. Lower thresholds have smaller classes, of which only empty ones are.
+        self.least = 2 if threshold >= Fraction(88, 100) else 1
         self.high: list[int] = []  # the largest size of each band
         self.r: list[int] = []
         self.s: list[int] = []
@@ -86,7 +91,7 @@ class Bands:
                 while not self.difference(top + 1):
                     top += 1
             d = self.difference(top)
-            room = 1 + (d + 1) // 20 if d else 0
+            room = 1 + int((d + 1) * (0.05 if self.least > 1 else 0.2)) if d else 0
             self.high.append(top), self.r.append(d + 1 + room), self.s.append(room)
 
 
@@ -121,7 +126,7 @@ def _signatures(g: np.ndarray, text: np.ndarray, begin: np.ndarray, docs: np.nda
     todo = np.concatenate([docs, lower])
     band = np.concatenate([own, np.searchsorted(high, sizes[lower]) - 1])
     out_key, out_doc = [], []
-    for family in range(3):
+    for family in range(FAMILIES):
         if not len(todo):
             break
         r, s = np.array(bands.r)[band], np.array(bands.s)[band]
@@ -138,9 +143,9 @@ def _signatures(g: np.ndarray, text: np.ndarray, begin: np.ndarray, docs: np.nda
         held = np.bincount(slot, minlength=len(content))
         of = np.repeat(np.arange(len(todo)), r)
         within = np.arange(len(of)) - base[of]
-        weak = (held < 2) & (r[of] > 1)
+        weak = (held < bands.least) & (r[of] > 1)
         n_weak = np.bincount(of[weak], minlength=len(todo))
-        use = ~weak if family < 2 else np.ones(len(of), bool)
+        use = ~weak if family < FAMILIES - 1 else np.ones(len(of), bool)
         label = (band[of].astype(np.uint64) << np.uint64(40)) + (within.astype(np.uint64) << np.uint64(2)) + np.uint64(family)
         out_key.append(mix(content + mix(label))[use])
         out_doc.append(todo[of[use]])

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, jaccard, langid, licenses, lm, packing, quality, substring
+from . import decontaminate, html, jaccard, langid, licenses, lm, packing, preferences, quality, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": html.op1_html_extraction,
+    "op2_preference_formatting": preferences.op2_preference_formatting,
     "op3_substring_dedup": substring.op3_substring_dedup,
     "op4_license_scan": licenses.op4_license_scan,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_preference_formatting": preferences.OP2_SQL,
     "op3_substring_dedup": substring.OP3_SQL,
     "op4_license_scan": licenses.OP4_SQL,
     "op5_jaccard_join": jaccard.OP5_SQL,

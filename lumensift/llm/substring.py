@@ -268,8 +268,8 @@ def digest(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K,
     return marked.mapInArrow(run, f"key {kind}, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("key", key)
 
 
-def dedup_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, m: int = M) -> DataFrame:
-    """docs with later repeats cut out of the text; kept words keep the white space after them. Texts that lose nothing stay as they are."""
+def dedup_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, m: int = M, length: str | None = None) -> DataFrame:
+    """docs with later repeats cut out of the text; kept words keep the white space after them. Texts that lose nothing stay as they are; length names a column to hold the code points of changed texts."""
     names = [f.name for f in docs.schema.fields]
     where = names.index(text)
 
@@ -285,10 +285,15 @@ def dedup_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
                 out.append(t)
             columns = [batch.column(i) for i in range(len(names))]
             columns[where] = pa.array(out, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names)
+            marked = [] if length is None else [batch.column(len(names)).is_valid()]
+            yield pa.RecordBatch.from_arrays(columns + marked, names + ["substring:changed"] * len(marked))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return _with_spans(docs, key, text, k, m).mapInArrow(run, fields)
+    out = _with_spans(docs, key, text, k, m)
+    if length is None:
+        return out.mapInArrow(run, fields)
+    cut = out.mapInArrow(run, fields + ", `substring:changed` boolean")
+    return cut.withColumn(length, F.when(F.col("`substring:changed`"), F.length(text)).otherwise(F.col(length)).cast(docs.schema[length].dataType)).drop("substring:changed")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
