@@ -291,7 +291,8 @@ def _pivot_pairs(open_: DataFrame, sets: DataFrame, threshold: Fraction) -> Data
     group = open_.select("pivot", "key", "root", "n").distinct()
     a = sets.select(F.col("key").alias("pivot"), F.col("shingles").alias("a"))
     b = sets.select("key", F.col("shingles").alias("b"))
-    delta = written(group.join(b, "key").join(a, "pivot").select("pivot", "key", F.explode(F.concat(F.array_except("a", "b"), F.array_except("b", "a"))).alias("e")))
+    # by pivot first and by key last, so that the differences of a large group are made in many tasks
+    delta = written(group.join(a, "pivot").join(b, "key").select("pivot", "key", F.explode(F.concat(F.array_except("a", "b"), F.array_except("b", "a"))).alias("e")))
     total = group.groupBy("pivot").agg(F.count(F.lit(1)).alias("g"))
     flips = delta.groupBy("pivot", "e").agg(F.count(F.lit(1)).alias("f")).join(total, "pivot").where("2 * f > g").select("pivot", "e")
     kept = delta.join(flips, ["pivot", "e"], "left_anti")
