@@ -100,6 +100,25 @@ def top_tags(photos: DataFrame, k: int = 3) -> DataFrame:
     return seen.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("idx", "pos")).alias("first")).orderBy(F.desc("n"), "first").limit(k).select("tag", "n")
 
 
+def workflow_guide(photos: DataFrame) -> DataFrame:
+    return photos.agg(
+        F.count(F.lit(1)).alias("imported"), F.count_if(~S.blank(F.col("ai_primary_category")) | (F.coalesce(F.col("ai_confidence"), F.lit(0.0)) != 0)).alias("analysed"), F.count_if(F.coalesce(F.col("manual_override"), F.lit(False))).alias("marked"),
+        F.count_if(F.col("manual_category") == V.DEFAULT_MANUAL).alias("pending"), F.count_distinct(F.nullif(F.col("similar_group_id"), F.lit(""))).alias("groups"),
+    )
+
+
+def performance(photos: DataFrame) -> DataFrame:
+    """n_timed, n_cached and mean_ms of rows that a model has run on."""
+    timed = F.coalesce(F.col("ai_runtime_ms"), F.lit(0.0)) > 0
+    return photos.agg(F.count_if(timed).alias("n_timed"), F.count_if(F.coalesce(F.col("embedding_cached"), F.lit(False))).alias("n_cached"), F.avg(F.when(timed, F.col("ai_runtime_ms"))).alias("mean_ms"))
+
+
+def best_trial(trials: DataFrame) -> DataFrame:
+    """The trial with the smallest avg_ms; no time (0) counts as the longest. Ties go to the first trial."""
+    order = F.struct(F.when(F.col("avg_ms") == 0, F.lit(float("inf"))).otherwise(F.col("avg_ms")), "trial")
+    return trials.agg(F.min_by(F.struct(*trials.columns), order).alias("t")).select("t.*")
+
+
 def group_summary(photos: DataFrame) -> DataFrame:
     """One row a group: size, file of the first human or AI best in input order, and counts of statuses."""
     best = F.coalesce(F.col("best_in_group"), F.lit(False)) | F.coalesce(F.col("ai_recommended_best"), F.lit(False))
@@ -118,7 +137,7 @@ def group_states(photos: DataFrame) -> DataFrame:
     return out.withColumn("state", F.when(F.col("human_best").isNotNull(), "decided").when(F.col("open"), "review").otherwise("suggested"))
 
 
-def pending(photos: DataFrame, limit: float = 0.35) -> DataFrame:
+def pending(photos: DataFrame, limit: float = 0.25) -> DataFrame:
     """Share of photos that wait for a human, and whether it is over a limit."""
     waits = F.startswith(review.export_category(), F.lit(V.PRIMARY_REVIEW))
     return photos.agg(F.count(F.lit(1)).alias("total"), F.count_if(~S.blank(F.col("ai_primary_category"))).alias("analysed"), F.avg(waits.cast("double")).alias("pending_ratio")).withColumn("too_high", F.col("pending_ratio") > limit)

@@ -100,31 +100,42 @@ def suggestion_status(text: Column, path: Column | None = None) -> Column:
     return out.when(version == "", "legacy").when(version != V.SUGGESTION_VERSION, "stale").otherwise("current")
 
 
-MACHINE_DEFAULTS = {"ai_suggestion": "", "photo_type": "", "subtype": "", "quality_rating": ""}
+#: What a suggestion left on a row, and what it is without one. Human fields aren't among them.
+SUGGESTED = {"ai_suggestion": "", "ai_primary_category": "", "ai_secondary_category": "", "ai_quality_tags": [], "ai_confidence": 0.0, "ai_source": "", "ai_reason": ""}
 
 
 def clear_stale(photos: DataFrame) -> DataFrame:
-    """Empties suggestions that are invalid, legacy, stale or of another photo; unconfirmed rows lose the fields made from them."""
+    """Empties what suggestions left that are invalid, legacy, stale or of another photo."""
     stale = suggestion_status(F.col("ai_suggestion"), F.col("path")).isin("invalid", "legacy", "stale", "mismatch")
-    free = stale & (F.coalesce(F.col("review_status"), F.lit("")) != V.CONFIRMED)
-    gone = {"ai_suggestion": F.when(stale, "").otherwise(F.col("ai_suggestion"))}
-    for c in ("photo_type", "subtype", "quality_rating"):
-        gone[c] = F.when(free, "").otherwise(F.col(c))
-    return photos.withColumns(gone)
+    plain = lambda v: F.array().cast("array<string>") if v == [] else F.lit(v)
+    marked = photos.withColumn("stale_", stale)
+    return marked.withColumns({c: F.when(F.col("stale_"), plain(v)).otherwise(F.col(c)) for c, v in SUGGESTED.items() if c in photos.columns}).drop("stale_")
+
+
+#: Columns of a decision that a row takes over, and the columns that repeat them.
+APPLIED = ("photo_type", "subtype", "quality_rating", "commercial_score", "portfolio_score", "delivery_use", "issue_tags")
+REPEATED = {"ai_primary_category": "photo_type", "ai_secondary_category": "subtype", "ai_confidence": "confidence", "ai_quality_tags": "issue_tags", "ai_reason": "reason", "screening_reason": "reason", "final_reason": "reason", "final_recommendation": "quality_rating"}
 
 
 def apply_analysis(photos: DataFrame, analyses: DataFrame) -> DataFrame:
-    """Left-joins new results (path, suggestion and decision fields); a confirmed row takes the suggestion alone."""
-    new = analyses.select("path", F.lit(True).alias("found_"), *(F.col(c).alias(f"new_{c}") for c in APPLIED))
+    """Left-joins new results (path, ai_suggestion, and a decision's columns with confidence and reason); a confirmed row takes the suggestion alone."""
+    new = analyses.select("path", F.lit(True).alias("found_"), *(F.col(c).alias(f"new_{c}") for c in ("ai_suggestion", *APPLIED, "confidence", "reason")))
     both = photos.join(new, "path", "left")
     free = F.col("found_") & (F.coalesce(F.col("review_status"), F.lit("")) != V.CONFIRMED)
-    changed = {c: F.when(free, F.col(f"new_{c}")).otherwise(F.col(c)) for c in APPLIED if c != "ai_suggestion"}
+    changed = {c: F.when(free, F.col(f"new_{c}")).otherwise(F.col(c)) for c in APPLIED}
+    changed |= {c: F.when(free, F.col(f"new_{of}")).otherwise(F.col(c)) for c, of in REPEATED.items() if c in photos.columns}
     changed["ai_suggestion"] = F.when(F.col("found_"), F.col("new_ai_suggestion")).otherwise(F.col("ai_suggestion"))
     changed["review_status"] = F.when(free, V.AI_REVIEWED).otherwise(F.col("review_status"))
     return both.withColumns(changed).select(*photos.columns)
 
 
-APPLIED = ("ai_suggestion", "photo_type", "subtype", "quality_rating", "commercial_score", "portfolio_score", "delivery_use", "issue_tags")
+def summary_text(payload: Column) -> Column:
+    """The decision of a payload (SUGGESTION text) in lines; ``未分析`` without one."""
+    d = F.from_json(payload, SUGGESTION)["decision"]
+    shown = lambda c: F.when(c.isNull() | (c.cast("string") == "") | (c.cast("string") == "0.0"), "-").otherwise(c.cast("string"))
+    listed = lambda c, by: F.coalesce(F.nullif(F.array_join(c, by), F.lit("")), F.lit("-"))
+    lines = [("品质等级：", shown(d["quality_rating"])), ("商业交付：", shown(d["commercial_score"])), ("作品集价值：", shown(d["portfolio_score"])), ("建议用途：", listed(d["delivery_use"], " / ")), ("风险：", listed(d["issue_tags"], "、")), ("原因：", shown(d["reason"]))]
+    return F.when(d.isNull(), "未分析").otherwise(F.concat_ws("\n", *(F.concat(F.lit(head), c) for head, c in lines)))
 
 
 # -- human review
@@ -157,6 +168,61 @@ def mark(photos: DataFrame, marks: DataFrame, when_: Column | None = None) -> Da
     return out.withColumn("final_category", F.when(given, final_category()).otherwise(F.col("final_category"))).select(*photos.columns)
 
 
+#: What a mark makes of the review fields: rating (always, or if blank), use to add, tag to add, and status.
+MARKED = {
+    "精修候选": ("S", True, "精修候选", None, V.CONFIRMED), "可交付": ("A", True, "客户可选", None, V.CONFIRMED), "备选": ("B", False, None, None, V.NEEDS_REVIEW), "重复": (None, False, None, "重复照片", V.NEEDS_REVIEW),
+    "废片": ("X", True, V.NO_EXPORT, None, V.CONFIRMED), "作品集候选": ("S", False, "作品集候选", None, V.CONFIRMED), "练习片": ("C", False, "修图练习", None, V.CONFIRMED),
+}
+
+
+def review_of_mark(photos: DataFrame, category: Column) -> DataFrame:
+    """The review fields that a mark of each row implies (NULL: no mark); other categories only confirm."""
+    rating, uses, tags, status = F.col("quality_rating"), F.col("delivery_use"), F.col("issue_tags"), F.when(category.isNotNull(), V.CONFIRMED).otherwise(F.col("review_status"))
+    for name, (code, always, use, tag, state) in MARKED.items():
+        own = F.coalesce(category == name, F.lit(False))
+        if code:
+            rating = F.when(own if always else own & S.blank(F.col("quality_rating")), code).otherwise(rating)
+        if use:
+            uses = F.when(own, S.append_once(F.col("delivery_use"), use)).otherwise(uses)
+        if tag:
+            tags = F.when(own, S.append_once(F.col("issue_tags"), tag)).otherwise(tags)
+        status = F.when(own, state).otherwise(status)
+    return photos.withColumns({"quality_rating": rating, "delivery_use": uses, "issue_tags": tags, "review_status": status})
+
+
+REVIEWED = ("photo_type", "subtype", "quality_rating", "delivery_use", "issue_tags", "commercial_score", "portfolio_score", "review_note", "review_status")
+
+
+def write_reviews(photos: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Takes over human reviews (path and REVIEWED) without errors, with the decision as JSON; the rest stays."""
+    faults = review_errors(F.col("photo_type"), F.col("subtype"), F.col("quality_rating"), F.col("delivery_use"), F.col("issue_tags"))
+    good = reviews.where(F.size(faults) == 0).select("path", F.lit(True).alias("found_"), F.to_json(F.struct(*REVIEWED)).alias("decision_"), *(F.col(c).alias(f"new_{c}") for c in REVIEWED))
+    both = photos.join(good, "path", "left")
+    found = F.coalesce(F.col("found_"), F.lit(False))
+    return both.withColumns({c: F.when(found, F.col(f"new_{c}")).otherwise(F.col(c)) for c in REVIEWED} | {"human_decision": F.when(found, F.col("decision_")).otherwise(F.col("human_decision"))}).select(*photos.columns)
+
+
+def reset_reviews(photos: DataFrame, paths: DataFrame) -> DataFrame:
+    none = F.array().cast("array<string>")
+    blank = paths.select("path").distinct().select("path", *(F.lit("").alias(c) for c in ("photo_type", "subtype", "quality_rating", "review_note")), none.alias("delivery_use"), none.alias("issue_tags"), F.lit(0.0).alias("commercial_score"), F.lit(0.0).alias("portfolio_score"), F.lit(V.UNREVIEWED).alias("review_status"))
+    out = write_reviews(photos, blank)
+    return out.join(paths.select("path", F.lit(True).alias("reset_")).distinct(), "path", "left").withColumn("human_decision", F.when(F.col("reset_"), "").otherwise(F.col("human_decision"))).select(*photos.columns)
+
+
+BADGES = {"精修候选": "精修", "可交付": "交付", "重复": "重复", "废片": "废片", "作品集候选": "作品", "练习片": "练习"}
+
+
+def badge() -> Column:
+    own, status = V.lookup(BADGES, F.coalesce(F.col("manual_category"), F.lit(""))), F.coalesce(F.col("similar_group_status"), F.lit(""))
+    rest = F.when((status == "best") | F.coalesce(F.col("best_in_group"), F.lit(False)), "最佳").when(status == "duplicate", "重复").when((status == "review") | F.startswith(F.coalesce(F.col("final_category"), F.lit("")), F.lit(V.PRIMARY_REVIEW)), "复核").otherwise("备选")
+    return F.coalesce(own, rest)
+
+
+def type_text() -> Column:
+    both = lambda a, b: F.concat_ws(" / ", F.nullif(F.col(a), F.lit("")), F.nullif(F.col(b), F.lit("")))
+    return F.when(~S.blank(F.col("photo_type")), both("photo_type", "subtype")).when(~S.blank(F.col("ai_primary_category")), F.concat(F.lit("AI建议："), both("ai_primary_category", "ai_secondary_category"))).otherwise("-")
+
+
 def not_exported() -> Column:
     return F.array_contains(F.col("delivery_use"), V.NO_EXPORT) | (F.coalesce(F.col("quality_rating"), F.lit("")) == "X") | (F.coalesce(F.col("similar_group_status"), F.lit("")) == "duplicate")
 

@@ -31,7 +31,7 @@ PHOTO_SCHEMA = T.StructType(
 )
 
 #: Present name: the names it had before, in order of preference.
-LEGACY = {"manual_category": ["label"], "review_note": ["user_note"], "ai_primary_category": ["ai_category"], "final_category": ["category"]}
+LEGACY = {"manual_category": ["label"], "user_note": ["notes"], "final_category": ["ai_recommended_category"], "ai_source": ["ai_device", "ai_backend"], "review_note": ["user_note", "notes"]}
 
 
 def default_of(column: str) -> Column:
@@ -229,12 +229,23 @@ class Settings:
     batch_size: int = 16
     min_keep_per_group: int = 1
     max_keep_per_group: int = 3
+    max_pending_ratio: float = 0.25
+    target_pick_ratio: float = 0.20
+    import_batch_size: int = 40
+    max_compare_images: int = 4
+    preview_max_size: int = 1600
     scoring_weights: dict = field(default_factory=lambda: {k: list(v) for k, v in V.PICK_WEIGHTS.items()})
 
     def __post_init__(self) -> None:
         self.confidence_threshold = min(1.0, max(0.0, float(self.confidence_threshold)))
         self.similarity_hamming_threshold = min(64, max(0, int(self.similarity_hamming_threshold)))
-        self.batch_size = max(1, int(self.batch_size))
+        self.batch_size, self.import_batch_size = max(1, int(self.batch_size)), max(1, int(self.import_batch_size))
+        self.max_pending_ratio, self.target_pick_ratio = min(1.0, max(0.0, float(self.max_pending_ratio))), min(1.0, max(0.01, float(self.target_pick_ratio)))
+        self.min_keep_per_group = max(1, int(self.min_keep_per_group))
+        self.max_keep_per_group = max(self.min_keep_per_group, int(self.max_keep_per_group))
+        self.max_compare_images = max(2, int(self.max_compare_images))
+        if self.model_profile not in ("fast", "balanced", "accurate", "ultra"):
+            self.model_profile = "balanced"
         if self.similarity_mode not in V.HAMMING_BY_MODE:
             self.similarity_mode = "standard"
         if self.screening_strategy not in V.PICK_WEIGHTS:

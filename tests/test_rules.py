@@ -155,3 +155,29 @@ def test_report_text(spark):
 
     text = report.markdown(adapters.photos(spark, "/root/testdata/sf0.001"))
     assert text.count("\n## ") == 12 and "1500" in text
+
+
+def test_summary_text(spark):
+    payload = json.dumps({"decision": {"quality_rating": "A", "commercial_score": 80.5, "delivery_use": ["客户可选"], "issue_tags": []}})
+    r = one(spark, a=review.summary_text(F.lit(payload)), b=review.summary_text(F.lit("{}")))
+    assert r["a"].split("\n")[:2] == ["品质等级：A", "商业交付：80.5"] and "风险：-" in r["a"] and r["b"] == "未分析"
+
+
+def test_reviews_are_written_and_reset(spark):
+    from lumensift.sources import catalog
+
+    p = catalog.migrated(spark.createDataFrame([("/a",), ("/b",)], "path string"))
+    own = [("/a", "个人写真", "半身", "S", ["精修候选"], [], 90.0, 80.0, "n", V.CONFIRMED), ("/b", "odd", "", "S", [], [], 0.0, 0.0, "", V.CONFIRMED)]
+    given = spark.createDataFrame(own, "path string, photo_type string, subtype string, quality_rating string, delivery_use array<string>, issue_tags array<string>, commercial_score double, portfolio_score double, review_note string, review_status string")
+    out = review.write_reviews(p, given)
+    rows = {r["path"]: r for r in out.collect()}
+    assert rows["/a"]["quality_rating"] == "S" and json.loads(rows["/a"]["human_decision"])["review_status"] == V.CONFIRMED and rows["/b"]["review_status"] == V.UNREVIEWED
+    back = {r["path"]: r for r in review.reset_reviews(out, given.select("path").where("path = '/a'")).collect()}
+    assert back["/a"]["quality_rating"] == "" and back["/a"]["review_status"] == V.UNREVIEWED and back["/a"]["human_decision"] == ""
+
+
+def test_best_trial_and_performance(spark):
+    t = spark.createDataFrame([(1, 0.0), (2, 9.0), (3, 8.0)], "trial int, avg_ms double")
+    assert report.best_trial(t).first()["trial"] == 3
+    p = spark.createDataFrame([(10.0, True), (0.0, False), (30.0, False)], "ai_runtime_ms double, embedding_cached boolean")
+    assert tuple(report.performance(p).first()) == (2, 1, 20.0)
