@@ -8,15 +8,14 @@ folder, so a lost executor costs no lineage.
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions import scalars as S
 from ..functions.ranks import numbered
+from . import graph
 
 FULL = 64
 
@@ -86,41 +85,9 @@ def _met(left: DataFrame, right: DataFrame, key: str, threshold: int, also: Colu
     return found.select(F.col("a.idx").alias("i"), F.col("b.idx").alias("j"), d.alias("distance"))
 
 
-def _written(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no shared folder")
-        folder = "file://" + tempfile.mkdtemp(prefix="lumensift-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def components(pairs: DataFrame) -> DataFrame:
-    """idx and root, the smallest idx of its component, of every photo in a pair (columns i < j)."""
-
-    def least(e: DataFrame) -> DataFrame:
-        return e.groupBy("u").agg(F.min("v").alias("m"))
-
-    def large(e: DataFrame) -> DataFrame:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = least(both).select("u", F.least("m", "u").alias("m"))
-        return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-    def small(e: DataFrame) -> DataFrame:
-        low = least(e)
-        return e.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-
-    now, mark = _written(pairs.select(F.greatest("i", "j").alias("u"), F.least("i", "j").alias("v")).where("u <> v").distinct()), None
-    while True:
-        now = _written(small(large(now)))
-        found = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if found == mark:
-            return now.select(F.col("u").alias("idx"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("idx"), F.col("v").alias("root")).distinct())
-        mark = found
+    """idx and root, the smallest idx of its component, of every photo in a pair (columns i and j)."""
+    return graph.components(pairs.select(F.col("i").alias("u"), F.col("j").alias("v"))).withColumnRenamed("v", "idx")
 
 
 def group_quality(absolute_weight: float = 0.35) -> Column:
