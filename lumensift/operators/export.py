@@ -22,6 +22,27 @@ class Options:
     report_only: bool = False
 
 
+def options_from_mode(mode: str, **switches: bool) -> Options:
+    """Options of a mode's text; one that begins with 只生成报告 copies nothing."""
+    return Options(report_only=mode.strip().startswith("只生成报告"), **switches)
+
+
+def fresh_folder(base: str, now: str) -> str:
+    """base if it is missing or empty; otherwise base_now, or the first base_now_NN that is free."""
+    if not os.path.isdir(base) or not os.listdir(base):
+        return base
+    found, n = f"{base}_{now}", 0
+    while os.path.exists(found):
+        n += 1
+        found = f"{base}_{now}_{n:02d}"
+    return found
+
+
+def category_plan(photos: DataFrame, category: Column) -> DataFrame:
+    """The first pipeline's copies: one a photo, into the folder of its category."""
+    return photos.select("idx", "path", "filename", category.alias("destination")).withColumn("target", unique_name(["destination"], "filename")).select("idx", "path", "destination", "target")
+
+
 def rating_folder(code: Column) -> Column:
     known = V.lookup({k: f"{k}_{v.replace('/', '')}" for k, v in V.RATINGS.items()}, F.coalesce(code, F.lit("")))
     return F.coalesce(known, F.lit("未评级"))

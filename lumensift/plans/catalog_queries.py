@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import vocab as V
 from ..functions import scalars as S
 from ..functions.ranks import neighbours
-from ..operators import business, decision, export, generations, preference, report, review, similarity
+from ..operators import advice, business, decision, export, generations, preference, report, review, similarity
 from ..sources import adapters as A
 from ..sources import catalog
 from ..streaming import decisions
@@ -589,6 +589,34 @@ def g2_category(spark, d):
     return p.select("idx", got["primary"].alias("primary_category"), got["secondary"].alias("secondary_category"), F.round(got["confidence"], 6).alias("confidence"))
 
 
+def _advised(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    return _tagged(spark, d).withColumns({"ai_quality_tags": c("tags"), "subject_area_ratio": c("bright"), "subject_center_score": c("centre"), "edge_cutoff_risk": c("edge"), "detected_person_count": c("people"), "detection_confidence": (c("k") % 4) / 4.0, "top3": F.when(c("k") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("a"), F.lit("b"))), "absolute_quality_score": c("lap"), "final_pick_score": c("mean"), "ai_confidence": (c("k") % 4) / 4.0})
+
+
+_OUTCOME = "CASE WHEN mean >= 78 AND NOT list_contains(tags, '明确废片') THEN 'good' WHEN list_contains(tags, '明确废片') THEN 'reject' WHEN list_contains(tags, '可用待裁切') THEN 'crop' WHEN list_contains(tags, '可用待修') THEN 'retouch' ELSE 'rest' END"
+
+
+@query("q_g2_suggestions", _with(f", {_TAGS2}, o AS (SELECT *, {_OUTCOME} AS o FROM tags) SELECT idx, CASE ai_primary_category WHEN '婚纱照' THEN '偏婚纱正式照' WHEN '商务会议合影' THEN '偏商业形象照' WHEN '活动纪实' THEN '偏纪实风' WHEN '风景/环境' THEN '偏风景环境' ELSE CASE WHEN ai_primary_category IN ('单人写真', '双人写真', '儿童写真', '中老年写真') AND bright >= 0.18e0 THEN '偏棚拍写真' ELSE '偏生活感' END END AS style_label, " + "CASE " + " ".join(f"WHEN list_contains(tags, '{t}') THEN '{x}'" for t, x in advice.RETOUCH.items()) + f" ELSE '{advice.RETOUCH_NONE}' END AS retouch_suggestion, CASE WHEN list_contains(tags, '可用待裁切') OR edge >= 0.55e0 THEN '{advice.CROP_EDGE}' WHEN centre <> 0 AND centre < 0.45e0 THEN '{advice.CROP_ASIDE}' WHEN ai_primary_category = '风景/环境' THEN '{advice.CROP_WIDE}' ELSE '{advice.CROP_NONE}' END AS crop_suggestion, CASE WHEN ai_primary_category = '相似重复待选' THEN '相似重复待选' ELSE {_case('o', {k: v[2] for k, v in advice.OUTCOMES.items()}, 'NULL')} END AS final_recommendation FROM o"))
+def g2_suggestions(spark, d):
+    return advice.suggestions(_advised(spark, d)).select("idx", "style_label", "retouch_suggestion", "crop_suggestion", "final_recommendation")
+
+
+@query("q_g2_reason", _with(f", {_TAGS2} SELECT idx, printf('绝对质量分 %.1f，最终分 %.1f，', lap, mean) || CASE WHEN list_contains(tags, '明确废片') THEN '存在严重不可修复风险，建议进入“' || cat || '”。' WHEN list_contains(tags, '可用待裁切') THEN '主体仍有交付价值，但边缘或构图存在风险，建议可用待裁切 / 人工复核。' WHEN list_contains(tags, '可用待修') THEN '画面存在轻微模糊或曝光问题，但不直接判废，建议可用待修。' ELSE printf('置信度 %.2f，建议分类为“', (k % 4) / 4) || cat || '”。' END || CASE WHEN k % 3 <> 0 THEN '；OpenCLIP候选：a，b' ELSE '；语义模型未加载，使用轻量fallback' END || CASE WHEN k % 4 <> 0 THEN printf('；YOLO检测人数 %d，主体面积 %.2f，居中分 %.2f', people, bright, centre) ELSE '；检测模型未加载或未检测到可靠人物' END AS reason FROM (SELECT *, CASE WHEN ai_secondary_category <> '' THEN ai_primary_category || '/' || ai_secondary_category WHEN ai_primary_category = '' THEN '人工复核' ELSE ai_primary_category END AS cat FROM tags) t"))
+def g2_reason(spark, d):
+    return _advised(spark, d).select("idx", advice.ai_reason().alias("reason"))
+
+
+@query("q_rescored", _with(f", {_FINAL}, hi AS (SELECT *, CASE WHEN manual_override THEN mp WHEN ai_primary_category <> '' THEN CASE WHEN ai_confidence < 0.8e0 THEN '人工复核' WHEN ai_secondary_category <> '' THEN ai_primary_category || '/' || ai_secondary_category ELSE ai_primary_category END ELSE mp END AS f2 FROM finals) SELECT path, fin AS final_before, f2 AS final_after FROM hi WHERE f2 <> fin OR ai_primary_category <> ''"))
+def rescored(spark, d):
+    return advice.rescored(_final(spark, d), 0.8)
+
+
+@query("q_list_texts", _with("SELECT idx, CASE WHEN ai_primary_category = '' THEN '-' ELSE printf('%.2f', ai_confidence) END AS confidence_text, CASE WHEN ai_primary_category = '' THEN '' WHEN ai_secondary_category <> '' THEN ai_primary_category || '/' || ai_secondary_category ELSE ai_primary_category END AS category_text, width || ' x ' || height AS resolution_text FROM photos"))
+def list_texts(spark, d):
+    return A.photos(spark, d).select("idx", *(c.alias(n) for n, c in advice.shown().items()))
+
+
 @query("q_iou_nms")
 def iou_nms(spark, d):
     """Boxes that stay after overlaps go, of eight boxes a vector; rows only."""

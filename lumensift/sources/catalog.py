@@ -206,6 +206,32 @@ def library_scanned(known: DataFrame, files: DataFrame) -> DataFrame:
     return known.select("image", "tags").unionByName(new.withColumn("tags", F.array().cast("array<string>")))
 
 
+def with_folder(folders: Column, folder: str) -> Column:
+    return F.array_union(folders, F.array(F.lit(folder)))
+
+
+def without_folder(folders: Column, folder: str) -> Column:
+    return F.array_remove(folders, folder)
+
+
+def tagged_images(known: DataFrame, tags: DataFrame) -> DataFrame:
+    """Sets the tags of the images in tags (image, tags), without those that aren't in the vocabulary."""
+    new = tags.select("image", F.array_intersect("tags", V.array_of(V.AESTHETIC_TAGS)).alias("tags"))
+    return upserted(known.select("image", "tags"), new, "image")
+
+
+def oriented(width: Column, height: Column, orientation: Column) -> Column:
+    """Width and height after the EXIF orientation: 5 to 8 swap them."""
+    turned = F.coalesce(orientation.between(5, 8), F.lit(False))
+    return F.struct(F.when(turned, height).otherwise(width).alias("width"), F.when(turned, width).otherwise(height).alias("height"))
+
+
+def folder_size(spark: SparkSession, folder: str) -> DataFrame:
+    """n_files and size_mb below a folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("length")
+    return files.agg(F.count(F.lit(1)).alias("n_files"), F.round(F.coalesce(F.sum("length"), F.lit(0)) / 1048576, 2).alias("size_mb"))
+
+
 def tag_counts(library: DataFrame) -> DataFrame:
     return library.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 

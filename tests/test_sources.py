@@ -123,3 +123,36 @@ def test_stream_windows_equal_batch(spark, tmp_path):
     q.awaitTermination()
     assert spark.table("tumbled").select("start", "event_type", "n").exceptAll(decisions.tumbling(events).select(F.col("start").cast("timestamp"), "event_type", "n")).count() == 0
     assert spark.table("tumbled").count() == decisions.tumbling(events).count()
+
+
+def test_images_to_decisions(spark, tmp_path):
+    from lumensift.operators import review
+    from lumensift.plans import analysis
+
+    rng = np.random.default_rng(1)
+    png(tmp_path / "a.png", rng.integers(60, 200, (120, 160, 3)))
+    png(tmp_path / "b.png", np.full((120, 160, 3), 20))
+    images = catalog.images(spark, str(tmp_path))
+    broken = images.limit(1).select(F.lit("/broken.png").alias("path"), F.struct(*(F.lit(None).cast(f.dataType).alias(f.name) for f in images.schema["image"].dataType.fields)).alias("image"))
+    boxes = spark.createDataFrame([(images.where("path like '%a.png'").first()["path"], [dict(x=50, y=40, w=40, h=40)], 120.0, 2, 1, "d")], "path string, face_boxes array<struct<x:int,y:int,w:int,h:int>>, face_clarity double, eye_count int, person_count int, detector string")
+    rows = {r["path"].rsplit("/", 1)[1]: r for r in analysis.analyse(images.unionByName(broken), boxes).withColumn("status", review.suggestion_status(F.col("ai_suggestion"), F.col("path"))).collect()}
+    assert all(r["status"] == "current" for r in rows.values())
+    assert rows["a.png"]["face_score"] > 80 and rows["b.png"]["basic_problems"][:2] == ["虚焦", "曝光问题"] and rows["b.png"]["face_score"] == 50
+    assert rows["broken.png"]["error"] and rows["broken.png"]["commercial_score"] == 0 and rows["broken.png"]["quality_rating"] == "X"
+    assert analysis.analyse(images).count() == 2
+
+
+def test_folders_and_tags(spark, tmp_path):
+    from lumensift.operators import export
+
+    r = spark.range(1).select(catalog.with_folder(F.array(F.lit("/a")), "/b").alias("x"), catalog.without_folder(F.array(F.lit("/a")), "/a").alias("y"), catalog.oriented(F.lit(4), F.lit(3), F.lit(6)).alias("z")).first()
+    assert r["x"] == ["/a", "/b"] and r["y"] == [] and tuple(r["z"]) == (3, 4)
+    known = spark.createDataFrame([("/x", ["废片"])], "image string, tags array<string>")
+    out = catalog.tagged_images(known, spark.createDataFrame([("/x", ["我喜欢", "odd"])], "image string, tags array<string>"))
+    assert [tuple(r) for r in out.collect()] == [("/x", ["我喜欢"])]
+    (tmp_path / "o").mkdir()
+    assert export.fresh_folder(str(tmp_path / "o"), "t") == str(tmp_path / "o")
+    (tmp_path / "o" / "f").write_text("x")
+    (tmp_path / "o_t").mkdir()
+    assert export.fresh_folder(str(tmp_path / "o"), "t") == str(tmp_path / "o_t_01")
+    assert export.options_from_mode(" 只生成报告").report_only and not export.options_from_mode("复制原图 + 生成报告").report_only
