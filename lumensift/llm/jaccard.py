@@ -154,8 +154,29 @@ def _signatures(g: np.ndarray, text: np.ndarray, begin: np.ndarray, docs: np.nda
     return (np.concatenate(out_key), np.concatenate(out_doc)) if out_key else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def _profiles(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
-    """key, n_shingles, h1, h2 (hash of the set) and regions; regions are null where a slice of texts has the set twice."""
+def _marks(g: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of each set."""
+    sizes = np.diff(begin)
+    out = []
+    for salt in (0x51, 0xA7):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(g ^ np.uint64(salt)), dtype=np.uint64)])
+        out.append(mix(sums[begin[1:]] - sums[begin[:-1]] + sizes.astype(np.uint64)))
+    return out
+
+
+def _profiles(docs: DataFrame, n: int) -> DataFrame:
+    """key, n_shingles, h1 and h2 (hash of the set)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in chunks(batches):
+            g, _, begin = _distinct([t or b"" for t in texts], n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(begin).astype(np.int64)), *(pa.array(m.view(np.int64)) for m in _marks(g, begin))], ["key", "n_shingles", "h1", "h2"])
+
+    return docs.mapInArrow(run, "key long, n_shingles long, h1 long, h2 long")
+
+
+def _regions(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
+    """region and key; of equal sets in a slice of texts, one has regions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(threshold)
@@ -163,24 +184,14 @@ def _profiles(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
             g, text, begin = _distinct([t or b"" for t in texts], n)
             sizes = np.diff(begin)
             bands.cover(int(sizes.max(initial=1)))
-            marks = []
-            for salt in (0x51, 0xA7):
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(g ^ np.uint64(salt)), dtype=np.uint64)])
-                marks.append(mix(sums[begin[1:]] - sums[begin[:-1]] + sizes.astype(np.uint64)))
-            first = np.unique(np.stack(marks, 1), axis=0, return_index=True)[1]
-            first = np.sort(first[sizes[first] > 0])
-            key, doc = _signatures(g, text, begin, first, bands)
-            order = np.argsort(doc, kind="stable")
-            cuts = np.searchsorted(doc[order], np.arange(len(texts) + 1)).astype(np.int32)
-            absent = np.ones(len(texts), bool)
-            absent[first] = False
-            regions = pa.ListArray.from_arrays(pa.array(cuts), pa.array(key[order].view(np.int64)), mask=pa.array(absent))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int64)), *(pa.array(m.view(np.int64)) for m in marks), regions], ["key", "n_shingles", "h1", "h2", "regions"])
-
-    return docs.mapInArrow(run, "key long, n_shingles long, h1 long, h2 long, regions array<long>")
-
-
-def _members(profiles: DataFrame) -> DataFrame:
+            first = np.unique(np.stack(_marks(g, begin), 1), axis=0, return_index=True)[1]
+            key, doc = _signatures(g, text, begin, np.sort(first[sizes[first] > 0]), bands)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(pa.array(doc))], ["region", "key"])
+
+    return docs.mapInArrow(run, "region long, key long")
+
+
+def _members(regions: DataFrame) -> DataFrame:
     """region, key and pivot (the least key) of the regions with two members or more.
 
     Regions arrive sorted, so a region of any size passes through without being held.
@@ -212,9 +223,8 @@ def _members(profiles: DataFrame) -> DataFrame:
             region, pivot = r[-1], pivots[-1]
             yield pa.RecordBatch.from_arrays([pa.array(out_r), pa.array(out_k), pa.array(out_p)], ["region", "key", "pivot"])
 
-    rows = profiles.where(F.col("regions").isNotNull()).select(F.explode("regions").alias("region"), "key")
-    parts = int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "region").sortWithinPartitions("region", "key").mapInArrow(run, "region long, key long, pivot long")
+    parts = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return regions.repartition(parts, "region").sortWithinPartitions("region", "key").mapInArrow(run, "region long, key long, pivot long")
 
 
 def _of_sets(members: DataFrame, copied: DataFrame) -> DataFrame:
@@ -318,12 +328,12 @@ def _pivot_pairs(open_: DataFrame, sets: DataFrame, threshold: Fraction) -> Data
 def vertices(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
     """key (NO_ID for null), n_shingles and root, the least key of the component, of every row of docs."""
     plain = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("key"), F.col(text).alias("text"))
-    profiles = written(_profiles(plain, n, threshold))
+    profiles = written(_profiles(plain, n))
     # one vertex for each set: the least key that has it
     full = profiles.where("n_shingles > 0").select("key", "n_shingles", "h1", "h2")
     least = full.groupBy("h1", "h2").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"))
     copied = written(full.join(least.where("copies > 1"), ["h1", "h2"]).where("key <> rep").select(F.col("key").alias("u"), F.col("rep").alias("v")).distinct())
-    members = written(_of_sets(_members(profiles), copied))
+    members = written(_of_sets(written(_members(_regions(plain, n, threshold))), copied))
     sizes = full.select("key", "n_shingles")
     sets = written(_sets(plain, members.select("key").distinct(), n))
     stars = members.where("key <> pivot").select(F.col("pivot").alias("u"), F.col("key").alias("v")).distinct()
