@@ -302,20 +302,22 @@ def _pivot_pairs(open_: DataFrame, sets: DataFrame, threshold: Fraction) -> Data
     a = sets.select(F.col("key").alias("pivot"), F.col("shingles").alias("a"))
     b = sets.select("key", F.col("shingles").alias("b"))
     # by pivot first and by key last, so that the differences of a large group are made in many tasks
-    delta = written(group.join(a, "pivot").join(b, "key").select("pivot", "key", F.explode(F.concat(F.array_except("a", "b"), F.array_except("b", "a"))).alias("e")))
+    delta = written(group.join(a, "pivot").join(b, "key").select("pivot", "key", "root", "n", F.concat(F.array_except("a", "b"), F.array_except("b", "a")).alias("delta")))
     total = group.groupBy("pivot").agg(F.count(F.lit(1)).alias("g"))
-    flips = delta.groupBy("pivot", "e").agg(F.count(F.lit(1)).alias("f")).join(total, "pivot").where("2 * f > g").select("pivot", "e")
-    kept = delta.join(flips, ["pivot", "e"], "left_anti")
-    added = group.select("pivot", "key").join(flips, "pivot").join(delta, ["pivot", "key", "e"], "left_anti")
-    moved = written(kept.select("pivot", "key", "e").unionByName(added.select("pivot", "key", "e")))
-    spread = moved.groupBy("pivot", "key").agg(F.count(F.lit(1)).alias("m"))
-    placed = written(group.join(spread, ["pivot", "key"], "left").withColumn("m", F.coalesce("m", F.lit(0))).withColumn("p", F.col("m") - c * F.col("n")))
+    most = delta.select("pivot", F.explode("delta").alias("e")).groupBy("pivot", "e").agg(F.count(F.lit(1)).alias("f")).join(total, "pivot").where("2 * f > g")
+    flips = most.groupBy("pivot").agg(F.collect_list("e").alias("flips"))  # no more than the pivot and half its members hold
+    none = F.array().cast("array<bigint>")
+    both = delta.join(flips, "pivot", "left").withColumn("flips", F.coalesce("flips", none))
+    moved = both.select("pivot", "key", "root", "n", F.concat(F.array_except("delta", "flips"), F.array_except("flips", "delta")).alias("moved"))
+    placed = written(moved.withColumn("m", F.size("moved")).withColumn("p", F.col("m") - c * F.col("n")))
     centre = placed.groupBy("pivot").agg(F.min(F.struct("p", "key")).alias("low"))
-    star = group.join(centre, "pivot").select(F.least("key", "low.key").alias("u"), F.greatest("key", "low.key").alias("v")).where("u <> v")
-    common = moved.groupBy("pivot", "e").agg(F.count(F.lit(1)).alias("f"))
+    near = placed.join(centre, "pivot").repartition("key")  # away from the pivot, which may hold a large group
+    star = near.select(F.least("key", "low.key").alias("u"), F.greatest("key", "low.key").alias("v")).where("u <> v")
     need = F.greatest(F.lit(1), F.ceil((F.col("p") + F.col("low.p")) / 2 - 1e-6))
-    ranked = moved.join(common, ["pivot", "e"]).withColumn("nth", F.row_number().over(Window.partitionBy("pivot", "key").orderBy("f", "e")))
-    prefix = ranked.where("f > 1").join(placed.join(centre, "pivot").select("pivot", "key", "root", "n", "m", "p", (F.col("m") - need + 1).alias("keep")), ["pivot", "key"]).where("nth <= keep")
+    each = near.select("pivot", "key", "root", "n", "m", "p", (F.col("m") - need + 1).alias("keep"), F.explode("moved").alias("e"))
+    counted = each.withColumn("f", F.count(F.lit(1)).over(Window.partitionBy("pivot", "e")))
+    ranked = counted.withColumn("nth", F.row_number().over(Window.partitionBy("pivot", "key").orderBy("f", "e")))
+    prefix = ranked.where("f > 1 and nth <= keep")
     left = F.col("m") - F.col("nth") + 1  # what can still be in common, if this is the first
     x = prefix.select("pivot", "e", F.col("key").alias("u"), F.col("root").alias("ru"), F.col("n").alias("nu"), F.col("p").alias("pu"), left.alias("lu"))
     y = prefix.select("pivot", "e", F.col("key").alias("v"), F.col("root").alias("rv"), F.col("n").alias("nv"), F.col("p").alias("pv"), left.alias("lv"))
