@@ -304,7 +304,7 @@ def _pivot_pairs(open_: DataFrame, sets: DataFrame, threshold: Fraction) -> Data
     # by pivot first and by key last, so that the differences of a large group are made in many tasks
     delta = written(group.join(a, "pivot").join(b, "key").select("pivot", "key", "root", "n", F.concat(F.array_except("a", "b"), F.array_except("b", "a")).alias("delta")))
     total = group.groupBy("pivot").agg(F.count(F.lit(1)).alias("g"))
-    most = delta.select("pivot", F.explode("delta").alias("e")).groupBy("pivot", "e").agg(F.count(F.lit(1)).alias("f")).join(total, "pivot").where("2 * f > g")
+    most = delta.repartition("key").select("pivot", F.explode("delta").alias("e")).groupBy("pivot", "e").agg(F.count(F.lit(1)).alias("f")).join(total, "pivot").where("2 * f > g")
     flips = most.groupBy("pivot").agg(F.collect_list("e").alias("flips"))  # no more than the pivot and half its members hold
     none = F.array().cast("array<bigint>")
     both = delta.join(flips, "pivot", "left").withColumn("flips", F.coalesce("flips", none))
@@ -314,10 +314,12 @@ def _pivot_pairs(open_: DataFrame, sets: DataFrame, threshold: Fraction) -> Data
     near = placed.join(centre, "pivot").repartition("key")  # away from the pivot, which may hold a large group
     star = near.select(F.least("key", "low.key").alias("u"), F.greatest("key", "low.key").alias("v")).where("u <> v")
     need = F.greatest(F.lit(1), F.ceil((F.col("p") + F.col("low.p")) / 2 - 1e-6))
-    each = near.select("pivot", "key", "root", "n", "m", "p", (F.col("m") - need + 1).alias("keep"), F.explode("moved").alias("e"))
-    counted = each.withColumn("f", F.count(F.lit(1)).over(Window.partitionBy("pivot", "e")))
-    ranked = counted.withColumn("nth", F.row_number().over(Window.partitionBy("pivot", "key").orderBy("f", "e")))
-    prefix = ranked.where("f > 1 and nth <= keep")
+    each = near.select("pivot", "key", F.explode("moved").alias("e"))
+    shared = each.withColumn("f", F.count(F.lit(1)).over(Window.partitionBy("pivot", "e"))).where("f > 1")
+    # shingles that no other member has come first in the order, and need no rank
+    of = Window.partitionBy("pivot", "key")
+    ranked = shared.withColumns({"rank": F.row_number().over(of.orderBy("f", "e")), "among": F.count(F.lit(1)).over(of)})
+    prefix = ranked.join(near.select("pivot", "key", "root", "n", "m", "p", (F.col("m") - need + 1).alias("keep")), ["pivot", "key"]).withColumn("nth", F.col("m") - F.col("among") + F.col("rank")).where("nth <= keep")
     left = F.col("m") - F.col("nth") + 1  # what can still be in common, if this is the first
     x = prefix.select("pivot", "e", F.col("key").alias("u"), F.col("root").alias("ru"), F.col("n").alias("nu"), F.col("p").alias("pu"), left.alias("lu"))
     y = prefix.select("pivot", "e", F.col("key").alias("v"), F.col("root").alias("rv"), F.col("n").alias("nv"), F.col("p").alias("pv"), left.alias("lv"))
