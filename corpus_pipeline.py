@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumensift.functions.durable import written
 from lumensift.llm import decontaminate, jaccard, packing, quality, substring
-from lumensift.llm.durable import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

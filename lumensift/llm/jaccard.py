@@ -46,9 +46,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .durable import written
-from .graph import components
-from .vector import LOWER, NO_ID, chunks, gram_hashes, mix, whole_grams, word_hashes, words_of
+from ..functions.durable import written
+from ..operators.graph import components
+from .vector import LOWER, NO_ID, chunks, gram_hashes, mix, small_batches, whole_grams, word_hashes, words_of
 
 WORDS = 3
 THRESHOLD = Fraction(90, 100)
@@ -331,7 +331,7 @@ def _pivot_pairs(open_: DataFrame, sets: DataFrame, threshold: Fraction) -> Data
 
 def vertices(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
     """key (NO_ID for null), n_shingles and root, the least key of the component, of every row of docs."""
-    plain = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("key"), F.col(text).alias("text"))
+    plain = small_batches(docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("key"), F.col(text).alias("text")))
     profiles = written(_profiles(plain, n))
     # one vertex for each set: the least key that has it
     full = profiles.where("n_shingles > 0").select("key", "n_shingles", "h1", "h2")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .vector import chunks, word_hashes, words_of
+from .vector import chunks, small_batches, word_hashes, words_of
 
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 4000
@@ -178,7 +178,7 @@ def identify(docs: DataFrame, model: tuple, key: str = "doc_id", text: str = "te
             names, scores = predict_texts(texts, *held.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(scores)], ["key", "lang_pred", "score"])
 
-    plain = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    plain = small_batches(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
     kind = plain.schema["key"].dataType.simpleString()
     return plain.mapInArrow(run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
 

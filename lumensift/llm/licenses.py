@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .vector import ALNUM, chunks
+from .vector import ALNUM, chunks, small_batches
 
 CONTAINMENT = 0.8
 
@@ -142,7 +142,7 @@ def block_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", cont
             at = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *(pa.array([r[j] for r in rows], kind) for j, kind in ((1, pa.int64()), (2, pa.int32()), (3, pa.string()), (4, pa.float64())))], ["key", "block", "template", "label", "containment"])
 
-    plain = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    plain = small_batches(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
     kind = plain.schema["key"].dataType.simpleString()
     return plain.mapInArrow(run, f"key {kind}, block long, template int, label string, containment double").withColumnRenamed("key", key)
 
@@ -178,7 +178,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", containment:
             kinds = (pa.int64(),) * 4 + (pa.string(),) * 2 + (pa.float64(),)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds))], ["key", *COLUMNS])
 
-    plain = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    plain = small_batches(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
     kind = plain.schema["key"].dataType.simpleString()
     return plain.mapInArrow(run, f"key {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double").withColumnRenamed("key", key)
 

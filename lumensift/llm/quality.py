@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .vector import chunks, covered, gram_hashes, mix, whole_grams, word_hashes, words_of
+from .vector import chunks, covered, gram_hashes, mix, small_batches, whole_grams, word_hashes, words_of
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_upper", "n_bangs")
 
@@ -91,7 +91,7 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             m = _measure_texts([t or b"" for t in texts])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(m[c], pa.int64()) for c in MEASURES)], ["key", *MEASURES])
 
-    plain = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    plain = small_batches(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
     kind = plain.schema["key"].dataType.simpleString()
     out = plain.mapInArrow(run, f"key {kind}, " + ", ".join(f"{c} long" for c in MEASURES))
     return out.withColumnRenamed("key", key)

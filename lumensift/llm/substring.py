@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .vector import NO_ID, Words, chunks, gram_hashes, mix, whole_grams, word_hashes, words_of
+from .vector import NO_ID, Words, chunks, gram_hashes, mix, small_batches, whole_grams, word_hashes, words_of
 
 K = 20
 M = 2
@@ -195,7 +195,7 @@ def bucket_count(docs: DataFrame) -> int:
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, m: int = M) -> DataFrame:
     """key (NO_ID for null), first (word) and n (windows) of runs of windows that also start earlier."""
     buckets = bucket_count(docs)
-    plain = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("key"), F.col(text).alias("text"))
+    plain = small_batches(docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("key"), F.col(text).alias("text")))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = _Packer(k, m, buckets)

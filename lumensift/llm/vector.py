@@ -13,9 +13,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 CHUNK_BYTES = 2 << 20
 
+#: Bytes of one Arrow batch of texts. Spark's own limit is 64 MB, which both sides of a Python worker hold, doubled while it grows.
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 #: ASCII white space: 0x20 and 0x09-0x0D.
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -108,6 +113,14 @@ def whole_grams(w: Words, n: int) -> np.ndarray:
     return np.flatnonzero(left >= n)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are no larger than BATCH_BYTES."""
+    now = df.sparkSession.conf.get(BATCH_SETTING)
+    if int(now.rstrip("b") if now.rstrip("b").isdigit() else -1) > BATCH_BYTES:
+        df.sparkSession.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Slices of the batches with about CHUNK_BYTES of text, and their texts as bytes."""
     for batch in batches:
