@@ -26,14 +26,14 @@ more also uses a next family of classes, up to the last one, of which all classe
 count. Two documents that both have more than s share the next family, and
 otherwise agree in a class that counts, so exactness stays.
 
-Equal sets (by 128-bit hash) are one vertex. Shingles are 64-bit hashes.
+A vertex is a set, named by a 64-bit hash of it, so copies are one vertex from the
+first shuffle on; shingles are 64-bit hashes too.
 
 Defined results: texts without words have an empty set, which links with nothing;
-texts with fewer words than a shingle have one, the whole sequence; null ids
-count as one id, after all others, and a component of null ids alone has a null
-id; rows with equal ids are one vertex that has the links of each; an empty
-table gives no rows; other columns are not read, and ``distinct_documents`` keeps
-them all.
+texts with fewer words than a shingle have one, the whole sequence; a null id comes
+after all others, so only a component of null ids alone has a null id; rows with
+equal ids are linked by their own texts; an empty table gives no rows; other
+columns are not read, and ``distinct_documents`` keeps them all.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.durable import written
+from ..functions.durable import temporary, written
 from ..operators.graph import components
 from .vector import LOWER, NO_ID, chunks, gram_hashes, mix, small_batches, whole_grams, word_hashes, words_of
 
@@ -63,7 +63,7 @@ FAMILIES = 4
 FILTER_BITS = 1 << 28
 
 #: Regions with more pairs of different components than this times their members are large.
-PAIRS_PER_MEMBER = 8
+PAIRS_PER_MEMBER = 32
 
 
 class Bands:
@@ -154,54 +154,56 @@ def _signatures(g: np.ndarray, text: np.ndarray, begin: np.ndarray, docs: np.nda
     return (np.concatenate(out_key), np.concatenate(out_doc)) if out_key else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def _marks(g: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
-    """Two hashes of each set."""
+def _marks(g: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """A hash of each set, which is its vertex."""
     sizes = np.diff(begin)
-    out = []
-    for salt in (0x51, 0xA7):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(g ^ np.uint64(salt)), dtype=np.uint64)])
-        out.append(mix(sums[begin[1:]] - sums[begin[:-1]] + sizes.astype(np.uint64)))
-    return out
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(g ^ np.uint64(0x51)), dtype=np.uint64)])
+    return mix(sums[begin[1:]] - sums[begin[:-1]] + sizes.astype(np.uint64)).view(np.int64)
 
 
 def _profiles(docs: DataFrame, n: int) -> DataFrame:
-    """key, n_shingles, h1 and h2 (hash of the set)."""
+    """id, n_shingles and key (the set's vertex)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
             g, _, begin = _distinct([t or b"" for t in texts], n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(begin).astype(np.int64)), *(pa.array(m.view(np.int64)) for m in _marks(g, begin))], ["key", "n_shingles", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(begin).astype(np.int64)), pa.array(_marks(g, begin))], ["id", "n_shingles", "key"])
 
-    return docs.mapInArrow(run, "key long, n_shingles long, h1 long, h2 long")
+    return docs.mapInArrow(run, "id long, n_shingles long, key long")
 
 
 def _regions(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
-    """region and key; of equal sets in a slice of texts, one has regions."""
+    """region and key; a set that a slice of texts has twice is dealt once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(threshold)
-        for batch, texts in chunks(batches):
+        for _, texts in chunks(batches):
             g, text, begin = _distinct([t or b"" for t in texts], n)
-            sizes = np.diff(begin)
+            sizes, marks = np.diff(begin), _marks(g, begin)
             bands.cover(int(sizes.max(initial=1)))
-            first = np.unique(np.stack(_marks(g, begin), 1), axis=0, return_index=True)[1]
+            first = np.unique(marks, return_index=True)[1]
             key, doc = _signatures(g, text, begin, np.sort(first[sizes[first] > 0]), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(pa.array(doc))], ["region", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(marks[doc])], ["region", "key"])
 
     return docs.mapInArrow(run, "region long, key long")
 
 
 def _members(regions: DataFrame) -> DataFrame:
-    """region, key and pivot (the least key) of the regions with two members or more.
+    """region, key and pivot (the least key) of the regions with two different members or more.
 
-    Regions arrive sorted, so a region of any size passes through without being held.
+    Rows arrive sorted, so a region of any size passes through without being held, and equal rows are neighbours.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        region = pivot = None  # of the last row so far
+        region = last = pivot = None  # of the last row so far
         told = False  # whether the pivot itself has been returned
         for batch in batches:
             r, k = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            fresh = np.ones(len(r), bool)
+            fresh[1:] = (r[1:] != r[:-1]) | (k[1:] != k[:-1])
+            if len(r):
+                fresh[0] = region is None or r[0] != region or k[0] != last
+            r, k = r[fresh], k[fresh]
             if not len(r):
                 continue
             new = np.ones(len(r), bool)
@@ -220,28 +222,25 @@ def _members(regions: DataFrame) -> DataFrame:
                 told = True
             if len(start):
                 told = size[-1] > 1
-            region, pivot = r[-1], pivots[-1]
+            region, last, pivot = r[-1], k[-1], pivots[-1]
             yield pa.RecordBatch.from_arrays([pa.array(out_r), pa.array(out_k), pa.array(out_p)], ["region", "key", "pivot"])
 
     parts = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return regions.repartition(parts, "region").sortWithinPartitions("region", "key").mapInArrow(run, "region long, key long, pivot long")
 
 
-def _of_sets(members: DataFrame, copied: DataFrame) -> DataFrame:
-    """Members with keys and pivots replaced by the one vertex of their set; regions of a single set go."""
-    reps = copied.select(F.col("u").alias("key"), F.col("v").alias("rep"))
-    own = members.join(reps, "key", "left").select("region", F.coalesce("rep", "key").alias("key"), "pivot")
-    pivots = own.join(reps.select(F.col("key").alias("pivot"), "rep"), "pivot", "left").select("region", "key", F.coalesce("rep", "pivot").alias("pivot")).distinct()
-    return pivots.join(pivots.groupBy("region").agg(F.max("key").alias("a"), F.min("key").alias("b")).where("a <> b").select("region"), "region", "left_semi")
-
-
 def _bitmap(keys: DataFrame) -> tuple[int, np.ndarray]:
-    """A filter of the keys with about 16 bits a key, FILTER_BITS at most."""
+    """A filter of the keys with about 16 bits a key, FILTER_BITS at most; made on the executors, bit by bit."""
     bits = 1 << 16
     while bits < min(FILTER_BITS, 16 * keys.count()):
         bits *= 2
-    place = (F.pmod(F.xxhash64("key"), F.lit(bits)) + 1).alias("p")  # buckets count from 1
-    rows = keys.select(place).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array((mix(batch.column(0).to_numpy().view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64) + 1)], ["p"])  # buckets count from 1
+
+    places = keys.mapInArrow(run, "p long")
+    rows = places.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
     out = np.zeros(bits // 8, np.uint8)
     for r in rows:
         at = (r["b"] - 1) * 4096
@@ -250,30 +249,71 @@ def _bitmap(keys: DataFrame) -> tuple[int, np.ndarray]:
     return bits, out
 
 
-def _sets(docs: DataFrame, keys: DataFrame, n: int) -> DataFrame:
-    """key and shingles of the documents that have a partner in some region."""
+def _sets(docs: DataFrame, keys: DataFrame, n: int, cut: bool) -> DataFrame:
+    """key, shingles and n (set size) of the sets named by keys, and a few others, as the filter is no exact one.
+
+    cut: shingles are cut to their distinct high halves (int), otherwise whole (long).
+    """
     bits, bitmap = _bitmap(keys)
     held = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches):
-            p = batch.column(2).to_numpy()
-            on = np.flatnonzero((held.value[p >> 3] >> (p & 7)) & 1)
-            if len(on):
-                g, _, begin = _distinct([texts[i] or b"" for i in on.tolist()], n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(on)), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(g.view(np.int64)))], ["key", "shingles"])
+        for _, texts in chunks(batches):
+            g, _, begin = _distinct([t or b"" for t in texts], n)
+            marks, sizes = _marks(g, begin), np.diff(begin)
+            p = mix(marks.view(np.uint64)) & np.uint64(bits - 1)
+            first = np.sort(np.unique(marks, return_index=True)[1])
+            on = first[((held.value[(p[first] >> np.uint64(3)).astype(np.int64)] >> (p[first] & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)]
+            if not len(on):
+                continue
+            counts = sizes[on]
+            own = np.repeat(np.arange(len(on)), counts)
+            values = g[np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(begin[on], counts)]
+            if cut:  # sorted within each set, so equal halves are neighbours
+                values = (values >> np.uint64(32)).astype(np.uint32)
+                keep = np.ones(len(values), bool)
+                keep[1:] = (values[1:] != values[:-1]) | (own[1:] != own[:-1])
+                values, own = values[keep].view(np.int32), own[keep]
+            else:
+                values = values.view(np.int64)
+            cuts = np.searchsorted(own, np.arange(len(on) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(marks[on]), pa.array(counts.astype(np.int64)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(values))], ["key", "n", "shingles"])
+
+    return docs.mapInArrow(run, f"key long, n long, shingles array<{'int' if cut else 'long'}>").dropDuplicates(["key"])
+
+
+def _attached(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs with the sets of u and v as a and b, and their sizes as na and nb."""
+    a = sets.select(F.col("key").alias("u"), F.col("shingles").alias("a"), F.col("n").alias("na"))
+    b = sets.select(F.col("key").alias("v"), F.col("shingles").alias("b"), F.col("n").alias("nb"))
+    return pairs.join(b, "v").join(a, "u")
 
-    placed = docs.select("key", "text", F.pmod(F.xxhash64("key"), F.lit(bits)).alias("p"))
-    return placed.mapInArrow(run, "key long, shingles array<long>").join(keys, "key", "left_semi")
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct()
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """u, v, d and linked of pairs (u, v)."""
-    a = sets.select(F.col("key").alias("u"), F.col("shingles").alias("a"))
-    b = sets.select(F.col("key").alias("v"), F.col("shingles").alias("b"))
-    both = pairs.join(b, "v").join(a, "u").select("u", "v", F.size(F.array_intersect("a", "b")).cast("long").alias("i"), (F.size("a") + F.size("b")).cast("long").alias("n"))
+
+def _verified(pairs: DataFrame, docs: DataFrame, short: DataFrame, n: int, threshold: Fraction) -> DataFrame:
+    """u, v, d and linked of pairs (u, v); d is NULL where a pair was ruled out before its whole sets met.
+
+    Sizes rule out pairs first, then shingles cut to 32 bits (short), whose common ones
+    with those that collide in one set are an upper bound. Only for what is left are
+    whole sets made from the texts and compared.
+    """
+    num, den = threshold.numerator, threshold.denominator
+    sizes = short.select("key", "n")
+    sized = pairs.join(sizes.select(F.col("key").alias("u"), F.col("n").alias("nu")), "u").join(sizes.select(F.col("key").alias("v"), F.col("n").alias("nv")), "v")
+    fit = den * F.least("nu", "nv") >= num * F.greatest("nu", "nv")
+    checked = written(sized.select("u", "v", fit.alias("fit")))
+    most = F.size(F.array_intersect("a", "b")).cast("long") + F.col("na") - F.size("a")
+    near = written(_attached(checked.where("fit").select("u", "v"), short).select("u", "v", (den * most >= num * (F.col("na") + F.col("nb") - most)).alias("near")))
+    left = near.where("near").select("u", "v")
+    whole = written(_sets(docs, _ends(left), n, cut=False))
+    full = _attached(left, whole).select("u", "v", F.size(F.array_intersect("a", "b")).cast("long").alias("i"), (F.col("na") + F.col("nb")).alias("n"))
     union = F.col("n") - F.col("i")
-    return both.select("u", "v", (1 - F.col("i") / union).alias("d"), (threshold.denominator * F.col("i") >= threshold.numerator * union).alias("linked"))
+    done = full.select("u", "v", (1 - F.col("i") / union).alias("d"), (den * F.col("i") >= num * union).alias("linked"))
+    out = checked.where(~F.col("fit")).select("u", "v").unionByName(near.where(~F.col("near")).select("u", "v"))
+    return done.unionByName(out.select("u", "v", F.lit(None).cast("double").alias("d"), F.lit(False).alias("linked")))
 
 
 def _direct_pairs(open_: DataFrame, distance: DataFrame, threshold: Fraction) -> DataFrame:
@@ -330,44 +370,52 @@ def _pivot_pairs(open_: DataFrame, sets: DataFrame, threshold: Fraction) -> Data
 
 
 def vertices(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """key (NO_ID for null), n_shingles and root, the least key of the component, of every row of docs."""
+    """id (NO_ID for null), n_shingles and root, the least id of the component, of every row of docs."""
     plain = small_batches(docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("key"), F.col(text).alias("text")))
+    with temporary(docs.sparkSession):
+        placed = written(_placed(plain, n, threshold), keep=True)
+    least = placed.where("n_shingles > 0").groupBy("root").agg(F.min("id").alias("least"))
+    return placed.join(least, "root", "left").select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("id")).alias("root"))
+
+
+def _placed(plain: DataFrame, n: int, threshold: Fraction) -> DataFrame:
+    """id, n_shingles and root (the component's name) of every row of plain (key, text)."""
     profiles = written(_profiles(plain, n))
-    # one vertex for each set: the least key that has it
-    full = profiles.where("n_shingles > 0").select("key", "n_shingles", "h1", "h2")
-    least = full.groupBy("h1", "h2").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    copied = written(full.join(least.where("copies > 1"), ["h1", "h2"]).where("key <> rep").select(F.col("key").alias("u"), F.col("rep").alias("v")).distinct())
-    members = written(_of_sets(written(_members(_regions(plain, n, threshold))), copied))
-    sizes = full.select("key", "n_shingles")
-    sets = written(_sets(plain, members.select("key").distinct(), n))
+    members = written(_members(_regions(plain, n, threshold)))
+    short = written(_sets(plain, members.select("key").distinct(), n, cut=True))
     stars = members.where("key <> pivot").select(F.col("pivot").alias("u"), F.col("key").alias("v")).distinct()
-    tried = written(_verified(stars, sets, threshold))
-    edges = copied.unionByName(tried.where("linked").select("u", "v"))
+    tried = written(_verified(stars, plain, short, n, threshold))
+    edges = tried.where("linked").select("u", "v")
     roots = components(edges)
     own = members.join(roots.withColumnRenamed("v", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     mixed = own.groupBy("region", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("region").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
     large = (F.col("c") * F.col("c") - F.col("cc")) / 2 > PAIRS_PER_MEMBER * F.col("c")
-    open_ = written(own.join(mixed.select("region", large.alias("large")), "region").join(sizes.distinct().withColumnRenamed("n_shingles", "n"), "key"))
+    sizes = short.select("key", "n")
+    open_ = written(own.join(mixed.select("region", large.alias("large")), "region").join(sizes, "key"))
     distance = tried.select(F.col("u").alias("pivot"), F.col("v").alias("key"), "d")
-    pairs = _direct_pairs(open_.where(~F.col("large")), distance, threshold).unionByName(_pivot_pairs(open_.where("large"), sets, threshold))
+    pairs = _direct_pairs(open_.where(~F.col("large")), distance, threshold)
+    far = open_.where("large")
+    if far.limit(1).count():
+        held = written(_sets(plain, far.select("key").unionByName(far.select(F.col("pivot").alias("key"))).distinct(), n, cut=False))
+        pairs = pairs.unionByName(_pivot_pairs(far, held, threshold))
     fresh = written(pairs.distinct().join(tried.select("u", "v"), ["u", "v"], "left_anti"))
     if fresh.limit(1).count():
-        more = written(_verified(fresh, sets, threshold).where("linked").select("u", "v"))
+        more = written(_verified(fresh, plain, short, n, threshold).where("linked").select("u", "v"))
         if more.limit(1).count():
             roots = components(edges.unionByName(more))
-    return profiles.select("key", "n_shingles").join(roots.withColumnRenamed("v", "key"), "key", "left").select("key", "n_shingles", F.coalesce("root", "key").alias("root"))
+    return profiles.join(roots.withColumnRenamed("v", "key"), "key", "left").select("id", "n_shingles", F.coalesce("root", "key").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
     """key, n_shingles and component_id of every row of docs."""
     back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return vertices(docs, key, text, n, threshold).select(back("key").alias(key), "n_shingles", back("root").alias("component_id"))
+    return vertices(docs, key, text, n, threshold).select(back("id").alias(key), "n_shingles", back("root").alias("component_id"))
 
 
 def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: Fraction = Fraction(8, 10)) -> DataFrame:
-    """One document of each component, that with the least id (of rows with equal ids, all), with all columns; documents without words stay."""
-    roots = vertices(docs, key, text, n, threshold)
-    gone = roots.where("key <> root").select(F.col("key").alias("jaccard:key")).distinct()
+    """One document of each component, that with the least id, with all columns; documents without words stay, and so do all rows of an id that is the least of some component."""
+    found = written(vertices(docs, key, text, n, threshold).select("id", (F.col("id") == F.col("root")).alias("first")))
+    gone = found.groupBy("id").agg(F.bool_or("first").alias("first")).where(~F.col("first")).select(F.col("id").alias("jaccard:key"))
     return docs.join(gone, F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)) == gone["jaccard:key"], "left_anti")
 
 

@@ -113,22 +113,25 @@ def _sets(t, n):
 
 
 def _components(data, n, num, den):
-    ids = sorted({jaccard.NO_ID if r[0] is None else r[0] for r in data})
-    root = {i: i for i in ids}
+    """Rows as a bag of (id, set size, least id reachable); a null id comes after all others."""
+    root = list(range(len(data)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    own = [(jaccard.NO_ID if r[0] is None else r[0], _sets(r[1], n)) for r in data]
-    for x, (i, a) in enumerate(own):
-        for j, b in own[:x]:
-            if a and b and den * len(a & b) >= num * len(a | b):
-                low, high = sorted((find(i), find(j)))
-                root[high] = low
+    sets = [_sets(r[1], n) for r in data]
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and den * len(a & sets[j]) >= num * len(a | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    least = {}
+    for i, r in enumerate(data):
+        key = jaccard.NO_ID if r[0] is None else r[0]
+        least[find(i)] = min(least.get(find(i), key), key)
     back = lambda i: None if i == jaccard.NO_ID else i
-    return Counter((back(i), len(s), back(find(i))) for i, s in own)
+    return Counter((r[0], len(sets[i]), back(least[find(i)])) for i, r in enumerate(data))
 
 
 @pytest.mark.parametrize("n,num,den", [(3, 90, 100), (5, 8, 10)])
