@@ -62,8 +62,13 @@ FAMILIES = 4
 #: Bits of the filter that keeps most documents without a partner out of the second scan (at most 32 MB).
 FILTER_BITS = 1 << 28
 
-#: Regions with more pairs of different components than this times their members are large.
-PAIRS_PER_MEMBER = 32
+#: Regions with more pairs of different components than this times their members are large, at a threshold of 0.9.
+PAIRS_PER_MEMBER = 8
+
+
+def pairs_per_member(threshold: Fraction) -> float:
+    """The limit at a threshold: listing differences costs more as they get longer, and regions get larger, with 1 - threshold."""
+    return PAIRS_PER_MEMBER * float((1 - threshold) * 10) ** 2
 
 
 class Bands:
@@ -389,7 +394,7 @@ def _placed(plain: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     roots = components(edges)
     own = members.join(roots.withColumnRenamed("v", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     mixed = own.groupBy("region", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("region").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    large = (F.col("c") * F.col("c") - F.col("cc")) / 2 > PAIRS_PER_MEMBER * F.col("c")
+    large = (F.col("c") * F.col("c") - F.col("cc")) / 2 > pairs_per_member(threshold) * F.col("c")
     sizes = short.select("key", "n")
     open_ = written(own.join(mixed.select("region", large.alias("large")), "region").join(sizes, "key"))
     distance = tried.select(F.col("u").alias("pivot"), F.col("v").alias("key"), "d")
