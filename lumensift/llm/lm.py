@@ -13,7 +13,8 @@ once into a table of log-probabilities (64**4 floats, 67 MB), and scoring a text
 is one look-up a byte, its end included. ``adaptive_code_length`` is the
 adaptive form, which learns from the text as it goes.
 
-The unigram counts tokens exactly by 64-bit hash over all training texts. The
+The unigram lower-cases A-Z and counts tokens exactly by 64-bit hash over all
+training texts. The
 HEAD most frequent tokens (a fixed number) are looked up in the scan; all other
 tokens of a document meet their counts in a join by token, where none is hot,
 since a hot token would be among the first.
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.durable import written
-from .vector import chunks, small_batches, word_hashes, words_of
+from .vector import LOWER, chunks, small_batches, word_hashes, words_of
 
 SYMBOLS = 64
 ORDER = 3
@@ -59,8 +60,8 @@ def held_out(key: Column, of: int = 10, is_: int = 0) -> Column:
 
 
 def _token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text number of every word; no word hashes to END_TOKEN."""
-    w = words_of(texts)
+    """Hash and text number of every word, A-Z lower-cased; no word hashes to END_TOKEN."""
+    w = words_of([t.translate(LOWER) for t in texts])
     h = word_hashes(w)
     h[h == END_TOKEN] = 1
     return h, w.text_of_word()

@@ -320,6 +320,20 @@ def test_rare_tokens_meet_their_counts(spark, monkeypatch):
     test_unigram_scores(spark)
 
 
+def test_unigram_lower_cases(spark):
+    cases = ["The cat THE Cat", "the Dog sat", "ÉTÉ Été CAT", "Dog the dog", None, "A a"]
+    data = [(i, t, "en", "s", 0, "k", 0, 0) for i, t in enumerate(cases)]
+    got = {r["doc_id"]: r for r in lm.score(frame(spark, data), F.col("doc_id") == 3).collect()}
+    plain = [[*plain_words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")), None] for t in cases]
+    counts = Counter(x for i, t in enumerate(plain) if i != 3 for x in t)
+    n, v = sum(counts.values()), len(counts)
+    for i, t in enumerate(plain):
+        want = sum(math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in t)
+        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(t), sum(counts[x] > 0 for x in t), n)
+        assert got[i]["base_score"] == pytest.approx(want, abs=1e-6)
+    assert got[3]["n_known"] == 4
+
+
 def _plain_table(train, symbol):
     """Probabilities by the definition: escapes and exclusions, context by context."""
     grams = [Counter() for _ in range(lm.ORDER + 1)]
