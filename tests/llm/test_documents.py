@@ -359,6 +359,45 @@ def _plain_table(train, symbol):
     return p
 
 
+def _whole_trie(train, order=3):
+    """log10 of a text's probability over the end mark and all 256 bytes, by the definition."""
+    grams = [defaultdict(Counter) for _ in range(order + 1)]
+    framed = lambda t: [-1] * order + list(t) + [-1]
+    for t in train:
+        s = framed(t)
+        for i in range(order, len(s)):
+            for o in range(order + 1):
+                grams[o][tuple(s[i - o : i])][s[i]] += 1
+
+    def log(context, x):
+        out, gone = 0.0, set()
+        for o in range(order, -1, -1):
+            seen = {y: c for y, c in grams[o][tuple(context[order - o :])].items() if y not in gone}
+            if not seen:
+                continue
+            total = sum(seen.values()) + len(seen)
+            if x in seen:
+                return out + math.log10(seen[x] / total)
+            out += math.log10(len(seen) / total)
+            gone |= set(seen)
+        return out - math.log10(257 - len(gone))
+
+    return lambda t: sum(log(s[i - order : i], s[i]) for s in [framed(t)] for i in range(order, len(s)))
+
+
+@pytest.mark.parametrize("cache", [1 << 20, 200, 0])
+def test_all_bytes_have_contexts(spark, monkeypatch, cache):
+    monkeypatch.setattr(lm, "CACHE", cache)
+    latin = "".join(map(chr, range(33, 127)))  # more byte values than a table of 64 symbols holds
+    cases = [latin * 3, "мир и мир", "мир или дом", "漢字と漢字", "漢字と仮名", None, "", "abc ABC 012\0", "дом 漢字 new", "\0\0", latin]
+    data = [(i, t, "en", "s", 0, "k", 0, 0) for i, t in enumerate(cases)] + [(None, "abc мир", None, None, None, None, None, None)]
+    held = F.col("doc_id").isin(4, 8, 9) & F.col("doc_id").isNotNull()
+    got = {r["doc_id"]: r["score"] for r in lm.score(frame(spark, data), held).collect()}
+    plain = _whole_trie([(t or "").encode() for i, t, *_ in data if i not in (4, 8, 9)])
+    for i, t, *_ in data:
+        assert got[i] == pytest.approx(plain((t or "").encode()), abs=1e-6), i
+
+
 def test_trie_scores_equal_the_definition():
     import numpy as np
 
