@@ -1,7 +1,10 @@
 """License scans by an exact set-similarity join of text blocks with templates.
 
-A block is a line of a text, a template is a short notice; both are sets of
-words. A block matches a template when it holds at least ``CONTAINMENT`` of the
+A block is a line of a text, or a run of words of one paragraph (lines between
+lines without words) that goes over line ends and is no longer than 1 /
+``CONTAINMENT`` of the template, so that wrapped notices are compared as a whole.
+A template is a short notice; both are sets of words. A block matches a template
+when it holds at least ``CONTAINMENT`` of the
 template's distinct words. Words are ordered by how many documents have them,
 rarest first, counted over all documents. With t = ceil(CONTAINMENT * size)
 words needed, a match has one of the first size - t + 1 words of the template
@@ -95,6 +98,7 @@ class TemplateIndex:
             for position, r in enumerate(order[: len(order) - need + 1]):
                 self.by_word.setdefault(names[r], []).append((len(self.templates), position))
             self.templates.append((order, need, label))
+        self.spans = [-int(-len(tokens(t.encode())) / containment // 1) for t, _ in TEMPLATES]
         self.prefix_words = frozenset(self.by_word)
 
     def match(self, block: list[bytes]) -> list[tuple[int, float]]:
@@ -120,6 +124,37 @@ class TemplateIndex:
                     found.append((t, common / len(order)))
         return sorted(found)
 
+    def wrapped(self, lines: list[list[bytes]]) -> list[tuple[int, int, float]]:
+        """Line where it begins, template and largest share of the matches that go over line ends; lines are the words of each line of a text."""
+        found: dict[tuple[int, int], float] = {}
+        begin = 0
+        while begin < len(lines):
+            end = begin
+            while end < len(lines) and lines[end]:
+                end += 1
+            if end - begin > 1:
+                words = [(self.rank[w], at, line) for at, (w, line) in enumerate((w, line) for line in range(begin, end) for w in lines[line]) if w in self.rank]
+                held = {r for r, _, _ in words}
+                for t, (order, need, _) in enumerate(self.templates):
+                    if len(held.intersection(order)) < need:
+                        continue
+                    own = [w for w in words if w[0] in order]
+                    inside: dict[int, int] = {}
+                    left = 0
+                    for r, at, line in own:
+                        inside[r] = inside.get(r, 0) + 1
+                        while at - own[left][1] >= self.spans[t]:
+                            first = own[left][0]
+                            inside[first] -= 1
+                            if not inside[first]:
+                                del inside[first]
+                            left += 1
+                        if len(inside) >= need and own[left][2] < line:
+                            key = (own[left][2], t)
+                            found[key] = max(found.get(key, 0.0), len(inside) / len(order))
+            begin = end + 1
+        return [(line, t, c) for (line, t), c in sorted(found.items())]
+
 
 def _starts(joined: bytes, phrase: bytes) -> list[int]:
     """Word numbers where a phrase starts in words joined and framed by spaces."""
@@ -132,13 +167,13 @@ def _starts(joined: bytes, phrase: bytes) -> list[int]:
     return out
 
 
-def block_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", containment: float = CONTAINMENT) -> DataFrame:
-    """key, block (line number from 0), template (number), label and containment of every match."""
+def block_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", containment: float = CONTAINMENT, wrapped: bool = False) -> DataFrame:
+    """key, block (line number from 0), template (number), label and containment of every line that matches; wrapped: and of the matches that go over line ends, at the line where they begin."""
     index = TemplateIndex(document_frequencies(docs, text), containment)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
-            rows = [(i, line, t, index.templates[t][2], c) for i, x in enumerate(texts) for line, t, c in _text_matches(x or b"", index)]
+            rows = [(i, line, t, index.templates[t][2], c) for i, x in enumerate(texts) for line, t, c in _text_matches(x or b"", index, wrapped=wrapped)]
             at = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *(pa.array([r[j] for r in rows], kind) for j, kind in ((1, pa.int64()), (2, pa.int32()), (3, pa.string()), (4, pa.float64())))], ["key", "block", "template", "label", "containment"])
 
@@ -147,10 +182,12 @@ def block_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", cont
     return plain.mapInArrow(run, f"key {kind}, block long, template int, label string, containment double").withColumnRenamed("key", key)
 
 
-def _text_matches(text: bytes, index: TemplateIndex, words: list[bytes] | None = None) -> list[tuple[int, int, float]]:
+def _text_matches(text: bytes, index: TemplateIndex, words: list[bytes] | None = None, wrapped: bool = False) -> list[tuple[int, int, float]]:
     if index.prefix_words.isdisjoint(tokens(text) if words is None else words):
         return []
-    return [(n, t, c) for n, line in enumerate(text.split(b"\n")) for t, c in index.match(tokens(line))]
+    lines = [tokens(line) for line in text.split(b"\n")]
+    found = [(n, t, c) for n, line in enumerate(lines) for t, c in index.match(line)]
+    return found + index.wrapped(lines) if wrapped else found
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", containment: float = CONTAINMENT) -> DataFrame:
@@ -171,7 +208,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", containment:
                         places += at
                         base.add(label)
                         score = 1.0
-                for _, template, share in _text_matches(t, index, words):
+                for _, template, share in _text_matches(t, index, words, wrapped=True):
                     labels.add(index.templates[template][2])
                     score = max(score, share)
                 rows.append((len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), score))

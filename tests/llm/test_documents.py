@@ -261,6 +261,21 @@ def test_license_join_equals_plain_comparison(spark):
     assert got == want
 
 
+def test_wrapped_notices(spark):
+    import textwrap
+
+    long = [(t, label) for t, label in licenses.TEMPLATES if len(t.split()) > 12]
+    cases = [("\n".join(textwrap.wrap(t, width, initial_indent=start, subsequent_indent=start)), label) for t, label in long for width, start in ((40, ""), (60, " * "), (72, "# "))]
+    t = long[0][0].split()
+    cases += [(" ".join(t[:9]) + "\n\n" + " ".join(t[9:]), ""), (" ".join(t[:9]) + "\n" + "other words " * 20 + "\n" + " ".join(t[9:]), "")]
+    data = [(i, "Some prose.\n\n" + text + "\nmore words", "en", "s", 0, "k", 0, 0) for i, (text, _) in enumerate(cases)]
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(frame(spark, data)).collect()}
+    for i, (text, label) in enumerate(cases):
+        assert label in got[i], text
+    found = {(r["doc_id"], r["block"]) for r in licenses.block_matches(frame(spark, data), wrapped=True).collect()}
+    assert (0, 2) in found
+
+
 # -- language
 
 
