@@ -43,7 +43,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.durable import temporary, written
@@ -167,14 +167,15 @@ def _marks(g: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 def _profiles(docs: DataFrame, n: int) -> DataFrame:
-    """id, n_shingles and key (the set's vertex)."""
+    """id, tag (if docs have it), n_shingles and key (the set's vertex)."""
+    tags = [c for c in docs.columns if c == "tag"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
             g, _, begin = _distinct([t or b"" for t in texts], n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(begin).astype(np.int64)), pa.array(_marks(g, begin))], ["id", "n_shingles", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(1) for _ in tags), pa.array(np.diff(begin).astype(np.int64)), pa.array(_marks(g, begin))], ["id", *tags, "n_shingles", "key"])
 
-    return docs.mapInArrow(run, "id long, n_shingles long, key long")
+    return docs.mapInArrow(run, "id long, " + "tag long, " * len(tags) + "n_shingles long, key long")
 
 
 def _regions(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
@@ -374,18 +375,22 @@ def _pivot_pairs(open_: DataFrame, sets: DataFrame, threshold: Fraction) -> Data
     return star.unionByName(meet)
 
 
+def _plain(docs: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
+    return small_batches(docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("key"), *more, F.col(text).alias("text")))
+
+
 def vertices(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
     """id (NO_ID for null), n_shingles and root, the least id of the component, of every row of docs."""
-    plain = small_batches(docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("key"), F.col(text).alias("text")))
+    plain = _plain(docs, key, text)
     with temporary(docs.sparkSession):
-        placed = written(_placed(plain, n, threshold), keep=True)
+        placed = written(_placed(plain, plain, n, threshold), keep=True)
     least = placed.where("n_shingles > 0").groupBy("root").agg(F.min("id").alias("least"))
     return placed.join(least, "root", "left").select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("id")).alias("root"))
 
 
-def _placed(plain: DataFrame, n: int, threshold: Fraction) -> DataFrame:
-    """id, n_shingles and root (the component's name) of every row of plain (key, text)."""
-    profiles = written(_profiles(plain, n))
+def _placed(plain: DataFrame, rows: DataFrame, n: int, threshold: Fraction) -> DataFrame:
+    """id, tag (if rows have it), n_shingles and root (the component's name) of every row of plain (key, text); rows are the same with their tags."""
+    profiles = written(_profiles(rows, n))
     members = written(_members(_regions(plain, n, threshold)))
     short = written(_sets(plain, members.select("key").distinct(), n, cut=True))
     stars = members.where("key <> pivot").select(F.col("pivot").alias("u"), F.col("key").alias("v")).distinct()
@@ -408,7 +413,7 @@ def _placed(plain: DataFrame, n: int, threshold: Fraction) -> DataFrame:
         more = written(_verified(fresh, plain, short, n, threshold).where("linked").select("u", "v"))
         if more.limit(1).count():
             roots = components(edges.unionByName(more))
-    return profiles.join(roots.withColumnRenamed("v", "key"), "key", "left").select("id", "n_shingles", F.coalesce("root", "key").alias("root"))
+    return profiles.join(roots.withColumnRenamed("v", "key"), "key", "left").select(*(c for c in profiles.columns if c != "key"), F.coalesce("root", "key").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
@@ -418,10 +423,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
 
 
 def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: Fraction = Fraction(8, 10)) -> DataFrame:
-    """One document of each component, that with the least id, with all columns; documents without words stay, and so do all rows of an id that is the least of some component."""
-    found = written(vertices(docs, key, text, n, threshold).select("id", (F.col("id") == F.col("root")).alias("first")))
-    gone = found.groupBy("id").agg(F.bool_or("first").alias("first")).where(~F.col("first")).select(F.col("id").alias("jaccard:key"))
-    return docs.join(gone, F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)) == gone["jaccard:key"], "left_anti")
+    """One row of each component with all columns, that with the least id, then text hash, then other columns; rows without words stay."""
+    tag = F.xxhash64(F.col(text))
+    with temporary(docs.sparkSession):
+        placed = written(_placed(_plain(docs, key, text), _plain(docs, key, text, tag.alias("tag")), n, threshold), keep=True)
+    worded = placed.where("n_shingles > 0")
+    least = worded.groupBy("root").agg(F.min(F.struct("id", "tag")).alias("least"))
+    # rows of equal id and text are in one component, and only of these, one is chosen by its columns
+    known = worded.join(least, "root").groupBy("id", "tag").agg(F.bool_or(F.struct("id", "tag") != F.col("least")).alias("gone"), F.count(F.lit(1)).alias("rows"))
+    marked = written(known.where("gone OR rows > 1").select(F.col("id").alias("jaccard:key"), F.col("tag").alias("jaccard:tag"), "gone"))
+    own = lambda d: (F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)) == d["jaccard:key"]) & (tag == d["jaccard:tag"])
+    again = marked.where("NOT gone")
+    rest = docs.join(marked, own(marked), "left_anti")
+    if not again.limit(1).count():
+        return rest
+    copies = docs.join(again, own(again), "left_semi")
+    one = copies.groupBy(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)), tag).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("jaccard:row"))
+    return rest.unionByName(one.select("`jaccard:row`.*"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,9 +19,11 @@ of their words (128 bits); windows are judged on the input. No window is dropped
 or sampled.
 
 Defined results: null, blank and short texts have no window and lose nothing;
-null ids count as one id after all others; places of equal id and start (repeated
-rows) are the same place, so neither is removed because of the other; an empty
-table gives an empty result; only the id and the text are read, and
+places come in the order of id (null after all others), then of the text's hash,
+then of start; a row is known by its id and its text's hash, so rows that share an
+id (null too) but not a text lose only what repeats in their own text; rows of
+equal id and text (repeated rows) are the same place, so neither is removed
+because of the other; an empty table gives an empty result; only the id and the text are read, and
 ``dedup_documents`` keeps all other columns as they are.
 """
 
@@ -64,6 +66,8 @@ def _sliding_min(a: np.ndarray, w: int) -> np.ndarray:
 
 
 def _block(kind: int, arrays: list[np.ndarray], packed: bytes = b"") -> bytes:
+    """The arrays (ids, tags, starts, numbers of windows, and sizes of what is packed), ids as differences."""
+    arrays = [np.diff(arrays[0], prepend=np.int64(0)), *arrays[1:]]
     return zstandard.ZstdCompressor(level=5).compress(_HEAD.pack(kind, len(arrays[0])) + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays) + packed)
 
 
@@ -71,9 +75,10 @@ def _unblock(blob: bytes) -> tuple[int, list[np.ndarray], bytes]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     kind, n = _HEAD.unpack_from(raw)
     at, arrays = _HEAD.size, []
-    for kindof in (np.int64, np.int32, np.int32) + ((np.int32,) if kind == _PACKED else ()):
+    for kindof in (np.int64, np.int64, np.int32, np.int32) + ((np.int32,) if kind == _PACKED else ()):
         arrays.append(np.frombuffer(raw, kindof, n, at))
         at += n * np.dtype(kindof).itemsize
+    arrays[0] = np.cumsum(arrays[0])
     return kind, arrays, raw[at:]
 
 
@@ -97,7 +102,7 @@ class _Packer:
         self.parts: list[tuple] = []
         self.size = 0
 
-    def add(self, ids: np.ndarray, texts: list[bytes]) -> None:
+    def add(self, ids: np.ndarray, tags: np.ndarray, texts: list[bytes]) -> None:
         texts = [b" ".join(t.split()) for t in texts]
         w = words_of(texts)
         h = word_hashes(w)
@@ -112,52 +117,52 @@ class _Packer:
         text = np.searchsorted(w.offsets, start, "right") - 1
         lo, hi = w.starts[start], w.ends[start + n + self.k - 2]
         buf = w.data.tobytes()
-        self.parts.append((ids[text], (start - w.offsets[text]).astype(np.int32), n.astype(np.int32), low, mark, ends, [buf[a:b] for a, b in zip(lo.tolist(), hi.tolist())]))
+        self.parts.append((ids[text], tags[text], (start - w.offsets[text]).astype(np.int32), n.astype(np.int32), low, mark, ends, [buf[a:b] for a, b in zip(lo.tolist(), hi.tolist())]))
         self.size += int((hi - lo).sum())
 
     def send(self) -> tuple[list[int], list[bytes]]:
-        ids, start, n, low, mark, ends = (np.concatenate([p[i] for p in self.parts]) for i in range(6))
-        packed = [s for p in self.parts for s in p[6]]
+        ids, tags, start, n, low, mark, ends = (np.concatenate([p[i] for p in self.parts]) for i in range(7))
+        packed = [s for p in self.parts for s in p[7]]
         self.parts, self.size = [], 0
-        order = np.lexsort((start, ids, ends, mark))
+        order = np.lexsort((start, tags, ids, ends, mark))
         new = np.ones(len(order), bool)
         new[1:] = (mark[order][1:] != mark[order][:-1]) | (ends[order][1:] != ends[order][:-1])
         lead = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-        again = order[(ids[order] != ids[lead]) | (start[order] != start[lead])]
+        again = order[(ids[order] != ids[lead]) | (tags[order] != tags[lead]) | (start[order] != start[lead])]
         once = order[new]
         keys, blobs = [], []
         bucket = (low % np.uint64(self.buckets)).astype(np.int64)
-        once = once[np.argsort(bucket[once], kind="stable")]
+        once = once[np.lexsort((start[once], tags[once], ids[once], bucket[once]))]
         cuts = np.flatnonzero(np.diff(bucket[once])) + 1
         for part in np.split(once, cuts) if len(once) else []:
             own = [packed[i] for i in part.tolist()]
             size = np.fromiter(map(len, own), np.int32, len(own))
             keys.append(int(bucket[part[0]]))
-            blobs.append(_block(_PACKED, [ids[part], start[part], n[part], size], b"".join(own)))
+            blobs.append(_block(_PACKED, [ids[part], tags[part], start[part], n[part], size], b"".join(own)))
         if len(again):
             keys.append(int(bucket[again[0]]))
-            blobs.append(_block(_SPANS, [ids[again], start[again], n[again]]))
+            blobs.append(_block(_SPANS, [ids[again], tags[again], start[again], n[again]]))
         return keys, blobs
 
 
-def _bucket_spans(blobs: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """id, first window and number of windows of the runs of later windows in a bucket."""
+def _bucket_spans(blobs: list[bytes], k: int) -> tuple[np.ndarray, ...]:
+    """id, tag, first window and number of windows of the runs of later windows in a bucket."""
     spans: list[tuple] = []
-    ids, start, n, texts = [], [], [], []
+    ids, tags, start, n, texts = [], [], [], [], []
     for blob in blobs:
         kind, arrays, packed = _unblock(blob)
         if kind == _SPANS:
             spans.append(tuple(arrays))
             continue
-        ids.append(arrays[0]), start.append(arrays[1]), n.append(arrays[2])
-        ends = np.cumsum(arrays[3])
-        texts += [packed[b - s : b] for s, b in zip(arrays[3].tolist(), ends.tolist())]
+        ids.append(arrays[0]), tags.append(arrays[1]), start.append(arrays[2]), n.append(arrays[3])
+        ends = np.cumsum(arrays[4])
+        texts += [packed[b - s : b] for s, b in zip(arrays[4].tolist(), ends.tolist())]
     if texts:
-        i, s, c = np.concatenate(ids), np.concatenate(start), np.concatenate(n)
-        order = np.lexsort((s, i))
+        i, g, s, c = np.concatenate(ids), np.concatenate(tags), np.concatenate(start), np.concatenate(n)
+        order = np.lexsort((s, g, i))
         w = words_of([texts[j] for j in order.tolist()])
         del texts
-        i, s, c = i[order], s[order].astype(np.int64), c[order].astype(np.int64)
+        i, g, s, c = i[order], g[order], s[order].astype(np.int64), c[order].astype(np.int64)
         h = word_hashes(w)
         one, two = gram_hashes(h, k), gram_hashes(h, k, 991)
         at = whole_grams(w, k)  # c windows of each super-k-mer, in order
@@ -171,16 +176,16 @@ def _bucket_spans(blobs: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, n
         new[1:] = (one[by][1:] != one[by][:-1]) | (two[by][1:] != two[by][:-1])
         lead = by[np.flatnonzero(new)][np.cumsum(new) - 1]
         later = np.zeros(len(by), bool)
-        later[by] = (i[which[by]] != i[which[lead]]) | (place[by] != place[lead])
+        later[by] = (i[which[by]] != i[which[lead]]) | (g[which[by]] != g[which[lead]]) | (place[by] != place[lead])
         hit = np.flatnonzero(later)
         if len(hit):
             cut = np.ones(len(hit), bool)
             cut[1:] = (hit[1:] != hit[:-1] + 1) | (which[hit[1:]] != which[hit[:-1]])
             first = np.flatnonzero(cut)
-            spans.append((i[which[hit[first]]], place[hit[first]], np.diff(np.append(first, len(hit)))))
+            spans.append((i[which[hit[first]]], g[which[hit[first]]], place[hit[first]], np.diff(np.append(first, len(hit)))))
     if not spans:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate([x[j] for x in spans]).astype(np.int64) for j in range(3))
+        return (np.zeros(0, np.int64),) * 4
+    return tuple(np.concatenate([x[j] for x in spans]).astype(np.int64) for j in range(4))
 
 
 def _stored_bytes(df: DataFrame) -> int:
@@ -193,9 +198,9 @@ def bucket_count(docs: DataFrame) -> int:
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, m: int = M) -> DataFrame:
-    """key (NO_ID for null), first (word) and n (windows) of runs of windows that also start earlier."""
+    """key (NO_ID for null), tag (the text's hash), first (word) and n (windows) of runs of windows that also start earlier."""
     buckets = bucket_count(docs)
-    plain = small_batches(docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("key"), F.col(text).alias("text")))
+    plain = small_batches(docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(F.col(text)).alias("tag"), F.col(text).alias("text")))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = _Packer(k, m, buckets)
@@ -205,7 +210,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "block"])
 
         for batch, texts in chunks(batches):
-            packer.add(batch.column(0).to_numpy(), [t or b"" for t in texts])
+            packer.add(batch.column(0).to_numpy(), batch.column(1).to_numpy(), [t or b"" for t in texts])
             if packer.size >= SLICE_BYTES:
                 yield sent()
         if packer.parts:
@@ -215,7 +220,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         now, held = None, []
 
         def found() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in _bucket_spans(held, k)], ["key", "first", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in _bucket_spans(held, k)], ["key", "tag", "first", "n"])
 
         for batch in batches:
             for bucket, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -229,14 +234,14 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
     blocks = plain.mapInArrow(pack, "bucket long, block binary")
     shuffle = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return blocks.repartition(shuffle, "bucket").sortWithinPartitions("bucket").mapInArrow(find, "key long, first long, n long")
+    return blocks.repartition(shuffle, "bucket").sortWithinPartitions("bucket").mapInArrow(find, "key long, tag long, first long, n long")
 
 
 def _with_spans(docs: DataFrame, key: str, text: str, k: int, m: int) -> DataFrame:
     """docs with substring:starts and substring:ends, the word ranges to remove (null: none)."""
-    spans = repeated_spans(docs, key, text, k, m).groupBy(F.col("key").alias("substring:key")).agg(F.collect_list(F.struct("first", "n")).alias("substring:spans"))
+    spans = repeated_spans(docs, key, text, k, m).groupBy(F.col("key").alias("substring:key"), F.col("tag").alias("substring:tag")).agg(F.collect_list(F.struct("first", "n")).alias("substring:spans"))
     own = F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))
-    joined = docs.join(spans, own == spans["substring:key"], "left").drop("substring:key")
+    joined = docs.join(spans, (own == spans["substring:key"]) & (F.xxhash64(docs[text]) == spans["substring:tag"]), "left").drop("substring:key", "substring:tag")
     ranges = F.col("`substring:spans`")
     return joined.withColumn("substring:starts", ranges["first"]).withColumn("substring:ends", F.transform(ranges, lambda s: s["first"] + s["n"] + (k - 1))).drop("substring:spans")
 

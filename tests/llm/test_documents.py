@@ -94,6 +94,37 @@ def test_substrings_with_null_ids(spark):
     assert substring.digest(frame(spark)).count() == len(rows())
 
 
+def _shared_ids():
+    import random
+
+    rng = random.Random(8)
+    own = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    a, b, c = own(60), own(45), own(30)
+    lists = [(None, a), (None, own(200)), (None, a[:40] + own(50)), (None, a[:40] + own(20)), (None, own(9) + b), (7, b), (7, own(80)), (7, c + own(10)), (7, c), (9, own(5) + c), (None, own(120)), (None, [])]
+    return [(i, " ".join(x) or None, "en", "s", 0, "k", 0, 0) for i, x in lists]
+
+
+def test_rows_that_share_an_id_lose_only_their_own_repeats(spark):
+    data = _shared_ids()
+    tags = {r["text"]: r["tag"] for r in frame(spark, data).select("text", F.xxhash64("text").alias("tag")).collect()}
+    name = lambda r: (substring.NO_ID if r[0] is None else r[0], tags[r[1]])
+    first = {}
+    for r in data:
+        w = plain_words(r[1])
+        for s in range(len(w) - 19):
+            at = tuple(w[s : s + 20])
+            first[at] = min(first.get(at, (*name(r), s)), (*name(r), s))
+    want = Counter()
+    for r in data:
+        w = plain_words(r[1])
+        gone = {j for s in range(len(w) - 19) if first[tuple(w[s : s + 20])] != (*name(r), s) for j in range(s, s + 20)}
+        want[r[0], len(w), len(gone), hashlib.sha256(b" ".join(x for j, x in enumerate(w) if j not in gone)).hexdigest()] += 1
+    assert by_row(substring.digest(frame(spark, data)), "doc_id", "n_words", "n_removed", "kept_sha256") == want
+    assert sum(n for i, _, n, _ in want if i is None) == 40 + 40 + 45 and sum(n for i, _, n, _ in want if i is not None) == 30 + 30
+    cut = Counter((r["doc_id"], hashlib.sha256(b" ".join(plain_words(r["text"]))).hexdigest()) for r in substring.dedup_documents(frame(spark, data)).collect())
+    assert cut == Counter((i, h) for i, _, _, h in want.elements())
+
+
 def test_substring_documents(spark):
     data = [r for r in rows() if r[0] is not None]
     out = substring.dedup_documents(frame(spark, data), length="n_chars")
@@ -169,6 +200,17 @@ def test_distinct_documents(spark):
     assert jaccard.near_duplicates(empty(spark)).count() == 0
 
 
+def test_one_row_of_each_component(spark):
+    a, b, c, d = ([f"{x}{i}" for i in range(40)] for x in "abcd")
+    lists = [(None, a), (None, a), (None, a), (None, [*a[:39], "edited"]), (None, b), (7, b), (None, b), (3, c), (3, c), (3, d), (5, c), (None, []), (None, [])]
+    data = [(i, " ".join(x) or None, "en", f"s{n}", 0, "k", n, n) for n, (i, x) in enumerate(lists)]
+    out = jaccard.distinct_documents(frame(spark, data)).collect()
+    assert len(out) == 6 and sum(r["text"] is None for r in out) == 2
+    assert Counter((r["doc_id"], r["text"][0]) for r in out if r["text"]) == {(None, "a"): 1, (7, "b"): 1, (3, "c"): 1, (3, "d"): 1}
+    assert all(tuple(r) in data for r in out)
+    assert {r["n"] for r in out if r["doc_id"] == 3} == {7, 9}
+
+
 # -- decontamination
 
 
