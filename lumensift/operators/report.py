@@ -175,8 +175,8 @@ def write_no_export(photos: DataFrame, path: str) -> None:
     photos.where(review.not_exported()).orderBy("idx").select(line.alias("value")).write.mode("overwrite").text(path)
 
 
-def markdown(photos: DataFrame, title: str = "筛片复盘报告", listed: int = 1000) -> str:
-    """The report as text. Aggregates are collected; of the photo lists, the first ``listed`` rows are shown, with the count of all."""
+def markdown_lines(photos: DataFrame, title: str = "筛片复盘报告") -> DataFrame:
+    """The report as lines: section, part, at (the order in a part), id and value. Counts are collected; the lists of photos and groups are whole and stay distributed."""
     total = totals(photos).first()
     n = max(1, total["total"])
     found: dict[str, list] = {}
@@ -187,13 +187,20 @@ def markdown(photos: DataFrame, title: str = "筛片复盘报告", listed: int =
         rows = sorted(found.get(name, []), key=lambda x: (-x[1], x[0]))
         return [f"| {head} | 数量 |", "|---|---:|", *(f"| {v} | {c} |" for v, c in rows)] if rows else ["暂无记录。"]
 
-    def photo_list(condition: Column) -> list[str]:
-        rows = photos.where(condition).orderBy("idx").limit(listed).select("filename", F.concat_ws(" / ", safe_type(), safe_subtype()).alias("t"), safe_rating().alias("q"), S.filled(F.col("review_note"), "-").alias("note")).collect()
-        return ["| 文件名 | 类型 | 品质 | 备注 |", "|---|---|---|---|", *(f"| {r['filename']} | {r['t']} | {r['q']} | {r['note']} |" for r in rows)] if rows else ["暂无照片。"]
+    def line(*cells: Column) -> Column:
+        return F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(c.cast("string"), F.lit("None")) for c in cells)), F.lit(" |"))
+
+    def listed(rows: DataFrame, at: str, value: Column) -> DataFrame:
+        number = F.col(at).cast("long") if at == "idx" else F.lit(0).cast("long")
+        return rows.select(number.alias("at"), F.col(at).cast("string").alias("id"), value.alias("value"))
+
+    def photo_list(condition: Column) -> tuple[list[str], str, DataFrame]:
+        rows = photos.where(condition)
+        return ["| 文件名 | 类型 | 品质 | 备注 |", "|---|---|---|---|"], "暂无照片。", listed(rows, "idx", line(F.col("filename"), F.concat_ws(" / ", safe_type(), safe_subtype()), safe_rating(), S.filled(F.col("review_note"), "-")))
 
     ratings = dict(found.get("quality_rating", []))
-    groups = group_summary(photos).orderBy("group_id").limit(listed).collect()
-    changed = overrides(photos).orderBy("idx").limit(listed).collect()
+    groups = listed(group_summary(photos), "group_id", line(F.col("group_id"), F.col("n"), S.filled(F.col("best_file"), "-")))
+    changed = listed(overrides(photos), "idx", line(F.col("filename"), F.col("ai_text"), F.col("human_text")))
     tags = "、".join(r["tag"] for r in top_tags(photos).collect()) or "暂无集中问题标签"
     sections = [
         ("项目概览", [f"- 照片总数：{total['total']}", f"- 已人工确认：{total['manual_confirmed_count']}", f"- 待复核：{total['needs_review_count']}", f"- 未审：{total['unreviewed_count']}", f"- AI已审：{total['ai_reviewed_count']}"]),
@@ -203,15 +210,40 @@ def markdown(photos: DataFrame, title: str = "筛片复盘报告", listed: int =
         ("问题标签统计", table("issue_tags", "问题标签")),
         ("关键指标", [f"- 废片率：{total['reject_count'] / n:.1%}", f"- S/A 级占比：{total['sa_count'] / n:.1%}", f"- 作品集候选率：{total['portfolio_candidate_count'] / n:.1%}"]),
         ("相似组统计", [f"- 相似组数量：{total['similar_group_count']}", f"- 相似组内照片数量：{total['photos_in_groups_count']}", f"- 重复淘汰数量：{total['duplicate_count']}"]),
-        ("相似组明细", ["| 组ID | 数量 | 组内最佳 |", "|---|---:|---|", *(f"| {g['group_id']} | {g['n']} | {g['best_file'] or '-'} |" for g in groups)] if groups else ["暂无相似组记录。"]),
-        ("AI 建议被人工修改的记录", ["| 文件名 | AI建议 | 人工结果 |", "|---|---|---|", *(f"| {r['filename']} | {r['ai_text']} | {r['human_text']} |" for r in changed)] if changed else ["暂无明显人工覆盖记录。"]),
+        ("相似组明细", (["| 组ID | 数量 | 组内最佳 |", "|---|---:|---|"], "暂无相似组记录。", groups)),
+        ("AI 建议被人工修改的记录", (["| 文件名 | AI建议 | 人工结果 |", "|---|---|---|"], "暂无明显人工覆盖记录。", changed)),
         ("待复核照片", photo_list(F.coalesce(F.col("review_status"), F.lit("")) == V.NEEDS_REVIEW)),
         ("不导出照片清单", photo_list(review.not_exported())),
         ("本次筛片总结", [f"本次共处理 {total['total']} 张照片，其中 A 级以上照片 {total['sa_count']} 张，废片 {total['reject_count']} 张。主要问题集中在 {tags}。"]),
     ]
     numerals = "一二三四五六七八九十"
-    out = [f"# {title}", ""]
+    schema = "section int, part int, at long, id string, value string"
+    fixed, lists = [(0, 0, 0, "", f"# {title}"), (0, 0, 1, "", "")], []
     for k, (head, lines) in enumerate(sections, 1):
         number = numerals[k - 1] if k <= 10 else "十" + numerals[k - 11]
-        out += [f"## {number}、{head}", "", *lines, ""]
-    return "\n".join(out)
+        own = lines
+        if isinstance(lines, tuple):
+            own, none, rows = lines
+            some = bool(rows.limit(1).count())
+            own = own if some else [none]
+            if some:
+                lists.append(rows.select(F.lit(k).alias("section"), F.lit(1).alias("part"), "at", "id", "value"))
+        fixed += [(k, 0, at, "", x) for at, x in enumerate([f"## {number}、{head}", "", *own])]
+        fixed.append((k, 2, 0, "", ""))
+    out = photos.sparkSession.createDataFrame(fixed, schema)
+    for rows in lists:
+        out = out.unionByName(rows)
+    return out
+
+
+_LINE_ORDER = ("section", "part", "at", "id")
+
+
+def markdown(photos: DataFrame, title: str = "筛片复盘报告") -> str:
+    """The whole report as one text; ``write_markdown`` is for catalogs whose lists don't fit the driver."""
+    return "\n".join(r["value"] for r in markdown_lines(photos, title).orderBy(*_LINE_ORDER).select("value").collect())
+
+
+def write_markdown(photos: DataFrame, path: str, title: str = "筛片复盘报告") -> None:
+    """A folder of text parts, whose lines in the order of the parts are the report."""
+    markdown_lines(photos, title).orderBy(*_LINE_ORDER).select("value").write.mode("overwrite").text(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions import scalars as S
+from ..functions.ranks import placed
 
 THRESHOLD = 0.65
 
@@ -79,6 +80,11 @@ def view(photos: DataFrame, filter_name: str, sort_name: str) -> DataFrame:
     return photos.where(named_filter(filter_name)).orderBy(*sort_keys(sort_name))
 
 
+def placed_view(photos: DataFrame, filter_name: str, sort_name: str) -> DataFrame:
+    """Every photo of a filtered view with its place (from 1) in a sort."""
+    return placed(photos.where(named_filter(filter_name)), sort_keys(sort_name), "place")
+
+
 # -- suggestions
 
 SUGGESTION = "struct<version:string,image_path:string,decision:struct<photo_type:string,subtype:string,quality_rating:string,commercial_score:double,portfolio_score:double,delivery_use:array<string>,issue_tags:array<string>,confidence:double,reason:string>>"

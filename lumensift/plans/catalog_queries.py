@@ -248,11 +248,8 @@ for _n, _sort in enumerate(review.SORTS):
 
 
 def _top_view(spark: SparkSession, d: str, sort: str) -> DataFrame:
-    """The first page (100 photos) of a filtered and sorted view."""
-    from pyspark.sql import Window
-
-    first = review.view(_final(spark, d), "单人写真", sort).limit(100)
-    return first.withColumn("place", F.row_number().over(Window.orderBy(*review.sort_keys(sort)))).select("place", "idx")
+    """The first page (100 photos, as in the SQL) of a filtered and sorted view; ``review.placed_view`` places all of it."""
+    return review.placed_view(_final(spark, d), "单人写真", sort).where("place <= 100").select(F.col("place").cast("int").alias("place"), "idx")
 
 
 @query("q_prev_next", _with("SELECT idx, lag(idx) OVER (ORDER BY filename, idx) AS previous_idx, lead(idx) OVER (ORDER BY filename, idx) AS next_idx FROM photos"))

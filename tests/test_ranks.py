@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from lumensift.functions.ranks import neighbours, numbered
+from lumensift.functions.ranks import neighbours, numbered, placed
 from lumensift.operators.graph import components
 from lumensift.streaming import decisions
 
@@ -26,6 +26,18 @@ def test_neighbours(spark, parts):
     assert got == {i: (order[n - 1] if n else None, order[n + 1] if n + 1 < len(order) else None) for n, i in enumerate(order)}
 
 
+@pytest.mark.parametrize("parts", [1, 3, 50])
+def test_places(spark, parts):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(9), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "g int, idx long").repartition(4)
+    got = {r["idx"]: r["n"] for r in placed(df, [-F.col("g"), F.col("idx")], "n", parts).collect()}
+    assert got == {i: n for n, (_, i) in enumerate(sorted(rows, key=lambda r: (-r[0], r[1])), 1)}
+    assert placed(df.limit(0), [F.col("idx")], "n", parts).count() == 0
+
+
 def test_long_chain_and_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, j) for j in range(10, 40)]
     got = {r["v"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}

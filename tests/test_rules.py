@@ -157,6 +157,24 @@ def test_report_text(spark):
     assert text.count("\n## ") == 12 and "1500" in text
 
 
+def test_report_lists_are_whole(spark, tmp_path):
+    import glob
+
+    from lumensift.sources import adapters
+
+    p = adapters.photos(spark, "/root/testdata/sf0.001")
+    p = p.unionByName(p.withColumn("idx", F.col("idx") + 100_000)).unionByName(p.withColumn("idx", F.col("idx") + 200_000))
+    text = report.markdown(p)
+    wanted = [r["filename"] for r in p.where(review.not_exported()).orderBy("idx").select("filename").collect()]
+    own = text.split("、不导出照片清单\n\n")[1].split("\n\n")[0].split("\n")
+    assert len(wanted) > 1000 and [x.split(" | ")[0].removeprefix("| ") for x in own[2:]] == wanted
+    changed = text.split("、AI 建议被人工修改的记录\n\n")[1].split("\n\n")[0].split("\n")
+    assert len(changed) - 2 == report.overrides(p).count()
+    report.write_markdown(p, f"{tmp_path}/report")
+    parts = "".join(open(x, encoding="utf-8").read() for x in sorted(glob.glob(f"{tmp_path}/report/part-*")))
+    assert parts.rstrip("\n") == text.rstrip("\n")
+
+
 def test_summary_text(spark):
     payload = json.dumps({"decision": {"quality_rating": "A", "commercial_score": 80.5, "delivery_use": ["客户可选"], "issue_tags": []}})
     r = one(spark, a=review.summary_text(F.lit(payload)), b=review.summary_text(F.lit("{}")))
