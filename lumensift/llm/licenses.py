@@ -5,7 +5,8 @@ lines without words) that goes over line ends and is no longer than 1 /
 ``CONTAINMENT`` of the template, so that wrapped notices are compared as a whole.
 A template is a short notice; both are sets of words. A block matches a template
 when it holds at least ``CONTAINMENT`` of the
-template's distinct words. Words are ordered by how many documents have them,
+template's distinct words, all words that tell its license from others, and none that names another
+one (a notice of one license has most words of the next one's). Words are ordered by how many documents have them,
 rarest first, counted over all documents. With t = ceil(CONTAINMENT * size)
 words needed, a match has one of the first size - t + 1 words of the template
 in that order (prefix filter), at least t words (length filter), and after
@@ -42,21 +43,28 @@ PHRASES: tuple[tuple[str, str], ...] = (
     ("cc by nc", "cc-by-nc"),
 )
 
-# Notices that stand for a license, and its label.
-TEMPLATES: tuple[tuple[str, str], ...] = (
-    ("released under the MIT License", "mit"),
-    ("licensed under the MIT License", "mit"),
-    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "mit"),
-    ("licensed under the Apache License, Version 2.0", "apache-2"),
-    ("you may not use this file except in compliance with the License. You may obtain a copy of the License at", "apache-2"),
-    ("licensed under CC BY-NC 4.0", "cc-by-nc"),
-    ("licensed under the Creative Commons Attribution-NonCommercial license", "cc-by-nc"),
-    ("licensed under CC BY-SA 4.0", "cc-by-sa"),
-    ("licensed under the Creative Commons Attribution-ShareAlike license", "cc-by-sa"),
-    ("this work is licensed under the GNU General Public License, version 3", "gpl-3"),
-    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "gpl"),
-    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "bsd"),
-    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mpl-2"),
+# A notice, its label, the words that tell this license from others, and words that name another one.
+TEMPLATES: tuple[tuple[str, str, str, str], ...] = (
+    ("released under the MIT License", "mit", "mit", ""),
+    ("licensed under the MIT License", "mit", "mit", ""),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "mit", "", "accompanying"),
+    ("licensed under the Apache License, Version 2.0", "apache-2", "apache", ""),
+    ("you may not use this file except in compliance with the License. You may obtain a copy of the License at", "apache-2", "", "cddl eupl educational"),
+    ("licensed under CC BY 4.0", "cc-by", "cc by", "nc sa nd"),
+    ("licensed under CC BY-NC 4.0", "cc-by-nc", "cc by nc", "sa nd"),
+    ("licensed under CC BY-SA 4.0", "cc-by-sa", "cc by sa", "nc"),
+    ("licensed under CC BY-NC-SA 4.0", "cc-by-nc-sa", "cc by nc sa", ""),
+    ("licensed under the Creative Commons Attribution-NonCommercial license", "cc-by-nc", "attribution noncommercial", "sharealike noderivatives noderivs"),
+    ("licensed under the Creative Commons Attribution-ShareAlike license", "cc-by-sa", "attribution sharealike", "noncommercial"),
+    ("licensed under the Creative Commons Attribution-NonCommercial-ShareAlike license", "cc-by-nc-sa", "attribution noncommercial sharealike", ""),
+    ("this work is licensed under the GNU General Public License, version 3", "gpl-3", "gnu general public 3", "lesser library affero"),
+    ("this work is licensed under the GNU General Public License, version 2", "gpl-2", "gnu general public 2", "lesser library affero"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "gpl", "gnu general public", "lesser library affero"),
+    ("licensed under the GNU Lesser General Public License", "lgpl", "gnu lesser public", ""),
+    ("licensed under the GNU Affero General Public License", "agpl", "gnu affero public", ""),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "bsd", "redistribution", ""),
+    ("licensed under the BSD License", "bsd", "bsd", ""),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mpl-2", "mozilla public", ""),
 )
 
 
@@ -64,13 +72,14 @@ def tokens(text: bytes) -> list[bytes]:
     return text.translate(ALNUM).split()
 
 
-def _template_sets() -> list[tuple[frozenset[bytes], str]]:
-    return [(frozenset(tokens(t.encode())), label) for t, label in TEMPLATES]
+def _template_sets() -> list[tuple[frozenset[bytes], str, frozenset[bytes], frozenset[bytes]]]:
+    """Words, label, words that must be there and words that must not."""
+    return [(frozenset(tokens(t.encode())), label, frozenset(needs.encode().split()), frozenset(bars.encode().split())) for t, label, needs, bars in TEMPLATES]
 
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> dict[bytes, int]:
     """In how many rows of docs each template word stands; as many rows as the templates have words."""
-    vocabulary = frozenset().union(*(s for s, _ in _template_sets()))
+    vocabulary = frozenset().union(*(words | bars for words, _, _, bars in _template_sets()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = dict.fromkeys(vocabulary, 0)
@@ -90,15 +99,17 @@ class TemplateIndex:
     def __init__(self, frequencies: dict[bytes, int], containment: float = CONTAINMENT):
         self.rank = {w: i for i, w in enumerate(sorted(frequencies, key=lambda w: (frequencies[w], w)))}
         self.templates: list[tuple[list[int], int, str]] = []
+        self.telling: list[tuple[frozenset[int], frozenset[int]]] = []  # ranks of words that must, and must not, be there
         self.by_word: dict[bytes, list[tuple[int, int]]] = {}
         names = {i: w for w, i in self.rank.items()}
-        for words, label in _template_sets():
+        for words, label, needs, bars in _template_sets():
+            self.telling.append((frozenset(self.rank[w] for w in needs), frozenset(self.rank[w] for w in bars)))
             order = sorted(self.rank[w] for w in words)
             need = -int(-containment * len(order) // 1)
             for position, r in enumerate(order[: len(order) - need + 1]):
                 self.by_word.setdefault(names[r], []).append((len(self.templates), position))
             self.templates.append((order, need, label))
-        self.spans = [-int(-len(tokens(t.encode())) / containment // 1) for t, _ in TEMPLATES]
+        self.spans = [-int(-len(tokens(t.encode())) / containment // 1) for t, *_ in TEMPLATES]
         self.prefix_words = frozenset(self.by_word)
 
     def match(self, block: list[bytes]) -> list[tuple[int, float]]:
@@ -120,7 +131,8 @@ class TemplateIndex:
             if passed:
                 order, need, _ = self.templates[t]
                 common = sum(r in place for r in order)
-                if common >= need:
+                needs, bars = self.telling[t]
+                if common >= need and needs <= place.keys() and bars.isdisjoint(place):
                     found.append((t, common / len(order)))
         return sorted(found)
 
@@ -135,10 +147,13 @@ class TemplateIndex:
             if end - begin > 1:
                 words = [(self.rank[w], at, line) for at, (w, line) in enumerate((w, line) for line in range(begin, end) for w in lines[line]) if w in self.rank]
                 held = {r for r, _, _ in words}
-                for t, (order, need, _) in enumerate(self.templates):
-                    if len(held.intersection(order)) < need:
+                for t in sorted({t for w in self.prefix_words if self.rank[w] in held for t, _ in self.by_word[w]}):
+                    order, need, _ = self.templates[t]
+                    needs, bars = self.telling[t]
+                    if len(held.intersection(order)) < need or not needs <= held:
                         continue
                     own = [w for w in words if w[0] in order]
+                    barred = {line for r, _, line in words if r in bars}
                     inside: dict[int, int] = {}
                     left = 0
                     for r, at, line in own:
@@ -149,7 +164,7 @@ class TemplateIndex:
                             if not inside[first]:
                                 del inside[first]
                             left += 1
-                        if len(inside) >= need and own[left][2] < line:
+                        if len(inside) >= need and own[left][2] < line and needs <= inside.keys() and barred.isdisjoint(range(own[left][2], line + 1)):
                             key = (own[left][2], t)
                             found[key] = max(found.get(key, 0.0), len(inside) / len(order))
             begin = end + 1
@@ -230,13 +245,14 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     """The whole result, with the join written as a plain comparison of sets."""
     phrases = ", ".join(f"('{p}', {len(p.split())}, '{label}')" for p, label in PHRASES)
-    templates = ", ".join("([" + ", ".join(f"'{w.decode()}'" for w in sorted(s)) + f"], '{label}')" for s, label in _template_sets())
+    listed = lambda s: "[" + ", ".join(f"'{w.decode()}'" for w in sorted(s)) + "]::VARCHAR[]"
+    templates = ", ".join(f"({listed(words)}, '{label}', {listed(needs)}, {listed(bars)})" for words, label, needs, bars in _template_sets())
     word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
 WITH d AS (SELECT doc_id, {lower} AS t, regexp_extract_all({lower}, {word}) AS w FROM documents),
 phrases(p, n, label) AS (VALUES {phrases}),
-templates(ws, label) AS (VALUES {templates}),
+templates(ws, label, needs, bars) AS (VALUES {templates}),
 place AS (
   SELECT doc_id, i - 1 AS i, label FROM (SELECT doc_id, w, p, n, label, unnest(range(1, len(w) - n + 2)) AS i FROM d, phrases WHERE contains(t, split_part(p, ' ', 1)) AND len(w) >= n)
   WHERE array_to_string(w[i:i + n - 1], ' ') = p
@@ -245,7 +261,8 @@ place AS (
 ), line AS (
   SELECT doc_id, list_distinct(regexp_extract_all(l, {word})) AS ws FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)
 ), m AS (
-  SELECT doc_id, t.label, len(list_intersect(line.ws, t.ws)) / len(t.ws) AS c FROM line, templates t WHERE 5 * len(list_intersect(line.ws, t.ws)) >= 4 * len(t.ws)
+  SELECT doc_id, t.label, len(list_intersect(line.ws, t.ws)) / len(t.ws) AS c FROM line, templates t
+  WHERE 5 * len(list_intersect(line.ws, t.ws)) >= 4 * len(t.ws) AND list_has_all(line.ws, t.needs) AND NOT list_has_any(line.ws, t.bars)
 ), both_ AS (
   SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM m UNION ALL SELECT doc_id, label FROM place) GROUP BY doc_id
 ), best AS (SELECT doc_id, max(c) AS c FROM m GROUP BY doc_id)
