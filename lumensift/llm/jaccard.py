@@ -2,23 +2,35 @@
 
 The Jaccard distance d = 1 - J of shingle sets is a metric; documents link when
 d <= 1 - threshold. Distances between unrelated texts are all close to 1, so
-Voronoi cells of whole documents alone would put nearly every document at every
-border. The regions of the first level are therefore cells in which the distance
-to the pivot is decided by a part of the set: shingles are dealt into r classes
-by hash, and a region's pivot is the content of one class. A pair with at most D
-shingles of difference agrees in at least r - D classes, so each linked pair
-shares a region; r follows D, which follows from the size, and documents close
-to the border of a size band are replicated to the next lower band.
-
-Within a region, members are compared with a pivot document first. Members
-within the threshold of the pivot are one component. In a small region, pairs of
-different components are then compared where sizes and the triangle inequality
-with the pivot's distances leave a link possible. A large region is split
-again, around a centre moved to where most members are: members close to it
-are joined through the closest one, and all others meet in sub-regions, one for each
-shingle in which they differ from the centre (``_pivot_pairs``). Only components
-are asked for, so pairs inside one need no comparison; no pair of different
-components is left out, and no region is capped.
+Voronoi cells around pivots drawn from all documents would put nearly every
+document at every border. The join therefore finds the documents around a pivot
+first, and draws the cells of all further levels by distance:
+
+1. Shingles are dealt into r classes by hash, and documents with the same content
+   of a class share a region. A linked pair with at most D shingles of difference
+   agrees in at least r - D classes, so it shares a region; r follows D, which follows from
+   the size, and documents close to the border of a size band are replicated to
+   the next lower band. The pivot of a region is the document with the least hash,
+   a random one; the cell of a pivot holds the members of all its regions.
+2. A cell above ``LIMIT`` is split as a metric space. With w the largest possible
+   distance of a link, members go to the nearest of about ``PIVOTS`` random members, and
+   to every other one that is no more than 2 w farther away: by the triangle
+   inequality, a linked pair meets in the cell that is nearest to one of the two.
+   Members farther than a radius from all pivots would be at every border; they form
+   an outer cell of their own, to which those up to w below that radius are replicated.
+   Cells that are still too large are split again. Where distances don't separate
+   (the largest cell keeps over ``SHRINK`` of its parent, or all cells hold over
+   ``GROWTH`` of it, as among near copies of one text that all lie within a window), the parent is
+   cut into blocks by hash, and each two blocks meet in a cell, so nothing is left out
+   and no cell is larger than the limit.
+3. A cell is joined in one task, without listing its pairs: size and a lower bound of the
+   symmetric difference rule out pairs, members without a candidate leave, and only for
+   those that stay are sets made from the texts. A pair is compared when its members aren't
+   connected in the cell yet, so a cell returns fewer links than it has members.
+
+The bound, and the distance of step 2, is the Hamming distance of sketches: bit strings in
+which each shingle flips the bit of its hash. It is a metric too and never more than
+the symmetric difference, whatever the length they are folded to.
 
 Classes with too few shingles (none, or one where the threshold is high) would be
 met by chance; they are no regions. r has room for ``s`` of them. A document with
@@ -43,7 +55,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.durable import temporary, written
@@ -62,13 +74,21 @@ FAMILIES = 4
 #: Bits of the filter that keeps most documents without a partner out of the second scan (at most 32 MB).
 FILTER_BITS = 1 << 28
 
-#: Regions with more pairs of different components than this times their members are large, at a threshold of 0.9.
-PAIRS_PER_MEMBER = 8
+#: Shingles in a cell that is joined in one task; a set counts as FLOOR at least.
+LIMIT = 1 << 19
+FLOOR = 256
 
+#: Pivots of a cell that is split, how far a pivot reaches as a share of the largest set, and the shares of the cell that its largest part and all parts may have.
+PIVOTS = 16
+RADIUS = 0.6
+SHRINK = 0.7
+GROWTH = 2
 
-def pairs_per_member(threshold: Fraction) -> float:
-    """The limit at a threshold: listing differences costs more as they get longer, and regions get larger, with 1 - threshold."""
-    return PAIRS_PER_MEMBER * float((1 - threshold) * 10) ** 2
+#: Stands for the outer cell among the pivots' keys.
+OUTER = -1
+
+#: Bits of a sketch, at most.
+SKETCH_BITS = 1 << 20
 
 
 class Bands:
@@ -166,16 +186,33 @@ def _marks(g: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return mix(sums[begin[1:]] - sums[begin[:-1]] + sizes.astype(np.uint64)).view(np.int64)
 
 
+def _sketches(g: np.ndarray, begin: np.ndarray) -> list[bytes]:
+    """A bit string for each set, 4 to 8 bits a shingle: a bit is odd where an odd number of shingles fall. Folding halves by XOR gives the shorter sketch."""
+    n = np.diff(begin)
+    bits = np.minimum(SKETCH_BITS, np.int64(1) << np.ceil(np.log2(np.maximum(4 * n, 256))).astype(np.int64))
+    at = np.cumsum(bits) - bits
+    place = np.repeat(at, n) + (mix(g ^ np.uint64(0xF01D)) & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(place, minlength=int(bits.sum())) & 1
+    packed = np.packbits(odd.astype(bool), bitorder="little").tobytes()
+    return [packed[a : a + b] for a, b in zip((at // 8).tolist(), (bits // 8).tolist())]
+
+
+def _folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """The sketches, folded to size bytes, as rows of uint64."""
+    return np.array([np.bitwise_xor.reduce(np.frombuffer(b, np.uint64).reshape(-1, size // 8), axis=0) for b in sketches]).reshape(len(sketches), size // 8)
+
+
 def _profiles(docs: DataFrame, n: int) -> DataFrame:
-    """id, tag (if docs have it), n_shingles and key (the set's vertex)."""
+    """id, tag (if docs have it), n_shingles, key (the set's vertex) and sketch."""
     tags = [c for c in docs.columns if c == "tag"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
             g, _, begin = _distinct([t or b"" for t in texts], n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(1) for _ in tags), pa.array(np.diff(begin).astype(np.int64)), pa.array(_marks(g, begin))], ["id", *tags, "n_shingles", "key"])
+            made = [pa.array(np.diff(begin).astype(np.int64)), pa.array(_marks(g, begin)), pa.array(_sketches(g, begin), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(1) for _ in tags), *made], ["id", *tags, "n_shingles", "key", "sketch"])
 
-    return docs.mapInArrow(run, "id long, " + "tag long, " * len(tags) + "n_shingles long, key long")
+    return docs.mapInArrow(run, "id long, " + "tag long, " * len(tags) + "n_shingles long, key long, sketch binary")
 
 
 def _regions(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
@@ -255,11 +292,8 @@ def _bitmap(keys: DataFrame) -> tuple[int, np.ndarray]:
     return bits, out
 
 
-def _sets(docs: DataFrame, keys: DataFrame, n: int, cut: bool) -> DataFrame:
-    """key, shingles and n (set size) of the sets named by keys, and a few others, as the filter is no exact one.
-
-    cut: shingles are cut to their distinct high halves (int), otherwise whole (long).
-    """
+def _sets(docs: DataFrame, keys: DataFrame, n: int) -> DataFrame:
+    """key and shingles (sorted) of the sets named by keys, and a few others, as the filter is no exact one."""
     bits, bitmap = _bitmap(keys)
     held = docs.sparkSession.sparkContext.broadcast(bitmap)
 
@@ -275,104 +309,172 @@ def _sets(docs: DataFrame, keys: DataFrame, n: int, cut: bool) -> DataFrame:
             counts = sizes[on]
             own = np.repeat(np.arange(len(on)), counts)
             values = g[np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(begin[on], counts)]
-            if cut:  # sorted within each set, so equal halves are neighbours
-                values = (values >> np.uint64(32)).astype(np.uint32)
-                keep = np.ones(len(values), bool)
-                keep[1:] = (values[1:] != values[:-1]) | (own[1:] != own[:-1])
-                values, own = values[keep].view(np.int32), own[keep]
-            else:
-                values = values.view(np.int64)
             cuts = np.searchsorted(own, np.arange(len(on) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(marks[on]), pa.array(counts.astype(np.int64)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(values))], ["key", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(marks[on]), pa.ListArray.from_arrays(pa.array(cuts), pa.array(values.view(np.int64)))], ["key", "shingles"])
 
-    return docs.mapInArrow(run, f"key long, n long, shingles array<{'int' if cut else 'long'}>").dropDuplicates(["key"])
+    return docs.mapInArrow(run, "key long, shingles array<long>").dropDuplicates(["key"])
 
 
-def _attached(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs with the sets of u and v as a and b, and their sizes as na and nb."""
-    a = sets.select(F.col("key").alias("u"), F.col("shingles").alias("a"), F.col("n").alias("na"))
-    b = sets.select(F.col("key").alias("v"), F.col("shingles").alias("b"), F.col("n").alias("nb"))
-    return pairs.join(b, "v").join(a, "u")
+def _near(n: np.ndarray, sketches: list[bytes], threshold: Fraction) -> Iterator[tuple[int, np.ndarray]]:
+    """Each member (sizes n, ascending) with the later ones that size and sketch don't rule out."""
+    num, den = threshold.numerator, threshold.denominator
+    lengths = np.fromiter(map(len, sketches), np.int64, len(sketches))
+    last = np.searchsorted(n * num, n * den, "right")  # members up to 1 / threshold times the size
+    for length in np.unique(lengths).tolist():
+        own = np.flatnonzero(lengths == length)
+        lo, hi = int(own[0]), int(last[own[-1]])
+        bits = _folded(sketches[lo:hi], length)
+        rows = max(1, (1 << 20) // max(1, (hi - lo) * length // 8))
+        for begin in range(lo, int(own[-1]) + 1, rows):
+            block = np.arange(begin, min(begin + rows, int(own[-1]) + 1))
+            to = int(last[block[-1]])
+            apart = np.bitwise_count(bits[block - lo, None] ^ bits[None, begin - lo : to - lo]).sum(2, dtype=np.int64)
+            j = np.arange(begin, to)
+            near = (apart * (den + num) <= (den - num) * (n[block, None] + n[None, j])) & (j[None] > block[:, None]) & (j[None] < last[block, None])
+            for i, row in zip(block.tolist(), near):
+                yield i, j[row]
+
+
+def _forest(keys: np.ndarray, sets: list[np.ndarray], threshold: Fraction) -> list[tuple[int, int]]:
+    """Links that connect all members of a cell that links connect; fewer than it has members."""
+    num, den = threshold.numerator, threshold.denominator
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    order = np.argsort(n, kind="stable")
+    sets, n = [sets[i] for i in order.tolist()], n[order]
+    root, out = np.arange(len(n)), []
+    sketches = _sketches(np.concatenate(sets).view(np.uint64), np.concatenate([[0], np.cumsum(n)]))
+    for i, js in _near(n, sketches, threshold):
+        js = js[root[js] != root[i]]
+        while len(js):
+            j = int(js[0])
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if den * common >= num * (n[i] + n[j] - common):
+                out.append((int(keys[order[i]]), int(keys[order[j]])))
+                root[root == root[j]] = root[i]
+                js = js[root[js] != root[i]]
+            else:
+                js = js[1:]
+    return out
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct()
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each cell (column 0, sorted)."""
+    now, held = None, []
+    for batch in batches:
+        cell = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b:
+                if held and cell[a] != now:
+                    yield pa.Table.from_batches(held).combine_chunks()
+                    held = []
+                now = cell[a]
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, short: DataFrame, n: int, threshold: Fraction) -> DataFrame:
-    """u, v, d and linked of pairs (u, v); d is NULL where a pair was ruled out before its whole sets met.
+def _in_cells(rows: DataFrame) -> DataFrame:
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell").sortWithinPartitions("cell")
 
-    Sizes rule out pairs first, then shingles cut to 32 bits (short), whose common ones
-    with those that collide in one set are an upper bound. Only for what is left are
-    whole sets made from the texts and compared.
-    """
-    num, den = threshold.numerator, threshold.denominator
-    sizes = short.select("key", "n")
-    sized = pairs.join(sizes.select(F.col("key").alias("u"), F.col("n").alias("nu")), "u").join(sizes.select(F.col("key").alias("v"), F.col("n").alias("nv")), "v")
-    fit = den * F.least("nu", "nv") >= num * F.greatest("nu", "nv")
-    checked = written(sized.select("u", "v", fit.alias("fit")))
-    most = F.size(F.array_intersect("a", "b")).cast("long") + F.col("na") - F.size("a")
-    near = written(_attached(checked.where("fit").select("u", "v"), short).select("u", "v", (den * most >= num * (F.col("na") + F.col("nb") - most)).alias("near")))
-    left = near.where("near").select("u", "v")
-    whole = written(_sets(docs, _ends(left), n, cut=False))
-    full = _attached(left, whole).select("u", "v", F.size(F.array_intersect("a", "b")).cast("long").alias("i"), (F.col("na") + F.col("nb")).alias("n"))
-    union = F.col("n") - F.col("i")
-    done = full.select("u", "v", (1 - F.col("i") / union).alias("d"), (den * F.col("i") >= num * union).alias("linked"))
-    out = checked.where(~F.col("fit")).select("u", "v").unionByName(near.where(~F.col("near")).select("u", "v"))
-    return done.unionByName(out.select("u", "v", F.lit(None).cast("double").alias("d"), F.lit(False).alias("linked")))
-
-
-def _direct_pairs(open_: DataFrame, distance: DataFrame, threshold: Fraction) -> DataFrame:
-    """u and v of the pairs of different components in small regions, but for those that sizes or the triangle inequality with the pivot rule out."""
-    d = open_.join(distance, ["pivot", "key"], "left").withColumn("d", F.when(F.col("key") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("d")))
-    x = d.select("region", F.col("key").alias("u"), F.col("root").alias("ru"), F.col("d").alias("du"), F.col("n").alias("nu"))
-    y = d.select("region", F.col("key").alias("v"), F.col("root").alias("rv"), F.col("d").alias("dv"), F.col("n").alias("nv"))
-    apart = F.abs(F.coalesce(F.col("du") - F.col("dv"), F.lit(0.0)))
-    near = (apart <= float(1 - threshold) + 1e-9) & (threshold.denominator * F.least("nu", "nv") >= threshold.numerator * F.greatest("nu", "nv"))
-    return x.join(y, "region").where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & near).select("u", "v")
-
-
-def _pivot_pairs(open_: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """u and v of all pairs of different components in large regions that can link, without listing pairs.
-
-    Each member x of a pivot's regions is written as its difference x' from a centre:
-    the pivot's set, with every shingle flipped that most members differ in. Linked
-    pairs have |x' ^ y'| <= c (|x| + |y|) with c = (1 - t) / (1 + t). Let p(x) = |x'| - c |x|.
-    If p(x) + p(y) <= 0, both also link with the member of least p, so a star
-    around it stands for all such pairs. All others have at least (p(x) + p(y)) / 2 > 0
-    shingles of x' and y' in common: they meet under one of those, rarest first (prefix
-    and positional filters). In a group of near copies with edits of their own, few do.
-    """
-    c = float((1 - threshold) / (1 + threshold))
-    group = open_.select("pivot", "key", "root", "n").distinct()
-    a = sets.select(F.col("key").alias("pivot"), F.col("shingles").alias("a"))
-    b = sets.select("key", F.col("shingles").alias("b"))
-    # by pivot first and by key last, so that the differences of a large group are made in many tasks
-    delta = written(group.join(a, "pivot").join(b, "key").select("pivot", "key", "root", "n", F.concat(F.array_except("a", "b"), F.array_except("b", "a")).alias("delta")))
-    total = group.groupBy("pivot").agg(F.count(F.lit(1)).alias("g"))
-    most = delta.repartition("key").select("pivot", F.explode("delta").alias("e")).groupBy("pivot", "e").agg(F.count(F.lit(1)).alias("f")).join(total, "pivot").where("2 * f > g")
-    flips = most.groupBy("pivot").agg(F.collect_list("e").alias("flips"))  # no more than the pivot and half its members hold
-    none = F.array().cast("array<bigint>")
-    both = delta.join(flips, "pivot", "left").withColumn("flips", F.coalesce("flips", none))
-    moved = both.select("pivot", "key", "root", "n", F.concat(F.array_except("delta", "flips"), F.array_except("flips", "delta")).alias("moved"))
-    placed = written(moved.withColumn("m", F.size("moved")).withColumn("p", F.col("m") - c * F.col("n")))
-    centre = placed.groupBy("pivot").agg(F.min(F.struct("p", "key")).alias("low"))
-    near = placed.join(centre, "pivot").repartition("key")  # away from the pivot, which may hold a large group
-    star = near.select(F.least("key", "low.key").alias("u"), F.greatest("key", "low.key").alias("v")).where("u <> v")
-    need = F.greatest(F.lit(1), F.ceil((F.col("p") + F.col("low.p")) / 2 - 1e-6))
-    each = near.select("pivot", "key", F.explode("moved").alias("e"))
-    shared = each.withColumn("f", F.count(F.lit(1)).over(Window.partitionBy("pivot", "e"))).where("f > 1")
-    # shingles that no other member has come first in the order, and need no rank
-    of = Window.partitionBy("pivot", "key")
-    ranked = shared.withColumns({"rank": F.row_number().over(of.orderBy("f", "e")), "among": F.count(F.lit(1)).over(of)})
-    prefix = ranked.join(near.select("pivot", "key", "root", "n", "m", "p", (F.col("m") - need + 1).alias("keep")), ["pivot", "key"]).withColumn("nth", F.col("m") - F.col("among") + F.col("rank")).where("nth <= keep")
-    left = F.col("m") - F.col("nth") + 1  # what can still be in common, if this is the first
-    x = prefix.select("pivot", "e", F.col("key").alias("u"), F.col("root").alias("ru"), F.col("n").alias("nu"), F.col("p").alias("pu"), left.alias("lu"))
-    y = prefix.select("pivot", "e", F.col("key").alias("v"), F.col("root").alias("rv"), F.col("n").alias("nv"), F.col("p").alias("pv"), left.alias("lv"))
-    reached = F.least("lu", "lv") >= (F.col("pu") + F.col("pv")) / 2 - 1e-6
-    sized = threshold.denominator * F.least("nu", "nv") >= threshold.numerator * F.greatest("nu", "nv")
-    meet = x.join(y, ["pivot", "e"]).where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & reached & sized).select("u", "v")
-    return star.unionByName(meet)
+
+def _alive(cells: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFrame:
+    """cell and key of the members (cell, key) that have a candidate in their cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_cell(batches):
+            n, sketch = t["n"].to_numpy(), t["sketch"].to_pylist()
+            order = np.argsort(n, kind="stable")
+            some = np.zeros(len(n), bool)
+            for i, js in _near(n[order], [sketch[i] for i in order.tolist()], threshold):
+                if len(js):
+                    some[i] = some[js] = True
+            if some.any():
+                yield t.select(["cell", "key"]).take(pa.array(np.sort(order[some]))).combine_chunks().to_batches()[0]
+
+    return _in_cells(cells.select("cell", "key").join(sketches, "key").select("cell", "key", "n", "sketch")).mapInArrow(run, "cell long, key long")
+
+
+def _links(alive: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """u and v: links that connect what links connect in each cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_cell(batches):
+            values = t["shingles"].combine_chunks()
+            cuts, flat = values.offsets.to_numpy(), values.values.to_numpy()
+            found = _forest(t["key"].to_numpy(), [flat[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())], threshold)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["u", "v"])
+
+    return _in_cells(alive.join(sets, "key").select("cell", "key", "shingles")).mapInArrow(run, "u long, v long")
+
+
+def _nearest(large: DataFrame, sketches: DataFrame, threshold: Fraction, level: int) -> DataFrame:
+    """cell, child, key and n of the members of large cells (cell, key, n, weight): a member is in the cell of its nearest pivot and of those within the window."""
+    share = F.xxhash64("key", F.lit(level)) / F.lit(2.0**64) + 0.5
+    one = F.struct("key", "sketch")
+    met = written(large.join(sketches.select("key", "sketch"), "key"))
+    drawn = met.withColumn("drawn", share < F.lit(PIVOTS) / F.col("members"))
+    pivots = drawn.groupBy("cell").agg(F.collect_list(F.when(F.col("drawn"), one)).alias("some"), F.min_by(one, share).alias("least"), F.min(F.octet_length("sketch")).alias("size"), F.max("n").alias("largest"))
+    pivots = pivots.select("cell", F.array_distinct(F.array_append("some", F.col("least"))).alias("pivots"), "size", "largest")
+    reach = float((1 - threshold) / threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            cell, key, n = (t[c].to_numpy() for c in ("cell", "key", "n"))
+            sketch, pivot, size, largest = (t[c].to_pylist() for c in ("sketch", "pivots", "size", "largest"))
+            out, child = [], []
+            held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for i, c in enumerate(cell.tolist()):
+                if c not in held:
+                    held[c] = np.array([p["key"] for p in pivot[i]], np.int64), _folded([p["sketch"] for p in pivot[i]], size[i])
+                names, bits = held[c]
+                far = np.bitwise_count(bits ^ _folded([sketch[i]], size[i])).sum(1, dtype=np.int64)
+                link, radius = n[i] * reach + 1e-6, RADIUS * largest[i]
+                own = names[far <= far.min() + 2 * link] if far.min() < radius else names[:0]
+                if far.min() >= radius - link:
+                    own = np.append(own, np.int64(OUTER))
+                out += [i] * len(own)
+                child.append(mix(own.view(np.uint64) ^ mix(np.array([c], np.int64).view(np.uint64))).view(np.int64))
+            at = pa.array(out, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.concatenate(child) if child else np.zeros(0, np.int64)), pa.array(key).take(at), pa.array(n).take(at)], ["cell", "child", "key", "n"])
+
+    # skewed cells are split by the join, as nothing after it needs their rows together
+    dealt = met.join(pivots, "cell").select("cell", "key", "n", "sketch", "pivots", "size", "largest")
+    return written(dealt.mapInArrow(run, "cell long, child long, key long, n long"))
+
+
+def _bounded(cells: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFrame:
+    """cell and key: the cells (cell, key, n), with those above LIMIT split until none is."""
+    weight = F.sum(F.greatest("n", F.lit(FLOOR))).alias("weight")
+    sized = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("members"), weight).where(F.col("weight") > LIMIT)
+    large = written(cells.join(sized, "cell"))
+    if not large.limit(1).count():
+        return cells.select("cell", "key")
+    done = [cells.join(sized, "cell", "left_anti").select("cell", "key")]
+    level = 0
+    while large.limit(1).count():
+        level += 1
+        parts = _nearest(large, sketches, threshold, level)
+        sizes = written(parts.groupBy("cell", "child").agg(F.count(F.lit(1)).alias("members"), weight))
+        whole = large.select("cell", F.col("weight").alias("all")).distinct()
+        fate = written(sizes.groupBy("cell").agg(F.max("weight").alias("most"), F.sum("weight").alias("sum")).join(whole, "cell").select("cell", ((F.col("most") <= SHRINK * F.col("all")) & (F.col("sum") <= GROWTH * F.col("all"))).alias("shrinks")))
+        # blocks of less than half the limit; each two of them are a cell
+        stuck = large.join(fate.where("NOT shrinks").select("cell"), "cell", "left_semi")
+        blocks = F.ceil(2.5 * F.col("weight") / F.lit(LIMIT)).cast("long")
+        mine = F.pmod(F.xxhash64("key", F.lit(-1)), F.col("blocks"))
+        pairs = stuck.withColumn("blocks", F.greatest(blocks, F.lit(2))).withColumn("mine", mine).select("cell", "key", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")).where("mine <> other")
+        done.append(pairs.select(F.xxhash64("cell", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "key"))
+        next_ = parts.join(fate.where("shrinks").select("cell"), "cell", "left_semi").select(F.col("child").alias("cell"), "key", "n")
+        sized = sizes.join(fate.where("shrinks").select("cell"), "cell", "left_semi").select(F.col("child").alias("cell"), "members", "weight")
+        kept = next_.join(sized, "cell")
+        done.append(kept.where(F.col("weight") <= LIMIT).select("cell", "key"))
+        large = written(kept.where(F.col("weight") > LIMIT))
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def _plain(docs: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
@@ -391,29 +493,15 @@ def vertices(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int =
 def _placed(plain: DataFrame, rows: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     """id, tag (if rows have it), n_shingles and root (the component's name) of every row of plain (key, text); rows are the same with their tags."""
     profiles = written(_profiles(rows, n))
-    members = written(_members(_regions(plain, n, threshold)))
-    short = written(_sets(plain, members.select("key").distinct(), n, cut=True))
-    stars = members.where("key <> pivot").select(F.col("pivot").alias("u"), F.col("key").alias("v")).distinct()
-    tried = written(_verified(stars, plain, short, n, threshold))
-    edges = tried.where("linked").select("u", "v")
-    roots = components(edges)
-    own = members.join(roots.withColumnRenamed("v", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed = own.groupBy("region", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("region").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    large = (F.col("c") * F.col("c") - F.col("cc")) / 2 > pairs_per_member(threshold) * F.col("c")
-    sizes = short.select("key", "n")
-    open_ = written(own.join(mixed.select("region", large.alias("large")), "region").join(sizes, "key"))
-    distance = tried.select(F.col("u").alias("pivot"), F.col("v").alias("key"), "d")
-    pairs = _direct_pairs(open_.where(~F.col("large")), distance, threshold)
-    far = open_.where("large")
-    if far.limit(1).count():
-        held = written(_sets(plain, far.select("key").unionByName(far.select(F.col("pivot").alias("key"))).distinct(), n, cut=False))
-        pairs = pairs.unionByName(_pivot_pairs(far, held, threshold))
-    fresh = written(pairs.distinct().join(tried.select("u", "v"), ["u", "v"], "left_anti"))
-    if fresh.limit(1).count():
-        more = written(_verified(fresh, plain, short, n, threshold).where("linked").select("u", "v"))
-        if more.limit(1).count():
-            roots = components(edges.unionByName(more))
-    return profiles.join(roots.withColumnRenamed("v", "key"), "key", "left").select(*(c for c in profiles.columns if c != "key"), F.coalesce("root", "key").alias("root"))
+    # the cell of a pivot: the members of all its regions
+    around = written(_members(_regions(plain, n, threshold)).select(F.col("pivot").alias("cell"), "key").distinct())
+    named = profiles.select("key", F.col("n_shingles").alias("n"), "sketch").join(around.select("key").distinct(), "key", "left_semi")
+    sketches = written(named.groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    cells = written(_bounded(written(around.join(sketches.select("key", "n"), "key")), sketches, threshold))
+    alive = written(_alive(cells, sketches, threshold))
+    sets = _sets(plain, alive.select("key").distinct(), n)
+    roots = components(written(_links(alive, sets, threshold)))
+    return profiles.drop("sketch").join(roots.withColumnRenamed("v", "key"), "key", "left").select(*(c for c in profiles.columns if c not in ("key", "sketch")), F.coalesce("root", "key").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
@@ -428,10 +516,10 @@ def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     with temporary(docs.sparkSession):
         placed = written(_placed(_plain(docs, key, text), _plain(docs, key, text, tag.alias("tag")), n, threshold), keep=True)
     worded = placed.where("n_shingles > 0")
-    least = worded.groupBy("root").agg(F.min(F.struct("id", "tag")).alias("least"))
+    stays = written(worded.groupBy("root").agg(F.min(F.struct("id", "tag")).alias("least")).select("least.id", "least.tag"))
     # rows of equal id and text are in one component, and only of these, one is chosen by its columns
-    known = worded.join(least, "root").groupBy("id", "tag").agg(F.bool_or(F.struct("id", "tag") != F.col("least")).alias("gone"), F.count(F.lit(1)).alias("rows"))
-    marked = written(known.where("gone OR rows > 1").select(F.col("id").alias("jaccard:key"), F.col("tag").alias("jaccard:tag"), "gone"))
+    known = worded.groupBy("id", "tag").agg(F.count(F.lit(1)).alias("rows")).join(stays.withColumn("stays", F.lit(True)), ["id", "tag"], "left")
+    marked = written(known.where("stays IS NULL OR rows > 1").select(F.col("id").alias("jaccard:key"), F.col("tag").alias("jaccard:tag"), F.col("stays").isNull().alias("gone")))
     own = lambda d: (F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)) == d["jaccard:key"]) & (tag == d["jaccard:tag"])
     again = marked.where("NOT gone")
     rest = docs.join(marked, own(marked), "left_anti")

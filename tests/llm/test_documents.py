@@ -175,23 +175,68 @@ def test_near_duplicates(spark, n, num, den, seed):
     assert got == _components(data, n, num, den)
 
 
-def test_large_groups_of_near_copies(spark, monkeypatch):
+def _near_copies(groups, size, length, edits, rng):
+    data = []
+    for g in range(groups):
+        base = [f"b{g}x{i}" for i in range(length)]
+        for _ in range(size):
+            own = list(base)
+            for _ in range(rng.randrange(edits)):
+                own[rng.randrange(length)] = f"e{rng.randrange(60)}"
+            data.append((len(data), " ".join(own), "en", "s", 0, "k", 0, 0))
+    return data
+
+
+@pytest.mark.parametrize("groups,size,limit", [(1, 160, 1 << 19), (1, 160, 256 * 20), (12, 30, 256 * 40), (3, 40, 256)])
+def test_large_groups_of_near_copies(spark, monkeypatch, groups, size, limit):
     import random
 
-    rng = random.Random(3)
-    base = [f"b{i}" for i in range(90)]
-    data = []
-    for i in range(160):
-        own = list(base)
-        for _ in range(rng.randrange(6)):
-            own[rng.randrange(90)] = f"e{rng.randrange(60)}"
-        data.append((i, " ".join(own), "en", "s", 0, "k", 0, 0))
-    monkeypatch.setattr(jaccard, "PAIRS_PER_MEMBER", 0)  # every open region takes the path of large ones
+    data = _near_copies(groups, size, 90, 6, random.Random(3))
+    monkeypatch.setattr(jaccard, "LIMIT", limit)
     got = by_row(jaccard.near_duplicates(frame(spark, data)), "doc_id", "n_shingles", "component_id")
     want = _components(data, 3, 90, 100)
     assert got == want and len({c for _, _, c in want}) > 5
 
 
+def test_cells_are_split_by_distance_without_losing_a_link(spark, monkeypatch):
+    """One cell of many groups: the pivots' windows separate the groups, and every linked pair shares a cell within the limit."""
+    import random
+    from fractions import Fraction
+
+    t = Fraction(90, 100)
+    data = _near_copies(20, 12, 90, 4, random.Random(5))
+    profiles = jaccard._profiles(jaccard._plain(frame(spark, data), "doc_id", "text"), 3).dropDuplicates(["key"])
+    sketches = profiles.select("key", F.col("n_shingles").alias("n"), "sketch").persist()
+    monkeypatch.setattr(jaccard, "LIMIT", 256 * 60)
+    cells = sketches.select(F.lit(7).cast("long").alias("cell"), "key", "n")
+    got = jaccard._bounded(cells, sketches, t).collect()
+    size = Counter(r["cell"] for r in got)
+    assert max(size.values()) <= 60 and len(got) < 3 * sketches.count()
+    member = defaultdict(set)
+    for r in got:
+        member[r["key"]].add(r["cell"])
+    keys = {r["id"]: r["key"] for r in profiles.select("id", "key").collect()}
+    sets = {keys[i]: _sets(x, 3) for i, x, *_ in data if i in keys}
+    linked = [(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 9 * len(sets[a] | sets[b])]
+    assert len(linked) > 20 and all(member[a] & member[b] for a, b in linked)
+
+
+def test_links_of_a_group_grow_with_its_members(spark):
+    import random
+    from fractions import Fraction
+
+    counts = []
+    for size in (60, 240):
+        plain = jaccard._plain(frame(spark, _near_copies(1, size, 200, 3, random.Random(1))), "doc_id", "text")
+        profiles = jaccard._profiles(plain, 3).dropDuplicates(["key"])
+        sketches = profiles.select("key", F.col("n_shingles").alias("n"), "sketch")
+        cells = sketches.select(F.lit(1).cast("long").alias("cell"), "key")
+        links = jaccard._links(jaccard._alive(cells, sketches, Fraction(9, 10)), jaccard._sets(plain, sketches.select("key"), 3), Fraction(9, 10)).count()
+        assert 0 < links < sketches.count()
+        counts.append(links / sketches.count())
+    assert counts[1] <= 1.2 * counts[0]
+
+
 def test_distinct_documents(spark):
     out = jaccard.distinct_documents(frame(spark))
     assert out.columns == frame(spark).columns
