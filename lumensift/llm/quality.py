@@ -130,28 +130,29 @@ def ablation(entries: DataFrame, version: str = "v1") -> DataFrame:
     return total.select("n_docs", "n_kept", F.inline("rules"))
 
 
-def filter_documents(docs: DataFrame, version: str = "v1", text: str = "text") -> DataFrame:
-    """The rows of docs that a policy keeps, unchanged; decided row by row, so repeated rows and null ids stay as they are."""
-    names = [f.name for f in docs.schema.fields]
+def judged(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
+    """docs with their ledger entry (MEASURES and failed_bits) in one more column, and its name, which no column of docs has; one pass, no shuffle."""
+    names = docs.columns
+    entry = "ledger"
+    while entry in names:
+        entry += "_"
+    places = [f"c{i}" for i in range(len(names))]  # measures can't clash with these
+    plain, at = docs.toDF(*places), places[names.index(text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches, text):
+        for batch, texts in chunks(batches, at):
             m = _measure_texts([t or b"" for t in texts])
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(m[c], pa.int64()) for c in MEASURES)], names + [f"measure:{c}" for c in MEASURES])
-
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), *(f"`measure:{c}` long" for c in MEASURES)])
-    measured = docs.mapInArrow(run, fields)
-    bits = measured.select(*(F.col(f"`{n}`") for n in names), F.struct(*(F.col(f"`measure:{c}`").alias(c) for c in MEASURES)).alias("measure:all"))
-    bad = F.lit(False)
-    for name in POLICIES[version]:
-        bad = bad | _rule_on(name, "`measure:all`")
-    return bits.where(~bad).select(*(F.col(f"`{n}`") for n in names))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(m[c], pa.int64()) for c in MEASURES)], [*places, *MEASURES])
 
+    fields = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields), *(f"{c} long" for c in MEASURES)])
+    entries = small_batches(plain).mapInArrow(run, fields).withColumn("failed_bits", failure_bits())
+    return entries.select(*places, F.struct(*MEASURES, "failed_bits").alias("entry")).toDF(*names, entry), entry
 
-def _rule_on(name: str, struct: str) -> Column:
-    import re
 
-    return F.expr(re.sub(r"\b[a-z_]+\b", lambda m: f"{struct}.{m[0]}" if m[0] in MEASURES else m[0], dict(RULES)[name]))
+def filter_documents(docs: DataFrame, version: str = "v1", text: str = "text") -> DataFrame:
+    """The rows of docs that a policy keeps by their ledger entry, unchanged; decided row by row, so repeated rows and null ids stay as they are."""
+    entries, entry = judged(docs, text)
+    return entries.where(F.col(entry)["failed_bits"].bitwiseAND(F.lit(policy_mask(version)).cast("long")) == 0).drop(entry)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

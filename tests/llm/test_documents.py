@@ -59,6 +59,16 @@ def test_filter_keeps_rows_whole(spark):
     assert Counter(tuple(r) for r in out.collect()) == Counter(good)
 
 
+def test_ledger_beside_its_rows(spark):
+    docs = frame(spark).withColumnRenamed("bucket", "ledger").withColumnRenamed("n", "n_words")
+    entries, name = quality.judged(docs)
+    assert name == "ledger_" and entries.columns == [*docs.columns, name]
+    flat = entries.select("doc_id", f"{name}.*")
+    assert Counter(map(tuple, flat.collect())) == Counter(map(tuple, quality.ledger(frame(spark)).collect()))
+    by_policy = {v: quality.filter_documents(docs, v).count() for v in quality.POLICIES}
+    assert by_policy == {v: quality.apply_policy(flat, v).where("kept").count() for v in quality.POLICIES}
+
+
 # -- substring dedup
 
 

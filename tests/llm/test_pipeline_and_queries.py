@@ -1,14 +1,16 @@
 """The registered queries against their SQL, and the pipeline against the stages done plainly."""
 
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
 import corpus_pipeline
+from lumensift.functions.durable import shared_folder
 from lumensift.llm import queries
 
 from ..conftest import same_rows
-from .fixtures import plain_words
+from .fixtures import SCHEMA, plain_words, rows
 from .test_documents import _alnum, _components, _contamination, _measures
 
 TINY = "/root/testdata/sf0.001"
@@ -46,12 +48,15 @@ def test_pipeline(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{TINY}/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{TINY}/benchmark.parquet").collect()]
     got = Counter()
-    rows = corpus_pipeline.run(spark, TINY).collect()
-    for r in rows:
+    shared = Path(shared_folder(spark).removeprefix("file://"))
+    before = set(shared.iterdir())
+    made = corpus_pipeline.run(spark, TINY).collect()
+    assert len(set(shared.iterdir()) - before) == 1  # the result alone stays
+    for r in made:
         got[r["doc_id"]] += r["n_tokens"]
     assert got == _plain_pipeline(docs, items)
     fill = Counter()
-    for r in rows:
+    for r in made:
         fill[r["shard"], r["bin"]] += r["n_tokens"]
     assert max(fill.values()) <= 2048
 
@@ -61,3 +66,13 @@ def test_stages_keep_columns(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, TINY).columns == docs.columns, name
     assert _alnum("A b") == ["a", "b"]
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_rows(spark, stage):
+    """Nulls in every column, repeated rows, shared ids and clashing names; then an empty table."""
+    schema = SCHEMA.replace("key string", "`measure:n_words` string").replace("bucket int", "`jaccard:key` int")
+    data = [*rows(), *rows()[10:14], (None, None, None, None, None, None, None, None), (7, "other text of an id that is taken " * 12, None, None, None, None, None, None)]
+    out = stage(spark, spark.createDataFrame(data, schema).repartition(3), TINY)
+    assert out.count() > 0 and (stage is corpus_pipeline.packed_bins or out.columns == spark.createDataFrame([], schema).columns)
+    assert stage(spark, spark.createDataFrame([], schema), TINY).count() == 0
