@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,28 +27,41 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-_scopes: list[list[str]] = []
+#: The open scopes of this thread or task, outermost first; queries that run at once don't see each other's.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """Tables written inside are removed at the end, unless they are kept."""
     made: list[str] = []
-    _scopes.append(made)
+    mark = _scopes.set((*_scopes.get(), made))
     try:
         yield
     finally:
-        _scopes.remove(made)
+        _scopes.reset(mark)
         for path in made:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
+
+
+def removed(df: DataFrame) -> None:
+    """Deletes the files of a table that ``written`` returned."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if path.rsplit("/", 1)[-1].startswith("table-"):
+            _delete(df.sparkSession, path)
 
 
 def written(df: DataFrame, keep: bool = False) -> DataFrame:
     """df, written as Parquet and read again; keep: not removed with the temporary tables."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    if scopes := _scopes[:-1] if keep else _scopes:
+    scopes = _scopes.get()
+    if scopes := scopes[:-1] if keep else scopes:
         scopes[-1].append(path)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
