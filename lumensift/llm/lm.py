@@ -2,8 +2,8 @@
 
 The model is a context trie of order 3 over 257 symbols: the end mark and all
 256 bytes, each by itself. In a context, a symbol seen there has its count over
-(total + distinct); the escape has distinct over (total + distinct), and leads
-to the next shorter context, where the symbols of the longer one are excluded
+(total + distinct); the escape has distinct over (total + distinct), or nothing where
+no symbol is left to escape to, and leads to the next shorter context, where the symbols of the longer one are excluded
 from all counts; below order 0, what remains is equally likely. The trie is
 trained on every training text, and is as large as what these hold: a gram is a
 context of 3 symbols with the symbol after it, and grams are counted, kept and
@@ -13,8 +13,7 @@ counts of pairs of symbols (at most 257**2, broadcast). All grams of all
 texts, held out or not, are resolved. The most frequent (at most CACHE) are looked
 up in the scan; those beyond meet their log-probabilities in a join, as rare
 tokens do. ``adaptive_code_length`` is the adaptive form, which learns from the
-text as it goes. ``log_table`` and ``text_scores`` are the same rule over a small
-alphabet, as one table.
+text as it goes.
 
 The unigram lower-cases A-Z and counts tokens exactly by 64-bit hash over all
 training texts. The
@@ -40,11 +39,8 @@ from pyspark.sql import functions as F
 from ..functions.durable import written
 from .vector import LOWER, chunks, small_batches, word_hashes, words_of
 
-SYMBOLS = 64
 ORDER = 3
-TABLE = SYMBOLS ** (ORDER + 1)
 END = 0
-OTHER = SYMBOLS - 1
 
 #: Symbols of the whole alphabet: END, and each byte + 1.
 WHOLE = 257
@@ -108,32 +104,6 @@ def token_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
 
 
-def symbol_map(byte_counts: dict[int, int]) -> np.ndarray:
-    """The symbol of each byte: the most frequent bytes have their own."""
-    out = np.full(256, OTHER, np.int32)
-    first = sorted(byte_counts, key=lambda b: (-byte_counts[b], b))[: SYMBOLS - 2]
-    for n, b in enumerate(sorted(first)):
-        out[b] = n + 1
-    return out
-
-
-def _positions(texts: list[bytes], symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The table index at every place, and where each text begins and where its end mark is."""
-    gap = b"\0" * ORDER
-    data = np.frombuffer(gap + gap.join(texts) + gap, np.uint8)
-    lens = np.fromiter(map(len, texts), np.int64, len(texts))
-    begin = ORDER + np.cumsum(lens + ORDER) - (lens + ORDER)
-    end = begin + lens
-    s = symbol[data]
-    for j in range(ORDER):
-        s[end + j] = END
-        s[j] = END
-    index = s.copy()
-    for j in range(1, ORDER + 1):
-        index[ORDER:] += s[ORDER - j : len(s) - j] * (SYMBOLS**j)
-    return index, begin, end
-
-
 def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The gram at every place of every text, its end included, and the text of each."""
     gap = b"\0" * ORDER
@@ -197,10 +167,11 @@ def resolve(k: np.ndarray, n: np.ndarray, pairs: np.ndarray) -> np.ndarray:
         for level in levels:
             seen = (level > 0) & ~done
             total, distinct = np.where(seen, level, 0).sum(1, keepdims=True), seen.sum(1, keepdims=True)
-            below = np.maximum(total + distinct, 1)
-            log = np.where(seen, reach + np.log10(np.where(seen, level, 1) / below), log)
-            reach = reach + np.where(distinct > 0, np.log10(np.maximum(distinct, 1) / below), 0)
             done |= seen
+            escape = np.where(done.all(1, keepdims=True), 0, distinct)
+            below = np.maximum(total + escape, 1)
+            log = np.where(seen, reach + np.log10(np.where(seen, level, 1) / below), log)
+            reach = reach + np.where(escape > 0, np.log10(np.maximum(escape, 1) / below), 0)
         rest = np.maximum((~done).sum(1, keepdims=True), 1)
         out[mine] = np.where(done, log, reach - np.log10(rest))[r, x]
     return out
@@ -247,46 +218,6 @@ def most_frequent(grams: DataFrame, limit: int) -> DataFrame:
     return grams.where(size >= least)
 
 
-def log_table(k: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """log10 of each symbol's probability in each context of ORDER symbols, as float32."""
-    counts = [np.zeros(SYMBOLS ** (o + 1)) for o in range(ORDER + 1)]
-    for o in range(ORDER + 1):
-        counts[o] += np.bincount(k % SYMBOLS ** (o + 1), n, SYMBOLS ** (o + 1))
-    out = np.empty(TABLE, np.float32)
-    step = SYMBOLS**ORDER  # contexts with one oldest symbol at a time
-    for oldest in range(SYMBOLS):
-        top = counts[ORDER][oldest * step : (oldest + 1) * step].reshape(-1, SYMBOLS)
-        log = np.zeros_like(top)
-        done = np.zeros(top.shape, bool)
-        reach = np.zeros((len(top), 1))  # log10 of the escapes so far
-        for o in range(ORDER, -1, -1):
-            c = top if o == ORDER else np.broadcast_to(counts[o].reshape(1, -1, SYMBOLS), (len(top) // (SYMBOLS**o), SYMBOLS**o, SYMBOLS)).reshape(-1, SYMBOLS)
-            seen = (c > 0) & ~done
-            total = np.where(seen, c, 0).sum(1, keepdims=True)
-            distinct = seen.sum(1, keepdims=True)
-            some = distinct > 0
-            below = np.where(some, total + distinct, 1)
-            log = np.where(seen, reach + np.log10(np.where(seen, c, 1) / below), log)
-            reach = reach + np.where(some, np.log10(np.where(some, distinct, 1) / below), 0)
-            done |= seen
-        rest = np.maximum((~done).sum(1, keepdims=True), 1)
-        out[oldest * step : (oldest + 1) * step] = np.where(done, log, reach - np.log10(rest)).astype(np.float32).reshape(-1)
-    return out
-
-
-def other_bytes(symbol: np.ndarray) -> float:
-    """log10 of the share of one byte in the class of all other bytes."""
-    return -float(np.log10(max(1, int((symbol == OTHER).sum()))))
-
-
-def text_scores(texts: list[bytes], table: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """log10 of the model's probability of each whole text, its end included."""
-    index, begin, end = _positions(texts, symbol)
-    log = table[index].astype(np.float64)
-    log[index % SYMBOLS == OTHER] += other_bytes(symbol)
-    return np.add.reduceat(log, np.stack([begin, end + 1], 1).ravel()[: 2 * len(texts)])[::2] if texts else np.zeros(0)
-
-
 def adaptive_code_length(text: bytes, order: int = ORDER) -> float:
     """Bits for a text and its end by the same model, starting empty and learning byte by byte (one text, in memory of its distinct contexts)."""
     trie: dict[tuple, dict[int, int]] = {}
@@ -297,14 +228,14 @@ def adaptive_code_length(text: bytes, order: int = ORDER) -> float:
             seen = {x: c for x, c in trie.get(past[len(past) - o :], {}).items() if x not in excluded}
             if not seen:
                 continue
-            total = sum(seen.values()) + len(seen)
+            total = sum(seen.values()) + (len(seen) if len(seen) + len(excluded) < WHOLE else 0)
             if s in seen:
                 bits -= float(np.log2(seen[s] / total))
                 break
             bits -= float(np.log2(len(seen) / total))
             excluded |= seen.keys()
         else:
-            bits += float(np.log2(257 - len(excluded)))
+            bits += float(np.log2(WHOLE - len(excluded)))
         for o in range(min(order, len(past)) + 1):
             node = trie.setdefault(past[len(past) - o :], {})
             node[s] = node.get(s, 0) + 1

@@ -461,31 +461,6 @@ def test_unigram_lower_cases(spark):
     assert got[3]["n_known"] == 4
 
 
-def _plain_table(train, symbol):
-    """Probabilities by the definition: escapes and exclusions, context by context."""
-    grams = [Counter() for _ in range(lm.ORDER + 1)]
-    for t in train:
-        s = [0] * lm.ORDER + [int(symbol[b]) for b in t] + [0]
-        for i in range(lm.ORDER, len(s)):
-            for o in range(lm.ORDER + 1):
-                grams[o][tuple(s[i - o : i + 1])] += 1
-
-    def p(context, x):
-        out, gone = 1.0, set()
-        for o in range(lm.ORDER, -1, -1):
-            seen = {g[-1]: c for g, c in grams[o].items() if g[:-1] == tuple(context[len(context) - o :]) and g[-1] not in gone}
-            if not seen:
-                continue
-            total = sum(seen.values()) + len(seen)
-            if x in seen:
-                return out * seen[x] / total
-            out *= len(seen) / total
-            gone |= set(seen)
-        return out / (lm.SYMBOLS - len(gone))
-
-    return p
-
-
 def _whole_trie(train, order=3):
     """log10 of a text's probability over the end mark and all 256 bytes, by the definition."""
     grams = [defaultdict(Counter) for _ in range(order + 1)]
@@ -502,11 +477,11 @@ def _whole_trie(train, order=3):
             seen = {y: c for y, c in grams[o][tuple(context[order - o :])].items() if y not in gone}
             if not seen:
                 continue
-            total = sum(seen.values()) + len(seen)
+            gone |= set(seen)
+            total = sum(seen.values()) + (len(seen) if len(gone) < 257 else 0)
             if x in seen:
                 return out + math.log10(seen[x] / total)
             out += math.log10(len(seen) / total)
-            gone |= set(seen)
         return out - math.log10(257 - len(gone))
 
     return lambda t: sum(log(s[i - order : i], s[i]) for s in [framed(t)] for i in range(order, len(s)))
@@ -525,23 +500,20 @@ def test_all_bytes_have_contexts(spark, monkeypatch, cache):
         assert got[i] == pytest.approx(plain((t or "").encode()), abs=1e-6), i
 
 
-def test_trie_scores_equal_the_definition():
+@pytest.mark.parametrize("left_out", [0, 1, 60])
+def test_probabilities_of_a_context_sum_to_one(left_out):
+    """Also where every symbol has been seen, so that nothing is left to escape to."""
     import numpy as np
 
-    train = [b"abracadabra", b"abba", b"", b"a cab"]
-    symbol = lm.symbol_map(dict(Counter(b"".join(train))))
-    index = []
-    for t in train:
-        at, begin, end = lm._positions([t], symbol)
-        index.append(at[begin[0] : end[0] + 1])
-    k, n = np.unique(np.concatenate(index), return_counts=True)
-    table = lm.log_table(k.astype(np.int64), n)
-    p = _plain_table(train, symbol)
-    for t in (b"abra", b"", b"zebra!", b"cab"):
-        s = [0] * lm.ORDER + [int(symbol[b]) for b in t] + [0]
-        want = sum(math.log10(p(s[:i], s[i])) + (lm.other_bytes(symbol) if s[i] == lm.OTHER else 0) for i in range(lm.ORDER, len(s)))
-        assert lm.text_scores([t], table, symbol)[0] == pytest.approx(want, abs=1e-4)
-    assert np.allclose((10.0 ** table.astype(float)).reshape(-1, lm.SYMBOLS).sum(1)[:50], 1, atol=0.35)
+    rng = np.random.default_rng(left_out)
+    symbols = np.arange(lm.WHOLE - left_out)
+    pairs = np.zeros((lm.WHOLE, lm.WHOLE), np.int64)
+    pairs[:, symbols] = rng.integers(0, 4, (lm.WHOLE, len(symbols)))
+    pairs[7, symbols] += 1  # a context of one symbol that has seen all of these
+    for context in (5 * lm.WHOLE**2 + 6 * lm.WHOLE + 7, 9, lm.WHOLE**3 - 1):
+        k = context * lm.WHOLE + np.arange(lm.WHOLE)
+        for n in (np.zeros(lm.WHOLE, np.int64), rng.integers(0, 3, lm.WHOLE), np.ones(lm.WHOLE, np.int64)):
+            assert (10.0 ** lm.resolve(k, n, pairs)).sum() == pytest.approx(1, abs=1e-9)
 
 
 def test_adaptive_code_learns():
