@@ -10,13 +10,16 @@ Layout. Map tasks pack the super-k-mers of a slice of texts by bucket into
 one compressed block a bucket, so a shuffle row is a block. Super-k-mers that
 occur twice in a slice are sent once, with their first place; the later places
 are all removed and only their spans travel. Copies of a document, however many,
-thus weigh on a bucket once a slice. The number of buckets follows the size of
-the input, so that a bucket fits in memory at any size, and no set of keys ever
-reaches the driver.
+thus weigh on a bucket once a slice. The number of buckets follows the bytes of the
+texts, counted over all rows, and no set of keys ever reaches the driver. A
+minimiser that many windows share makes its bucket larger: a bucket above
+``HOT_BYTES`` isn't sorted but dealt again, block by block, by the next minimiser of its windows
+(in another order of the runs of ``m`` words), over ``SPREAD`` buckets of their own, up to ``LEVELS``
+times. What is still together then has the same minimiser in every order.
 
-Exactness: windows are compared by two independent 64-bit hashes over the hashes
-of their words (128 bits); windows are judged on the input. No window is dropped
-or sampled.
+Exactness: windows are compared by 128 bits, 64 over the hashes of their words and
+64 over their bytes, which have nothing in common; windows are judged on the input.
+No window is dropped or sampled.
 
 Defined results: null, blank and short texts have no window and lose nothing;
 places come in the order of id (null after all others), then of the text's hash,
@@ -39,6 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.durable import written
 from .vector import NO_ID, Words, chunks, gram_hashes, mix, small_batches, whole_grams, word_hashes, words_of
 
 K = 20
@@ -47,8 +51,13 @@ M = 2
 #: Packed bytes after which a map task sends its blocks.
 SLICE_BYTES = 48 << 20
 
-#: Input bytes (as stored) for each bucket, at most.
-BUCKET_BYTES = 16 << 20
+#: Bytes of text for each bucket.
+BUCKET_BYTES = 48 << 20
+
+#: Packed bytes above which a bucket is dealt again, over how many buckets, and how often.
+HOT_BYTES = 64 << 20
+SPREAD = 64
+LEVELS = 4
 
 _HEAD = struct.Struct("<Bq")  # kind, number of entries
 _PACKED, _SPANS = 0, 1
@@ -82,12 +91,12 @@ def _unblock(blob: bytes) -> tuple[int, list[np.ndarray], bytes]:
     return kind, arrays, raw[at:]
 
 
-def super_kmers(w: Words, hashes: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, number of windows and minimiser of each super-k-mer."""
+def super_kmers(w: Words, hashes: np.ndarray, k: int, m: int, level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, number of windows and minimiser (in the order of a level) of each super-k-mer."""
     at = whole_grams(w, k)
     if not len(at):
         return at, at, np.zeros(0, np.uint64)
-    low = _sliding_min(gram_hashes(hashes, m, 77), k - m + 1)[at]
+    low = _sliding_min(gram_hashes(hashes, m, 77 + level), k - m + 1)[at]
     new = np.ones(len(at), bool)
     new[1:] = (low[1:] != low[:-1]) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(new)
@@ -97,16 +106,17 @@ def super_kmers(w: Words, hashes: np.ndarray, k: int, m: int) -> tuple[np.ndarra
 class _Packer:
     """The super-k-mers of a slice, until they are sent."""
 
-    def __init__(self, k: int, m: int, buckets: int):
-        self.k, self.m, self.buckets = k, m, buckets
+    def __init__(self, k: int, m: int, buckets: int, level: int = 0):
+        self.k, self.m, self.buckets, self.level = k, m, buckets, level
         self.parts: list[tuple] = []
         self.size = 0
 
-    def add(self, ids: np.ndarray, tags: np.ndarray, texts: list[bytes]) -> None:
+    def add(self, ids: np.ndarray, tags: np.ndarray, texts: list[bytes], begin: np.ndarray | None = None) -> None:
+        """begin: the number of each text's first word, where it is a part of a document."""
         texts = [b" ".join(t.split()) for t in texts]
         w = words_of(texts)
         h = word_hashes(w)
-        start, n, low = super_kmers(w, h, self.k, self.m)
+        start, n, low = super_kmers(w, h, self.k, self.m, self.level)
         if not len(start):
             return
         # what a super-k-mer holds, as 128 bits: the sum over its windows, and its ends
@@ -117,7 +127,8 @@ class _Packer:
         text = np.searchsorted(w.offsets, start, "right") - 1
         lo, hi = w.starts[start], w.ends[start + n + self.k - 2]
         buf = w.data.tobytes()
-        self.parts.append((ids[text], tags[text], (start - w.offsets[text]).astype(np.int32), n.astype(np.int32), low, mark, ends, [buf[a:b] for a, b in zip(lo.tolist(), hi.tolist())]))
+        place = start - w.offsets[text] + (0 if begin is None else begin[text])
+        self.parts.append((ids[text], tags[text], place.astype(np.int32), n.astype(np.int32), low, mark, ends, [buf[a:b] for a, b in zip(lo.tolist(), hi.tolist())]))
         self.size += int((hi - lo).sum())
 
     def send(self) -> tuple[list[int], list[bytes]]:
@@ -145,6 +156,27 @@ class _Packer:
         return keys, blobs
 
 
+_BYTE = np.random.default_rng(0xB17E5).integers(1, 1 << 63, 256, dtype=np.uint64)
+_STEP = np.uint64(0xD1342543DE82EF95)
+_BACK = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
+
+
+def byte_hashes(w: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes from the first word to the last one of each run of words (first ascending), from sums over all bytes."""
+    out = np.empty(len(first), np.uint64)
+    for a in range(0, len(first), 1 << 17):
+        lo, hi = w.starts[first[a : a + (1 << 17)]], w.ends[last[a : a + (1 << 17)]]
+        begin, end = int(lo[0]), int(hi.max())
+        power = np.full(end - begin + 1, _STEP)
+        back = np.full(end - begin + 1, _BACK)
+        power[0] = back[0] = 1
+        np.multiply.accumulate(power, out=power), np.multiply.accumulate(back, out=back)
+        sums = np.zeros(end - begin + 1, np.uint64)
+        np.cumsum(_BYTE[w.data[begin:end]] * power[:-1], out=sums[1:])
+        out[a : a + (1 << 17)] = (sums[hi - begin] - sums[lo - begin]) * back[lo - begin]
+    return mix(out)
+
+
 def _bucket_spans(blobs: list[bytes], k: int) -> tuple[np.ndarray, ...]:
     """id, tag, first window and number of windows of the runs of later windows in a bucket."""
     spans: list[tuple] = []
@@ -164,9 +196,8 @@ def _bucket_spans(blobs: list[bytes], k: int) -> tuple[np.ndarray, ...]:
         del texts
         i, g, s, c = i[order], g[order], s[order].astype(np.int64), c[order].astype(np.int64)
         h = word_hashes(w)
-        one, two = gram_hashes(h, k), gram_hashes(h, k, 991)
         at = whole_grams(w, k)  # c windows of each super-k-mer, in order
-        one, two = one[at], two[at]
+        one, two = gram_hashes(h, k)[at], byte_hashes(w, at, at + k - 1)
         which = np.repeat(np.arange(len(c)), c)
         place = s[which] + np.arange(len(which)) - np.repeat(np.cumsum(c) - c, c)
         by = np.argsort(one, kind="stable")
@@ -188,18 +219,15 @@ def _bucket_spans(blobs: list[bytes], k: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate([x[j] for x in spans]).astype(np.int64) for j in range(4))
 
 
-def _stored_bytes(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def bucket_count(docs: DataFrame) -> int:
-    shuffle = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(4 * shuffle, min(1 << 20, _stored_bytes(docs) // BUCKET_BYTES + 1))
+def bucket_count(texts: DataFrame) -> int:
+    """As many buckets as the bytes of all texts (column text) ask for, and four a shuffle partition at least."""
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES + 1)
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, m: int = M) -> DataFrame:
     """key (NO_ID for null), tag (the text's hash), first (word) and n (windows) of runs of windows that also start earlier."""
-    buckets = bucket_count(docs)
+    buckets = bucket_count(docs.select(F.col(text).alias("text")))
     plain = small_batches(docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(F.col(text)).alias("tag"), F.col(text).alias("text")))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,25 +244,63 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         if packer.parts:
             yield sent()
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+    blocks, level, out = plain.mapInArrow(pack, "bucket long, block binary"), 1, None
+    while True:
+        found = written(_found(blocks, k, m, level))
+        spans = found.where("block IS NULL").select("key", "tag", "first", "n")
+        out = spans if out is None else out.unionByName(spans)
+        blocks = found.where("block IS NOT NULL").select("bucket", "block")
+        if level > LEVELS or not blocks.limit(1).count():
+            return out
+        level += 1
+
 
-        def found() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in _bucket_spans(held, k)], ["key", "tag", "first", "n"])
+def _found(blocks: DataFrame, k: int, m: int, level: int) -> DataFrame:
+    """key, tag, first and n of the spans in each bucket; for buckets above HOT_BYTES, up to the last level, bucket and block of what is dealt again instead."""
+    names = ["key", "tag", "first", "n", "bucket", "block"]
+    kinds = [pa.int64()] * 5 + [pa.binary()]
+
+    def spans(columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        size = len(columns[0])
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary())], names)
+
+    def dealt(packer: _Packer, bucket: int) -> pa.RecordBatch:
+        keys, blobs = packer.send()
+        own = (mix(np.array(keys, np.uint64) + mix(np.array([bucket], np.int64).view(np.uint64))) >> np.uint64(1)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([*(pa.nulls(len(blobs), t) for t in kinds[:4]), pa.array(own), pa.array(blobs, pa.binary())], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size, packer = None, [], 0, None
+
+        def end() -> Iterator[pa.RecordBatch]:
+            if packer is not None and packer.parts:
+                yield dealt(packer, now)
+            if held:
+                yield spans(_bucket_spans(held, k))
 
         for batch in batches:
             for bucket, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if bucket != now and held:
-                    yield found()
-                    held = []
-                now = bucket
+                if bucket != now:
+                    yield from end()
+                    now, held, size, packer = bucket, [], 0, None
                 held.append(block)
-        if held:
-            yield found()
+                size += zstandard.frame_content_size(block)
+                if size > HOT_BYTES and level <= LEVELS:
+                    packer = packer or _Packer(k, m, SPREAD, level)
+                    for b in held:
+                        kind, arrays, packed = _unblock(b)
+                        if kind == _SPANS:
+                            yield spans(tuple(a.astype(np.int64) for a in arrays))
+                            continue
+                        ends = np.cumsum(arrays[4])
+                        packer.add(arrays[0], arrays[1], [packed[e - s : e] for s, e in zip(arrays[4].tolist(), ends.tolist())], arrays[2])
+                        if packer.size >= SLICE_BYTES:
+                            yield dealt(packer, now)
+                    held = []
+        yield from end()
 
-    blocks = plain.mapInArrow(pack, "bucket long, block binary")
-    shuffle = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return blocks.repartition(shuffle, "bucket").sortWithinPartitions("bucket").mapInArrow(find, "key long, tag long, first long, n long")
+    shuffle = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.repartition(shuffle, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, tag long, first long, n long, bucket long, block binary")
 
 
 def _with_spans(docs: DataFrame, key: str, text: str, k: int, m: int) -> DataFrame:

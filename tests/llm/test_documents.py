@@ -100,6 +100,35 @@ def test_substrings(spark, k):
     assert substring.digest(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("levels", [1, 4])
+def test_hot_buckets_are_dealt_again(spark, monkeypatch, levels):
+    """Few words, so few minimisers: every bucket is above the limit, and what is dealt again gives the same rows."""
+    import random
+
+    rng = random.Random(levels)
+    own = lambda n: [f"w{rng.randrange(4)}" for _ in range(n)]
+    shared = own(70)
+    data = [(i, " ".join(own(rng.randrange(10, 60)) + (shared if i % 3 else shared[10:40]) + own(30)), "en", "s", 0, "k", 0, 0) for i in range(60)]
+    monkeypatch.setattr(substring, "HOT_BYTES", 200)
+    monkeypatch.setattr(substring, "LEVELS", levels)
+    blocks = []
+    found = substring._found
+    monkeypatch.setattr(substring, "_found", lambda b, k, m, level: blocks.append(level) or found(b, k, m, level))
+    got = by_row(substring.digest(frame(spark, data)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == Counter(_kept(data, 20)) and max(blocks) == levels + 1
+
+
+def test_window_hashes_over_bytes():
+    import numpy as np
+
+    from lumensift.llm.vector import words_of
+
+    w = words_of([b"a b c d e a b c", b"", b"b c d x a b c"])
+    first = np.array([0, 1, 5, 8, 12])
+    got = substring.byte_hashes(w, first, np.array([2, 3, 7, 10, 14]))
+    assert got[0] == got[2] == got[4] and got[1] == got[3] != got[0]
+
+
 def test_substrings_with_null_ids(spark):
     assert substring.digest(frame(spark)).count() == len(rows())
 
