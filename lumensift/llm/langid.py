@@ -1,59 +1,69 @@
 """Language identification by cross-parsing entropy.
 
-Each language has a suffix automaton of sample text. A text is parsed greedily
-into phrases, each the longest match in that text; the language that needs the
-fewest phrases per byte wins. Words are runs of letters, parsed with a space before and after
-them, and a phrase ends with its word, so a word's phrase count is the same
-wherever it stands: the distinct words of a slice of texts walk all automata in
-lockstep (numpy), and every word of every whole text is counted.
-
-The sample is bounded, which is a parameter: for each language about
-``SAMPLE_DOCS`` labelled documents, chosen by hash among all, of which
-``SAMPLE_CHARS`` characters are read, and of their distinct words the first
-``TRAIN_BYTES`` bytes. Only ``lang`` and ``text`` of rows that aren't held out are
+Each language has a suffix automaton of labelled text. A text is parsed greedily
+into phrases, each the longest match of what comes next in the language's text,
+over word borders; the language that needs the fewest phrases a byte wins. Whole texts are
+parsed, in pieces of ``PIECE`` bytes at whose ends phrases end too (for every
+language alike), so that all pieces of a slice of texts walk all automata in
+lockstep (numpy). A-Z are lower-cased, and runs of ASCII characters that are no
+letters count as one space, since they tell nothing of a language.
+
+The labelled text is a bounded sample, which is a parameter: of each language's different
+rows about ``SAMPLE_DOCS`` are chosen by a hash of id and text, among those of up to
+``TRAIN_BYTES`` bytes, and taken whole, in order of the hash, as long as they fit into ``TRAIN_BYTES``
+together. (A language that has longer texts only is learnt from the first
+``TRAIN_BYTES`` bytes of the shortest.) The model has about 60 bytes for each byte of it, and
+languages are parsed ``AT_ONCE`` at a time. Only ``lang`` and ``text`` of rows that aren't held out are
 learnt; a prediction sees the text alone.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0,
 as is everything if there is nothing to learn from; ties go to the first
-language in order; a null id counts as not held out; repeated rows get equal
-results; an empty table gives no rows.
+language in order; a null id counts as not held out, and rows with null or equal ids are
+chosen by their texts; repeated rows are learnt once and get equal results; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .vector import chunks, small_batches, word_hashes, words_of
+from .vector import chunks, small_batches
 
 SAMPLE_DOCS = 200
-SAMPLE_CHARS = 4000
-TRAIN_BYTES = 30_000
+TRAIN_BYTES = 100_000
 
-#: Bytes of all automata's transitions together, at most.
-MODEL_BYTES = 256 << 20
+#: Bytes of a text that are parsed in one go.
+PIECE = 512
 
-#: A-Z to a-z; ASCII bytes that are no letters to spaces, since they tell nothing of a language.
+#: Languages parsed in one go.
+AT_ONCE = 8
+
+#: A-Z to a-z; ASCII bytes that are no letters to spaces.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else (b if b >= 128 or 97 <= b <= 122 else 32) for b in range(256))
 
-ALPHABET = 64
-NONE = 65535
-ROOT = 0
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def held_out(key: Column, of: int = 4, is_: int = 2) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % of == is_, F.lit(False))
 
 
-def suffix_automaton(text: np.ndarray) -> np.ndarray:
-    """Transitions of the smallest automaton of all substrings of text, as [state, symbol]; NONE where there is none."""
+def plain(text: bytes) -> bytes:
+    """What is parsed of a text."""
+    return b" ".join(text.translate(LETTERS).split())
+
+
+def suffix_automaton(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """State, byte and next state of each arc of the smallest automaton of all substrings of text, and the number of states; 0 is the root."""
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
-    for c in text.tolist():
+    for c in text:
         new = len(nxt)
         nxt.append({}), link.append(0), length.append(length[last] + 1)
         p = last
@@ -72,77 +82,122 @@ def suffix_automaton(text: np.ndarray) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    out = np.full((len(nxt), ALPHABET), NONE, np.uint16)
-    for state, arcs in enumerate(nxt):
-        for c, to in arcs.items():
-            out[state, c] = to
-    return out
-
-
-def symbols_of(texts: list[bytes]) -> np.ndarray:
-    """The symbol of each byte; ALPHABET - 1 has no arcs."""
-    counts = np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256)
-    counts[32] = counts.max() + 1
-    out = np.full(256, ALPHABET - 1, np.uint8)
-    for n, b in enumerate(np.argsort(-counts, kind="stable")[: ALPHABET - 1].tolist()):
-        if counts[b]:
-            out[b] = n
-    return out
-
-
-def train(samples: dict[str, list[bytes]], train_bytes: int = TRAIN_BYTES) -> tuple[list[str], list[np.ndarray], np.ndarray]:
-    """Languages in order, their automata, and the byte-to-symbol map."""
+    sizes = np.fromiter(map(len, nxt), np.int64, len(nxt))
+    total = int(sizes.sum())
+    symbol = np.fromiter((c for arcs in nxt for c in arcs), np.int64, total)
+    to = np.fromiter((x for arcs in nxt for x in arcs.values()), np.int64, total)
+    return np.repeat(np.arange(len(nxt)), sizes), symbol, to, len(nxt)
+
+
+@dataclass
+class Model:
+    """Automata of languages. Arcs are in one table, each at one of two places that its state and byte name."""
+
+    languages: list[str]
+    roots: np.ndarray
+    keys: np.ndarray  # state * 256 + byte
+    to: np.ndarray
+    bits: int
+
+    def places(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = key.astype(np.uint64) * _ODD
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64), ((h ^ (h >> np.uint64(29))) * _ODD >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def next(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The next state, or -1."""
+        key = state * 256 + byte
+        a, b = self.places(key)
+        return np.where(self.keys[a] == key, self.to[a], np.where(self.keys[b] == key, self.to[b], -1))
+
+
+def _table(languages: list[str], roots: list[int], key: np.ndarray, to: np.ndarray) -> Model:
+    bits = max(4, int(np.ceil(np.log2(max(1, len(key)) * 2.5))))
+    while True:
+        model = Model(languages, np.array(roots, np.int64), np.full(1 << bits, -1), np.zeros(1 << bits, np.int64), bits)
+        first, second = model.places(key)
+        held = np.full(1 << bits, -1)
+        at, todo = first.copy(), np.arange(len(key))
+        for _ in range(200):
+            if not len(todo):
+                break
+            before = held[at[todo]]
+            held[at[todo]] = todo  # the last one stays
+            lost = todo[held[at[todo]] != todo]
+            out = np.unique(before[before >= 0])
+            todo = np.concatenate([lost, out[held[at[out]] != out]])
+            at[todo] = np.where(at[todo] == first[todo], second[todo], first[todo])
+        if not len(todo):
+            used = np.flatnonzero(held >= 0)
+            model.keys[used], model.to[used] = key[held[used]], to[held[used]]
+            return model
+        bits += 1
+
+
+def train(samples: dict[str, list[bytes]], train_bytes: int = TRAIN_BYTES) -> list[Model]:
+    """The models of all languages in order; texts are taken whole, as long as they fit into train_bytes."""
     languages = sorted(samples)
-    per = min(train_bytes, 32_000, MODEL_BYTES // (4 * ALPHABET * max(1, len(languages))))
-    parts = []
-    for language in languages:
-        distinct = dict.fromkeys(w for t in samples[language] for w in t.translate(LETTERS).split())
-        text = b" " + b" ".join(distinct)
-        parts.append(text[:per].rsplit(b" ", 1)[0] + b" " if len(text) > per else text + b" ")
-    symbol = symbols_of(parts or [b" "])
-    return languages, [suffix_automaton(symbol[np.frombuffer(p, np.uint8)]) for p in parts], symbol
-
-
-def phrase_counts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, automaton: np.ndarray) -> np.ndarray:
-    """Phrases of a greedy parse of each range of data (symbols) into longest matches."""
-    order = np.argsort(starts - ends, kind="stable")  # longest first
-    at, left = starts[order], (ends - starts)[order]
-    state = np.zeros(len(order), np.uint16)
-    phrases = np.zeros(len(order), np.int32)
-    active = len(order)
+    models = []
+    for begin in range(0, len(languages), AT_ONCE):
+        names, roots, keys, to, states = languages[begin : begin + AT_ONCE], [], [], [], 0
+        for language in names:
+            taken, left = [], train_bytes
+            for t in map(plain, samples[language]):
+                if len(t) <= left:
+                    taken.append(t)
+                    left -= len(t) + 1
+            text = b" ".join(taken) if taken else min(map(plain, samples[language]), key=len)[:train_bytes]
+            a, c, b, n = suffix_automaton(b" " + text + b" ")
+            roots.append(states)
+            keys.append((a + states) * 256 + c), to.append(b + states)
+            states += n
+        models.append(_table(names, roots, np.concatenate(keys), np.concatenate(to)))
+    return models
+
+
+def phrase_counts(texts: list[bytes], model: Model) -> np.ndarray:
+    """Phrases of a greedy parse of each plain text, as [text, language]."""
+    lens = np.fromiter(map(len, texts), np.int64, len(texts))
+    n = -(-lens // PIECE)
+    of = np.repeat(np.arange(len(texts)), n)
+    within = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    data = np.frombuffer(b"".join(texts) + b" ", np.uint8).astype(np.int64)
+    start = np.repeat(np.cumsum(lens) - lens, n) + within * PIECE
+    size = np.minimum(PIECE, lens[of] - within * PIECE)
+    order = np.argsort(-size, kind="stable")  # longest first
+    at, left = start[order], size[order]
+    k = len(model.roots)
+    state = np.repeat(model.roots[None], len(order), axis=0)
+    phrases = np.zeros((len(order), k), np.int64)
     for j in range(int(left[0]) if len(left) else 0):
-        active = int(np.searchsorted(-left[:active], -j, "left"))
-        c = data[at[:active] + j]
+        active = int(np.searchsorted(-left, -j, "left"))
+        c = data[at[:active] + j][:, None]
         now = state[:active]
-        to = automaton[now, c]
-        fresh = (now == ROOT) | (to == NONE)
+        to = model.next(now, c)
+        fresh = (to < 0) | (now == model.roots)
         phrases[:active] += fresh
-        first = automaton[ROOT, c]
-        state[:active] = np.where(fresh, np.where(first == NONE, ROOT, first), to)
-    out = np.empty_like(phrases)
-    out[order] = phrases
+        if fresh.any():
+            first = model.next(np.broadcast_to(model.roots, (active, k)), c)
+            to = np.where(fresh, np.where(first < 0, model.roots, first), to)
+        state[:active] = to
+    out = np.zeros((len(texts), k), np.int64)
+    np.add.at(out, of[order], phrases)
     return out
 
 
-def predict_texts(texts: list[bytes | None], languages: list[str], automata: list[np.ndarray], symbol: np.ndarray) -> tuple[list[str], np.ndarray]:
+def predict_texts(texts: list[bytes | None], models: list[Model]) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text: 1 less the share of phrases of the best language to the second's."""
     n = len(texts)
-    w = words_of([(t or b"").translate(LETTERS) for t in texts])
-    scores = np.zeros(n)
-    best = np.zeros(n, np.int64)
-    if languages and len(w.starts):
-        _, first, inverse = np.unique(word_hashes(w), return_index=True, return_inverse=True)
-        data = symbol[w.data]
-        per = np.empty((len(languages), n))
-        for k, a in enumerate(automata):
-            counts = phrase_counts(data, w.starts[first] - 1, w.ends[first] + 1, a)[inverse]
-            sums = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-            per[k] = sums[w.offsets[1:]] - sums[w.offsets[:-1]]
-        best = per.argmin(0)
+    languages = [x for m in models for x in m.languages]
+    scores, best = np.zeros(n), np.zeros(n, np.int64)
+    if languages:
+        own = [plain(t or b"") for t in texts]
+        per = np.concatenate([phrase_counts(own, m) for m in models], axis=1)
+        best = per.argmin(1)
         if len(languages) == 1:
             scores += 1
         else:
-            two = np.partition(per, 1, axis=0)[:2]
-            scores = np.where(two[1] > 0, 1 - two[0] / np.maximum(two[1], 1), 0)
+            two = np.partition(per, 1, axis=1)[:, :2]
+            scores = np.where(two[:, 1] > 0, 1 - two[:, 0] / np.maximum(two[:, 1], 1), 0)
     out = []
     for i, t in enumerate(texts):
         lettered = bool(languages) and t is not None and (len(t.translate(None, _LETTERS)) < len(t) or any(c.isalpha() for c in t.decode("utf-8", "replace")))
@@ -156,31 +211,37 @@ _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123))
 
 
 def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, list[bytes]]:
-    """The bounded sample: about SAMPLE_DOCS texts of each language, by hash of the id."""
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(F.col(key)).alias("h"), F.col(key).cast("string").alias("id"), F.substring(text, 1, SAMPLE_CHARS).alias("text"))
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row a language
+    """The bounded sample: about SAMPLE_DOCS whole texts of each language, in order of a hash of id and text; equal rows count once."""
+    h = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(text))
+    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), h.alias("h"), F.col(text).alias("text"))
+    short = F.octet_length("text") <= TRAIN_BYTES
+    sizes = {r["lang"]: r["n"] for r in labelled.select("lang", F.when(short, F.col("h")).alias("h")).distinct().groupBy("lang").agg(F.count("h").alias("n")).collect()}  # one row a language
     if not sizes:
         return {}
-    share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, SAMPLE_DOCS / v))])
-    chosen = labelled.where((F.col("h").cast("double") / 2.0**64 + 0.5) < share[F.col("lang")])
+    share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, SAMPLE_DOCS / max(1, v)))])
+    chosen = labelled.where(short & ((F.col("h").cast("double") / 2.0**64 + 0.5) < share[F.col("lang")])).dropDuplicates(["lang", "h"])
     out: dict[str, list[bytes]] = {}
-    for r in sorted(chosen.collect(), key=lambda r: (r["lang"], r["h"], r["id"] or "", r["text"])):
+    for r in sorted(chosen.collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
         out.setdefault(r["lang"], []).append(r["text"].encode())
+    if without := [k for k in sizes if k not in out]:
+        least = F.min_by(F.substring("text", 1, TRAIN_BYTES), F.struct(F.octet_length("text"), "h"))
+        for r in labelled.where(F.col("lang").isin(without)).groupBy("lang").agg(least.alias("text")).collect():
+            out[r["lang"]] = [r["text"].encode()]
     return out
 
 
-def identify(docs: DataFrame, model: tuple, key: str = "doc_id", text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, models: list[Model], key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, lang_pred and score of every row of docs."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
-            names, scores = predict_texts(texts, *held.value)
+            names, scores = predict_texts(texts, held.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(scores)], ["key", "lang_pred", "score"])
 
-    plain = small_batches(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
-    kind = plain.schema["key"].dataType.simpleString()
-    return plain.mapInArrow(run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
+    rows = small_batches(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.mapInArrow(run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

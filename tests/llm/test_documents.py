@@ -435,21 +435,71 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in langid.identify(frame(spark, data), none).collect()} == {"und"}
 
 
-def test_automaton_parses_like_plain_search():
-    import numpy as np
+def _plain_phrases(text, source, piece):
+    """Phrases of a greedy parse of text by the longest matches in source."""
+    n = 0
+    for begin in range(0, len(text), piece):
+        part, at = text[begin : begin + piece], 0
+        while at < len(part):
+            size = 1
+            while at + size < len(part) and part[at : at + size + 1] in source:
+                size += 1
+            n, at = n + 1, at + size
+    return n
+
+
+def _plain_text(t):
+    return re.sub(rb"[\x00-\x60\x7B-\x7F]+", b" ", (t or "").translate({i: i + 32 for i in range(65, 91)}).encode()).strip(b" ")
+
+
+@pytest.mark.parametrize("piece", [512, 7])
+def test_automata_parse_like_plain_search(monkeypatch, piece):
+    monkeypatch.setattr(langid, "PIECE", piece)
+    sources = {"a": ["abracadabra barb", "cab"], "b": ["la cigale ayant chanté"], "c": ["z"]}
+    models = langid.train({k: [x.encode() for x in v] for k, v in sources.items()})
+    cases = ["abra", "xabra", "barbara la cigale", "zz", "cad bar chanté z", "", "Abra, 12 CAB!", "é" * 40]
+    got = langid.phrase_counts([langid.plain(t.encode()) for t in cases], models[0])
+    for t, own in zip(cases, got.tolist()):
+        assert own == [_plain_phrases(_plain_text(t), b" " + b" ".join(_plain_text(x) for x in v) + b" ", piece) for v in sources.values()], t
+
+
+def test_languages_equal_a_plain_parse(spark, monkeypatch):
+    """Null ids, repeated rows, shared ids, mixed and very long texts; more languages than are parsed at once."""
+    import random
 
-    text = b" abracadabra barb "
-    symbol = langid.symbols_of([text])
-    automaton = langid.suffix_automaton(symbol[np.frombuffer(text, np.uint8)])
-    for word in (b" abra ", b"xabra", b"barbara", b"zz", b"cad bar"):
-        phrases, at = 0, 0
-        while at < len(word):
-            n = 1
-            while at + n < len(word) and word[at : at + n + 1] in text:
-                n += 1
-            phrases, at = phrases + 1, at + n
-        got = langid.phrase_counts(symbol[np.frombuffer(word, np.uint8)], np.array([0]), np.array([len(word)]), automaton)
-        assert got.tolist() == [phrases], word
+    monkeypatch.setattr(langid, "AT_ONCE", 2)
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 6)
+    monkeypatch.setattr(langid, "TRAIN_BYTES", 700)
+    rng = random.Random(11)
+    stems = {x: [x + "".join(rng.choices("aeiounrst", k=4)) for _ in range(12)] for x in ("de", "en", "fr")}
+    data = [(None if i % 4 == 0 else i % 30, " ".join(rng.choices(stems[x], k=rng.randrange(1, 40))), x, "s", 0, "k", 0, 0) for i, x in enumerate(["de", "en", "fr"] * 20)]
+    data += [data[0]] * 50 + [(90, "ü " * 4000, "long", "s", 0, "k", 0, 0), (91, None, "en", "s", 0, "k", 0, 0), (92, " ".join(rng.choices(stems["fr"], k=3000)), None, "s", 0, "k", 0, 0)]
+    samples = langid.sample(frame(spark, data))
+    assert sorted(samples) == ["de", "en", "fr", "long"] and all(len(v) == len(set(v)) <= 20 for v in samples.values())
+    assert all(t.decode() in {d[1] for d in data} for x, v in samples.items() if x != "long" for t in v)
+    sources = {}
+    for x in sorted(samples):
+        taken, left = [], 700
+        for t in samples[x]:
+            t = _plain_text(t.decode())
+            if len(t) <= left:
+                taken.append(t)
+                left -= len(t) + 1
+        sources[x] = b" " + (b" ".join(taken) if taken else _plain_text(samples[x][0].decode())[:700]) + b" "
+    want = Counter()
+    for d in data:
+        counts = [(_plain_phrases(_plain_text(d[1]), v, langid.PIECE), x) for x, v in sources.items()]
+        one, two = sorted(counts)[:2]
+        want[(d[0], min(counts)[1] if d[1] else "und", round(1 - one[0] / two[0], 9) if d[1] else 0.0)] += 1
+    got = langid.identify(frame(spark, data), langid.train(samples, 700))
+    assert Counter((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in got.collect()) == want
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.op8_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL AND lang_pred <> 'und'")
+    right, all_ = got.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count(F.lit(1))).first()
+    assert all_ > 200 and right >= 0.99 * all_
 
 
 # -- language model
