@@ -59,6 +59,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.durable import temporary, written
+from ..functions.membership import may_hold
 from ..operators.graph import components
 from .vector import LOWER, NO_ID, chunks, gram_hashes, mix, small_batches, whole_grams, word_hashes, words_of
 
@@ -521,11 +522,14 @@ def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     known = worded.groupBy("id", "tag").agg(F.count(F.lit(1)).alias("rows")).join(stays.withColumn("stays", F.lit(True)), ["id", "tag"], "left")
     marked = written(known.where("stays IS NULL OR rows > 1").select(F.col("id").alias("jaccard:key"), F.col("tag").alias("jaccard:tag"), F.col("stays").isNull().alias("gone")))
     own = lambda d: (F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)) == d["jaccard:key"]) & (tag == d["jaccard:tag"])
+    # only rows that may be marked are shuffled to meet their mark
+    listed = may_hold(marked.select("`jaccard:key`", "`jaccard:tag`"), [F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)), tag])
     again = marked.where("NOT gone")
-    rest = docs.join(marked, own(marked), "left_anti")
+    near = docs.where(listed)
+    rest = docs.where(~listed).unionByName(near.join(marked, own(marked), "left_anti"))
     if not again.limit(1).count():
         return rest
-    copies = docs.join(again, own(again), "left_semi")
+    copies = near.join(again, own(again), "left_semi")
     one = copies.groupBy(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)), tag).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("jaccard:row"))
     return rest.unionByName(one.select("`jaccard:row`.*"))
 

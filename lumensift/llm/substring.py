@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.durable import written
+from ..functions.membership import may_hold
 from .vector import NO_ID, Words, chunks, gram_hashes, mix, small_batches, whole_grams, word_hashes, words_of
 
 K = 20
@@ -305,11 +306,16 @@ def _found(blocks: DataFrame, k: int, m: int, level: int) -> DataFrame:
 
 def _with_spans(docs: DataFrame, key: str, text: str, k: int, m: int) -> DataFrame:
     """docs with substring:starts and substring:ends, the word ranges to remove (null: none)."""
-    spans = repeated_spans(docs, key, text, k, m).groupBy(F.col("key").alias("substring:key"), F.col("tag").alias("substring:tag")).agg(F.collect_list(F.struct("first", "n")).alias("substring:spans"))
-    own = F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))
-    joined = docs.join(spans, (own == spans["substring:key"]) & (F.xxhash64(docs[text]) == spans["substring:tag"]), "left").drop("substring:key", "substring:tag")
+    found = repeated_spans(docs, key, text, k, m)
+    spans = found.groupBy(F.col("key").alias("substring:key"), F.col("tag").alias("substring:tag")).agg(F.collect_list(F.struct("first", "n")).alias("substring:spans"))
+    own, tag = F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)), F.xxhash64(F.col(text))
+    # only rows that may have spans are shuffled to meet them
+    hit = may_hold(found.select("key", "tag").distinct(), [own, tag])
+    met = docs.where(hit).join(spans, (own == spans["substring:key"]) & (tag == spans["substring:tag"]), "left").drop("substring:key", "substring:tag")
     ranges = F.col("`substring:spans`")
-    return joined.withColumn("substring:starts", ranges["first"]).withColumn("substring:ends", F.transform(ranges, lambda s: s["first"] + s["n"] + (k - 1))).drop("substring:spans")
+    marked = met.withColumn("substring:starts", ranges["first"]).withColumn("substring:ends", F.transform(ranges, lambda s: s["first"] + s["n"] + (k - 1))).drop("substring:spans")
+    none = F.lit(None).cast("array<bigint>")
+    return marked.unionByName(docs.where(~hit).withColumn("substring:starts", none).withColumn("substring:ends", none))
 
 
 def _kept_mask(n: int, starts: list[int], ends: list[int]) -> np.ndarray:
