@@ -7,19 +7,28 @@ lines, which come from the site and not from the article, are deleted. A pair
 that shares nearly every line is a copy, not a template, and the other neighbour is
 taken instead.
 
-Markup that says what it is comes first: menus, page headers and footers,
-sidebars, forms, adverts, notices, comments, scripts and styles are no lines, and
-where a page marks its article (``article``, ``main``), the lines inside are the
-article whatever a neighbour holds, since articles do share lines. Differencing
-decides for all pages without such a mark.
+Markup goes into the alignment:
+
+* What HTML itself sets apart (``nav``, page headers, ``footer``, ``aside``, forms, scripts,
+  styles, hidden elements, roles such as ``navigation``) and what a class or id calls a menu, footer, sidebar,
+  advert, cookie notice or reader comment is no line. Of an article's own header, headings and paragraphs are
+  lines and what stands beside them (bylines, dates) isn't. An article within an article is a comment.
+* Elements whose class or id only suggests a part of the site (``related``, ``notice``,
+  ``banner`` ...) are aligned by their name instead of their text: where the pair has such an
+  element in the same place, it is the site's and goes; where it hasn't, it is the article's and stays.
+* Lines are units of the innermost ``div``, ``section`` or table cell around them. Articles of one host do
+  share lines (quotations, passages, near copies), so a unit with more text of its own than shared text
+  stays whole, and shared lines are deleted from all others.
+* Where a page marks its article (``article``, ``main``), the lines inside stay however many a neighbour shares,
+  and only suggestively named elements (teasers of other stories too) are decided by alignment. A page whose article has none of these is decided without a pair.
 
 Scale: only hashes of lines are sorted, by range over (host, path, id), so a
 host of any size spreads over many tasks; what meets at the borders of ranges is
-two rows a range.
+two rows a range. Alignments take memory in proportion to the lines of two pages, not to their product.
 
 Defined results: null html is an empty text; null urls have an empty host and
 path; equal urls are ordered by id; repeated rows pair with each other as copies,
-which deletes nothing; pages without a neighbour lose no line; cut-off markup ends
+which deletes nothing; pages without a neighbour lose the suggestively named elements and no other line; cut-off markup ends
 with the page; an empty table gives no rows; other columns are not read.
 """
 
@@ -28,7 +37,9 @@ from __future__ import annotations
 import html as references
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -52,75 +63,105 @@ _BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul video audio".split()
 )
 
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|paywall|sidebar|side|widget\w*|related|recommend\w*|share|sharing|social|comments?|commentlist|replies|disqus|nav|navbar|navigation|menu|breadcrumbs?|toolbar|footer|masthead|site-header|page-header|topbar|pagination|pager|skip|hidden|print-only|sr-only)(?:$|[\s_-])",
+#: Elements whose lines are a unit.
+_UNITS = {"div", "section", "article", "main", "td", "th"}
+
+#: Blocks of an article's header that are the article's.
+_HEADING = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote"}
+
+#: Elements without content.
+_EMPTY = {"br", "img", "input", "hr", "meta", "link", "wbr", "source", "col", "area", "base", "embed", "track", "param"}
+
+# Words that set an element apart when they are a whole class name or id, or stand before "-list", "-box" and the like.
+_STRONG = re.compile(
+    r"(?:ads?|advert|adverts|advertisement|advertising|sponsored|cookies?|cookie-consent|cookie-notice|consent|gdpr|newsletter|paywall|popup|modal|sidebar|comments?|commentlist|disqus|replies|nav|navbar|navigation|menu|breadcrumbs?|footer|masthead|topbar|pagination|pager|sharing|social|site-header|page-header|site-footer|page-footer|site-nav|sr-only)"
+    r"(?:-(?:list|box|bar|area|section|container|wrapper|block|unit|slot|form|banner|links))?",
     re.I,
 )
+
+# Words that suggest a part of the site, as any part of a class name or id; differencing decides.
+_WEAK = re.compile(r"(?:^|[_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|notice|alert|overlay|subscribe|signup|side|widget\w*|related|recommend\w*|share|teaser|toolbar|skip|print-only)(?:$|[_-])", re.I)
+
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "toolbar"}
 
+APART, SITE = "apart", "site"
+
 
-def _apart(tag: str, attributes: str) -> bool:
+def _named(tag: str, attributes: str) -> tuple[str, str]:
+    """APART, SITE (differencing decides) or blank, and the name that says so."""
     if tag in _APART:
-        return True
+        return APART, tag
+    found = ("", "")
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False
+        return found
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         value, name = a or b or c, name.lower()
-        if name in ("class", "id") and _NAMES.search(value):
-            return True
+        if name in ("class", "id"):
+            for token in value.split():
+                if _STRONG.fullmatch(token):
+                    return APART, token
+                if _WEAK.search(token):
+                    found = SITE, f"{tag}.{token.lower()}"
         if name == "role" and value.lower() in _ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return APART, name
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return APART, name
+    return found
+
 
+@dataclass
+class Line:
+    text: str
+    unit: int  # the element around it
+    site: str  # the name of a suggestively named element around it
+    article: bool
+    main: bool
 
-def page_lines(page: str) -> tuple[list[str], bool]:
-    """The lines of a page that markup doesn't set apart; whether they are its marked article."""
-    lines: list[tuple[str, bool]] = []
+
+def _all_lines(page: str) -> list[Line]:
+    """The lines of a page that markup doesn't set apart."""
+    lines: list[Line] = []
     text: list[str] = []
-    inside = 0  # open article or main elements
+    units: list[tuple[str, int]] = []  # open elements of _UNITS and their numbers
+    sites: list[list] = []  # open suggestively named elements: tag, name, how often the tag is open inside
+    count, article, mains = 0, False, 0
     apart, depth = "", 0  # the element that sets its content apart, and how often it is open
-    heading = False
+    headers, block = 0, ""  # open headers of an article, and the block that its text is in
 
     def end() -> None:
         line = " ".join(references.unescape("".join(text)).split())
         text.clear()
-        if line:
-            lines.append((line, inside > 0))
+        if line and (not headers or block in _HEADING):
+            lines.append(Line(line, units[-1][1] if units else 0, sites[-1][1] if sites else "", article, mains > 0))
 
-    at = 0
-    size = len(page)
+    at, size = 0, len(page)
     while at < size:
         m = _TAG.search(page, at)
         begin = m.start() if m else size
-        if begin > at and (not apart or heading):
+        if begin > at and not apart:
             text.append(page[at:begin])
         if not m:
             break
         at = m.end()
-        tag = m[2]
-        if not tag:
+        if not m[2]:
             continue
-        tag, closing = tag.lower(), bool(m[1])
+        tag, closing, alone = m[2].lower(), bool(m[1]), m[3].endswith("/") or m[2].lower() in _EMPTY
         if tag in _RAW:
-            if not closing and not m[3].endswith("/"):
+            if not closing and not alone:
                 close = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
                 at = close.end() if close else size
             continue
         if apart:
-            if apart == "header" and inside and tag[0] == "h" and tag[1:].isdigit():  # an article's own heading
-                end()
-                heading = not closing
             if tag == apart:
-                depth += -1 if closing else 1
+                depth += -1 if closing else not alone
                 if not depth:
-                    apart, heading = "", False
+                    apart = ""
                 continue
-            if tag not in ("article", "main") or closing or (inside and apart != "header"):
+            if tag not in ("article", "main") or closing or article or mains:
                 continue
-            apart, depth, heading = "", 0, False  # it was never closed
-        if not closing and (tag == "header" or _apart(tag, m[3])) and not m[3].endswith("/") and tag not in ("br", "img", "input", "hr", "meta", "link", "html", "body"):
+            apart, depth = "", 0  # it was never closed
+        kind, name = ("", "") if closing or alone or tag in ("html", "body") else _named(tag, m[3])
+        if kind == APART or not closing and (tag == "header" and not article and not mains or tag == "article" and article):
             end()
             apart, depth = tag, 1
             continue
@@ -128,31 +169,120 @@ def page_lines(page: str) -> tuple[list[str], bool]:
             text.append(" ")
         elif tag in _BLOCKS:
             end()
-            if tag in ("article", "main"):
-                inside = max(0, inside + (-1 if closing else 1))
+            block = "" if closing else tag
+        if tag == "header":
+            headers = max(0, headers + (-1 if closing else 1))
+        if closing:
+            if sites and sites[-1][0] == tag:
+                sites[-1][2] -= 1
+                if not sites[-1][2]:
+                    sites.pop()
+            if tag in _UNITS and any(t == tag for t, _ in units):
+                while units.pop()[0] != tag:
+                    pass
+            if tag == "article":
+                article, headers = False, 0
+            elif tag == "main":
+                mains = max(0, mains - 1)
+        elif not alone:
+            if sites and sites[-1][0] == tag:
+                sites[-1][2] += 1
+            elif kind == SITE and not sites:
+                sites.append([tag, name, 1])
+            if tag in _UNITS:
+                count += 1
+                units.append((tag, count))
+            if tag == "article":
+                article = True
+            elif tag == "main":
+                mains += 1
     end()
-    marked = [line for line, own in lines if own]
-    return (marked, True) if marked else ([line for line, _ in lines], False)
+    return lines
+
+
+def page_lines(page: str) -> tuple[list[Line], bool]:
+    """The lines that can be the article's, and whether markup marks the article."""
+    lines = _all_lines(page)
+    inside = [x for x in lines if x.article or x.main]
+    return (inside, True) if inside else (lines, False)
 
 
 def shared_lines(a: list[int], b: list[int]) -> list[bool]:
-    """Which of a's lines are in a longest common subsequence with b (bit-parallel rows, then back along them)."""
-    m = len(b)
+    """Which of a's lines are in a longest common subsequence with b.
+
+    Equal ends are cut off first. What is left is split in halves of a, at the place in b where bit-parallel rows from
+    both sides add up to most, until rows of all lines are small enough to go back along them.
+    """
+    out = [False] * len(a)
+
+    def solve(i: int, n: int, j: int, m: int) -> None:
+        while i < n and j < m and a[i] == b[j]:
+            out[i] = True
+            i, j = i + 1, j + 1
+        while i < n and j < m and a[n - 1] == b[m - 1]:
+            out[n - 1] = True
+            n, m = n - 1, m - 1
+        if i == n or j == m:
+            return
+        if (n - i) * (m - j) <= DIRECT or n - i == 1:
+            for x, s in enumerate(_direct(a[i:n], b[j:m])):
+                out[i + x] = out[i + x] or s
+            return
+        half = (i + n) // 2
+        total = _row(a[i:half], b[j:m]) + _row(a[half:n][::-1], b[j:m][::-1])[::-1]
+        cut = j + int(total.argmax())
+        solve(i, half, j, cut)
+        solve(half, n, cut, m)
+
+    solve(0, len(a), 0, len(b))
+    return out
+
+
+#: Lines times lines whose rows are held at once.
+DIRECT = 1 << 22
+
+
+def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """After each line of a, a number whose bit j is 0 where the common length grows at line j of b."""
     places: dict[int, int] = {}
     for j, x in enumerate(b):
-        places[x] = places.get(x, 0) | 1 << j
-    full = (1 << m) - 1
-    v, rows = full, []
+        if x in places:
+            places[x].append(j)
+        else:
+            places[x] = [j]
+    wanted = set(a)
+    masks = {x: sum(1 << j for j in js) if len(js) < 64 else int.from_bytes(_bits(js, len(b)), "little") for x, js in places.items() if x in wanted}
+    full = (1 << len(b)) - 1
+    v = full
     for x in a:
-        u = v & places.get(x, 0)
+        u = v & masks.get(x, 0)
         v = ((v + u) | (v - u)) & full
-        rows.append(v)
+        yield v
+
+
+def _bits(at: list[int], size: int) -> bytes:
+    flags = np.zeros(size, bool)
+    flags[at] = True
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
+def _row(a: list[int], b: list[int]) -> np.ndarray:
+    """The common lengths of a with each beginning of b."""
+    v = (1 << len(b)) - 1
+    for v in _rows(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(-(-len(b) // 8), "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
+def _direct(a: list[int], b: list[int]) -> list[bool]:
+    rows = list(_rows(a, b))
 
     def length(i: int, j: int) -> int:
         return 0 if i < 0 or j < 0 else (~rows[i] & ((1 << (j + 1)) - 1)).bit_count()
 
     out = [False] * len(a)
-    i, j = len(a) - 1, m - 1
+    i, j = len(a) - 1, len(b) - 1
     while i >= 0 and j >= 0:
         if a[i] == b[j]:
             out[i] = True
@@ -165,43 +295,47 @@ def shared_lines(a: list[int], b: list[int]) -> list[bool]:
 
 
 def parsed(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """row, key, url, host, path, marked, lines and hashes (of lines) of every page."""
+    """row, key, url, host, path, decided, lines, and of each line hash, unit and sort (0: its unit decides, 1: stays, 2: a suggestively named element) of every page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
                 part = batch.slice(begin, 500)
-                marked, lines, hashes = [], [], []
+                decided, lines, hashes, units, sorts = [], [], [], [], []
                 for page in part.column(5).to_pylist():
-                    own, is_marked = page_lines(page or "")
-                    marked.append(is_marked)
-                    lines.append(own)
-                    hashes.append([xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in own])
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(5)), pa.array(marked), pa.array(lines, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64()))], ["row", "key", "url", "host", "path", "marked", "lines", "hashes"])
+                    own, marked = page_lines(page or "")
+                    decided.append(marked and not any(x.site for x in own))
+                    lines.append([x.text for x in own])
+                    hashes.append([xxhash.xxh3_64_intdigest(f"<{x.site}>" if x.site else x.text) - (1 << 63) for x in own])
+                    units.append([x.unit for x in own])
+                    sorts.append([2 if x.site else int(marked) for x in own])
+                made = [pa.array(decided), pa.array(lines, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64())), pa.array(units, pa.list_(pa.int32())), pa.array(sorts, pa.list_(pa.int8()))]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(5)), *made], ["row", "key", "url", "host", "path", "decided", "lines", "hashes", "units", "sorts"])
 
     address = F.coalesce(F.col(url), F.lit(""))
     host = F.lower(F.regexp_extract(address, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(address, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     kind = pages.schema[key].dataType.simpleString()
     plain = pages.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(url).alias("url"), host.alias("host"), path.alias("path"), F.col(html).alias("html"))
-    return plain.mapInArrow(run, f"row long, key {kind}, url string, host string, path string, marked boolean, lines array<string>, hashes array<long>")
+    return plain.mapInArrow(run, f"row long, key {kind}, url string, host string, path string, decided boolean, lines array<string>, hashes array<long>, units array<int>, sorts array<tinyint>")
 
 
 def neighbours(table: DataFrame) -> DataFrame:
-    """row, own hashes, and before and after: host, path and hashes of the pages next to it in order of (host, path, key)."""
+    """row, host, path, hashes, units, sorts and sizes (of lines) of the pages that aren't decided, and before and after: host, path and hashes of the pages next to them in order of (host, path, key)."""
     order = ["host", "path", "key", "row"]
     parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = table.select(*order, "marked", "hashes")
+    open_ = lambda c: F.when(~F.col("decided"), F.col(c)).alias(c)
+    keys = table.select(*order, "decided", "hashes", open_("units"), open_("sorts"), F.when(~F.col("decided"), F.transform("lines", F.length)).alias("sizes"))
     dealt = written(keys.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()))
     page = F.struct("host", "path", "hashes")
     near = Window.partitionBy("range").orderBy(*order)
-    inner = dealt.select("range", *order, "marked", "hashes", F.lag(page).over(near).alias("before"), F.lead(page).over(near).alias("after"))
+    inner = dealt.select("range", *order, "decided", "hashes", "units", "sorts", "sizes", F.lag(page).over(near).alias("before"), F.lead(page).over(near).alias("after"))
     # the first and last page of each range, in order of ranges
     ends = dealt.groupBy("range").agg(F.min_by(page, F.struct(*order)).alias("first"), F.max_by(page, F.struct(*order)).alias("last"))
     ranges = Window.orderBy("range")
     borders = ends.select("range", F.lag("last").over(ranges).alias("last_before"), F.lead("first").over(ranges).alias("first_after"))
-    met = inner.where(~F.col("marked")).join(borders, "range")
-    return met.select("row", "host", "path", "hashes", F.coalesce("before", "last_before").alias("before"), F.coalesce("after", "first_after").alias("after"))
+    met = inner.where(~F.col("decided")).join(borders, "range")
+    return met.select("row", "host", "path", "hashes", "units", "sorts", "sizes", F.coalesce("before", "last_before").alias("before"), F.coalesce("after", "first_after").alias("after"))
 
 
 def _prefix(a: str, b: str) -> int:
@@ -213,14 +347,23 @@ def _prefix(a: str, b: str) -> int:
     return n
 
 
-def kept_mask(host: str, path: str, own: list[int], before: dict | None, after: dict | None, copy: float = COPY) -> list[bool]:
-    """Which lines stay after differencing with the nearest page of the host that is no copy."""
-    near = [p for p in (before, after) if p is not None and p["host"] == host]
-    for other in sorted(near, key=lambda p: -_prefix(p["path"], path)):
-        shared = shared_lines(own, list(other["hashes"]))
-        if sum(shared) < copy * len(own):
-            return [not s for s in shared]
-    return [True] * len(own)
+def kept_mask(page: dict, copy: float = COPY) -> list[bool]:
+    """Which lines of a page (as neighbours returns it) stay after differencing with the nearest page of the host that is no copy."""
+    own, sorts, units, sizes = page["hashes"], page["sorts"], page["units"], page["sizes"]
+    near = [p for p in (page["before"], page["after"]) if p is not None and p["host"] == page["host"]]
+    if not near:
+        return [s != 2 for s in sorts]
+    shared = [False] * len(own)
+    for other in sorted(near, key=lambda p: -_prefix(p["path"], page["path"])):
+        found = shared_lines(own, list(other["hashes"]))
+        if sum(found) < copy * len(own) or all(sorts):
+            shared = found
+            break
+    text: dict[int, int] = {}  # characters of each unit, less shared ones twice
+    for s, u, sort, n in zip(shared, units, sorts, sizes):
+        if not sort:
+            text[u] = text.get(u, 0) + (-n if s else n)
+    return [not s if sort == 2 else sort == 1 or not s or text[u] > 0 and u > 0 for s, u, sort in zip(shared, units, sorts)]
 
 
 def main_texts(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -230,12 +373,12 @@ def main_texts(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
-            masks = [kept_mask(r["host"], r["path"], r["hashes"], r["before"], r["after"]) for r in rows]
+            masks = [kept_mask(r) for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(masks, pa.list_(pa.bool_()))], ["row", "keep"])
 
     keep = neighbours(table).mapInArrow(run, "row long, keep array<boolean>")
-    open_ = table.where(~F.col("marked")).join(keep, "row").select("key", "url", F.transform(F.filter(F.arrays_zip("lines", "keep"), lambda x: x["keep"]), lambda x: x["lines"]).alias("lines"))
-    every = table.where("marked").select("key", "url", "lines").unionByName(open_)
+    open_ = table.where(~F.col("decided")).join(keep, "row").select("key", "url", F.transform(F.filter(F.arrays_zip("lines", "keep"), lambda x: x["keep"]), lambda x: x["lines"]).alias("lines"))
+    every = table.where("decided").select("key", "url", "lines").unionByName(open_)
     text = F.array_join("lines", "\n")
     return every.select(F.col("key").alias(key), F.col("url").alias(url), text.alias("text"), F.length(text).cast("long").alias("n_chars"))
 
