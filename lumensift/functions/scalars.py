@@ -104,7 +104,9 @@ def fit_size(width: Column, height: Column, edge: int) -> Column:
 
 
 def thumbnail_tier(size: Column) -> Column:
-    return F.when(size <= 130, 130).when(size <= 180, 180).otherwise(256)
+    """Width and height of the thumbnails that a list of a size shows."""
+    tier = lambda w, h: F.struct(F.lit(w).alias("width"), F.lit(h).alias("height"))
+    return F.when(size <= 130, tier(240, 180)).when(size <= 180, tier(320, 240)).otherwise(tier(440, 330))
 
 
 def people_label(count: Column) -> Column:

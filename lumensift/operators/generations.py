@@ -50,8 +50,8 @@ def contrast_score(std: Column) -> Column:
     return S.clamp((std - 15) / 60 * 100)
 
 
-def group_score(total: Column, clarity: Column, exposure: Column) -> Column:
-    return total * 0.55 + clarity * 0.30 + exposure * 0.15
+def group_score(clarity: Column, exposure: Column, contrast: Column) -> Column:
+    return clarity * 0.55 + exposure * 0.30 + contrast * 0.15
 
 
 # -- second

@@ -1,20 +1,19 @@
 """Near-duplicate groups of photos: hash pairs, components, ranks, recommendations and human protection.
 
 Input order (``idx``) breaks every tie. Pairs are found by equi joins on parts of the
-64-bit hash; components by alternating stars, with every round written to the shared
+64-bit hash, among different hashes; components by alternating stars, with every round written to the shared
 folder, so a lost executor costs no lineage.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions import scalars as S
-from ..functions.ranks import numbered
+from ..functions.durable import written
+from ..functions.ranks import numbered, placed
 from . import graph
 
 FULL = 64
@@ -27,29 +26,56 @@ def average_hash(grid: Column) -> Column:
     return F.conv(F.array_join(bits, ""), 2, -10).cast("long")
 
 
-def hamming_pairs(photos: DataFrame, threshold: int) -> DataFrame:
-    """i < j with hashes at most threshold bits apart, exactly.
+def near_hashes(hashes: DataFrame, threshold: int) -> DataFrame:
+    """a, b and distance of all different hashes (column hash, distinct) at most threshold bits apart, exactly; a < b.
 
-    The bits are cut into threshold // 2 + 1 parts; two hashes that close differ by
-    one bit at most in some part. So each part of one side meets the equal part, and
-    those with one bit flipped, of the other, by an equi join over long keys
-    (three parts of 21 bits at threshold 5), and what meets is verified.
+    The bits are cut into threshold // 3 + 1 parts; two hashes that close differ by
+    two bits at most in some part. So they meet, in that part, in a value that is one
+    bit at most from either: both sides are sent to all such values, by an equi join over
+    long keys (two parts of 32 bits at threshold 5, three of 21 at 8), and what meets is
+    verified. Among random hashes that is one pair in 3,000 at threshold 8.
     """
-    parts = threshold // 2 + 1
+    parts = threshold // 3 + 1
     cuts = [FULL * n // parts for n in range(parts + 1)]
-    known = photos.where(F.col("hash").isNotNull()).select("idx", "hash")
 
     def part(n: int) -> Column:
         return F.shiftrightunsigned("hash", cuts[n]).bitwiseAND(F.lit((1 << (cuts[n + 1] - cuts[n])) - 1 if parts > 1 else -1).cast("long"))
 
-    exact = F.array(*(F.struct(F.lit(n).alias("part"), part(n).alias("bits")) for n in range(parts)))
-    flips = (F.struct(F.lit(n).alias("part"), part(n).bitwiseXOR(F.lit(_bit(x)).cast("long")).alias("bits")) for n in range(parts) for x in range(cuts[n + 1] - cuts[n]))
-    flipped = F.concat(exact, F.array(*flips))
-    a = known.select("idx", "hash", F.inline(exact)).alias("a")
-    b = known.select("idx", "hash", F.inline(flipped)).alias("b")
-    met = a.join(b, (F.col("a.part") == F.col("b.part")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.idx") != F.col("b.idx")))
+    flips = [(n, x) for n in range(parts) for x in range(-1, cuts[n + 1] - cuts[n])]
+    values = F.array(*(F.struct(F.lit(n).alias("part"), part(n).bitwiseXOR(F.lit(0 if x < 0 else _bit(x)).cast("long")).alias("bits")) for n, x in flips))
+    sent = hashes.select("hash", F.inline(values))
+    a, b = sent.alias("a"), sent.alias("b")
+    met = a.join(b, (F.col("a.part") == F.col("b.part")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.hash") < F.col("b.hash")))
     d = S.hamming(F.col("a.hash"), F.col("b.hash"))
-    return met.where(d <= threshold).select(F.least("a.idx", "b.idx").alias("i"), F.greatest("a.idx", "b.idx").alias("j"), d.alias("distance")).distinct()
+    return met.where(d <= threshold).select(F.col("a.hash").alias("a"), F.col("b.hash").alias("b"), d.alias("distance")).distinct()
+
+
+def _hashed(photos: DataFrame, *more: str) -> DataFrame:
+    return photos.where(F.col("hash").isNotNull()).select("idx", "hash", *more)
+
+
+def hamming_pairs(photos: DataFrame, threshold: int) -> DataFrame:
+    """i < j and distance of all photos with hashes at most threshold bits apart. Hashes are compared once each, however many photos share them."""
+    return _pairs(photos, threshold).select("i", "j", "distance")
+
+
+def _pairs(photos: DataFrame, threshold: int, *more: str) -> DataFrame:
+    """Pairs, with more columns of both as left_ and right_ (of i and of j)."""
+    known = _hashed(photos, *more)
+    near = near_hashes(known.select("hash").distinct(), threshold)
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance")).unionByName(known.select(F.col("hash").alias("a"), F.col("hash").alias("b"), F.lit(0).alias("distance")).distinct())
+    left = known.select(F.col("idx").alias("i"), F.col("hash").alias("a"), *(F.col(c).alias(f"left_{c}") for c in more))
+    right = known.select(F.col("idx").alias("j"), F.col("hash").alias("b"), *(F.col(c).alias(f"right_{c}") for c in more))
+    return left.join(both, "a").join(right, "b").where("i < j")
+
+
+def hamming_links(photos: DataFrame, threshold: int) -> DataFrame:
+    """i and j of links that connect whatever pairs connect: photos of one hash by a star around the first, and the first ones of close hashes. No more than copies and close hashes, so groups of copies cost no square."""
+    first = _hashed(photos).groupBy("hash").agg(F.min("idx").alias("first"))
+    stars = _hashed(photos).join(first, "hash").where("idx > first").select(F.col("first").alias("i"), F.col("idx").alias("j"))
+    near = near_hashes(first.select("hash"), threshold)
+    a, b = first.select(F.col("hash").alias("a"), F.col("first").alias("x")), first.select(F.col("hash").alias("b"), F.col("first").alias("y"))
+    return near.join(a, "a").join(b, "b").select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")).unionByName(stars)
 
 
 def _bit(n: int) -> int:
@@ -57,32 +83,16 @@ def _bit(n: int) -> int:
 
 
 def blocked_pairs(photos: DataFrame, mode: str = "standard") -> DataFrame:
-    """Pairs that agree in the top 8 bits or, but for strict mode, are close in area relative to the lower index; then by distance.
+    """Pairs that agree in the top 8 bits or, but for strict mode, are close in area relative to the lower index; and by distance.
 
-    The area condition is a range join: areas fall in bands of a logarithm, and a photo
-    is sent to the bands its range touches, so the join is by equality.
+    The distance is the rarer condition, so pairs are found by it, and blocks only filter them.
     """
     threshold = V.HAMMING_BY_MODE[mode]
-    known = photos.where(F.col("hash").isNotNull()).select("idx", "hash", "area")
-    top = known.withColumn("k", F.shiftrightunsigned("hash", 56))
-    pairs = _met(top, top, "k", threshold)
+    found = _pairs(photos, threshold, "area")
+    keep = F.shiftrightunsigned("a", 56) == F.shiftrightunsigned("b", 56)
     if threshold >= 8:
-        base = 1.35
-        band = lambda c: F.floor(F.log(F.greatest(c, F.lit(1.0))) / math.log(base))
-        own = F.col("area").cast("double")
-        reach = F.greatest(own, F.lit(1.0)) * 0.35
-        left = known.withColumn("k", F.explode(F.sequence(band(own - reach), band(own + reach))))
-        right = known.withColumn("k", band(own))
-        close = (F.abs(F.col("a.area") - F.col("b.area")) < F.greatest(F.col("a.area").cast("double"), F.lit(1.0)) * 0.35)
-        pairs = pairs.unionByName(_met(left, right, "k", threshold, close))
-    return pairs.distinct()
-
-
-def _met(left: DataFrame, right: DataFrame, key: str, threshold: int, also: Column | None = None) -> DataFrame:
-    on = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.idx") < F.col("b.idx"))
-    d = S.hamming(F.col("a.hash"), F.col("b.hash"))
-    found = left.alias("a").join(right.alias("b"), on & also if also is not None else on).where(d <= threshold)
-    return found.select(F.col("a.idx").alias("i"), F.col("b.idx").alias("j"), d.alias("distance"))
+        keep = keep | (F.abs(F.col("left_area") - F.col("right_area")) < F.greatest(F.col("left_area").cast("double"), F.lit(1.0)) * 0.35)
+    return found.where(keep).select("i", "j", "distance")
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -151,14 +161,18 @@ GROUP_COLUMNS = ("similar_group_id", "similar_group_size", "similar_group_rank",
 
 
 def ranked_groups(photos: DataFrame, pairs: DataFrame, score: str = "score") -> DataFrame:
-    """idx, group_id, group_size, group_rank, is_best and similarity to the group's first member, by one score column."""
+    """idx, group_id, group_size, group_rank, is_best and similarity to the group's first member, by one score column.
+
+    Sizes and first members are aggregated, and ranks come from counts of ranges, so a group of any size isn't sorted in one task.
+    """
     roots = components(pairs)
     numbers = numbered(roots.select("root").distinct(), "root", "no_").select("root", F.format_string("组%03d", "no_").alias("group_id"))
-    group = Window.partitionBy("root")
-    member = photos.join(roots, "idx").join(numbers, "root")
-    nth = F.row_number().over(group.orderBy(F.desc(score), "idx"))
-    first = F.first("hash").over(group.orderBy("idx"))
-    out = member.withColumns({"group_size": F.count(F.lit(1)).over(group), "group_rank": nth, "similarity_score": F.round(F.greatest(F.lit(0.0), 1.0 - S.hamming(first, F.col("hash")) / 64.0), 4)})
+    member = written(photos.select("idx", "hash", score).join(roots, "idx"))
+    sizes = member.groupBy("root").agg(F.count(F.lit(1)).alias("group_size"), F.min_by("hash", "idx").alias("first_"))
+    ranked = placed(member, [F.col("root"), F.desc(score), F.col("idx")], "place_")
+    before = ranked.groupBy("root").agg((F.min("place_") - 1).alias("before_"))
+    out = ranked.join(sizes, "root").join(before, "root").join(numbers, "root")
+    out = out.withColumns({"group_rank": (F.col("place_") - F.col("before_")).cast("int"), "similarity_score": F.round(F.greatest(F.lit(0.0), 1.0 - S.hamming(F.col("first_"), F.col("hash")) / 64.0), 4)})
     return out.select("idx", "root", "group_id", "group_size", "group_rank", (F.col("group_rank") == 1).alias("is_best"), "similarity_score")
 
 

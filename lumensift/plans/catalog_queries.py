@@ -41,23 +41,26 @@ def _case(expression: str, pairs: dict[str, str], default: str) -> str:
     return f"CASE {expression} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in pairs.items()) + f" ELSE {default} END"
 
 
-# -- similarity over vectors (threshold 18: unlike photos, these vectors have no closer pairs)
+# -- similarity over bursts of photos, at the threshold of the standard mode
 
-NEAR = 18
-_PAIRS = f"{A.VECTORS_SQL}, pairs AS (SELECT a.idx AS i, b.idx AS j, hamming(a.bits, b.bits) AS distance FROM vectors a JOIN vectors b ON a.idx < b.idx WHERE hamming(a.bits, b.bits) <= {NEAR})"
+NEAR = V.HAMMING_BY_MODE["standard"]
+_PAIRS = f"""{A.BURSTS_SQL}, pairs AS (
+  SELECT a.idx AS i, b.idx AS j, hamming(a.bits, b.bits) AS distance FROM vectors a JOIN vectors b ON a.idx < b.idx WHERE hamming(a.bits, b.bits) <= {NEAR}
+)"""
 _GROUPS = f"""WITH RECURSIVE {_PAIRS}, both_ AS (SELECT i, j FROM pairs UNION ALL SELECT j, i FROM pairs),
 reach AS (SELECT i AS v, i AS r FROM both_ UNION SELECT reach.v, both_.j FROM reach JOIN both_ ON both_.i = reach.r),
 roots AS (SELECT v AS idx, min(r) AS root FROM reach GROUP BY v),
 ranked AS (
   SELECT v.idx, root, '组' || lpad(dense_rank() OVER (ORDER BY root)::VARCHAR, 3, '0') AS group_id, count(*) OVER (PARTITION BY root) AS group_size,
-    row_number() OVER (PARTITION BY root ORDER BY score DESC, v.idx)::INT AS group_rank, round(greatest(0, 1 - hamming(first(bits) OVER (PARTITION BY root ORDER BY v.idx), bits) / 64.0), 4)::DOUBLE AS similarity_score
+    row_number() OVER (PARTITION BY root ORDER BY score DESC, v.idx)::INT AS group_rank,
+    round(greatest(0, 1 - hamming(first(bits) OVER (PARTITION BY root ORDER BY v.idx), bits) / 64.0), 4)::DOUBLE AS similarity_score
   FROM vectors v JOIN roots USING (idx)
 )"""
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = A.vectors(spark, sf_dir)
-    return similarity.ranked_groups(v, similarity.hamming_pairs(v, NEAR))
+    v = A.bursts(spark, sf_dir)
+    return similarity.ranked_groups(v, similarity.hamming_links(v, NEAR))
 
 
 @query("q_similarity_groups", _GROUPS + " SELECT idx, root, group_id, group_size, group_rank, group_rank = 1 AS is_best, similarity_score FROM ranked")
@@ -65,9 +68,8 @@ def similarity_groups(spark, d):
     return _groups(spark, d)
 
 
-@query("q_hash_pairs", f"WITH {_PAIRS} SELECT i, j, distance::INT AS distance FROM pairs")
-def hash_pairs(spark, d):
-    return similarity.hamming_pairs(A.vectors(spark, d), NEAR)
+for _t in V.HAMMING_BY_MODE.values():
+    query("q_hash_pairs" if _t == NEAR else f"q_hash_pairs_{_t}", f"WITH {_PAIRS.replace(f'<= {NEAR}', f'<= {_t}')} SELECT i, j, distance::INT AS distance FROM pairs")(lambda spark, d, t=_t: similarity.hamming_pairs(A.bursts(spark, d), t))
 
 
 @query("q_average_hash", f"WITH {A.VECTORS_SQL} SELECT idx, bits, list_sum(list_transform(string_split(bits, ''), lambda x: (x = '1')::INT))::INT AS ones FROM vectors")
@@ -75,10 +77,10 @@ def hashes(spark, d):
     return A.vectors(spark, d).select("idx", F.lpad(F.bin("hash"), 64, "0").alias("bits"), F.bit_count("hash").alias("ones"))
 
 
-_BLOCKED = f"""WITH {A.VECTORS_SQL} SELECT a.idx AS i, b.idx AS j, hamming(a.bits, b.bits)::INT AS distance FROM vectors a JOIN vectors b ON a.idx < b.idx
+_BLOCKED = f"""WITH {A.BURSTS_SQL} SELECT a.idx AS i, b.idx AS j, hamming(a.bits, b.bits)::INT AS distance FROM vectors a JOIN vectors b ON a.idx < b.idx
 WHERE hamming(a.bits, b.bits) <= {{t}} AND (a.bits[1:8] = b.bits[1:8] OR ({{t}} >= 8 AND abs(a.area - b.area) < greatest(a.area, 1) * 0.35))"""
 for _mode, _t in V.HAMMING_BY_MODE.items():
-    query(f"q_hash_pairs_blocked_{_mode}", _BLOCKED.format(t=_t))(lambda spark, d, mode=_mode: similarity.blocked_pairs(A.vectors(spark, d), mode))
+    query(f"q_hash_pairs_blocked_{_mode}", _BLOCKED.format(t=_t))(lambda spark, d, mode=_mode: similarity.blocked_pairs(A.bursts(spark, d), mode))
 
 
 @query("q_relative_quality", _GROUPS + " SELECT idx, group_id, group_rank, round((group_size - group_rank + 1) / group_size * 100, 2)::DOUBLE AS relative_quality FROM ranked")
@@ -93,7 +95,7 @@ def keep_topk(spark, d):
 
 @query("q_ungrouped", _GROUPS + " SELECT idx, filename FROM vectors WHERE idx NOT IN (SELECT idx FROM roots)")
 def ungrouped(spark, d):
-    v = A.vectors(spark, d)
+    v = A.bursts(spark, d)
     return v.join(_groups(spark, d).select("idx"), "idx", "left_anti").select("idx", "filename")
 
 
@@ -242,14 +244,14 @@ _SORT_SQL = {
     "置信度": "-ai_confidence, filename", "相似组": "CASE WHEN similar_group_id = '' THEN '999' ELSE similar_group_id END, filename",
 }
 for _n, _sort in enumerate(review.SORTS):
-    query(f"q_sort_{_n}", _with(f", {_FINAL} SELECT row_number() OVER (ORDER BY {_SORT_SQL[_sort]}, idx)::INT AS place, idx FROM finals WHERE starts_with(fin, '单人写真') OR ai_primary_category = '单人写真' QUALIFY place <= 100"))(
+    query(f"q_sort_{_n}", _with(f", {_FINAL} SELECT row_number() OVER (ORDER BY {_SORT_SQL[_sort]}, idx)::INT AS place, idx FROM finals WHERE starts_with(fin, '单人写真') OR ai_primary_category = '单人写真'"))(
         lambda spark, d, sort=_sort: _top_view(spark, d, sort)
     )
 
 
 def _top_view(spark: SparkSession, d: str, sort: str) -> DataFrame:
-    """The first page (100 photos, as in the SQL) of a filtered and sorted view; ``review.placed_view`` places all of it."""
-    return review.placed_view(_final(spark, d), "单人写真", sort).where("place <= 100").select(F.col("place").cast("int").alias("place"), "idx")
+    """The place of every photo of a filtered and sorted view."""
+    return review.placed_view(_final(spark, d), "单人写真", sort).select(F.col("place").cast("int").alias("place"), "idx")
 
 
 @query("q_prev_next", _with("SELECT idx, lag(idx) OVER (ORDER BY filename, idx) AS previous_idx, lead(idx) OVER (ORDER BY filename, idx) AS next_idx FROM photos"))
@@ -418,10 +420,10 @@ def no_export(spark, d):
     return A.photos(spark, d).where(review.not_exported()).select("idx", "filename")
 
 
-@query("q_safe_name", r"SELECT doc_id AS idx, CASE WHEN s = '' THEN '未命名' ELSE s END AS name FROM (SELECT doc_id, rtrim(regexp_replace(trim(substr(replace(text, chr(10), ' '), 1, 40)), '[<>:""/\\|?*]', '_', 'g'), ' .') AS s FROM documents) t".replace('""', '"'))
+@query("q_safe_name", r"SELECT doc_id AS idx, CASE WHEN s = '' THEN '未命名' ELSE s END AS name FROM (SELECT doc_id, rtrim(regexp_replace(trim(replace(coalesce(text, ''), chr(10), ' ')), '[<>:""/\\|?*]', '_', 'g'), ' .') AS s FROM documents) t".replace('""', '"'))
 def safe_names(spark, d):
-    head = F.substring(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), 1, 40)
-    return A.table(spark, d, "documents").select(F.col("doc_id").alias("idx"), S.safe_name(head, "未命名").alias("name"))
+    line = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
+    return A.table(spark, d, "documents").select(F.col("doc_id").alias("idx"), S.safe_name(line, "未命名").alias("name"))
 
 
 # -- joins and state
