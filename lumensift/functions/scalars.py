@@ -58,6 +58,11 @@ def has_keyword(text: Column, keywords: list[str]) -> Column:
     return out
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A number with a fixed number of digits; halves of its binary value go to the even digit."""
+    return F.regexp_replace(F.format_number(x, digits), ",", "")
+
+
 def percent(share: Column) -> Column:
     return F.format_string("%.1f%%", share * 100)
 
@@ -75,7 +80,7 @@ def safe_int(text: Column, default: int = 0) -> Column:
 
 def safe_score(text: Column) -> Column:
     """An integer from 0 to 100; what is no number is 0."""
-    return F.coalesce(clamp(F.floor(text.try_cast("double")).cast("double")), F.lit(0.0)).cast("int")
+    return clamp(F.coalesce(F.floor(text.try_cast("double")).cast("double"), F.lit(0.0))).cast("int")
 
 
 def half_even(x: Column, digits: int) -> Column:

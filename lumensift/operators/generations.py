@@ -19,7 +19,7 @@ def effective_category(manual: Column, auto: Column) -> Column:
 
 
 def resolution_text(width: Column, height: Column) -> Column:
-    return F.concat(width.cast("string"), F.lit(" x "), height.cast("string"), F.lit(" ("), F.format_string("%.1f", S.megapixels(width, height)), F.lit(" MP)"))
+    return F.concat(width.cast("string"), F.lit(" x "), height.cast("string"), F.lit(" ("), S.fixed(S.megapixels(width, height), 1), F.lit(" MP)"))
 
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions import scalars as S
+from ..functions.ranks import placed
 
 EMBEDDING_DIMS = 32
 LEAST_SAMPLES = 50
@@ -73,12 +76,82 @@ def nearest(items: DataFrame, centres: DataFrame, vector: str = "features", limi
     return out.withColumns({"preference_label": F.coalesce(F.col("near_.label"), F.lit("")), "distance": d, "preference_score": F.coalesce(S.clamp(1.0 / (1.0 + d), 0.0, 1.0), F.lit(0.0))}).drop("near_")
 
 
+def report_lines(samples: DataFrame) -> DataFrame:
+    """The report on what has been learnt, as lines: part, place (in its part) and line. Counts are in order of their labels."""
+    # The lines of the report.
+    state = trainable(samples)
+    yes = F.when(F.col("can_train"), "是").otherwise("否")
+    head = F.array(F.lit("我的筛片风格报告"), F.concat(F.lit("样本数量："), F.col("total").cast("string")), F.concat(F.lit("是否达到训练条件："), yes), F.lit(f"模型版本：{V.PREFERENCE_VERSION}"), F.lit("样本分布："))
+    none = F.array(F.lit("样本质量提示：分布基本可用。"))
+    notes = F.when(F.size("warnings") == 0, none).otherwise(F.concat(F.array(F.lit("样本质量提示：")), F.transform("warnings", lambda w: F.concat(F.lit("- "), w))))
+    tail = F.array(F.lit("当前学习方式：本地轻量偏好模型，不训练大模型。"), F.lit("偏好模型只提供建议，不覆盖人工分类。"))
+    listed = lambda part, lines: state.select(F.lit(part).alias("part"), F.posexplode(lines).alias("place", "line")).withColumn("place", F.col("place") + 1)
+    counted = placed(label_counts(samples), [F.col("label")], "place_").select(F.lit("counts").alias("part"), F.col("place_").cast("int").alias("place"), F.concat(F.lit("- "), "label", F.lit(": "), F.col("n").cast("string"), F.lit(" 张")).alias("line"))
+    return listed("head", head).unionByName(counted).unionByName(listed("notes", notes)).unionByName(listed("tail", tail))
+
+
 def reason_text(samples: Column | int, label: Column, score: Column | None = None) -> Column:
     n = F.lit(samples) if isinstance(samples, int) else samples
     tail = F.lit("”。") if score is None else F.concat(F.lit("”，偏好分 "), F.format_string("%.2f", score), F.lit("。"))
     return F.when(label == "", F.lit("偏好模型暂无可用类别。")).otherwise(F.concat(F.lit("根据你已标记的 "), n.cast("string"), F.lit(" 张样本，本图更接近“"), label, tail))
 
 
+def applied(photos: DataFrame, samples: int) -> DataFrame:
+    """Takes over predictions (preference_label and preference_score): score, version and reasons; from 0.60 on, the final reason names the label."""
+    label, score = F.col("preference_label"), F.col("preference_score")
+    why = F.coalesce("ai_reason", F.lit(""))
+    sure = F.concat(why, F.lit("；偏好模型建议："), label, F.lit("，偏好分 "), S.fixed(score, 2), F.lit("。"))
+    final = F.when(label == "", F.col("final_reason")).when(score >= 0.60, sure).otherwise(F.concat(why, F.lit("；偏好模型不确定，建议人工确认。")))
+    reason = reason_text(samples, label, score)
+    return photos.withColumns({"user_preference_score": score, "user_preference_reason": reason, "preference_reason": reason, "preference_model_version": F.when(label == "", "").otherwise(V.PREFERENCE_VERSION), "final_reason": final})
+
+
+def train(samples: DataFrame):
+    """A function that predicts for rows with features: a logistic regression, or the nearest centroid where that can't be fitted; None with too few samples."""
+    if not trainable(samples).first()["total"] >= LEAST_SAMPLES:
+        return None
+    try:
+        fitted = train_logistic(samples)
+    except Exception:  # what can't be fitted falls back to centroids, as the report tells by the model's kind
+        fitted = None
+    if fitted is not None:
+        return lambda items: predict_logistic(fitted[0], items)
+    centres = centroids(samples)
+    return lambda items: nearest(items, centres)
+
+
+def save_model(centres: DataFrame, path: str) -> None:
+    centres.write.mode("overwrite").parquet(path)
+
+
+def clear_model(spark, path: str) -> bool:
+    """Removes a stored model; whether there was one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True))
+
+
+def embedded(items: DataFrame, embed, content: str = "content", dims: int = 512) -> DataFrame:
+    """Adds embedding, normalised, by any back-end: embed maps a list of contents to vectors, in batches; what fails has none."""
+
+    @F.pandas_udf("array<double>")
+    def run(values: pd.Series) -> pd.Series:
+        known = values.notna()
+        vectors = [np.asarray(v, float) for v in embed(values[known].tolist())]
+        out = pd.Series([None] * len(values), index=values.index, dtype=object)
+        out[known] = [(v / (np.linalg.norm(v) or 1.0)).tolist() for v in vectors]
+        return out
+
+    return items.withColumn("embedding", run(F.col(content)))
+
+
+def cosines(vectors: DataFrame, prompts: DataFrame) -> DataFrame:
+    """label and cosine of one vector (a frame of one row) with each prompt."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    v, w = F.col("one_").cast("array<double>"), F.col("vector").cast("array<double>")
+    one = vectors.select(F.col("vector").alias("one_")).limit(1)
+    return prompts.crossJoin(F.broadcast(one)).select("label", (dot(v, w) / F.sqrt(dot(v, v)) / F.sqrt(dot(w, w))).alias("cosine"))  # one row against all
+
+
 def train_logistic(samples: DataFrame):
     """A fitted pipeline with balanced class weights, and its hold-out accuracy (-1 under HOLDOUT_FROM samples); None where training isn't possible."""
     from pyspark.ml import Pipeline

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions import scalars as S
-from . import review
+from . import generations, review
 
 NO_TYPE, NO_RATING, NO_USE = "未分类", "未评级", "未设置"
 
@@ -148,8 +148,8 @@ def overrides(photos: DataFrame) -> DataFrame:
     return photos.where(differs).select("idx", "filename", ai.alias("ai_text"), human.alias("human_text"))
 
 
-def csv_rows(photos: DataFrame, records: DataFrame | None = None) -> DataFrame:
-    """The columns of the review report; photos without an export record are ``report_only``."""
+def csv_rows(photos: DataFrame, records: DataFrame | None = None, *more: str) -> DataFrame:
+    """The columns of the review report (and more of the catalog's); photos without an export record are ``report_only``."""
     none = F.array().cast("array<string>")
     if records is None:
         both = photos.withColumns({"exported_paths": none, "export_status": F.lit(None).cast("string"), "export_error": F.lit(None).cast("string")})
@@ -161,7 +161,7 @@ def csv_rows(photos: DataFrame, records: DataFrame | None = None) -> DataFrame:
         S.joined(F.col("delivery_use")).alias("delivery_use"), S.joined(F.col("issue_tags")).alias("issue_tags"), "commercial_score", "portfolio_score", S.filled(F.col("review_status"), V.UNREVIEWED).alias("review_status"), "similar_group_id",
         F.when(F.coalesce(F.col("similar_group_rank"), F.lit(0)) != 0, F.col("similar_group_rank").cast("string")).otherwise("").alias("similar_group_rank"), "similar_group_status",
         F.when(F.coalesce(F.col("similarity_score"), F.lit(0.0)) != 0, F.format_string("%.3f", F.col("similarity_score"))).otherwise("").alias("similarity_score"), yes("best_in_group").alias("best_in_group"), yes("ai_recommended_best").alias("ai_recommended_best"),
-        F.coalesce("review_note", F.lit("")).alias("review_note"), F.coalesce("export_status", F.lit("report_only")).alias("export_status"), F.coalesce("export_error", F.lit("")).alias("export_error"),
+        F.coalesce("review_note", F.lit("")).alias("review_note"), F.coalesce("export_status", F.lit("report_only")).alias("export_status"), F.coalesce("export_error", F.lit("")).alias("export_error"), *more,
     )
 
 
@@ -170,6 +170,46 @@ def write_csv(photos: DataFrame, path: str, records: DataFrame | None = None) ->
     csv_rows(photos, records).write.mode("overwrite").option("header", True).csv(path)
 
 
+def _text_file(lines: DataFrame, folder: str, name: str) -> str:
+    """Writes lines (column value, of one partition), without collecting them, as one named file; returns its path."""
+    spark = lines.sparkSession
+    lines.write.mode("overwrite").text(folder)
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(s.getPath() for s in files.listStatus(root) if s.getPath().getName().startswith("part-"))
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    files.rename(part, target)
+    return target.toString()
+
+
+def write_csv_file(photos: DataFrame, folder: str, records: DataFrame | None = None, name: str = "review_report.csv") -> str:
+    """The review report as one CSV file that begins with a byte order mark, in input order; returns its path."""
+    return _csv_file(csv_rows(photos, records, "idx"), folder, name)
+
+
+def _csv_file(rows: DataFrame, folder: str, name: str) -> str:
+    """rows (with idx, their order) as a file with a header."""
+    names = [c for c in rows.columns if c != "idx"]
+    line = F.to_csv(F.struct(*(F.col(f"`{c}`") for c in names)), {"escape": "\"", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}).alias("value")
+    head = rows.sparkSession.createDataFrame([(None, "\ufeff" + ",".join(names))], "idx long, value string")
+    return _text_file(head.unionByName(rows.select(F.col("idx").cast("long").alias("idx"), line)).coalesce(1).sortWithinPartitions(F.asc_nulls_first("idx")).select("value"), folder, name)
+
+
+def first_rows(photos: DataFrame, *more: str) -> DataFrame:
+    """The 14 columns of the first pipeline's report (and more of the catalog's)."""
+    c = F.col
+    # The headings.
+    return photos.select(
+        c("filename").alias("文件名"), c("path").alias("路径"), c("clarity_score").alias("清晰度"), c("exposure_score").alias("曝光"), c("contrast_score").alias("对比度"), c("total_score").alias("综合评分"), c("auto_category").alias("自动分类"),
+        c("manual_category").alias("手动分类"), c("notes").alias("备注"), F.coalesce(c("similar_group_id").cast("string"), F.lit("")).alias("相似组"), F.when(c("recommended_in_group"), "是").otherwise("否").alias("相似组推荐"),
+        generations.resolution_text(c("width"), c("height")).alias("分辨率"), c("file_size_mb").alias("文件大小MB"), c("taken_at").alias("拍摄时间"), *more,
+    )
+
+
+def write_first_report(photos: DataFrame, folder: str) -> str:
+    return _csv_file(first_rows(photos, "idx"), folder, "photo_report.csv")
+
+
 def write_no_export(photos: DataFrame, path: str) -> None:
     line = F.concat(F.lit("- "), F.col("filename"), F.lit(" | "), F.col("path"), F.lit(" | "), F.coalesce(F.col("review_note"), F.lit("")))
     photos.where(review.not_exported()).orderBy("idx").select(line.alias("value")).write.mode("overwrite").text(path)

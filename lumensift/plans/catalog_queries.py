@@ -578,16 +578,6 @@ def people_label(spark, d):
     return A.photos(spark, d).select("idx", S.people_label(F.col("people")).alias("people"), S.orientation3(F.col("width"), F.col("height")).alias("orientation"))
 
 
-@query("q_g2_category")
-def g2_category(spark, d):
-    """Rows only here; tests hold the rules against a plain version."""
-    c = F.col
-    p = _tagged(spark, d).withColumns({"label_": S.people_label(c("people")), "look_": generations.appearance_tags(c("filename"), c("people"))})
-    p = p.withColumn("shoot_", generations.shooting_type(c("filename"), c("label_"), c("look_"), c("ai_primary_category")))
-    got = generations.category(c("label_"), c("shoot_"), c("look_"), c("tags"), c("mean") / 255, c("contrast") / 255, c("ai_primary_category"), c("ai_secondary_category"), c("ai_confidence"), c("centre"), c("people"))
-    return p.select("idx", got["primary"].alias("primary_category"), got["secondary"].alias("secondary_category"), F.round(got["confidence"], 6).alias("confidence"))
-
-
 def _advised(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
     return _tagged(spark, d).withColumns({"ai_quality_tags": c("tags"), "subject_area_ratio": c("bright"), "subject_center_score": c("centre"), "edge_cutoff_risk": c("edge"), "detected_person_count": c("people"), "detection_confidence": (c("k") % 4) / 4.0, "top3": F.when(c("k") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("a"), F.lit("b"))), "absolute_quality_score": c("lap"), "final_pick_score": c("mean"), "ai_confidence": (c("k") % 4) / 4.0})
@@ -616,14 +606,6 @@ def list_texts(spark, d):
     return A.photos(spark, d).select("idx", *(c.alias(n) for n, c in advice.shown().items()))
 
 
-@query("q_iou_nms")
-def iou_nms(spark, d):
-    """Boxes that stay after overlaps go, of eight boxes a vector; rows only."""
-    whole = lambda c, n, at: (F.abs(F.get(c, F.lit(at))) * n).cast("int")
-    boxes = F.array(*(F.struct(whole("vector", 400, i).alias("x"), whole("vector", 400, i + 8).alias("y"), (whole("vector", 300, i + 16) + 1).alias("w"), (whole("vector", 300, i + 24) + 1).alias("h")) for i in range(8)))
-    return A.vectors(spark, d).select("idx", F.size(similarity.kept_boxes(boxes)).alias("n_kept"))
-
-
 # -- additions over events, with streaming forms
 
 

@@ -6,7 +6,8 @@ import json
 import os
 from dataclasses import asdict, dataclass, field, fields
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,6 +72,19 @@ def storage_rows(photos: DataFrame) -> DataFrame:
     return photos.select(*(one(f).alias(f.name) for f in photos.schema.fields))
 
 
+FIRST_STORED = (
+    "path", "filename", "thumbnail_path", "width", "height", "file_size_mb", "taken_at", "orientation", "clarity_score", "exposure_score", "contrast_score", "resolution_score", "perceptual_hash", "similarity_bonus", "total_score",
+    "auto_category", "manual_category", "notes", "similar_group_id", "recommended_in_group", "is_duplicate",
+)
+
+
+def first_storage_rows(photos: DataFrame) -> DataFrame:
+    """The first pipeline's stored columns, as far as photos have them; flags as 0 or 1, and no thumbnail as blank."""
+    flags = {"recommended_in_group", "is_duplicate"}
+    one = lambda c: F.col(c).cast("int") if c in flags else F.coalesce(c, F.lit("")) if c == "thumbnail_path" else F.col(c)
+    return photos.select(*(one(c).alias(c) for c in FIRST_STORED if c in photos.columns))
+
+
 # -- scans
 
 
@@ -94,7 +108,6 @@ def images(spark: SparkSession, folder: str) -> DataFrame:
 
 def capture_times(files: DataFrame) -> DataFrame:
     """path and taken_at of JPEG contents (column content): the first of three EXIF tags that isn't empty."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def read(content: pd.Series) -> pd.Series:
@@ -151,10 +164,10 @@ def upserted(old: DataFrame, new: DataFrame, key: str = "path") -> DataFrame:
 
 
 def latest(rows: DataFrame, key: str, *order: Column) -> DataFrame:
-    """The first row of each key in an order, as one aggregation without a sort."""
+    """The row of each key that is first in an order, as one aggregation without a sort."""
     rest = [c for c in rows.columns if c != key]
-    nth = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return rows.withColumn("nth_", nth).where("nth_ = 1").select(key, *rest)
+    first = F.min_by(F.struct(*rest), F.struct(*order))
+    return rows.groupBy(key).agg(first.alias("row_")).select(key, *(F.col(f"row_.{c}").alias(c) for c in rest))
 
 
 def save(spark: SparkSession, new: DataFrame, path: str) -> None:
@@ -200,6 +213,15 @@ def library_images(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode("images").alias("image", "tags")).withColumn("tags", F.array_intersect("tags", V.array_of(V.AESTHETIC_TAGS)))
 
 
+def write_library(known: DataFrame, folders: list[str], path: str, images_per_file: int = 10_000) -> None:
+    """A library (image and tags) as JSON documents of at most about images_per_file images each, one a file."""
+    files = max(1, -(-known.count() // images_per_file))
+    part = F.pmod(F.xxhash64("image"), F.lit(files))
+    images = F.map_from_entries(F.collect_list(F.struct("image", "tags"))).alias("images")
+    documents = known.groupBy(part.alias("part")).agg(images).select(F.array(*map(F.lit, folders)).alias("folders"), "images")
+    documents.write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
+
+
 def library_scanned(known: DataFrame, files: DataFrame) -> DataFrame:
     """Known images with their tags, and new files with none."""
     new = files.select(F.col("path").alias("image")).join(known.select("image"), "image", "left_anti")
@@ -242,6 +264,44 @@ def cached(items: DataFrame, cache: DataFrame, keys: list[str], value: str) -> t
     return both.where(F.col(value).isNotNull()), both.where(F.col(value).isNull()).drop(value)
 
 
+def cached_by_time(items: DataFrame, cache: DataFrame, value: str, tolerance: float = 0.0001) -> tuple[DataFrame, DataFrame]:
+    """Items (path, mtime) whose value is in a cache made at the same time of the file, and those to be computed."""
+    kept = cache.select("path", F.col("mtime").alias("cached_at_"), value)
+    both = items.join(kept, "path", "left")
+    fresh = F.coalesce(F.abs(F.col("cached_at_") - F.col("mtime")) < tolerance, F.lit(False))
+    return both.where(fresh).drop("cached_at_"), both.where(~fresh).drop("cached_at_", value)
+
+
+def write_cache(rows: DataFrame, path: str) -> None:
+    """Appends rows to a cache; nothing is overwritten, so readers and writers don't meet."""
+    rows.write.mode("append").parquet(path)
+
+
+def read_cache(spark: SparkSession, path: str, keys: list[str], order: str) -> DataFrame:
+    """The latest row of each key of a cache, as one aggregation."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("row_")).select(*keys, *(F.col(f"row_.{c}").alias(c) for c in rest))
+
+
+def canonical_json(text: Column) -> Column:
+    """JSON without white space, with keys in their order and letters as they are; other text unchanged. In Arrow batches, as the JVM's JSON sorts or drops."""
+
+    def plain(value: str | None) -> str:
+        if not value:
+            return ""
+        try:
+            return json.dumps(json.loads(value), ensure_ascii=False, separators=(",", ":"))
+        except ValueError:
+            return value
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(plain)
+
+    return run(text)
+
+
 # -- settings (driver side)
 
 
@@ -300,8 +360,15 @@ def write_settings(settings: Settings, path: str) -> None:
 
 
 def presets(path: str) -> dict[str, dict[str, int]]:
-    import yaml
+    """Presets of a YAML file; without a YAML reader, or where it fails, of its plain lines."""
+    from . import session
 
     with open(path, encoding="utf-8") as f:
-        loaded = yaml.safe_load(f) or {}
-    return {str(k): {str(a): int(b) for a, b in v.items()} for k, v in loaded.items() if isinstance(v, dict)}
+        text = f.read()
+    try:
+        import yaml
+
+        loaded = yaml.safe_load(text) or {}
+    except Exception:
+        return session.plain_presets(text)
+    return {} if not isinstance(loaded, dict) else {str(k): {str(a): int(b) for a, b in v.items()} for k, v in loaded.items() if isinstance(v, dict)}

@@ -52,6 +52,12 @@ def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes")
     return own.groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value")).select(F.col("window.start").alias("start"), "event_type", "n", "value")
 
 
+def sliding(events: DataFrame, width: str = "2 hours", slide: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Events by overlapping windows and type; on a stream and on a table."""
+    own = _marked(events, late)
+    return own.groupBy(F.window("ts", width, slide), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+
+
 def sessions(events: DataFrame, gap: str = "6 hours", late: str = "10 minutes") -> DataFrame:
     own = _marked(events, late)
     return own.groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n")

@@ -3,9 +3,12 @@
 import pytest
 
 from lumensift.plans import catalog_queries as Q
+from lumensift.plans import review_queries as R
 
 from .conftest import same_rows
 
+assert R  # its queries are among those of Q
+
 TINY = "/root/testdata/sf0.001"
 
 
