@@ -498,10 +498,10 @@ def _placed(plain: DataFrame, rows: DataFrame, n: int, threshold: Fraction) -> D
     around = written(_members(_regions(plain, n, threshold)).select(F.col("pivot").alias("cell"), "key").distinct())
     named = profiles.select("key", F.col("n_shingles").alias("n"), "sketch").join(around.select("key").distinct(), "key", "left_semi")
     sketches = written(named.groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    cells = written(_bounded(written(around.join(sketches.select("key", "n"), "key")), sketches, threshold))
+    cells = _bounded(written(around.join(sketches.select("key", "n"), "key")), sketches, threshold)
     alive = written(_alive(cells, sketches, threshold))
     sets = _sets(plain, alive.select("key").distinct(), n)
-    roots = components(written(_links(alive, sets, threshold)))
+    roots = components(_links(alive, sets, threshold))
     return profiles.drop("sketch").join(roots.withColumnRenamed("v", "key"), "key", "left").select(*(c for c in profiles.columns if c not in ("key", "sketch")), F.coalesce("root", "key").alias("root"))
 
 

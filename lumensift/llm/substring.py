@@ -50,13 +50,13 @@ K = 20
 M = 2
 
 #: Packed bytes after which a map task sends its blocks.
-SLICE_BYTES = 48 << 20
+SLICE_BYTES = 32 << 20
 
 #: Bytes of text for each bucket.
-BUCKET_BYTES = 48 << 20
+BUCKET_BYTES = 16 << 20
 
 #: Packed bytes above which a bucket is dealt again, over how many buckets, and how often.
-HOT_BYTES = 64 << 20
+HOT_BYTES = 32 << 20
 SPREAD = 64
 LEVELS = 4
 
@@ -221,9 +221,9 @@ def _bucket_spans(blobs: list[bytes], k: int) -> tuple[np.ndarray, ...]:
 
 
 def bucket_count(texts: DataFrame) -> int:
-    """As many buckets as the bytes of all texts (column text) ask for, and four a shuffle partition at least."""
+    """As many buckets as the bytes of all texts (column text) ask for, and eight a shuffle partition at least."""
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES + 1)
+    return max(8 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES + 1)
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, m: int = M) -> DataFrame:
