@@ -41,6 +41,8 @@ otherwise agree in a class that counts, so exactness stays.
 A vertex is a set, named by a 64-bit hash of it, so copies are one vertex from the
 first shuffle on; shingles are 64-bit hashes too.
 
+Ids are whole numbers, or text that reads as one.
+
 Defined results: texts without words have an empty set, which links with nothing;
 texts with fewer words than a shingle have one, the whole sequence; a null id comes
 after all others, so only a component of null ids alone has a null id; rows with

@@ -13,6 +13,8 @@ Packing is sequential, so pieces are dealt by hash into shards of about
 ``SHARD_PIECES`` pieces, whose number follows the count of pieces; bins never
 span shards. Only ids, sources, cluster hashes and sizes are shuffled, not texts.
 
+Ids are whole numbers, or text that reads as one.
+
 Defined results: null, blank and empty texts have no token and no piece; a null
 source is a source of its own; a null id is packed like any other; documents with
 equal texts are a cluster (unless a cluster column is given, whose nulls conflict

@@ -8,13 +8,13 @@ those with an equal first turn answer the same prompt; in order of their ids, th
 first of each two is taken as chosen and the second as rejected. What has no
 partner is returned with an empty rejected side, so no conversation is lost.
 
-A first turn that a third of all conversations share is no hot group: ranks come
-from counts of blocks of ids, and a block has ``BLOCK`` ids at most.
+A first turn that a third of all conversations share is no hot group: conversations are
+dealt by ranges of (first turn, id), whatever the ids are, and ranks come from the counts of the ranges.
 
 Defined results: turns are ordered by turn number, then role and text (repeated
 rows stay, null numbers first); a null role renders as ``none`` and a null text as
-empty; turns are equal when role and text are (null equals null); all null ids are
-one conversation; a missing side has no turn, so its common prefix is empty; an
+empty; turns are equal when role and text are (null equals null); ids may be numbers or
+text; all null ids are one conversation, which comes first; a missing side has no turn, so its common prefix is empty; an
 empty table gives no rows; other columns are not read.
 """
 
@@ -23,8 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Ids whose ranks are found in one group.
-BLOCK = 1024
+from ..functions.durable import written
 
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
 
@@ -70,12 +69,13 @@ def pair_by_prompt(convs: DataFrame) -> DataFrame:
     first = F.col("turns")[0]
     # two hashes of the first turn, as a key of fixed size
     asked = F.struct(F.xxhash64(first["role"], first["text"]).alias("a"), F.hash(first["text"], first["role"]).alias("b"))
-    block = F.floor(F.coalesce(F.col("key"), F.lit(-1)) / BLOCK)
-    marked = convs.withColumn("asked", asked).withColumn("block", block)
-    before = Window.partitionBy("asked").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = marked.groupBy("asked", "block").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("asked", "block").orderBy("key")) - 1
-    ranked = marked.withColumn("rank", rank).join(counts.select("asked", "block", "before"), ["asked", "block"]).withColumn("rank", F.col("rank") + F.col("before"))
+    parts = int(convs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["asked", F.asc_nulls_first("key")]
+    dealt = written(convs.withColumn("asked", asked).repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()))
+    before = Window.partitionBy("asked").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("asked", "range").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("asked", "range").orderBy(F.asc_nulls_first("key"))) - 1
+    ranked = dealt.withColumn("rank", rank).join(counts.select("asked", "range", "before"), ["asked", "range"]).withColumn("rank", F.col("rank") + F.col("before"))
     side = lambda s, c: F.max(F.when(F.col("rank") % 2 == s, F.struct(F.col("key"), F.col("turns"), F.lit(1).alias("there"))))[c]
     paired = ranked.groupBy("asked", F.floor(F.col("rank") / 2).alias("pair")).agg(side(0, "key").alias("chosen_id"), side(0, "turns").alias("chosen"), side(1, "key").alias("rejected_id"), side(1, "turns").alias("rejected"))
     return paired.select("chosen_id", "chosen", "rejected_id", "rejected")

@@ -21,6 +21,8 @@ Exactness: windows are compared by 128 bits, 64 over the hashes of their words a
 64 over their bytes, which have nothing in common; windows are judged on the input.
 No window is dropped or sampled.
 
+Ids are whole numbers, or text that reads as one.
+
 Defined results: null, blank and short texts have no window and lose nothing;
 places come in the order of id (null after all others), then of the text's hash,
 then of start; a row is known by its id and its text's hash, so rows that share an

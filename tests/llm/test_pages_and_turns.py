@@ -177,6 +177,22 @@ def test_pairs_share_their_prefix_once(spark):
     assert preferences.format_pairs(preferences.pair_by_prompt(preferences.conversations(turns(spark, [])))).count() == 0
 
 
+def test_sparse_and_textual_ids_are_paired_in_order(spark):
+    rng = random.Random(6)
+    for kind, ids in (("long", [rng.getrandbits(62) for _ in range(41)]), ("string", [f"c{rng.getrandbits(60):x}" for _ in range(41)])):
+        data = [(c, n, "user" if n == 0 else "assistant", "asked by many" if n == 0 else f"answer {c}") for c in ids for n in (0, 1)]
+        df = spark.createDataFrame(data, f"conv_id {kind}, turn long, role string, text string").repartition(3)
+        got = {(r["chosen_id"], r["rejected_id"]) for r in preferences.pair_by_prompt(preferences.conversations(df)).collect()}
+        order = [*sorted(ids), None]
+        assert got == set(zip(order[::2], order[1::2]))
+
+
+def test_very_long_conversations(spark):
+    data = [(c, n, "user" if n % 2 == 0 else "assistant", "x" * 50 if n < 2999 else f"end {c}") for c in (1, 2) for n in range(3000)]
+    r = preferences.format_pairs(preferences.pair_by_prompt(preferences.conversations(turns(spark, data)))).first()
+    assert r["n_prompt_turns"] == 2999 and r["chosen_completion"] == "<|assistant|>\nend 1<|end|>\n" and r["rejected_spans"][0]["end"] == len("<|assistant|>\nend 2")
+
+
 def test_prefix_of_equal_and_longer(spark):
     rng = random.Random(3)
     data, plain = [], {}
