@@ -1,0 +1,129 @@
+"""A baseline JPEG writer in numpy: 8 x 8 cosine transform, quantisation by quality, and Huffman codes made for each picture."""
+
+from __future__ import annotations
+
+import heapq
+import struct
+
+import numpy as np
+
+# The example quantisation tables of ITU-T T.81, Annex K, row by row.
+LUMINANCE = """16 11 10 16 24 40 51 61 12 12 14 19 26 58 60 55 14 13 16 24 40 57 69 56 14 17 22 29 51 87 80 62
+18 22 37 56 68 109 103 77 24 35 55 64 81 104 113 92 49 64 78 87 103 121 120 101 72 92 95 98 112 100 103 99"""
+CHROMINANCE = """17 18 24 47 99 99 99 99 18 21 26 66 99 99 99 99 24 26 56 99 99 99 99 99 47 66 99 99 99 99 99 99
+99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99"""
+
+#: Places of the zigzag order, along the diagonals, up and down in turn.
+ZIGZAG = np.array([y * 8 + x for y, x in sorted(((y, x) for y in range(8) for x in range(8)), key=lambda p: (p[0] + p[1], p[0] if (p[0] + p[1]) % 2 else p[1]))])
+
+_N = np.arange(8)
+COSINE = np.sqrt(np.where(_N == 0, 1, 2) / 8)[:, None] * np.cos((2 * _N[None] + 1) * _N[:, None] * np.pi / 16)
+
+
+def quantiser(table: str, quality: int) -> np.ndarray:
+    scale = 5000 / quality if quality < 50 else 200 - 2 * quality
+    return np.clip((np.array(table.split(), float) * scale + 50) // 100, 1, 255)
+
+
+def code_lengths(counts: np.ndarray) -> dict[int, int]:
+    """Huffman code lengths of up to 16 bits for the symbols that occur; the code of all ones stays free."""
+    heap = [(int(n), s, (s,)) for s, n in enumerate(counts) if n] + [(1, 256, (256,))]
+    heapq.heapify(heap)
+    length = dict.fromkeys((s for _, _, (s,) in heap), 0)
+    if len(heap) == 1:
+        length[256] = 1
+    while len(heap) > 1:
+        (a, _, x), (b, s, y) = heapq.heappop(heap), heapq.heappop(heap)
+        for symbol in x + y:
+            length[symbol] += 1
+        heapq.heappush(heap, (a + b, max(s, 257), x + y))
+    sizes = np.bincount(list(length.values()), minlength=40)
+    for i in range(len(sizes) - 1, 16, -1):  # codes that are too long move up, in pairs, beside a shorter one
+        while sizes[i]:
+            j = i - 2
+            while not sizes[j]:
+                j -= 1
+            sizes[i] -= 2
+            sizes[i - 1] += 1
+            sizes[j + 1] += 2
+            sizes[j] -= 1
+    last = int(np.flatnonzero(sizes)[-1])
+    sizes[last] -= 1  # the free code
+    order = sorted((s for s in length if s != 256), key=lambda s: (length[s], -int(counts[s]), s))
+    out, at = {}, 0
+    for bits in range(1, 17):
+        for symbol in order[at : at + int(sizes[bits])]:
+            out[symbol] = bits
+        at += int(sizes[bits])
+    return out
+
+
+def _codes(lengths: dict[int, int]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The table as stored, and code and length of each symbol."""
+    order = sorted(lengths, key=lambda s: lengths[s])  # stable, so as the lengths were dealt out
+    code, value, size = np.zeros(256, np.int64), 0, np.zeros(256, np.int64)
+    before = 0
+    for s in order:
+        value <<= lengths[s] - before
+        before = lengths[s]
+        code[s], size[s] = value, before
+        value += 1
+    stored = bytes(sum(n == bits for n in lengths.values()) for bits in range(1, 17)) + bytes(order)
+    return stored, code, size
+
+
+def _magnitude(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of bits of each value, and the bits."""
+    size = np.ceil(np.log2(np.abs(v) + 1)).astype(np.int64)
+    return size, np.where(v < 0, v + (1 << size) - 1, v)
+
+
+def _scan(blocks: np.ndarray, part: int) -> bytes:
+    """The coded blocks (in zigzag order) of a component, with their tables."""
+    n = len(blocks)
+    dc_size, dc_bits = _magnitude(np.diff(blocks[:, 0], prepend=0))
+    block, pos = np.nonzero(blocks[:, 1:])
+    run = pos - np.where(np.concatenate([[-1], block[:-1]]) == block, np.concatenate([[-1], pos[:-1]]), -1) - 1
+    size, bits = _magnitude(blocks[block, pos + 1])
+    far = run // 16
+    long_at = np.repeat(np.arange(len(block)), far)  # 16 zeros each
+    last = np.full(n, -1)
+    last[block] = pos
+    ends = np.flatnonzero(last < 62)
+    # tokens: where they stand, symbol, extra bits and their number
+    where = np.concatenate([np.arange(n) * 256, block * 256 + pos * 2 + 3, block[long_at] * 256 + pos[long_at] * 2 + 2, ends * 256 + 255])
+    symbol = np.concatenate([dc_size, (run % 16) * 16 + size, np.full(len(long_at), 0xF0), np.zeros(len(ends), np.int64)])
+    extra, more = np.concatenate([dc_bits, bits, np.zeros(len(long_at) + len(ends), np.int64)]), np.concatenate([dc_size, size, np.zeros(len(long_at) + len(ends), np.int64)])
+    is_dc = np.arange(len(where)) < n
+    tables, code, length = b"", np.zeros(len(where), np.int64), np.zeros(len(where), np.int64)
+    for kind, own in ((0, is_dc), (1, ~is_dc)):
+        stored, codes, sizes = _codes(code_lengths(np.bincount(symbol[own], minlength=256)))
+        tables += b"\xff\xc4" + struct.pack(">HB", 19 + len(stored) - 16, kind << 4) + stored
+        code[own], length[own] = codes[symbol[own]], sizes[symbol[own]]
+    order = np.argsort(where, kind="stable")
+    value, width = ((code << more) | extra)[order], (length + more)[order]
+    token = np.repeat(np.arange(len(width)), width)
+    within = np.arange(len(token)) - np.repeat(np.cumsum(width) - width, width)
+    stream = (value[token] >> (width[token] - 1 - within)) & 1
+    stream = np.concatenate([stream, np.ones(-len(stream) % 8, np.int64)])
+    data = np.packbits(stream.astype(bool)).tobytes().replace(b"\xff", b"\xff\x00")
+    return tables + b"\xff\xda" + struct.pack(">HBBBBBB", 8, 1, part, 0, 0, 63, 0) + data
+
+
+def encode(rgb: np.ndarray, quality: int = 92) -> bytes:
+    """A picture (rows of RGB bytes) as a JPEG file."""
+    h, w = rgb.shape[:2]
+    full = np.pad(rgb.astype(float), ((0, -h % 8), (0, -w % 8), (0, 0)), mode="edge")
+    r, g, b = full[:, :, 0], full[:, :, 1], full[:, :, 2]
+    y = 0.299 * r + 0.587 * g + 0.114 * b
+    planes = (y - 128, (b - y) / 1.772, (r - y) / 1.402)
+    tables = [quantiser(t, quality) for t in (LUMINANCE, CHROMINANCE)]
+    out = b"\xff\xd8\xff\xe0" + struct.pack(">H5sHBHHBB", 16, b"JFIF\0", 0x0101, 0, 1, 1, 0, 0)
+    for n, t in enumerate(tables):
+        out += b"\xff\xdb" + struct.pack(">HB", 67, n) + t[ZIGZAG].astype(np.uint8).tobytes()
+    out += b"\xff\xc0" + struct.pack(">HBHHB", 17, 8, h, w, 3) + b"".join(struct.pack("BBB", n + 1, 0x11, min(n, 1)) for n in range(3))
+    for n, plane in enumerate(planes):
+        blocks = plane.reshape(plane.shape[0] // 8, 8, -1, 8).swapaxes(1, 2).reshape(-1, 8, 8)
+        cut = np.rint((COSINE @ blocks @ COSINE.T).reshape(-1, 64) / tables[min(n, 1)]).astype(np.int64)
+        out += _scan(cut[:, ZIGZAG], n + 1)
+    return out + b"\xff\xd9"

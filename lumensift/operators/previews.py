@@ -1,0 +1,107 @@
+"""JPEG previews and thumbnails of decoded images, made in Arrow batches on the executors.
+
+A thumbnail is named by its file and by a key of path, time, size and mode, so a
+cache of them (``catalog.write_cache``) is asked by name: a photo that changed has another name.
+"""
+
+from __future__ import annotations
+
+import os
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import jpeg
+from ..functions import scalars as S
+from .pixels import area_resize, resize_to_edge, to_rgb
+
+MADE = "path string, name string, width int, height int, jpeg binary, error string"
+
+
+def upright(rgb: np.ndarray, orientation: int) -> np.ndarray:
+    """The picture turned and mirrored as EXIF's orientation says."""
+    if orientation in (2, 4, 5, 7):
+        rgb = rgb[:, ::-1]
+    turns = {3: 2, 4: 2, 5: 1, 6: 3, 7: 3, 8: 1}.get(orientation, 0)
+    return np.rot90(rgb, turns)
+
+
+def contained(rgb: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Scaled down, never up, to fit into a frame."""
+    ratio = min(1.0, width / rgb.shape[1], height / rgb.shape[0])
+    return rgb if ratio == 1 else np.rint(area_resize(rgb, max(1, round(rgb.shape[0] * ratio)), max(1, round(rgb.shape[1] * ratio)))).astype(np.uint8)
+
+
+def covering(rgb: np.ndarray, width: int, height: int) -> np.ndarray:
+    """The middle of the picture in the frame's proportions, scaled to the frame."""
+    h, w = rgb.shape[:2]
+    cw, ch = min(w, h * width / height), min(h, w * height / width)
+    x, y = int((w - cw) / 2), int((h - ch) / 2)
+    return np.rint(area_resize(rgb[y : y + max(1, round(ch)), x : x + max(1, round(cw))], height, width)).astype(np.uint8)
+
+
+def _made(images: DataFrame, make, quality: int) -> DataFrame:
+    """images has path, name, orientation (NULL: upright) and image; make turns a picture into a smaller one. A picture that fails is a row with an error."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for path, name, turned, h, w, c, data in f[["path", "name", "orientation", "height", "width", "channels", "data"]].itertuples(index=False):
+                try:
+                    small = make(upright(to_rgb(data, h, w, c), 1 if pd.isna(turned) else int(turned)))
+                    rows.append((path, name, small.shape[1], small.shape[0], jpeg.encode(small, quality), None))
+                except Exception as e:  # one bad picture is a row with an error, not a failed job
+                    rows.append((path, name, None, None, None, f"{type(e).__name__}: {e}"))
+            out = pd.DataFrame(rows, columns=["path", "name", "width", "height", "jpeg", "error"])
+            yield out.astype({"width": "Int32", "height": "Int32"})
+
+    i = "image"
+    flat = images.select("path", "name", "orientation", F.col(f"{i}.height").alias("height"), F.col(f"{i}.width").alias("width"), F.col(f"{i}.nChannels").alias("channels"), F.col(f"{i}.data").alias("data"))
+    return flat.mapInPandas(run, MADE)
+
+
+def _named(images: DataFrame, name) -> DataFrame:
+    turned = F.col("orientation") if "orientation" in images.columns else F.lit(None).cast("int")
+    return images.select("path", name.alias("name"), turned.alias("orientation"), "image")
+
+
+def thumbnails(images: DataFrame, width: int = 360, height: int = 270, mode: str = "contain") -> DataFrame:
+    """MADE of images (path, mtime, size, image, and orientation if known): contained in a frame, or covering it."""
+    key = S.cache_key(F.col("path"), F.col("mtime").cast("long"), F.col("size"), F.lit(f"{width}x{height}"), F.lit(mode))
+    name = F.concat(S.stem(F.col("path")), F.lit("_"), F.substring(key, 1, 16), F.lit(".jpg"))
+    shape = covering if mode == "cover" else contained
+    return _made(_named(images, name), lambda rgb: shape(rgb, width, height), 86)
+
+
+def previews(images: DataFrame, edge: int = 2400) -> DataFrame:
+    """MADE of images, scaled to a longest edge, for an export."""
+    return _made(_named(images, F.concat(S.safe_name(S.stem(F.col("path")), "未命名"), F.lit(".jpg"))), lambda rgb: resize_to_edge(rgb, edge), 92)
+
+
+def write_files(made: DataFrame, root: str) -> DataFrame:
+    """Writes the pictures below a folder that all executors share, and returns path, written and error. Equal names get _001 and so on; a file is written beside its place and then moved, so a task may run again."""
+    from .export import unique_name
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            done, errors = [], []
+            for name, data, error in zip(f["target"], f["jpeg"], f["error"]):
+                target = os.path.join(root, name)
+                try:
+                    if data is None:
+                        raise ValueError(error)
+                    os.makedirs(root, exist_ok=True)
+                    part = f"{target}.{os.getpid()}.part"
+                    with open(part, "wb") as out:
+                        out.write(data)
+                    os.replace(part, target)
+                    done.append(target), errors.append(None)
+                except (OSError, ValueError) as e:
+                    done.append(None), errors.append(str(e))
+            yield pd.DataFrame({"path": f["path"], "written": done, "error": errors})
+
+    named = made.withColumn("idx", F.col("path")).withColumn("target", unique_name([], "name"))
+    return named.select("path", "target", "jpeg", "error").mapInPandas(run, "path string, written string, error string")

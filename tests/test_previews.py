@@ -1,0 +1,64 @@
+"""JPEG files that another decoder reads, in the sizes and places that are asked for."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lumensift.functions import jpeg
+from lumensift.operators import pixels, previews
+from lumensift.sources import catalog
+
+
+def picture(h, w, seed=1):
+    rng = np.random.default_rng(seed)
+    y, x = np.mgrid[0:h, 0:w]
+    smooth = np.stack([128 + 90 * np.sin(x / 9), 128 + 90 * np.cos(y / 7), (x + y) * 255 / (h + w)], axis=2)
+    return np.clip(smooth + rng.normal(0, 4, smooth.shape), 0, 255).astype(np.uint8)
+
+
+def decoded(spark, folder):
+    return {r["path"].rsplit("/", 1)[-1]: pixels.to_rgb(bytes(r["image"]["data"]), r["image"]["height"], r["image"]["width"], r["image"]["nChannels"]) for r in catalog.images(spark, folder).collect()}
+
+
+def test_another_decoder_reads_them(spark, tmp_path):
+    made = {"a": picture(61, 83), "one": picture(1, 1), "flat": np.full((16, 24, 3), 77, np.uint8), "noise": np.random.default_rng(3).integers(0, 256, (40, 40, 3), dtype=np.uint8), "line": picture(8, 300)}
+    for name, rgb in made.items():
+        (tmp_path / f"{name}.jpg").write_bytes(jpeg.encode(rgb, 92))
+        (tmp_path / f"{name}-low.jpg").write_bytes(jpeg.encode(rgb, 30))
+    got = decoded(spark, str(tmp_path))
+    assert len(got) == 2 * len(made)
+    for name, rgb in made.items():
+        back = got[f"{name}.jpg"].astype(int)
+        assert back.shape == rgb.shape and np.abs(back - rgb).mean() < 8, name
+        assert (tmp_path / f"{name}-low.jpg").stat().st_size <= (tmp_path / f"{name}.jpg").stat().st_size
+
+
+def test_code_lengths_fit():
+    for counts in ([1 << n for n in range(40)], [5], [1] * 256, [1000, 1, 1, 1]):
+        own = jpeg.code_lengths(np.array(counts + [0] * (256 - len(counts))))
+        assert set(own) == set(range(len(counts))) and max(own.values()) <= 16
+        assert sum(2.0 ** -n for n in own.values()) < 1  # the code of all ones is free
+
+
+@pytest.mark.parametrize("orientation,corner", [(1, (0, 0)), (2, (0, -1)), (3, (-1, -1)), (4, (-1, 0)), (5, (0, 0)), (6, (0, -1)), (7, (-1, -1)), (8, (-1, 0))])
+def test_orientation(orientation, corner):
+    rgb = np.zeros((4, 6, 3), np.uint8)
+    rgb[0, 0] = 255
+    out = previews.upright(rgb, orientation)
+    assert out.shape[:2] == ((6, 4) if orientation > 4 else (4, 6)) and out[corner][0] == 255
+
+
+def test_thumbnails_and_previews(spark, tmp_path):
+    source, target = tmp_path / "in", tmp_path / "out"
+    for folder in ("x", "y"):
+        (source / folder).mkdir(parents=True)
+        (source / folder / "p.jpg").write_bytes(jpeg.encode(picture(90, 160, len(folder)), 95))
+    images = catalog.images(spark, str(source)).withColumns({"mtime": F.lit(1.5), "size": F.lit(10), "orientation": F.lit(6)})
+    bad = images.limit(1).withColumns({"path": F.lit("/bad.jpg"), "image": F.col("image").withField("height", F.lit(7))})
+    thumbs = previews.thumbnails(images.unionByName(bad), 36, 27).collect()
+    assert sorted((r["width"] or 0, r["height"] or 0) for r in thumbs) == [(0, 0), (15, 27), (15, 27)]
+    assert len({r["name"] for r in thumbs}) == 3 and sum(r["error"] is not None for r in thumbs) == 1
+    assert {(r["width"], r["height"]) for r in previews.thumbnails(images, 36, 27, "cover").collect()} == {(36, 27)}
+    done = previews.write_files(previews.previews(images, 80), str(target)).collect()
+    assert sorted(r["written"].rsplit("/", 1)[-1] for r in done) == ["p.jpg", "p_001.jpg"]
+    assert {a.shape for a in decoded(spark, str(target)).values()} == {(80, 45, 3)}
