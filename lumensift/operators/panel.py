@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions import scalars as S
+from ..functions.durable import written
 from ..functions.ranks import numbered, placed
-from . import generations, graph, review
+from . import generations, graph, review, similarity
 
 # -- groups
 
@@ -56,9 +57,9 @@ def first_groups(photos: DataFrame, pairs: DataFrame) -> DataFrame:
 def second_groups(photos: DataFrame, pairs: DataFrame, strategy: str = "delivery", least: int = 1, most: int = 3) -> DataFrame:
     """The second pipeline's groups: ids of three digits, ranks by tag-adjusted score, and what the ranks decide. Photos in no group are left out."""
     quality = generations.group_quality(F.col("final_pick_score"), F.col("absolute_quality_score"), F.col("ai_quality_tags"))
-    group = Window.partitionBy("root")
-    ranked = grouped(photos, pairs).withColumn("q_", quality)
-    ranked = ranked.withColumns({"group_size": F.count(F.lit(1)).over(group).cast("int"), "group_rank": F.row_number().over(group.orderBy(F.desc("q_"), "idx"))})
+    members = written(grouped(photos, pairs).withColumn("q_", quality))
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).cast("int").alias("group_size"))
+    ranked = similarity.ranked_members(members, "q_", "group_rank").join(sizes, "root")
     keep = F.col("group_rank") <= min(most, max(least, 1))
     relative = F.round((F.col("group_size") - F.col("group_rank") + 1) / F.col("group_size") * 100, 2)
     pick = generations.final_pick_score(strategy, F.col("absolute_quality_score"), F.col("semantic_score"), relative, F.lit(0.0))

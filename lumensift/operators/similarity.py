@@ -7,7 +7,7 @@ folder, so a lost executor costs no lineage.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab as V
@@ -130,14 +130,17 @@ def recommend_reason(size: Column) -> Column:
 
 
 def assign_groups(photos: DataFrame, pairs: DataFrame) -> DataFrame:
-    """photos with group columns made anew from pairs; statuses of protected rows stay, and ungrouped rows are cleared."""
+    """photos with group columns made anew from pairs (or links); statuses of protected rows stay, and ungrouped rows are cleared.
+
+    Sizes, first members and recommendations are aggregated, and ranks come from counts of ranges, so a group of any size isn't sorted in one task.
+    """
     roots = components(pairs)
     numbers = numbered(roots.select("root").distinct(), "root", "group_no")
     member = photos.join(roots, "idx", "left")
-    group = Window.partitionBy("root")
-    by_pick, by_rank, by_idx = (group.orderBy(*k) for k in ([F.desc("pick_"), "idx"], [F.desc("rank_"), "idx"], ["idx"]))
-    scored = member.where(F.col("root").isNotNull()).withColumns({"pick_": group_quality(0.45), "rank_": group_quality(0.35)})
-    ranked = scored.withColumns({"n_": F.count(F.lit(1)).over(group), "nth_": F.row_number().over(by_rank), "best_": F.row_number().over(by_pick) == 1, "first_": F.first("hash").over(by_idx), "chosen_": F.first("filename").over(by_pick)}).join(numbers, "root")
+    scored = written(member.where(F.col("root").isNotNull()).withColumns({"pick_": group_quality(0.45), "rank_": group_quality(0.35)}))
+    best = F.struct("pick_", -F.col("idx"))
+    groups = scored.groupBy("root").agg(F.count(F.lit(1)).alias("n_"), F.min_by("hash", "idx").alias("first_"), F.max_by("idx", best).alias("best_idx_"), F.max_by("filename", best).alias("chosen_"))
+    ranked = ranked_members(scored, "rank_", "nth_").join(groups, "root").join(numbers, "root").withColumn("best_", F.col("idx") == F.col("best_idx_"))
     score = F.round(F.greatest(F.lit(0.0), 1.0 - S.hamming(F.col("first_"), F.col("hash")) / 64.0), 4)
     kept = human_protected() | ~S.blank(F.col("similar_group_status"))
     grouped = ranked.withColumns(
@@ -160,6 +163,13 @@ def assign_groups(photos: DataFrame, pairs: DataFrame) -> DataFrame:
 GROUP_COLUMNS = ("similar_group_id", "similar_group_size", "similar_group_rank", "ai_recommended_best", "ai_similarity_reason", "similarity_score", "similar_group_status")
 
 
+def ranked_members(members: DataFrame, score: str, name: str) -> DataFrame:
+    """Adds name, the rank of each member in its group (root), by score and then input order."""
+    ranked = placed(members, [F.col("root"), F.desc(score), F.col("idx")], "place_")
+    before = ranked.groupBy("root").agg((F.min("place_") - 1).alias("before_"))
+    return ranked.join(before, "root").withColumn(name, (F.col("place_") - F.col("before_")).cast("int")).drop("place_", "before_")
+
+
 def ranked_groups(photos: DataFrame, pairs: DataFrame, score: str = "score") -> DataFrame:
     """idx, group_id, group_size, group_rank, is_best and similarity to the group's first member, by one score column.
 
@@ -169,10 +179,8 @@ def ranked_groups(photos: DataFrame, pairs: DataFrame, score: str = "score") ->
     numbers = numbered(roots.select("root").distinct(), "root", "no_").select("root", F.format_string("组%03d", "no_").alias("group_id"))
     member = written(photos.select("idx", "hash", score).join(roots, "idx"))
     sizes = member.groupBy("root").agg(F.count(F.lit(1)).alias("group_size"), F.min_by("hash", "idx").alias("first_"))
-    ranked = placed(member, [F.col("root"), F.desc(score), F.col("idx")], "place_")
-    before = ranked.groupBy("root").agg((F.min("place_") - 1).alias("before_"))
-    out = ranked.join(sizes, "root").join(before, "root").join(numbers, "root")
-    out = out.withColumns({"group_rank": (F.col("place_") - F.col("before_")).cast("int"), "similarity_score": F.round(F.greatest(F.lit(0.0), 1.0 - S.hamming(F.col("first_"), F.col("hash")) / 64.0), 4)})
+    out = ranked_members(member, score, "group_rank").join(sizes, "root").join(numbers, "root")
+    out = out.withColumns({"similarity_score": F.round(F.greatest(F.lit(0.0), 1.0 - S.hamming(F.col("first_"), F.col("hash")) / 64.0), 4)})
     return out.select("idx", "root", "group_id", "group_size", "group_rank", (F.col("group_rank") == 1).alias("is_best"), "similarity_score")
 
 
