@@ -20,11 +20,14 @@ class Options:
     include_rejects: bool = False
     include_no_export: bool = False
     report_only: bool = False
+    csv: bool = True
+    markdown: bool = True
 
 
 def options_from_mode(mode: str, **switches: bool) -> Options:
-    """Options of a mode's text; one that begins with 只生成报告 copies nothing."""
-    return Options(report_only=mode.strip().startswith("只生成报告"), **switches)
+    """Options of a mode's text; one that begins with 只生成报告 copies nothing, and one that names reports makes both."""
+    reports = {"csv": switches.pop("csv", True) or "报告" in mode, "markdown": switches.pop("markdown", True) or "报告" in mode}
+    return Options(report_only=mode.strip().startswith("只生成报告"), **switches, **reports)
 
 
 def fresh_folder(base: str, now: str) -> str:
@@ -115,3 +118,39 @@ def run(photos: DataFrame, root: str, options: Options = Options()) -> DataFrame
 
 def status_counts(done: DataFrame) -> DataFrame:
     return done.groupBy("export_status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@dataclass(frozen=True)
+class Result:
+    folder: str
+    done: DataFrame  # path, exported_paths, export_status and export_error
+    csv: str | None
+    markdown: str | None
+
+
+def export(photos: DataFrame, base: str, now: str, options: Options = Options()) -> Result:
+    """A whole export into a fresh folder: copies, then the reports that the options ask for, below 00_报告."""
+    from ..functions.durable import written
+    from . import report
+
+    folder = fresh_folder(base, now)
+    done = written(records(photos, options).withColumns({"exported_paths": F.array().cast("array<string>"), "export_error": F.lit("")}).drop("destinations") if options.report_only else run(photos, folder, options))
+    reports = f"{folder}/00_报告"
+    csv = report.write_csv_file(photos, f"{reports}/csv", done) if options.csv else None
+    markdown = None
+    if options.markdown:
+        markdown = f"{reports}/markdown"
+        report.write_markdown(photos, markdown)
+    return Result(folder, done, csv, markdown)
+
+
+def export_photos(photos: DataFrame, base: str, now: str, options: Options = Options()) -> tuple[str, str | None, DataFrame]:
+    """The folder, the path of a report, and what became of each photo."""
+    result = export(photos, base, now, options)
+    return result.folder, result.csv or result.markdown, result.done
+
+
+def report_now(photos: DataFrame, base: str, now: str) -> str | None:
+    """Only the reports."""
+    result = export(photos, base, now, options_from_mode("只生成报告", by_use=False, by_type=False))
+    return result.csv or result.markdown

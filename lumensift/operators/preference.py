@@ -130,16 +130,15 @@ def clear_model(spark, path: str) -> bool:
     return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True))
 
 
-def embedded(items: DataFrame, embed, content: str = "content", dims: int = 512) -> DataFrame:
+def embedded(items: DataFrame, embed, content: str = "content") -> DataFrame:
     """Adds embedding, normalised, by any back-end: embed maps a list of contents to vectors, in batches; what fails has none."""
 
     @F.pandas_udf("array<double>")
     def run(values: pd.Series) -> pd.Series:
-        known = values.notna()
-        vectors = [np.asarray(v, float) for v in embed(values[known].tolist())]
-        out = pd.Series([None] * len(values), index=values.index, dtype=object)
-        out[known] = [(v / (np.linalg.norm(v) or 1.0)).tolist() for v in vectors]
-        return out
+        known = values.notna().to_numpy()
+        found = iter(np.asarray(v, float) for v in embed([v for v, k in zip(values, known) if k]))
+        units = [(v / (np.linalg.norm(v) or 1.0)).tolist() if k else None for k in known for v in ([next(found)] if k else [None])]
+        return pd.Series(units, dtype=object)
 
     return items.withColumn("embedding", run(F.col(content)))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from dataclasses import asdict, dataclass, field, fields
 
 import pandas as pd
@@ -155,6 +156,20 @@ def build_rows(files: DataFrame, saved: DataFrame | None, threshold: float = 0.6
     return out.withColumn("final_category", review.final_category(threshold))
 
 
+def imported(files: DataFrame, decoded: DataFrame, saved: DataFrame | None = None, batch: int = 40) -> tuple[DataFrame, DataFrame]:
+    """Catalog rows of files whose pictures could be read, with their batch, and the skipped files with the reason.
+
+    decoded has path, width, height, taken_at and error (NULL: read); a file that it lacks is skipped too. One bad file costs no other.
+    """
+    from ..operators.panel import batches
+
+    both = files.join(decoded, "path", "left")
+    bad = F.col("error").isNotNull() | F.col("width").isNull()
+    rows = build_rows(both.where(~bad).drop("error"), saved)
+    numbered = batches(rows.withColumn("idx", F.col("path")), batch).drop("idx")
+    return numbered, both.where(bad).select("path", F.coalesce("error", F.lit("unreadable")).alias("reason"))
+
+
 # -- table
 
 
@@ -164,33 +179,102 @@ def upserted(old: DataFrame, new: DataFrame, key: str = "path") -> DataFrame:
 
 
 def latest(rows: DataFrame, key: str, *order: Column) -> DataFrame:
-    """The row of each key that is first in an order, as one aggregation without a sort."""
+    """The row of each key with the greatest value of some columns, as one aggregation without a sort."""
     rest = [c for c in rows.columns if c != key]
-    first = F.min_by(F.struct(*rest), F.struct(*order))
+    first = F.max_by(F.struct(*rest), F.struct(*order))
     return rows.groupBy(key).agg(first.alias("row_")).select(key, *(F.col(f"row_.{c}").alias(c) for c in rest))
 
 
-def save(spark: SparkSession, new: DataFrame, path: str) -> None:
-    """Upserts into a Parquet table: a new snapshot is written beside the old one, then named as the current one."""
-    stamped = new.withColumn("updated_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"))
-    now = current(spark, path)
-    table = stamped if now is None else upserted(load(spark, path), stamped)
-    version = 0 if now is None else now + 1
-    table.write.mode("overwrite").parquet(f"{path}/v{version}")
-    spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").parquet(f"{path}/log")
+#: Deltas after which a table is written anew as one snapshot.
+COMPACT_AFTER = 20
 
 
-def current(spark: SparkSession, path: str) -> int | None:
-    from pyspark.errors import AnalysisException
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.Path
 
+
+def _committed(spark: SparkSession, path: str) -> list[tuple[int, str, str]]:
+    """version, kind (delta or snapshot) and name of what the table consists of, oldest first: the last snapshot and the deltas after it."""
+    files, at = _files(spark, path)
+    if not files.exists(at(f"{path}/commits")):
+        return []
+    found = []
+    for status in files.listStatus(at(f"{path}/commits")):
+        name = status.getPath().getName()
+        if name.isdigit():
+            stream = files.open(status.getPath())
+            kind, _, data = bytes(stream.readAllBytes()).decode().partition(" ")
+            stream.close()
+            found.append((int(name), kind, data))
+    found.sort()
+    last = max((n for n, (_, kind, _) in enumerate(found) if kind == "snapshot"), default=0)
+    return found[last:]
+
+
+def _commit(spark: SparkSession, path: str, version: int, kind: str, name: str) -> bool:
+    """Makes the commit file of a version, which must not exist yet; whether that was so."""
+    files, at = _files(spark, path)
+    where = at(f"{path}/commits/{version:012d}")
     try:
-        return spark.read.parquet(f"{path}/log").agg(F.max("version")).first()[0]
-    except AnalysisException:
-        return None
+        stream = files.create(where, False)
+    except Exception as e:
+        if files.exists(where):
+            return False
+        raise e
+    stream.write(bytearray(f"{kind} {name}".encode()))
+    stream.close()
+    return True
+
+
+def save(spark: SparkSession, new: DataFrame, path: str) -> int:
+    """Upserts new rows into a table by path; returns the version.
+
+    Only the new rows are written, as a delta that counts once its commit file exists. Two
+    writers can't make the same commit file: the second one takes the next version. After
+    COMPACT_AFTER deltas the table is written as one snapshot; files that no commit before the last snapshot's is needed for stay until ``vacuum``.
+    """
+    stamped = new.withColumn("updated_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"))
+    name = uuid.uuid4().hex
+    stamped.write.parquet(f"{path}/data/{name}")
+    while True:
+        parts = _committed(spark, path)
+        version = parts[-1][0] + 1 if parts else 0
+        if _commit(spark, path, version, "delta", name):
+            break
+    if len(parts) >= COMPACT_AFTER:
+        whole = uuid.uuid4().hex
+        load(spark, path, version).write.parquet(f"{path}/data/{whole}")
+        _commit(spark, path, version + 1, "snapshot", whole)  # if another delta came first, the next save tries again
+    return version
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    return migrated(spark.read.parquet(f"{path}/v{current(spark, path)}"))
+def current(spark: SparkSession, path: str) -> int | None:
+    """The last version of a table; None if there is no table."""
+    parts = _committed(spark, path)
+    return parts[-1][0] if parts else None
+
+
+def load(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The rows of a table, up to a version: of each path the newest, as one aggregation."""
+    parts = [p for p in _committed(spark, path) if version is None or p[0] <= version]
+    own = [migrated(spark.read.parquet(f"{path}/data/{name}")).withColumn("version_", F.lit(v)) for v, _, name in parts]
+    if len(own) == 1:
+        return own[0].drop("version_")
+    rows = own[0]
+    for o in own[1:]:
+        rows = rows.unionByName(o)
+    return latest(rows, "path", F.col("version_")).drop("version_")
+
+
+def vacuum(spark: SparkSession, path: str) -> int:
+    """Removes the data of commits before the last snapshot, and data that was never committed; returns how many folders went. Not while others write."""
+    files, at = _files(spark, path)
+    used = {name for _, _, name in _committed(spark, path)}
+    gone = [s.getPath() for s in files.listStatus(at(f"{path}/data")) if s.getPath().getName() not in used]
+    for g in gone:
+        files.delete(g, True)
+    return len(gone)
 
 
 # -- sample log and library

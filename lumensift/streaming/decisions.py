@@ -36,7 +36,8 @@ def merge_stream(updates: DataFrame, table: str, checkpoint: str, key: str = "pa
         if catalog.current(spark, table) is None:
             catalog.save(spark, last, table)
         else:
-            catalog.save(spark, protected_merge(catalog.load(spark, table).select(*last.columns), last, key), table)
+            known = catalog.load(spark, table).select(*last.columns).join(last.select(key), key, "left_semi")  # only rows that the batch touches are written
+            catalog.save(spark, protected_merge(known, last, key), table)
 
     return updates.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
