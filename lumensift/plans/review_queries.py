@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocab as V
@@ -20,7 +20,9 @@ from ..sources import catalog, session
 from ..streaming import decisions
 from .catalog_queries import _FINAL, _SCORES, _SUGGEST, _case, _decided, _final, _list, _tagged, _TAGS2, _with, query
 
-NONE = F.array().cast("array<string>")
+def _none() -> Column:
+    """An empty list of texts."""
+    return F.array().cast("array<string>")
 
 
 def _folder(spark: SparkSession) -> str:
@@ -50,7 +52,8 @@ def file_names(spark, d):
 
 @query(
     "q_sizes",
-    _with("""SELECT idx, CASE WHEN height >= width THEN '竖图' ELSE '横图' END AS orientation, CASE WHEN m > 2400 THEN greatest(1, floor(width * (2400 / m)))::INT ELSE width END AS w, CASE WHEN m > 2400 THEN greatest(1, floor(height * (2400 / m)))::INT ELSE height END AS h,
+    _with("""SELECT idx, CASE WHEN height >= width THEN '竖图' ELSE '横图' END AS orientation, CASE WHEN m > 2400 THEN greatest(1, floor(width * (2400 / m)))::INT ELSE width END AS w, CASE
+  WHEN m > 2400 THEN greatest(1, floor(height * (2400 / m)))::INT ELSE height END AS h,
     CASE WHEN k % 250 <= 130 THEN 240 WHEN k % 250 <= 180 THEN 320 ELSE 440 END::INT AS tier_w, CASE WHEN k % 250 <= 130 THEN 180 WHEN k % 250 <= 180 THEN 240 ELSE 330 END::INT AS tier_h,
     CASE WHEN k % 9 >= 5 THEN height ELSE width END AS turned_w, CASE WHEN k % 9 >= 5 THEN width ELSE height END AS turned_h FROM (SELECT *, greatest(width, height) AS m FROM photos) x"""),
 )
@@ -73,7 +76,8 @@ def cache_keys(spark, d):
 _HEX = "array_to_string(list_transform(range(0, 16), lambda i: substr('0123456789abcdef', 1 + 8 * bits[4 * i + 1]::INT + 4 * bits[4 * i + 2]::INT + 2 * bits[4 * i + 3]::INT + bits[4 * i + 4]::INT, 1)), '')"
 
 
-@query("q_hash_text", f"WITH {A.BURSTS_SQL} SELECT v.idx, {_HEX.replace('bits', 'v.bits')} AS hex, CASE WHEN v.idx % 5 = 0 THEN 64 ELSE hamming(v.bits, w.bits) END::INT AS distance FROM vectors v JOIN vectors w ON w.idx = v.idx - v.idx % 4")
+@query("q_hash_text", f"""WITH {A.BURSTS_SQL} SELECT v.idx, {_HEX.replace('bits', 'v.bits')} AS hex, CASE WHEN v.idx % 5 = 0 THEN 64 ELSE hamming(v.bits, w.bits) END::INT AS distance FROM vectors v JOIN vectors w
+  ON w.idx = v.idx - v.idx % 4""")
 def hash_text(spark, d):
     """Hashes as text, and the distance of each to its burst's first; a blank hash is 64 away."""
     v = A.bursts(spark, d).select("idx", S.hash_to_hex(F.col("hash")).alias("hex"))
@@ -87,7 +91,8 @@ def hash_text(spark, d):
     "q_json_lists",
     _with("""SELECT idx, to_json([t1, t2])::VARCHAR AS kept, to_json(issue_tags)::VARCHAR AS chosen, array_to_string([t1, t2], '|') AS decoded, array_to_string(issue_tags, '|') AS decoded_chosen,
     array_to_string(CASE WHEN list_contains(delivery_use, '仅留档') THEN list_filter(delivery_use, lambda x: x <> '仅留档') ELSE list_append(delivery_use, '仅留档') END, '|') AS toggled,
-    array_to_string(CASE WHEN list_contains(delivery_use, '不导出') THEN delivery_use ELSE list_append(delivery_use, '不导出') END, '|') AS once, CASE k % 4 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN '' ELSE '1|x' END AS odd FROM photos"""),
+    array_to_string(CASE WHEN list_contains(delivery_use, '不导出') THEN delivery_use ELSE list_append(delivery_use, '不导出') END, '|') AS once, CASE k % 4 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN ''
+  ELSE '1|x' END AS odd FROM photos"""),
 )
 def json_lists(spark, d):
     """Lists as JSON, with and without blanks, and back; what is no list is empty."""
@@ -117,7 +122,8 @@ def times(spark, d):
 @query(
     "q_numbers",
     _with("""SELECT idx, CASE k % 5 WHEN 0 THEN 0 WHEN 1 THEN 100 WHEN 2 THEN 0 WHEN 3 THEN (k % 100)::INT ELSE 0 END::INT AS score, CASE k % 5 WHEN 3 THEN 7 WHEN 1 THEN 250 ELSE 5 END::INT AS whole,
-    CASE WHEN quality_rating = '' THEN '' ELSE quality_rating || '：' || CASE quality_rating WHEN 'S' THEN '强烈推荐' WHEN 'A' THEN '可交付' WHEN 'B' THEN '备选' WHEN 'C' THEN '留档/练习' ELSE '废片' END END AS rating,
+    CASE WHEN quality_rating = '' THEN '' ELSE quality_rating || '：' || CASE quality_rating WHEN 'S' THEN '强烈推荐' WHEN 'A' THEN '可交付' WHEN 'B' THEN '备选' WHEN 'C' THEN '留档/练习'
+      ELSE '废片' END END AS rating,
     CASE WHEN photo_type = '' THEN '无法判断' ELSE photo_type END AS kind FROM photos"""),
 )
 def numbers(spark, d):
@@ -190,14 +196,20 @@ def _or_dash(*names: str) -> str:
 @query(
     "q_details",
     _with(f""", {_FINAL}, {_SEEN} SELECT idx,
-    {_OPEN.format("CASE WHEN ai_primary_category = '' THEN '-' WHEN ai_secondary_category <> '' THEN ai_primary_category || '/' || ai_secondary_category ELSE ai_primary_category END")} AS ai_path, {_OPEN.format(_or_dash('ai_primary_category'))} AS primary_,
-    {_OPEN.format("CASE WHEN ai_primary_category = '' THEN '-' ELSE printf('%.2f', ai_confidence) END")} AS confidence, {_OPEN.format(_or_dash('ai_source'))} AS source, {_OPEN.format("CASE WHEN final_pick_score = 0 THEN '-' ELSE printf('%.1f', final_pick_score) END")} AS final_pick_score,
+    {_OPEN.format("CASE WHEN ai_primary_category = '' THEN '-' WHEN ai_secondary_category <> '' THEN ai_primary_category || '/' || ai_secondary_category ELSE ai_primary_category END")} AS ai_path,
+      {_OPEN.format(_or_dash('ai_primary_category'))} AS primary_,
+    {_OPEN.format("CASE WHEN ai_primary_category = '' THEN '-' ELSE printf('%.2f', ai_confidence) END")} AS confidence, {_OPEN.format(_or_dash('ai_source'))} AS source,
+      {_OPEN.format("CASE WHEN final_pick_score = 0 THEN '-' ELSE printf('%.1f', final_pick_score) END")} AS final_pick_score,
     {_OPEN.format("CASE WHEN people = 0 THEN '-' ELSE people::VARCHAR END")} AS detected_people, {_OPEN.format("CASE WHEN retouch_suggestion <> '' THEN '是' ELSE '-' END")} AS retouchable,
-    CASE WHEN similar_group_id = '' THEN '-' ELSE similar_group_id || '（本组共 ' || similar_group_size || ' 张，状态：' || CASE similar_group_status WHEN 'best' THEN '组内最佳' WHEN 'backup' THEN '组内备选' WHEN 'duplicate' THEN '重复淘汰' WHEN 'review' THEN '待复核' WHEN 'rejected' THEN '组内淘汰' ELSE '-' END
+    CASE WHEN similar_group_id = '' THEN '-' ELSE similar_group_id || '（本组共 ' || similar_group_size || ' 张，状态：' || CASE similar_group_status WHEN 'best' THEN '组内最佳' WHEN 'backup' THEN '组内备选'
+      WHEN 'duplicate' THEN '重复淘汰' WHEN 'review' THEN '待复核' WHEN 'rejected' THEN '组内淘汰' ELSE '-' END
       || '，AI推荐：' || CASE WHEN ai_recommended_best THEN '是' ELSE '否' END || '）' END AS similar,
-    CASE WHEN absolute_quality_score = 0 THEN '-' ELSE printf('%.1f', absolute_quality_score) END AS absolute_score, CASE WHEN group_rank = 0 OR group_size = 0 THEN '-' ELSE group_rank || '/' || group_size END AS group_rank, CASE WHEN best_in_group THEN '是' ELSE '否' END AS recommended,
-    {_or_dash('preference_reason', 'user_preference_reason')} AS preference_reason, {_OPEN.format(_or_dash('final_reason', 'ai_reason'))} AS final_reason, {_OPEN.format(_or_dash('screening_reason', 'final_reason', 'ai_reason'))} AS screening_reason,
-    {_OPEN.format(_or_dash('style_label'))} AS style_label, {_OPEN.format("'p'")} AS portfolio_suggestion, {_OPEN.format('fin')} AS final_recommendation, CASE WHEN refs = 0 THEN '-' ELSE printf('喜欢 %.2f / 不喜欢 %.2f / 参考 %d 张', 0.5e0, 0e0, refs) END AS history FROM seen"""),
+    CASE WHEN absolute_quality_score = 0 THEN '-' ELSE printf('%.1f', absolute_quality_score) END AS absolute_score, CASE WHEN group_rank = 0 OR group_size = 0 THEN '-'
+      ELSE group_rank || '/' || group_size END AS group_rank, CASE WHEN best_in_group THEN '是' ELSE '否' END AS recommended,
+    {_or_dash('preference_reason', 'user_preference_reason')} AS preference_reason, {_OPEN.format(_or_dash('final_reason', 'ai_reason'))} AS final_reason,
+      {_OPEN.format(_or_dash('screening_reason', 'final_reason', 'ai_reason'))} AS screening_reason,
+    {_OPEN.format(_or_dash('style_label'))} AS style_label, {_OPEN.format("'p'")} AS portfolio_suggestion, {_OPEN.format('fin')} AS final_recommendation, CASE WHEN refs = 0 THEN '-'
+  ELSE printf('喜欢 %.2f / 不喜欢 %.2f / 参考 %d 张', 0.5e0, 0e0, refs) END AS history FROM seen"""),
 )
 def details(spark, d):
     """The detail panel, of which most is shown only beside a current suggestion (every seventh photo)."""
@@ -206,7 +218,7 @@ def details(spark, d):
     p = _final(spark, d).withColumns(
         {c: F.expr(v) for c, v in _DETAILED.items()}
         | {
-            "ai_suggestion": F.expr(_SUGGEST), "ai_quality_tags": F.col("issue_tags"), "top3_semantic_matches": NONE, "semantic_confidence": zero, "detected_person_count": F.col("people"), "people_count": F.lit(0), "detection_confidence": zero, "subject_area_ratio": zero, "subject_center_score": zero,
+            "ai_suggestion": F.expr(_SUGGEST), "ai_quality_tags": F.col("issue_tags"), "top3_semantic_matches": _none(), "semantic_confidence": zero, "detected_person_count": F.col("people"), "people_count": F.lit(0), "detection_confidence": zero, "subject_area_ratio": zero, "subject_center_score": zero,
             "edge_cutoff_risk": zero, "similar_group_size": (k % 5).cast("int"), "group_rank": (k % 4).cast("int"), "group_size": refs, "recommended_keep": F.col("best_in_group"), "recommended_in_group": F.lit(False), "user_preference_score": zero,
             "similar_reference_count": refs, "aesthetic_like_similarity": F.when(refs > 0, 0.5).otherwise(0.0), "aesthetic_dislike_similarity": zero,
         }
@@ -235,7 +247,8 @@ def review_data(spark, d):
 
 @query(
     "q_reset_reviews",
-    _with("SELECT idx, CASE WHEN k % 4 = 0 THEN '' ELSE photo_type END AS photo_type, CASE WHEN k % 4 = 0 THEN '' ELSE quality_rating END AS quality_rating, CASE WHEN k % 4 = 0 THEN 0 ELSE len(delivery_use) END::INT AS n_uses, CASE WHEN k % 4 = 0 THEN '未审' ELSE review_status END AS review_status, CASE WHEN k % 4 = 0 THEN '' ELSE 'd' END AS human_decision FROM photos"),
+    _with("""SELECT idx, CASE WHEN k % 4 = 0 THEN '' ELSE photo_type END AS photo_type, CASE WHEN k % 4 = 0 THEN '' ELSE quality_rating END AS quality_rating, CASE WHEN k % 4 = 0 THEN 0
+  ELSE len(delivery_use) END::INT AS n_uses, CASE WHEN k % 4 = 0 THEN '未审' ELSE review_status END AS review_status, CASE WHEN k % 4 = 0 THEN '' ELSE 'd' END AS human_decision FROM photos"""),
 )
 def reset_reviews(spark, d):
     p = A.photos(spark, d).withColumn("human_decision", F.lit("d"))
@@ -259,7 +272,8 @@ def summary_text(spark, d):
 @query(
     "q_apply_results",
     _with(f""", {_FINAL} SELECT idx, CASE WHEN k % 2 = 0 THEN '婚纱照' ELSE ai_primary_category END AS ai_primary_category, CASE WHEN k % 2 = 0 THEN 0.9e0 ELSE ai_confidence END AS ai_confidence,
-    CASE WHEN k % 2 = 0 AND NOT manual_override THEN '婚纱照' WHEN k % 2 = 0 THEN mp ELSE fin END AS final_category, CASE WHEN k % 2 = 0 AND k % 3 = 0 THEN 'why' WHEN k % 3 = 0 THEN '' ELSE 'kept' END AS screening_reason FROM finals"""),
+    CASE WHEN k % 2 = 0 AND NOT manual_override THEN '婚纱照' WHEN k % 2 = 0 THEN mp ELSE fin END AS final_category, CASE WHEN k % 2 = 0 AND k % 3 = 0 THEN 'why' WHEN k % 3 = 0 THEN ''
+  ELSE 'kept' END AS screening_reason FROM finals"""),
 )
 def apply_results(spark, d):
     """Results of every second photo, and one of a photo that the catalog hasn't."""
@@ -271,8 +285,10 @@ def apply_results(spark, d):
 
 @query(
     "q_decision_reason",
-    _with(f""", {_SCORES} SELECT idx, '综合建议为 ' || q || ' ' || CASE q WHEN 'S' THEN '强烈推荐' WHEN 'A' THEN '可交付' WHEN 'B' THEN '备选' WHEN 'C' THEN '留档/练习' ELSE '废片' END || '，商业交付分 ' || round_even(c, 0)::BIGINT || '，作品集分 ' || round_even(p, 0)::BIGINT
-    || CASE WHEN len(tags) > 0 THEN '；主要风险：' || array_to_string(tags, '、') ELSE '' END || CASE WHEN k % 2 = 0 THEN '；曝光较稳定' ELSE '' END || CASE WHEN p_composition <> '' THEN '；构图问题优先视为可修或可裁切风险，不直接判废' ELSE '' END || '。' AS reason FROM used"""),
+    _with(f""", {_SCORES} SELECT idx, '综合建议为 ' || q || ' ' || CASE q WHEN 'S' THEN '强烈推荐' WHEN 'A' THEN '可交付' WHEN 'B' THEN '备选' WHEN 'C' THEN '留档/练习' ELSE '废片' END || '，商业交付分 ' || round_even(c,
+  0)::BIGINT || '，作品集分 ' || round_even(p, 0)::BIGINT
+    || CASE WHEN len(tags) > 0 THEN '；主要风险：' || array_to_string(tags, '、') ELSE '' END || CASE WHEN k % 2 = 0 THEN '；曝光较稳定' ELSE '' END || CASE WHEN p_composition <> '' THEN '；构图问题优先视为可修或可裁切风险，不直接判废'
+  ELSE '' END || '。' AS reason FROM used"""),
 )
 def decision_reason(spark, d):
     return _decided(spark, d).select("idx", "reason")
@@ -296,9 +312,9 @@ def _photo_bursts(spark: SparkSession, d: str) -> DataFrame:
         {
             "path": F.concat(F.lit("/v/"), F.col("filename")), "clarity": score(31, 10.09), "exposure": score(37, 10.09), "contrast": score(41, 10.09), "absolute_quality_score": F.when(idx % 7 == 0, 0.0).otherwise(score(43, 10.09)), "commercial_score": F.when(idx % 7 == 0, 0.0).otherwise(score(47, 10.09)),
             "portfolio_score": score(53, 10.09), "semantic_score": score(59, 10.09), "final_pick_score": F.when(idx % 3 == 0, 0.0).otherwise(score(61, 10.09)), "basic_score": F.when(idx % 5 == 0, F.lit(None)).otherwise(score(67, 10.09)), "quality_rating": F.expr("substr('SABCX', cast(idx % 5 + 1 as int), 1)"),
-            "issue_tags": F.when(idx % 4 == 1, F.array(F.lit("虚焦"))).otherwise(NONE), "ai_quality_tags": F.when(idx % 3 == 1, F.array(F.lit("清晰"))).when(idx % 3 == 2, F.array(F.lit("轻微模糊"))).otherwise(NONE), "best_in_group": idx % 11 == 0, "similar_group_note": F.lit(""),
+            "issue_tags": F.when(idx % 4 == 1, F.array(F.lit("虚焦"))).otherwise(_none()), "ai_quality_tags": F.when(idx % 3 == 1, F.array(F.lit("清晰"))).when(idx % 3 == 2, F.array(F.lit("轻微模糊"))).otherwise(_none()), "best_in_group": idx % 11 == 0, "similar_group_note": F.lit(""),
             "human_group_decision": F.when(idx % 13 == 0, '{"decision_source": "human"}').otherwise(""), "similar_group_status": F.when(idx % 11 == 0, "best").otherwise(""), "review_status": F.lit(V.UNREVIEWED), "ai_primary_category": F.lit("单人写真"), "ai_secondary_category": F.lit("年轻女生"),
-            "ai_confidence": score(71, 1009.0), "similar_group_id": F.lit(""), "delivery_use": NONE, "recommended_keep": F.lit(False),
+            "ai_confidence": score(71, 1009.0), "similar_group_id": F.lit(""), "delivery_use": _none(), "recommended_keep": F.lit(False),
         }
     )
 
@@ -309,8 +325,10 @@ def _grouped_sql(threshold: int) -> str:
 both_ AS (SELECT i, j FROM pairs UNION ALL SELECT j, i FROM pairs), reach AS (SELECT i AS v, i AS r FROM both_ UNION SELECT reach.v, both_.j FROM reach JOIN both_ ON both_.i = reach.r),
 roots AS (SELECT v AS idx, min(r) AS root FROM reach GROUP BY v), numbered AS (SELECT root, row_number() OVER (ORDER BY root) AS group_no FROM (SELECT DISTINCT root FROM roots) x),
 p AS (
-  SELECT v.idx, v.filename, v.bits, r.root, n.group_no, {at(31, 10.09)} AS clarity, {at(37, 10.09)} AS exposure, {at(41, 10.09)} AS contrast, CASE WHEN v.idx % 7 = 0 THEN 0 ELSE {at(43, 10.09)} END AS absolute_quality_score, CASE WHEN v.idx % 7 = 0 THEN 0 ELSE {at(47, 10.09)} END AS commercial_score,
-    {at(53, 10.09)} AS portfolio_score, {at(59, 10.09)} AS semantic_score, CASE WHEN v.idx % 3 = 0 THEN 0 ELSE {at(61, 10.09)} END AS final_pick_score, CASE WHEN v.idx % 5 = 0 THEN NULL ELSE {at(67, 10.09)} END AS basic_score, substr('SABCX', (v.idx % 5 + 1)::INT, 1) AS quality_rating,
+  SELECT v.idx, v.filename, v.bits, r.root, n.group_no, {at(31, 10.09)} AS clarity, {at(37, 10.09)} AS exposure, {at(41, 10.09)} AS contrast, CASE WHEN v.idx % 7 = 0 THEN 0
+    ELSE {at(43, 10.09)} END AS absolute_quality_score, CASE WHEN v.idx % 7 = 0 THEN 0 ELSE {at(47, 10.09)} END AS commercial_score,
+    {at(53, 10.09)} AS portfolio_score, {at(59, 10.09)} AS semantic_score, CASE WHEN v.idx % 3 = 0 THEN 0 ELSE {at(61, 10.09)} END AS final_pick_score, CASE WHEN v.idx % 5 = 0 THEN NULL
+      ELSE {at(67, 10.09)} END AS basic_score, substr('SABCX', (v.idx % 5 + 1)::INT, 1) AS quality_rating,
     CASE WHEN v.idx % 4 = 1 THEN ['虚焦'] ELSE [] END AS issue_tags, CASE v.idx % 3 WHEN 1 THEN ['清晰'] WHEN 2 THEN ['轻微模糊'] ELSE []::VARCHAR[] END AS tags, {at(71, 1009.0)} AS ai_confidence
   FROM vectors v LEFT JOIN roots r USING (idx) LEFT JOIN numbered n ON n.root = r.root
 )"""
@@ -329,10 +347,13 @@ def first_groups(spark, d):
 @query(
     "q_second_groups",
     _grouped_sql(6) + """, s AS (SELECT *, CASE WHEN final_pick_score <> 0 THEN final_pick_score ELSE absolute_quality_score END + CASE idx % 3 WHEN 1 THEN 6 WHEN 2 THEN -18 ELSE 0 END AS q FROM p WHERE root IS NOT NULL),
-    r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY q DESC, idx) AS rank, count(*) OVER (PARTITION BY root) AS size FROM s), t AS (SELECT *, round((size - rank + 1) / size * 100, 2) AS relative FROM r)
-    SELECT idx, lpad(group_no::VARCHAR, 3, '0') AS similar_group_id, size::INT AS group_size, rank::INT AS group_rank, relative::DOUBLE AS relative_quality_score, round(absolute_quality_score * 0.35e0 + semantic_score * 0.25e0 + relative * 0.25e0, 2)::DOUBLE AS final_pick_score, rank <= 1 AS recommended_keep,
+    r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY q DESC, idx) AS rank, count(*) OVER (PARTITION BY root) AS size FROM s), t AS (SELECT *, round((size - rank + 1) / size * 100,
+      2) AS relative FROM r)
+    SELECT idx, lpad(group_no::VARCHAR, 3, '0') AS similar_group_id, size::INT AS group_size, rank::INT AS group_rank, relative::DOUBLE AS relative_quality_score,
+      round(absolute_quality_score * 0.35e0 + semantic_score * 0.25e0 + relative * 0.25e0, 2)::DOUBLE AS final_pick_score, rank <= 1 AS recommended_keep,
     CASE WHEN rank <= 1 THEN '单人写真' ELSE '相似重复待选' END AS ai_primary_category, round(CASE WHEN rank <= 1 THEN ai_confidence ELSE greatest(ai_confidence, 0.82) END, 6)::DOUBLE AS ai_confidence,
-    array_to_string(list_append(tags, CASE WHEN rank <= 1 THEN '推荐保留' ELSE '重复' END), ',') AS tags, CASE WHEN rank <= 1 THEN '相似组 ' || lpad(group_no::VARCHAR, 3, '0') || '，共 ' || size || ' 张，本图排名 ' || rank || '/' || size || '。清晰度、语义匹配和主体完整性在本组较好，建议保留复核。'
+    array_to_string(list_append(tags, CASE WHEN rank <= 1 THEN '推荐保留' ELSE '重复' END), ',') AS tags, CASE WHEN rank <= 1 THEN '相似组 ' || lpad(group_no::VARCHAR, 3,
+      '0') || '，共 ' || size || ' 张，本图排名 ' || rank || '/' || size || '。清晰度、语义匹配和主体完整性在本组较好，建议保留复核。'
       ELSE '与同组照片高度相似，当前排名 ' || rank || '/' || size || '，建议作为相似重复待选，不自动删除。' END AS ai_reason, CASE WHEN rank <= 1 THEN '相似组推荐保留' ELSE '相似重复待选' END AS final_recommendation FROM t""",
 )
 def second_groups(spark, d):
@@ -341,17 +362,23 @@ def second_groups(spark, d):
     return out.select("idx", "similar_group_id", "group_size", "group_rank", "relative_quality_score", "final_pick_score", "recommended_keep", "ai_primary_category", F.round("ai_confidence", 6).alias("ai_confidence"), F.array_join("ai_quality_tags", ",").alias("tags"), "ai_reason", "final_recommendation")
 
 
-_SCORED = """s AS (SELECT *, CASE WHEN absolute_quality_score <> 0 THEN absolute_quality_score * 0.35e0 ELSE 0 END + CASE WHEN commercial_score <> 0 THEN commercial_score * 0.35e0 ELSE 0 END + portfolio_score * 0.15e0
-  + CASE quality_rating WHEN 'S' THEN 18 WHEN 'A' THEN 14 WHEN 'B' THEN 8 WHEN 'C' THEN 2 ELSE -12 END - 16 * len(issue_tags) AS base, absolute_quality_score = 0 AND commercial_score = 0 AS lacking FROM p WHERE root IS NOT NULL),
+_SCORED = """s AS (SELECT *, CASE WHEN absolute_quality_score <> 0 THEN absolute_quality_score * 0.35e0 ELSE 0 END + CASE WHEN commercial_score <> 0 THEN commercial_score * 0.35e0
+  ELSE 0 END + portfolio_score * 0.15e0
+  + CASE quality_rating WHEN 'S' THEN 18 WHEN 'A' THEN 14 WHEN 'B' THEN 8 WHEN 'C' THEN 2 ELSE -12 END - 16 * len(issue_tags) AS base, absolute_quality_score = 0 AND commercial_score = 0 AS lacking
+    FROM p WHERE root IS NOT NULL),
 q AS (SELECT *, base + CASE WHEN lacking THEN coalesce(basic_score * 0.45e0, 35) ELSE 0 END AS pick, base + CASE WHEN lacking THEN coalesce(basic_score * 0.35e0, 35) ELSE 0 END AS rank_score FROM s),
-g AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY rank_score DESC, idx) AS rank, count(*) OVER (PARTITION BY root) AS size, first(idx) OVER w = idx AS best, first(filename) OVER w AS chosen, first(bits) OVER (PARTITION BY root ORDER BY idx) AS first_bits FROM q WINDOW w AS (PARTITION BY root ORDER BY pick DESC, idx))"""
+g AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY rank_score DESC, idx) AS rank, count(*) OVER (PARTITION BY root) AS size, first(idx) OVER w = idx AS best,
+  first(filename) OVER w AS chosen, first(bits) OVER (PARTITION BY root ORDER BY idx) AS first_bits FROM q WINDOW w AS (PARTITION BY root ORDER BY pick DESC, idx))"""
 
 
 @query(
     "q_group_recommendations",
-    _grouped_sql(8) + f""", {_SCORED} SELECT p.idx, CASE WHEN g.idx IS NULL THEN '' ELSE '组' || lpad(g.group_no::VARCHAR, 3, '0') END AS similar_group_id, coalesce(size, 0)::INT AS similar_group_size, coalesce(rank, 0)::INT AS similar_group_rank, coalesce(best, false) AS ai_recommended_best,
-    CASE WHEN g.idx IS NULL THEN 0 ELSE round(1 - hamming(first_bits, p.bits) / 64.0, 4) END::DOUBLE AS similarity_score, CASE WHEN p.idx % 11 = 0 THEN 'best' WHEN g.idx IS NULL THEN '' WHEN p.idx % 13 = 0 THEN '' ELSE 'review' END AS similar_group_status,
-    CASE WHEN g.idx IS NULL THEN '' WHEN best THEN '该照片在同组 ' || size || ' 张中综合评分较高，清晰度/交付评分更稳定' || CASE WHEN len(p.issue_tags) = 0 AND len(p.tags) = 0 THEN '，未发现明显虚焦或闭眼风险' WHEN len(p.issue_tags) = 0 THEN '，且主要风险较少' ELSE '，但仍需人工复核风险标签' END || '，推荐作为组内最佳。'
+    _grouped_sql(8) + f""", {_SCORED} SELECT p.idx, CASE WHEN g.idx IS NULL THEN '' ELSE '组' || lpad(g.group_no::VARCHAR, 3, '0') END AS similar_group_id, coalesce(size, 0)::INT AS similar_group_size, coalesce(rank,
+  0)::INT AS similar_group_rank, coalesce(best, false) AS ai_recommended_best,
+    CASE WHEN g.idx IS NULL THEN 0 ELSE round(1 - hamming(first_bits, p.bits) / 64.0, 4) END::DOUBLE AS similarity_score, CASE WHEN p.idx % 11 = 0 THEN 'best' WHEN g.idx IS NULL THEN ''
+      WHEN p.idx % 13 = 0 THEN '' ELSE 'review' END AS similar_group_status,
+    CASE WHEN g.idx IS NULL THEN '' WHEN best THEN '该照片在同组 ' || size || ' 张中综合评分较高，清晰度/交付评分更稳定' || CASE WHEN len(p.issue_tags) = 0 AND len(p.tags) = 0 THEN '，未发现明显虚焦或闭眼风险'
+      WHEN len(p.issue_tags) = 0 THEN '，且主要风险较少' ELSE '，但仍需人工复核风险标签' END || '，推荐作为组内最佳。'
       ELSE '与同组照片高度相似，建议对比 ' || chosen || ' 后决定。' END AS reason FROM p LEFT JOIN g ON g.idx = p.idx""",
 )
 def group_recommendations(spark, d):
@@ -362,18 +389,21 @@ def group_recommendations(spark, d):
 
 
 _STATUS = """c AS (SELECT similar_group_id AS g, min(idx) AS target FROM photos WHERE similar_group_id <> '' GROUP BY 1),
-j AS (SELECT p.*, c.target = p.idx AS is_target, c.target IS NOT NULL AND c.target % 3 = 0 AS best, c.target IS NOT NULL AND c.target % 3 = 1 AS twin FROM photos p LEFT JOIN c ON c.g = p.similar_group_id)"""
+j AS (SELECT p.*, c.target = p.idx AS is_target, c.target IS NOT NULL AND c.target % 3 = 0 AS best, c.target IS NOT NULL AND c.target % 3 = 1 AS twin FROM photos p LEFT JOIN c
+  ON c.g = p.similar_group_id)"""
 
 
 @query(
     "q_set_status",
-    _with(f""", {_STATUS} SELECT idx, CASE WHEN is_target AND best THEN 'best' WHEN is_target AND twin THEN 'duplicate' WHEN is_target THEN 'backup' WHEN best AND similar_group_status NOT IN ('duplicate', 'rejected') AND review_status <> '人工已确认' AND similar_group_status = '' THEN 'backup' ELSE similar_group_status END AS status,
-    CASE WHEN best THEN is_target ELSE best_in_group END AS best_in_group, CASE WHEN is_target AND quality_rating = '' AND twin THEN 'C' WHEN is_target AND quality_rating = '' AND NOT best THEN 'B' ELSE quality_rating END AS rating, CASE WHEN is_target THEN '人工已确认' ELSE review_status END AS review_status,
+    _with(f""", {_STATUS} SELECT idx, CASE WHEN is_target AND best THEN 'best' WHEN is_target AND twin THEN 'duplicate' WHEN is_target THEN 'backup' WHEN best AND similar_group_status NOT IN ('duplicate',
+  'rejected') AND review_status <> '人工已确认' AND similar_group_status = '' THEN 'backup' ELSE similar_group_status END AS status,
+    CASE WHEN best THEN is_target ELSE best_in_group END AS best_in_group, CASE WHEN is_target AND quality_rating = '' AND twin THEN 'C' WHEN is_target AND quality_rating = '' AND NOT best THEN 'B'
+      ELSE quality_rating END AS rating, CASE WHEN is_target THEN '人工已确认' ELSE review_status END AS review_status,
     is_target AND twin AS marked FROM (SELECT * REPLACE (coalesce(is_target, false) AS is_target) FROM j) x"""),
 )
 def set_status(spark, d):
     """In each group the first photo is given a status: best, duplicate or backup."""
-    p = A.photos(spark, d).withColumns({"similar_group_note": F.lit(""), "human_group_decision": F.lit(""), "recommended_keep": F.lit(False), "issue_tags": NONE, "delivery_use": NONE})
+    p = A.photos(spark, d).withColumns({"similar_group_note": F.lit(""), "human_group_decision": F.lit(""), "recommended_keep": F.lit(False), "issue_tags": _none(), "delivery_use": _none()})
     first = p.where(F.col("similar_group_id") != "").groupBy("similar_group_id").agg(F.min("idx").alias("idx"))
     choices = p.select("idx", "path").join(first.select("idx"), "idx").select("path", F.when(F.col("idx") % 3 == 0, "best").when(F.col("idx") % 3 == 1, "duplicate").otherwise("backup").alias("status"))
     out = similarity.set_status(p, choices, F.lit("t"))
@@ -405,7 +435,8 @@ def batches(spark, d):
     return panel.batches(A.photos(spark, d).select("idx"), 40)
 
 
-@query("q_sample", _with("SELECT 'selected' AS kind, idx FROM (SELECT idx FROM photos WHERE k % 3 = 1 ORDER BY idx LIMIT 10) a UNION ALL SELECT 'first', idx FROM (SELECT idx FROM photos ORDER BY idx LIMIT 8) b UNION ALL SELECT 'compared', idx FROM (SELECT idx FROM photos WHERE k % 3 = 0 ORDER BY idx LIMIT 4) c"))
+@query("q_sample", _with("""SELECT 'selected' AS kind, idx FROM (SELECT idx FROM photos WHERE k % 3 = 1 ORDER BY idx LIMIT 10) a UNION ALL SELECT 'first', idx FROM (SELECT idx FROM photos ORDER BY idx LIMIT 8) b UNION ALL
+  SELECT 'compared', idx FROM (SELECT idx FROM photos WHERE k % 3 = 0 ORDER BY idx LIMIT 4) c"""))
 def samples(spark, d):
     """Samples of stated sizes: of a selection, without one, and the tiles of a comparison."""
     p = A.photos(spark, d).select("idx", "k")
@@ -437,7 +468,8 @@ _OVERLAP = f"CASE WHEN {{0}}.w * {{0}}.h + {{1}}.w * {{1}}.h - ({_IOU}) = 0 THEN
 @query(
     "q_iou_nms",
     f"""WITH RECURSIVE {A.VECTORS_SQL}, {_BOXES}, step AS (SELECT idx, bs, 1 AS n, [bs[1]] AS kept FROM boxes
-    UNION ALL SELECT idx, bs, n + 1, CASE WHEN len(list_filter(kept, lambda k: {_OVERLAP.format('k', '(bs[n + 1])')} >= 0.35)) = 0 THEN list_append(kept, bs[n + 1]) ELSE kept END FROM step WHERE n < 8)
+    UNION ALL SELECT idx, bs, n + 1, CASE WHEN len(list_filter(kept, lambda k: {_OVERLAP.format('k', '(bs[n + 1])')} >= 0.35)) = 0 THEN list_append(kept, bs[n + 1]) ELSE kept END FROM step
+      WHERE n < 8)
     SELECT idx, len(kept)::INT AS n_kept, array_to_string([k.x || ',' || k.y for k in kept], ' ') AS kept, round({_OVERLAP.format('(bs[1])', '(bs[2])')}, 9)::DOUBLE AS overlap FROM step WHERE n = 8""",
 )
 def iou_nms(spark, d):
@@ -456,7 +488,8 @@ def analysis_counts(spark, d):
     return panel.table_order(panel.analysis_counts(p)).select(F.col("place").cast("int").alias("place"), "value", "n")
 
 
-@query("q_performance", _with("SELECT count(*) FILTER (k % 4 > 0) AS n_timed, count(*) FILTER (k % 5 = 0) AS n_cached, round(avg(CASE WHEN k % 4 > 0 THEN (k % 400) * 1e0 END), 6) AS mean_ms FROM (SELECT * FROM photos WHERE k % 400 > 0 OR k % 4 = 0) x"))
+@query("q_performance", _with("""SELECT count(*) FILTER (k % 4 > 0) AS n_timed, count(*) FILTER (k % 5 = 0) AS n_cached, round(avg(CASE WHEN k % 4 > 0 THEN (k % 400) * 1e0 END), 6) AS mean_ms FROM (SELECT * FROM photos
+  WHERE k % 400 > 0 OR k % 4 = 0) x"""))
 def performance(spark, d):
     p = A.photos(spark, d).where("k % 400 > 0 OR k % 4 = 0").withColumns({"ai_runtime_ms": F.when(F.col("k") % 4 > 0, (F.col("k") % 400).cast("double")).otherwise(0.0), "embedding_cached": F.col("k") % 5 == 0})
     return report.performance(p).withColumn("mean_ms", F.round("mean_ms", 6))
@@ -474,10 +507,13 @@ def progress(spark, d):
 
 @query(
     "q_tasks",
-    _with("""SELECT 'preference' AS task, count(*) FILTER (manual_override OR review_status = '人工已确认') AS success, count(*) FILTER (NOT (manual_override OR review_status = '人工已确认')) AS skipped, '' AS note FROM photos
-    UNION ALL SELECT 'similarity', count(*) FILTER (similar_group_id <> ''), count(*) FILTER (k % 11 = 0), '相似组 ' || count(DISTINCT nullif(similar_group_id, '')) || '，阈值 8，跳过 ' || count(*) FILTER (k % 11 = 0) || ' 张' FROM photos
+    _with("""SELECT 'preference' AS task, count(*) FILTER (manual_override OR review_status = '人工已确认') AS success, count(*) FILTER (NOT (manual_override OR review_status = '人工已确认')) AS skipped, '' AS note
+  FROM photos
+    UNION ALL SELECT 'similarity', count(*) FILTER (similar_group_id <> ''), count(*) FILTER (k % 11 = 0), '相似组 ' || count(DISTINCT nullif(similar_group_id,
+      '')) || '，阈值 8，跳过 ' || count(*) FILTER (k % 11 = 0) || ' 张' FROM photos
     UNION ALL SELECT 'thumbnails', count(*) FILTER (NOT (k % 3 = 0)), count(*) FILTER (k % 3 = 0), '' FROM photos UNION ALL SELECT 'pose', 0, count(*), '模型未接入，已跳过' FROM photos
-    UNION ALL SELECT 'export', count(*), 0, '总照片 ' || count(*) || '，客户可选 ' || coalesce(sum(len(list_filter(delivery_use, lambda x: x = '客户可选'))), 0)::BIGINT || '，精修候选 ' || coalesce(sum(len(list_filter(delivery_use, lambda x: x = '精修候选'))), 0)::BIGINT || '，待复核 ' || count(*) FILTER (review_status = '待复核') FROM photos"""),
+    UNION ALL SELECT 'export', count(*), 0, '总照片 ' || count(*) || '，客户可选 ' || coalesce(sum(len(list_filter(delivery_use, lambda x: x = '客户可选'))),
+  0)::BIGINT || '，精修候选 ' || coalesce(sum(len(list_filter(delivery_use, lambda x: x = '精修候选'))), 0)::BIGINT || '，待复核 ' || count(*) FILTER (review_status = '待复核') FROM photos"""),
 )
 def task_counts(spark, d):
     """A queue of five tasks, run one after the other, and what each counted."""
@@ -507,7 +543,8 @@ def preference_report(spark, d):
 @query(
     "q_export_modes",
     _with("""SELECT m.mode, m.report_only, count(*) FILTER (n > 0) AS exported, coalesce(sum(n), 0)::BIGINT AS copies FROM (VALUES ('复制原图 + 生成报告', false), ('只生成报告', true)) m(mode, report_only),
-    (SELECT CASE WHEN quality_rating = 'X' OR list_contains(delivery_use, '不导出') OR similar_group_status = 'duplicate' THEN 0 ELSE 1 + CASE WHEN len(delivery_use) = 0 AND quality_rating IN ('S', 'A') THEN 1 ELSE len(list_distinct(delivery_use)) END END AS n FROM photos) x
+    (SELECT CASE WHEN quality_rating = 'X' OR list_contains(delivery_use, '不导出') OR similar_group_status = 'duplicate' THEN 0 ELSE 1 + CASE WHEN len(delivery_use) = 0 AND quality_rating IN ('S',
+      'A') THEN 1 ELSE len(list_distinct(delivery_use)) END END AS n FROM photos) x
     WHERE NOT m.report_only GROUP BY 1, 2 UNION ALL SELECT '只生成报告', true, 0, 0"""),
 )
 def export_modes(spark, d):
@@ -521,7 +558,9 @@ def export_modes(spark, d):
     return each[0].unionByName(each[1])
 
 
-@query("q_first_export", _with("SELECT idx, category AS destination, CASE WHEN n = 0 THEN filename ELSE replace(filename, '.jpg', '') || '_' || lpad(n::VARCHAR, 3, '0') || '.jpg' END AS target FROM (SELECT *, row_number() OVER (PARTITION BY category, filename ORDER BY idx) - 1 AS n FROM (SELECT *, CASE k % 4 WHEN 0 THEN '01_Strong_Select_强烈推荐' WHEN 1 THEN '05_Reject_废片' ELSE '03_Backup_备选' END AS category FROM photos) x) y"))
+@query("q_first_export", _with("""SELECT idx, category AS destination, CASE WHEN n = 0 THEN filename ELSE replace(filename, '.jpg', '') || '_' || lpad(n::VARCHAR, 3, '0') || '.jpg' END AS target FROM (SELECT *,
+  row_number() OVER (PARTITION BY category, filename ORDER BY idx) - 1 AS n FROM (SELECT *, CASE k % 4 WHEN 0 THEN '01_Strong_Select_强烈推荐' WHEN 1 THEN '05_Reject_废片'
+  ELSE '03_Backup_备选' END AS category FROM photos) x) y"""))
 def first_export(spark, d):
     """The first pipeline's copies: manual names stand for folders, and other names leave the machine's folder."""
     manual = F.when(F.col("k") % 4 == 0, "精修").when(F.col("k") % 4 == 1, "废片").otherwise("")
@@ -530,7 +569,8 @@ def first_export(spark, d):
 
 @query(
     "q_first_report",
-    _with("""SELECT filename AS "文件名", path AS "路径", basic_score AS "清晰度", CASE WHEN k % 2 = 0 THEN '是' ELSE '否' END AS "相似组推荐", width || ' x ' || height || ' (' || printf('%.1f', (width * height / 1e6)::DOUBLE) || ' MP)' AS "分辨率",
+    _with("""SELECT filename AS "文件名", path AS "路径", basic_score AS "清晰度", CASE WHEN k % 2 = 0 THEN '是' ELSE '否' END AS "相似组推荐", width || ' x ' || height || ' (' || printf('%.1f',
+  (width * height / 1e6)::DOUBLE) || ' MP)' AS "分辨率",
     CASE WHEN k % 3 = 0 THEN '' ELSE (k % 50)::VARCHAR END AS "相似组", taken_at AS "拍摄时间" FROM photos"""),
 )
 def first_report(spark, d):
@@ -542,7 +582,8 @@ def first_report(spark, d):
 # -- sources and sinks, written and read again
 
 
-@query("q_storage_rows", _with("SELECT path, CASE WHEN manual_override THEN 1 ELSE 0 END::INT AS manual_override, to_json(issue_tags)::VARCHAR AS issue_tags, '未审' AS review_status, 0 AS group_rank, round(ai_confidence, 9)::DOUBLE AS ai_confidence FROM photos"))
+@query("q_storage_rows", _with("""SELECT path, CASE WHEN manual_override THEN 1 ELSE 0 END::INT AS manual_override, to_json(issue_tags)::VARCHAR AS issue_tags, '未审' AS review_status, 0 AS group_rank, round(ai_confidence,
+  9)::DOUBLE AS ai_confidence FROM photos"""))
 def storage_rows(spark, d):
     """Catalog rows as they are stored; missing columns have defaults."""
     p = catalog.migrated(A.photos(spark, d).select("path", "manual_override", "issue_tags", "ai_confidence"))
@@ -557,7 +598,8 @@ def first_storage(spark, d):
 
 @query(
     "q_build_rows",
-    _with(f""", {_FINAL} SELECT path, filename, file_size_mb, CASE WHEN k % 3 = 0 THEN review_note ELSE '' END AS review_note, CASE WHEN k % 3 = 0 THEN manual_category ELSE '备选' END AS manual_category, CASE WHEN k % 3 = 0 THEN ai_confidence ELSE 0 END::DOUBLE AS ai_confidence,
+    _with(f""", {_FINAL} SELECT path, filename, file_size_mb, CASE WHEN k % 3 = 0 THEN review_note ELSE '' END AS review_note, CASE WHEN k % 3 = 0 THEN manual_category ELSE '备选' END AS manual_category, CASE
+  WHEN k % 3 = 0 THEN ai_confidence ELSE 0 END::DOUBLE AS ai_confidence,
     CASE WHEN k % 3 = 0 THEN fin ELSE '备选' END AS final_category FROM (SELECT * REPLACE (CASE WHEN manual_category = '' THEN '备选' ELSE manual_category END AS manual_category) FROM finals) x"""),
 )
 def build_rows(spark, d):
@@ -579,7 +621,8 @@ def saved_table(spark, d):
     return catalog.load(spark, at).select("path", "review_note", "manual_override")
 
 
-@query("q_sample_log", _with("SELECT path, filename, manual_category, array_to_string(issue_tags, ',') AS tags FROM photos WHERE k % 5 = 0 UNION ALL SELECT path, filename, manual_category, array_to_string(issue_tags, ',') FROM photos WHERE k % 5 = 0 AND k % 2 = 0"))
+@query("q_sample_log", _with("""SELECT path, filename, manual_category, array_to_string(issue_tags, ',') AS tags FROM photos WHERE k % 5 = 0 UNION ALL SELECT path, filename, manual_category, array_to_string(issue_tags, ',')
+  FROM photos WHERE k % 5 = 0 AND k % 2 = 0"""))
 def sample_log(spark, d):
     """A log appended to twice and read again; a line that is no JSON is skipped."""
     p = A.photos(spark, d).where("k % 5 = 0").select("path", "filename", "manual_category", F.col("issue_tags").alias("ai_quality_tags"), "k")
@@ -648,7 +691,8 @@ _TREE = ["a.jpg", "sub/b.JPEG", "sub/deep/c.png", "sub/d.webp", "e.cr2", "sub/f.
 
 @query(
     "q_scan",
-    "SELECT * FROM (VALUES ('photos', 'a.jpg'), ('photos', 'b.JPEG'), ('photos', 'c.png'), ('photos', 'd.webp'), ('photos', 'j.tar.jpg'), ('all', 'a.jpg'), ('all', 'b.JPEG'), ('all', 'c.png'), ('all', 'd.webp'), ('all', 'j.tar.jpg'), ('all', 'h.jpg'), ('raw', 'e.cr2'), ('raw', 'f.NEF')) t(kind, filename)",
+    """SELECT * FROM (VALUES ('photos', 'a.jpg'), ('photos', 'b.JPEG'), ('photos', 'c.png'), ('photos', 'd.webp'), ('photos', 'j.tar.jpg'), ('all', 'a.jpg'), ('all', 'b.JPEG'), ('all', 'c.png'), ('all',
+  'd.webp'), ('all', 'j.tar.jpg'), ('all', 'h.jpg'), ('raw', 'e.cr2'), ('raw', 'f.NEF')) t(kind, filename)""",
 )
 def scan(spark, d):
     """Files below a folder by their extensions, with and without an excluded folder name, and raw files."""
@@ -689,7 +733,8 @@ def embedding_features(spark, d):
 
 @query(
     "q_preference_applied",
-    _with("""SELECT idx, CASE WHEN k % 4 = 0 THEN '' ELSE 'local-preference-v1' END AS version, CASE WHEN k % 4 = 0 THEN 'why' WHEN k % 100 >= 60 THEN 'why；偏好模型建议：精选，偏好分 ' || printf('%.2f', (k % 100) / 100e0) || '。' ELSE 'why；偏好模型不确定，建议人工确认。' END AS final_reason,
+    _with("""SELECT idx, CASE WHEN k % 4 = 0 THEN '' ELSE 'local-preference-v1' END AS version, CASE WHEN k % 4 = 0 THEN 'why' WHEN k % 100 >= 60 THEN 'why；偏好模型建议：精选，偏好分 ' || printf('%.2f',
+  (k % 100) / 100e0) || '。' ELSE 'why；偏好模型不确定，建议人工确认。' END AS final_reason,
     CASE WHEN k % 4 = 0 THEN '偏好模型暂无可用类别。' ELSE '根据你已标记的 70 张样本，本图更接近“精选”，偏好分 ' || printf('%.2f', (k % 100) / 100e0) || '。' END AS reason FROM photos"""),
 )
 def preference_applied(spark, d):
@@ -698,7 +743,8 @@ def preference_applied(spark, d):
     return preference.applied(p, 70).select("idx", F.col("preference_model_version").alias("version"), "final_reason", F.col("preference_reason").alias("reason"))
 
 
-@query("q_smoke_test", f"WITH {A.VECTORS_SQL}, one AS (SELECT vector AS a FROM vectors ORDER BY idx LIMIT 1), p AS (SELECT label, arg_min(vector, idx) AS b FROM vectors GROUP BY label) SELECT label, round(list_dot_product(a, b) / sqrt(list_dot_product(a, a)) / sqrt(list_dot_product(b, b)), 6)::DOUBLE AS cosine FROM one, p")
+@query("q_smoke_test", f"""WITH {A.VECTORS_SQL}, one AS (SELECT vector AS a FROM vectors ORDER BY idx LIMIT 1), p AS (SELECT label, arg_min(vector, idx) AS b FROM vectors GROUP BY label) SELECT label, round(list_dot_product(a,
+  b) / sqrt(list_dot_product(a, a)) / sqrt(list_dot_product(b, b)), 6)::DOUBLE AS cosine FROM one, p""")
 def smoke_test(spark, d):
     """Cosines of one image with one prompt of each label."""
     v = A.vectors(spark, d)
@@ -708,7 +754,8 @@ def smoke_test(spark, d):
 
 # -- module scores from pixel features
 
-_MODULES = """f AS (SELECT idx, (k % 400) / 2e0 AS s, (k % 256) * 1e0 AS e, (k % 60) * 1e0 AS c, (k % 40) * 1e0 AS n, width AS w, height AS h, (k % 53) * 1e0 AS edge, k % 3 AS faces, (k % 140) * 1e0 AS clarity, CASE WHEN k % 5 = 0 THEN 0 ELSE 2 END AS eyes, k % 7 > 0 AS seen,
+_MODULES = """f AS (SELECT idx, (k % 400) / 2e0 AS s, (k % 256) * 1e0 AS e, (k % 60) * 1e0 AS c, (k % 40) * 1e0 AS n, width AS w, height AS h, (k % 53) * 1e0 AS edge, k % 3 AS faces, (k % 140) * 1e0 AS clarity,
+  CASE WHEN k % 5 = 0 THEN 0 ELSE 2 END AS eyes, k % 7 > 0 AS seen,
   (k % 70)::INT AS bx, (k % 50)::INT AS by_ FROM photos)"""
 
 
@@ -725,7 +772,8 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "q_basic_quality",
-    _with(f""", {_MODULES} SELECT idx, round(least(100, s / 2) * 0.34e0 + greatest(0, 100 - abs(e - 128) * 100 / 128) * 0.24e0 + least(100, c * 2.2e0) * 0.18e0 + least(100, w * h / 1e6 / 12 * 100) * 0.14e0 + greatest(0, 100 - n * 1.5e0) * 0.10e0, 6)::DOUBLE AS score,
+    _with(f""", {_MODULES} SELECT idx, round(least(100, s / 2) * 0.34e0 + greatest(0, 100 - abs(e - 128) * 100 / 128) * 0.24e0 + least(100, c * 2.2e0) * 0.18e0 + least(100,
+  w * h / 1e6 / 12 * 100) * 0.14e0 + greatest(0, 100 - n * 1.5e0) * 0.10e0, 6)::DOUBLE AS score,
     CASE WHEN s < 55 THEN '清晰度不足' ELSE '主体清晰度基本可用' END || '，' || CASE WHEN e < 95 OR e > 190 THEN '曝光存在可复核问题' ELSE '曝光较稳定' END || CASE WHEN c < 24 THEN '，画面对比度偏弱' ELSE '' END || '。' AS reason,
     s < 55 AS blurred, e < 95 OR e > 190 AS exposed, c < 24 AS pale, (s >= 55 AND s < 110) OR (e >= 72 AND e < 95) OR (e > 190 AND e <= 220) OR n > 28 AS fixable FROM f"""),
 )
@@ -741,10 +789,13 @@ cc AS (SELECT *, (x + 200.0) / w AS cx, (y + 150.0) / h AS cy, faces > 0 AS face
 
 @query(
     "q_face_quality",
-    _with(f""", {_MODULES}, {_FACE} SELECT idx, round(CASE WHEN NOT seen THEN 50 WHEN faces = 0 THEN 58 ELSE least(100, 55 + least(30, clarity / 7) + greatest(0, 1 - (abs(cx - 0.5) + abs(cy - 0.45))) * 15) END, 6)::DOUBLE AS score,
+    _with(f""", {_MODULES}, {_FACE} SELECT idx, round(CASE WHEN NOT seen THEN 50 WHEN faces = 0 THEN 58 ELSE least(100, 55 + least(30, clarity / 7) + greatest(0, 1 - (abs(cx - 0.5) + abs(cy - 0.45))) * 15) END,
+  6)::DOUBLE AS score,
     CASE WHEN NOT seen THEN 0.1 WHEN faces = 0 THEN 0.35 ELSE 0.72 END::DOUBLE AS confidence, seen AND faced AND clarity <= 45 AS blurred, seen AND faced AND eyes = 0 AS shut,
-    CASE WHEN seen AND faced AND (x < w * 0.04e0 OR y < h * 0.04e0 OR x + 400 > w * 0.96e0 OR y + 300 > h * 0.96e0) THEN 46 ELSE 52 END::DOUBLE AS pose, CASE WHEN faces = 0 THEN 50 WHEN seen AND eyes = 0 THEN 42 ELSE 62 END::DOUBLE AS expression,
-    round(greatest(0, least(100, 72 - CASE WHEN w / h BETWEEN 0.72 AND 1.55 THEN 0 ELSE 5 END + CASE WHEN faced AND (cx < 0.18 OR cx > 0.82 OR cy < 0.12 OR cy > 0.82) THEN -12 WHEN faced THEN 8 ELSE 0 END - CASE WHEN edge > 42 THEN 8 ELSE 0 END - CASE WHEN e < 80 OR e > 200 THEN 6 ELSE 0 END)), 6)::DOUBLE AS composition FROM cc"""),
+    CASE WHEN seen AND faced AND (x < w * 0.04e0 OR y < h * 0.04e0 OR x + 400 > w * 0.96e0 OR y + 300 > h * 0.96e0) THEN 46 ELSE 52 END::DOUBLE AS pose, CASE WHEN faces = 0 THEN 50 WHEN seen
+      AND eyes = 0 THEN 42 ELSE 62 END::DOUBLE AS expression,
+    round(greatest(0, least(100, 72 - CASE WHEN w / h BETWEEN 0.72 AND 1.55 THEN 0 ELSE 5 END + CASE WHEN faced AND (cx < 0.18 OR cx > 0.82 OR cy < 0.12 OR cy > 0.82) THEN -12 WHEN faced THEN 8
+  ELSE 0 END - CASE WHEN edge > 42 THEN 8 ELSE 0 END - CASE WHEN e < 80 OR e > 200 THEN 6 ELSE 0 END)), 6)::DOUBLE AS composition FROM cc"""),
 )
 def face_quality(spark, d):
     """Scores of faces, pose, expression and composition."""
@@ -757,7 +808,8 @@ def face_quality(spark, d):
     "q_person_metrics",
     f"""WITH {A.VECTORS_SQL}, {_BOXES}, b AS (SELECT idx, len(bs)::INT AS n, bs[1] AS m FROM (SELECT idx, list_filter(bs, lambda x: x.n % 3 > 0) AS bs FROM boxes) x)
     SELECT idx, n AS detected_person_count, m.x || ',' || m.y || ',' || (m.x + m.w) || ',' || (m.y + m.h) AS main_subject_bbox, round(m.w * m.h / 480000e0, 9)::DOUBLE AS subject_area_ratio,
-    round(greatest(0, 1 - sqrt(((m.x + m.w / 2) / 800 - 0.5) * ((m.x + m.w / 2) / 800 - 0.5) + ((m.y + m.h / 2) / 600 - 0.5) * ((m.y + m.h / 2) / 600 - 0.5)) / 0.707), 9)::DOUBLE AS subject_center_score,
+    round(greatest(0, 1 - sqrt(((m.x + m.w / 2) / 800 - 0.5) * ((m.x + m.w / 2) / 800 - 0.5) + ((m.y + m.h / 2) / 600 - 0.5) * ((m.y + m.h / 2) / 600 - 0.5)) / 0.707),
+      9)::DOUBLE AS subject_center_score,
     CASE WHEN m.x <= 20 OR m.y <= 15 OR m.x + m.w >= 780 OR m.y + m.h >= 585 THEN 0.72 ELSE 0 END::DOUBLE AS edge_cutoff_risk, round(least(1, n / 6), 9)::DOUBLE AS group_photo_score FROM b""",
 )
 def person_metrics(spark, d):
@@ -767,17 +819,21 @@ def person_metrics(spark, d):
     return A.vectors(spark, d).select("idx", m["detected_person_count"].alias("detected_person_count"), m["main_subject_bbox"].alias("main_subject_bbox"), *(F.round(m[c], 9).alias(c) for c in ("subject_area_ratio", "subject_center_score", "edge_cutoff_risk", "group_photo_score")))
 
 
-_PIXELS = f"""WITH {A.VECTORS_SQL}, px AS (SELECT idx, (i - 1) // 8 AS y, (i - 1) % 8 AS x, greatest(0, least(255, floor((vector[i] + 0.5) * 255)))::INT AS g FROM (SELECT idx, vector, unnest(range(1, 65)) AS i FROM vectors) t),
-lap AS (SELECT p.idx, p.x, p.y, u.g + d.g + l.g + r.g - 4 * p.g AS v FROM px p JOIN px u ON u.idx = p.idx AND u.x = p.x AND u.y = abs(p.y - 1) JOIN px d ON d.idx = p.idx AND d.x = p.x AND d.y = 7 - abs(7 - (p.y + 1))
+_PIXELS = f"""WITH {A.VECTORS_SQL}, px AS (SELECT idx, (i - 1) // 8 AS y, (i - 1) % 8 AS x, greatest(0, least(255, floor((vector[i] + 0.5) * 255)))::INT AS g FROM (SELECT idx, vector, unnest(range(1, 65)) AS i
+  FROM vectors) t),
+lap AS (SELECT p.idx, p.x, p.y, u.g + d.g + l.g + r.g - 4 * p.g AS v FROM px p JOIN px u ON u.idx = p.idx AND u.x = p.x AND u.y = abs(p.y - 1) JOIN px d ON d.idx = p.idx AND d.x = p.x
+  AND d.y = 7 - abs(7 - (p.y + 1))
   JOIN px l ON l.idx = p.idx AND l.y = p.y AND l.x = abs(p.x - 1) JOIN px r ON r.idx = p.idx AND r.y = p.y AND r.x = 7 - abs(7 - (p.x + 1))),
-gr AS (SELECT p.idx, (r.g - l.g) / (r.x - l.x) AS gx, (d.g - u.g) / (d.y - u.y) AS gy FROM px p JOIN px l ON l.idx = p.idx AND l.y = p.y AND l.x = greatest(p.x - 1, 0) JOIN px r ON r.idx = p.idx AND r.y = p.y AND r.x = least(p.x + 1, 7)
+gr AS (SELECT p.idx, (r.g - l.g) / (r.x - l.x) AS gx, (d.g - u.g) / (d.y - u.y) AS gy FROM px p JOIN px l ON l.idx = p.idx AND l.y = p.y AND l.x = greatest(p.x - 1, 0) JOIN px r ON r.idx = p.idx
+  AND r.y = p.y AND r.x = least(p.x + 1, 7)
   JOIN px u ON u.idx = p.idx AND u.x = p.x AND u.y = greatest(p.y - 1, 0) JOIN px d ON d.idx = p.idx AND d.x = p.x AND d.y = least(p.y + 1, 7))"""
 
 
 @query(
     "q_pixel_features",
     _PIXELS + """ SELECT idx, round(avg(g), 6) AS brightness, round(stddev_pop(g), 6) AS contrast, round(avg((g >= 250)::INT), 6) AS bright_clip, round(avg((g <= 5)::INT), 6) AS dark_clip,
-    any_value(sharpness) AS sharpness_4096, any_value(edge) AS edge_density, any_value(flat) AS gradient_4096, 8 AS width FROM px JOIN (SELECT idx, round(var_pop(v) * 4096)::BIGINT AS sharpness FROM lap GROUP BY idx) l USING (idx)
+    any_value(sharpness) AS sharpness_4096, any_value(edge) AS edge_density, any_value(flat) AS gradient_4096, 8 AS width FROM px JOIN (SELECT idx, round(var_pop(v) * 4096)::BIGINT AS sharpness
+      FROM lap GROUP BY idx) l USING (idx)
     JOIN (SELECT idx, round(avg(sqrt(gx * gx + gy * gy)), 6) AS edge, round((var_pop(gx) + var_pop(gy)) * 4 * 4096)::BIGINT AS flat FROM gr GROUP BY idx) e USING (idx) GROUP BY idx""",
 )
 def pixel_features(spark, d):
@@ -794,24 +850,35 @@ def pixel_features(spark, d):
 
 _FILES = ["IMG_1", "bride_1", "kid_2", "grand_3", "family_4", "team_5", "beach_6", "meeting_7", "girl_boy_8", "lady_9", "gentleman_10"]
 _PEOPLE = "CASE WHEN people <= 0 THEN 'none' WHEN people = 1 THEN 'single_person' WHEN people = 2 THEN 'two_people' WHEN people = 3 THEN 'three_people' ELSE 'group_people' END"
-_SHOT = """CASE sp WHEN '单人写真' THEN 'portrait' WHEN '双人写真' THEN 'portrait' WHEN '多人写真' THEN 'portrait' WHEN '婚纱照' THEN 'wedding' WHEN '全家福' THEN 'family' WHEN '亲子照' THEN 'parent_child' WHEN '商务会议合影' THEN 'business' WHEN '活动纪实' THEN 'event'
-  WHEN '儿童写真' THEN 'child' WHEN '中老年写真' THEN 'elderly' WHEN '风景/环境' THEN 'environment' ELSE CASE n WHEN 1 THEN 'wedding' WHEN 4 THEN 'family' WHEN 5 THEN 'business' WHEN 6 THEN 'outdoor' WHEN 7 THEN 'event'
+_SHOT = """CASE sp WHEN '单人写真' THEN 'portrait' WHEN '双人写真' THEN 'portrait' WHEN '多人写真' THEN 'portrait' WHEN '婚纱照' THEN 'wedding' WHEN '全家福' THEN 'family' WHEN '亲子照' THEN 'parent_child'
+  WHEN '商务会议合影' THEN 'business' WHEN '活动纪实' THEN 'event'
+  WHEN '儿童写真' THEN 'child' WHEN '中老年写真' THEN 'elderly' WHEN '风景/环境' THEN 'environment' ELSE CASE n WHEN 1 THEN 'wedding' WHEN 4 THEN 'family' WHEN 5 THEN 'business' WHEN 6 THEN 'outdoor'
+    WHEN 7 THEN 'event'
   ELSE CASE WHEN n = 2 AND people > 0 THEN 'child' WHEN n = 3 AND people > 0 THEN 'elderly' WHEN people <= 0 THEN 'environment' ELSE 'portrait' END END END"""
 
 
 @query(
     "q_g2_category",
-    _with(f""", {_TAGS2}, a AS (SELECT *, k % 11 AS n, ai_primary_category AS sp, CASE WHEN k % 2 = 0 THEN '' ELSE '年轻女生' END AS ss, {_PEOPLE} AS pl, people > 0 AND k % 11 IN (1, 8, 9) AS female, people > 0 AND k % 11 IN (8, 10) AS male FROM tags),
-    b AS (SELECT *, {_SHOT} AS shot, least(0.97, 0.40 + CASE WHEN pl <> 'none' THEN 0.15 ELSE 0 END + CASE WHEN {_SHOT} NOT IN ('portrait', 'environment') THEN 0.12 ELSE 0 END + CASE WHEN sp <> '' THEN least(0.22, ai_confidence * 0.28) ELSE 0 END + CASE WHEN centre > 0 THEN least(0.10, centre * 0.12) ELSE 0 END
-      + CASE WHEN list_contains(tags, '清晰') THEN 0.05 ELSE 0 END + CASE WHEN list_contains(tags, '推荐保留') THEN 0.04 ELSE 0 END + CASE WHEN contrast / 255 BETWEEN 0.18 AND 0.42 AND mean / 255 BETWEEN 0.24 AND 0.80 THEN 0.03 ELSE 0 END) AS c,
+    _with(f""", {_TAGS2}, a AS (SELECT *, k % 11 AS n, ai_primary_category AS sp, CASE WHEN k % 2 = 0 THEN '' ELSE '年轻女生' END AS ss, {_PEOPLE} AS pl, people > 0 AND k % 11 IN (1, 8, 9) AS female, people > 0
+  AND k % 11 IN (8, 10) AS male FROM tags),
+    b AS (SELECT *, {_SHOT} AS shot, least(0.97, 0.40 + CASE WHEN pl <> 'none' THEN 0.15 ELSE 0 END + CASE WHEN {_SHOT} NOT IN ('portrait', 'environment') THEN 0.12 ELSE 0 END + CASE
+      WHEN sp <> '' THEN least(0.22, ai_confidence * 0.28) ELSE 0 END + CASE WHEN centre > 0 THEN least(0.10, centre * 0.12) ELSE 0 END
+      + CASE WHEN list_contains(tags, '清晰') THEN 0.05 ELSE 0 END + CASE WHEN list_contains(tags, '推荐保留') THEN 0.04 ELSE 0 END + CASE WHEN contrast / 255 BETWEEN 0.18 AND 0.42
+        AND mean / 255 BETWEEN 0.24 AND 0.80 THEN 0.03 ELSE 0 END) AS c,
       list_contains(tags, '明确废片') AND list_has_any(tags, ['严重模糊', '严重过曝', '严重欠曝']) AS reject, pl IN ('three_people', 'group_people') AS many FROM a),
-    r AS (SELECT idx, c, reject, CASE WHEN reject THEN ['废片疑似', '', 'high'] WHEN sp <> '' AND sp <> '废片疑似' THEN CASE WHEN sp = '单人写真' AND pl = 'two_people' THEN ['双人写真', '情侣', ''] WHEN sp = '双人写真' AND pl = 'single_person' THEN ['单人写真', CASE WHEN ss <> '' THEN ss ELSE '其他单人' END, '']
-      WHEN sp = '婚纱照' AND pl = 'single_person' THEN ['婚纱照', '单人婚纱', ''] WHEN sp = '婚纱照' AND (many OR pl = 'two_people') THEN ['婚纱照', '双人婚纱', ''] WHEN sp = '全家福' AND people >= 3 THEN ['全家福', '多人家庭', ''] WHEN sp = '商务会议合影' AND people >= 6 THEN ['商务会议合影', '大合影', '']
+    r AS (SELECT idx, c, reject, CASE WHEN reject THEN ['废片疑似', '', 'high'] WHEN sp <> '' AND sp <> '废片疑似' THEN CASE WHEN sp = '单人写真' AND pl = 'two_people' THEN ['双人写真', '情侣', ''] WHEN sp = '双人写真'
+      AND pl = 'single_person' THEN ['单人写真', CASE WHEN ss <> '' THEN ss ELSE '其他单人' END, '']
+      WHEN sp = '婚纱照' AND pl = 'single_person' THEN ['婚纱照', '单人婚纱', ''] WHEN sp = '婚纱照' AND (many OR pl = 'two_people') THEN ['婚纱照', '双人婚纱', ''] WHEN sp = '全家福' AND people >= 3 THEN ['全家福', '多人家庭',
+        ''] WHEN sp = '商务会议合影' AND people >= 6 THEN ['商务会议合影', '大合影', '']
       WHEN sp = '双人写真' AND ss = '' THEN ['双人写真', CASE WHEN female THEN '闺蜜姐妹' WHEN male THEN '兄弟朋友' ELSE '情侣' END, ''] ELSE [sp, ss, ''] END
-      WHEN shot = 'wedding' THEN ['婚纱照', CASE WHEN pl = 'single_person' THEN '单人婚纱' ELSE '双人婚纱' END, ''] WHEN shot = 'family' THEN ['全家福', CASE WHEN many THEN '多人家庭' ELSE '其他家庭合影' END, ''] WHEN shot = 'parent_child' THEN ['亲子照', '其他亲子', '']
-      WHEN shot = 'business' THEN ['商务会议合影', CASE WHEN pl = 'group_people' THEN '大合影' ELSE '小组合影' END, ''] WHEN shot = 'event' THEN ['活动纪实', '', ''] WHEN shot = 'child' THEN ['儿童写真', '', ''] WHEN shot = 'elderly' THEN ['中老年写真', '', '']
-      WHEN shot = 'environment' OR pl = 'none' THEN ['风景/环境', '', 'low'] WHEN pl = 'single_person' AND female AND NOT male THEN ['单人写真', '年轻女生', ''] WHEN pl = 'single_person' AND male AND NOT female THEN ['单人写真', '年轻男生', ''] WHEN pl = 'single_person' THEN ['单人写真', '其他单人', 'low']
-      WHEN pl = 'two_people' THEN ['双人写真', CASE WHEN female AND NOT male THEN '闺蜜姐妹' WHEN male AND NOT female THEN '兄弟朋友' ELSE '情侣' END, ''] ELSE ['多人写真', CASE WHEN pl = 'three_people' THEN '小组合影' ELSE '其他多人' END, ''] END AS g FROM b)
+      WHEN shot = 'wedding' THEN ['婚纱照', CASE WHEN pl = 'single_person' THEN '单人婚纱' ELSE '双人婚纱' END, ''] WHEN shot = 'family' THEN ['全家福', CASE WHEN many THEN '多人家庭' ELSE '其他家庭合影' END, '']
+        WHEN shot = 'parent_child' THEN ['亲子照', '其他亲子', '']
+      WHEN shot = 'business' THEN ['商务会议合影', CASE WHEN pl = 'group_people' THEN '大合影' ELSE '小组合影' END, ''] WHEN shot = 'event' THEN ['活动纪实', '', ''] WHEN shot = 'child' THEN ['儿童写真', '', '']
+        WHEN shot = 'elderly' THEN ['中老年写真', '', '']
+      WHEN shot = 'environment' OR pl = 'none' THEN ['风景/环境', '', 'low'] WHEN pl = 'single_person' AND female AND NOT male THEN ['单人写真', '年轻女生', ''] WHEN pl = 'single_person' AND male
+        AND NOT female THEN ['单人写真', '年轻男生', ''] WHEN pl = 'single_person' THEN ['单人写真', '其他单人', 'low']
+      WHEN pl = 'two_people' THEN ['双人写真', CASE WHEN female AND NOT male THEN '闺蜜姐妹' WHEN male AND NOT female THEN '兄弟朋友' ELSE '情侣' END, ''] ELSE ['多人写真', CASE WHEN pl = 'three_people' THEN '小组合影'
+        ELSE '其他多人' END, ''] END AS g FROM b)
     SELECT idx, g[1] AS primary_category, g[2] AS secondary_category, round(CASE g[3] WHEN 'high' THEN greatest(c, 0.66) WHEN 'low' THEN least(c, 0.72) ELSE c END, 6)::DOUBLE AS confidence FROM r""".replace("CASE WHEN female THEN '闺蜜姐妹' WHEN male THEN", "CASE WHEN female AND NOT male THEN '闺蜜姐妹' WHEN male AND NOT female THEN")),
 )
 def g2_category(spark, d):
@@ -832,7 +899,8 @@ def events_sliding(spark, d):
     return decisions.sliding(A.table(spark, d, "events"))
 
 
-@query("q_protected_merge", _with("SELECT path, CASE WHEN k % 2 = 0 AND review_status <> '人工已确认' THEN 'new' ELSE review_note END AS review_note, CASE WHEN k % 2 = 0 AND review_status <> '人工已确认' THEN 'AI已审' ELSE review_status END AS review_status FROM photos UNION ALL SELECT '/new.jpg', 'new', 'AI已审'"))
+@query("q_protected_merge", _with("""SELECT path, CASE WHEN k % 2 = 0 AND review_status <> '人工已确认' THEN 'new' ELSE review_note END AS review_note, CASE WHEN k % 2 = 0 AND review_status <> '人工已确认' THEN 'AI已审'
+  ELSE review_status END AS review_status FROM photos UNION ALL SELECT '/new.jpg', 'new', 'AI已审'"""))
 def protected_merge(spark, d):
     """Updates of every second row over a state, of which confirmed rows stay; and a row that is new."""
     p = A.photos(spark, d)

@@ -1,5 +1,9 @@
 """Every catalog query against its SQL on the smallest tables."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 from lumensift.plans import catalog_queries as Q
@@ -27,3 +31,7 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() >= 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_import_needs_no_session():
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"], check=True, cwd=Path(__file__).parent.parent)
