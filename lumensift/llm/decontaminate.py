@@ -3,7 +3,8 @@
 Only DataFrame functions: texts are normalised and cut into token windows on the
 JVM, the windows are looked up in a hash set of the benchmark's windows, and
 what is found is already equal as text, so no hash can mislead. The set is
-broadcast when its counted size is under ``BROADCAST_NGRAMS``; a larger one
+broadcast when its counted size is under ``BROADCAST_NGRAMS`` windows and
+``BROADCAST_BYTES`` with the ids of their items; a larger one
 is joined by shuffle, which gives the same rows.
 
 Normal form: A-Z becomes a-z, words are runs of characters that are ASCII
@@ -23,10 +24,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.durable import written
+from ..functions.membership import may_hold
+
 WINDOW = 13
 
-#: Distinct windows up to which the set is broadcast: about 130 bytes each, so 26 MB.
+#: Distinct windows, and bytes of windows and item ids, up to which the set is broadcast.
 BROADCAST_NGRAMS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 #: A document is contaminated when SHARE * hit words >= words.
 SHARE = 20
@@ -57,8 +62,9 @@ def ngram_set(bench: DataFrame, n: int = WINDOW, item: str = "item_id", text: st
 
 def _held(grams: DataFrame) -> DataFrame:
     """The set, marked for broadcast if it is counted as small enough."""
-    count = grams.limit(BROADCAST_NGRAMS + 1).count()
-    return F.broadcast(grams) if count <= BROADCAST_NGRAMS else grams
+    size = F.octet_length("ngram") + F.aggregate("items", F.lit(0), lambda s, x: s + F.octet_length(x) + 16)
+    told = grams.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(grams) if told["n"] <= BROADCAST_NGRAMS and told["bytes"] <= BROADCAST_BYTES else grams
 
 
 def _anchored(cut: DataFrame, grams: DataFrame, n: int, held: DataFrame) -> DataFrame:
@@ -138,14 +144,16 @@ def score(docs: DataFrame, bench: DataFrame, n: int = WINDOW, key: str = "doc_id
 def drop_contaminated(docs: DataFrame, bench: DataFrame, n: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the contaminated rows, all columns unchanged.
 
-    Only documents with a hit are judged again, so only their keys are shuffled.
+    Only documents with a hit are judged again, and only those that may be contaminated are shuffled to meet the verdict.
     """
     tag = F.struct(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("h"))
     tagged = docs.select(tag.alias("key"), F.col(text).alias("text"))
     counts = hit_counts(hits(tagged, bench, n, "key", "text").distinct()).select("key", "n_hit")
     sized = tagged.select("key", F.size(words(F.col("text"))).alias("n_words")).distinct()
     bad = sized.join(counts, "key").where(SHARE * F.col("n_hit") >= F.col("n_words")).select(F.col("key").alias("decontaminate:key"))
-    return docs.join(bad, tag.eqNullSafe(bad["decontaminate:key"]), "left_anti")
+    bad = written(bad)
+    listed = may_hold(bad.select("`decontaminate:key`.id", "`decontaminate:key`.h"), [F.col(key), F.xxhash64(F.col(text))])
+    return docs.where(~listed).unionByName(docs.where(listed).join(bad, tag.eqNullSafe(bad["decontaminate:key"]), "left_anti"))
 
 
 def remove_spans(docs: DataFrame, bench: DataFrame, n: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -337,8 +337,9 @@ def test_contamination(spark):
     assert nothing.where("n_hit > 0").count() == 0 and nothing.count() == len(rows())
 
 
-def test_a_large_set_is_joined_by_shuffle(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_NGRAMS", 1)
+@pytest.mark.parametrize("limit", ["BROADCAST_NGRAMS", "BROADCAST_BYTES"])
+def test_a_large_set_is_joined_by_shuffle(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, limit, 1)
     test_contamination(spark)
 
 
@@ -348,6 +349,7 @@ def test_drop_and_remove(spark):
     assert out.columns == frame(spark).columns
     want = Counter(r[0] for r in rows()) - Counter(i for (i, *_, bad), c in _contamination(rows(), _items()).items() for _ in range(c) if bad)
     assert Counter(r["doc_id"] for r in out.collect()) == want
+    assert not re.search("Python|Arrow|Pandas", out._jdf.queryExecution().toString())
     clean = decontaminate.remove_spans(frame(spark), bench)
     cut = {r[0]: r[1] - r[2] for r in _contamination(rows(), _items()) if r[2]}
     assert all(len(_alnum(r["text"])) == cut[r["doc_id"]] for r in clean.collect() if r["doc_id"] in cut)
