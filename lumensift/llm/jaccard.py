@@ -87,6 +87,12 @@ RADIUS = 0.6
 SHRINK = 0.7
 GROWTH = 2
 
+#: Rows of a side that is broadcast, at most (24 bytes each); beyond, it is joined by shuffle.
+BROADCAST_ROWS = 100_000
+
+#: Members from which a component's rows are told its name by broadcast, if there are few such components.
+LARGE_COMPONENT = 1000
+
 #: Stands for the outer cell among the pivots' keys.
 OUTER = -1
 
@@ -412,6 +418,11 @@ def _links(alive: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     return _in_cells(alive.join(sets, "key").select("cell", "key", "shingles")).mapInArrow(run, "u long, v long")
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it is counted as small enough, so that a hot key of the other side meets it without a shuffle."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
 def _nearest(large: DataFrame, sketches: DataFrame, threshold: Fraction, level: int) -> DataFrame:
     """cell, child, key and n of the members of large cells (cell, key, n, weight): a member is in the cell of its nearest pivot and of those within the window."""
     share = F.xxhash64("key", F.lit(level)) / F.lit(2.0**64) + 0.5
@@ -451,10 +462,11 @@ def _nearest(large: DataFrame, sketches: DataFrame, threshold: Fraction, level:
 def _bounded(cells: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFrame:
     """cell and key: the cells (cell, key, n), with those above LIMIT split until none is."""
     weight = F.sum(F.greatest("n", F.lit(FLOOR))).alias("weight")
-    sized = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("members"), weight).where(F.col("weight") > LIMIT)
-    large = written(cells.join(sized, "cell"))
-    if not large.limit(1).count():
+    sized = written(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("members"), weight).where(F.col("weight") > LIMIT))
+    if not sized.limit(1).count():
         return cells.select("cell", "key")
+    sized = _few(sized)
+    large = written(cells.join(sized, "cell"))
     done = [cells.join(sized, "cell", "left_anti").select("cell", "key")]
     level = 0
     while large.limit(1).count():
@@ -489,8 +501,11 @@ def vertices(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     plain = _plain(docs, key, text)
     with temporary(docs.sparkSession):
         placed = written(_placed(plain, plain, n, threshold), keep=True)
-    least = placed.where("n_shingles > 0").groupBy("root").agg(F.min("id").alias("least"))
-    return placed.join(least, "root", "left").select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("id")).alias("root"))
+    worded = placed.where("n_shingles > 0")
+    least = written(worded.groupBy("root").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("members")))
+    large = _few(least.where(F.col("members") >= LARGE_COMPONENT).select("root", "least"))
+    own = worded.join(large, "root").unionByName(worded.join(large, "root", "left_anti").join(least.where(F.col("members") < LARGE_COMPONENT).select("root", "least"), "root"))
+    return own.select("id", "n_shingles", F.col("least").alias("root")).unionByName(placed.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("root")))
 
 
 def _placed(plain: DataFrame, rows: DataFrame, n: int, threshold: Fraction) -> DataFrame:

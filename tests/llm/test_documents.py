@@ -276,6 +276,14 @@ def test_links_of_a_group_grow_with_its_members(spark):
     assert counts[1] <= 1.2 * counts[0]
 
 
+@pytest.mark.parametrize("rows_,members", [(100_000, 2), (0, 2), (1, 10)])
+def test_large_components_are_named_by_broadcast_or_shuffle(spark, monkeypatch, rows_, members):
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", rows_)
+    monkeypatch.setattr(jaccard, "LARGE_COMPONENT", members)
+    got = by_row(jaccard.near_duplicates(frame(spark)), "doc_id", "n_shingles", "component_id")
+    assert got == _components(rows(), 3, 90, 100)
+
+
 def test_distinct_documents(spark):
     out = jaccard.distinct_documents(frame(spark))
     assert out.columns == frame(spark).columns
