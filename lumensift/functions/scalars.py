@@ -63,6 +63,11 @@ def fixed(x: Column, digits: int) -> Column:
     return F.regexp_replace(F.format_number(x, digits), ",", "")
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A number rounded by its binary value, halves to the even digit."""
+    return fixed(x, digits).cast("double")
+
+
 def percent(share: Column) -> Column:
     return F.format_string("%.1f%%", share * 100)
 

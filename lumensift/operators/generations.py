@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab as V
@@ -24,7 +24,7 @@ def resolution_text(width: Column, height: Column) -> Column:
 
 
 def total_score(clarity: Column, exposure: Column, contrast: Column, resolution: Column, uniqueness: Column) -> Column:
-    return F.round(clarity * 0.35 + exposure * 0.25 + contrast * 0.15 + resolution * 0.10 + uniqueness * 0.15, 2)
+    return S.rounded(clarity * 0.35 + exposure * 0.25 + contrast * 0.15 + resolution * 0.10 + uniqueness * 0.15, 2)
 
 
 def category_from_score(score: Column, duplicate: Column) -> Column:
@@ -54,6 +54,19 @@ def group_score(clarity: Column, exposure: Column, contrast: Column) -> Column:
     return clarity * 0.55 + exposure * 0.30 + contrast * 0.15
 
 
+def first_analysis(features: DataFrame, duplicate: Column | None = None) -> DataFrame:
+    """The first pipeline over pixel features: four scores, total and category; a duplicate loses the share of uniqueness."""
+    twin = F.coalesce(duplicate, F.lit(False)) if duplicate is not None else F.lit(False)
+    scored = features.withColumns(
+        {
+            "clarity_score": F.round(clarity_score(F.col("sharpness")), 2), "exposure_score": F.round(exposure_score(F.col("brightness"), F.col("dark_clip"), F.col("bright_clip")), 2),
+            "contrast_score": F.round(contrast_score(F.col("contrast")), 2), "resolution_score": F.round(resolution_score(F.col("width"), F.col("height")), 2), "similarity_bonus": F.when(twin, 0.0).otherwise(100.0),
+        }
+    )
+    total = total_score(*(F.col(c) for c in ("clarity_score", "exposure_score", "contrast_score", "resolution_score", "similarity_bonus")))
+    return scored.withColumn("total_score", total).withColumns({"auto_category": category_from_score(F.col("total_score"), twin), "orientation": S.orientation3(F.col("width"), F.col("height")), "resolution_text": resolution_text(F.col("width"), F.col("height"))})
+
+
 # -- second
 
 SEVERE = ["严重模糊", "严重过曝", "严重欠曝"]

@@ -8,7 +8,7 @@ three box blurs; both are close to, but not bit-equal with, other libraries' fil
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -228,7 +228,23 @@ def person_metrics(boxes: Column, width: Column, height: Column) -> Column:
     )
 
 
-def analyse(photos: DataFrame) -> DataFrame:
-    """All modules over features and detector columns, in the order in which they need each other."""
-    faced = photos.withColumns(basic_quality()).withColumns(face_quality())
-    return faced.withColumns(pose_quality() | expression_quality() | composition_quality())
+#: Modules by name, in the order in which they need each other's columns.
+MODULES: dict[str, Callable[[], dict[str, Column]]] = {"basic": basic_quality, "face": face_quality, "pose": pose_quality, "expression": expression_quality, "composition": composition_quality}
+
+
+def register(name: str, module: Callable[[], dict[str, Column]]) -> None:
+    """Adds a module, or puts another in the place of one: a function that returns the columns name_score, name_confidence, name_tags, name_problems and name_reason."""
+    MODULES[name] = module
+
+
+def analyse(photos: DataFrame, modules: dict[str, Callable[[], dict[str, Column]]] | None = None) -> DataFrame:
+    """All modules over features and detector columns. A module that can't be planned has score and confidence 0 and its error as reason, and costs no other."""
+    none = F.array().cast("array<string>")
+    for name, module in (modules or MODULES).items():
+        try:
+            done = photos.withColumns(module())
+            done.schema  # noqa: B018 (a missing column shows here)
+            photos = done
+        except Exception as e:
+            photos = photos.withColumns(_module(name, F.lit(0.0), F.lit(0.0), none, none, F.lit(f"{type(e).__name__}: {str(e).splitlines()[0]}")))
+    return photos

@@ -7,6 +7,7 @@ the work itself is Spark's. A stop cancels the Spark jobs of the running task.
 from __future__ import annotations
 
 import threading
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -79,6 +80,53 @@ def placeholder(photos: DataFrame, note: str = "模型未接入，已跳过") ->
     return photos.agg(F.lit(0).cast("long").alias("success"), F.count(F.lit(1)).alias("skipped"), F.lit(0).cast("long").alias("failed"), F.lit(note).alias("note"))
 
 
+# -- trials
+
+# Batch sizes to try by profile, and limits of the advice.
+CANDIDATES = {"fast": [8, 16, 32], "balanced": [4, 8, 16, 32], "accurate": [4, 8, 12, 16]}
+OTHER_CANDIDATES = [2, 4, 6, 8]
+POOR_MS, SLOW_MS, POOR_BATCH = 650.0, 800.0, 8
+TRIAL_PHOTOS = 8
+
+
+def trials(photos: DataFrame, profile: str, run: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """trial, batch, success, avg_ms and error of a model run (photos, batch size) over the first TRIAL_PHOTOS photos with each batch size of a profile. A trial that fails costs no other."""
+    few = photos.orderBy("idx").limit(TRIAL_PHOTOS)
+    n = max(1, few.count())
+    rows = []
+    for number, batch in enumerate(CANDIDATES.get(profile, OTHER_CANDIDATES)):
+        began = time.perf_counter()
+        try:
+            run(few, batch).write.format("noop").mode("overwrite").save()
+            rows.append((number, batch, True, (time.perf_counter() - began) * 1000 / n, ""))
+        except Exception as e:
+            text = str(e)
+            rows.append((number, batch, False, 0.0, "显存不足" if "out of memory" in text.lower() else text.splitlines()[0]))
+    return photos.sparkSession.createDataFrame(rows, "trial int, batch int, success boolean, avg_ms double, error string")
+
+
+def bottleneck(profile: str, batch: int, avg_ms: float, semantic_ready: bool = True, detector_ready: bool = True) -> str:
+    """What holds a run up, by the first rule that applies."""
+    if not semantic_ready:
+        return "OpenCLIP 未就绪，当前语义分类为 fallback，精度有限。"
+    if not detector_ready:
+        return "YOLO 未就绪，人数和主体完整性判断主要依赖 fallback。"
+    if profile == "ultra" and batch < POOR_BATCH:
+        return "ultra 模型导致 batch 较低，GPU 可能频繁等待数据，建议 accurate 或 balanced。"
+    if avg_ms > SLOW_MS:
+        return "单张耗时较高，可能是图片解码、磁盘读取或模型过重。"
+    return "当前瓶颈不明显；如果 GPU 占用低，多半是数据读取、缓存命中或 UI 等待造成。"
+
+
+def tuned(profile: str, tried: DataFrame) -> tuple[str, int | None]:
+    """The profile and batch size that trials speak for: the fastest that succeeded; a slow ultra gives way to accurate."""
+    best = report.best_trial(tried.where("success")).first()
+    if best["batch"] is None:
+        return profile, None
+    poor = profile == "ultra" and (best["batch"] < POOR_BATCH or best["avg_ms"] > POOR_MS)
+    return ("accurate" if poor else profile), best["batch"]
+
+
 # -- queue
 
 

@@ -253,12 +253,12 @@ def _filter_sql(name: str) -> str:
     return f"manual_category = '{name}'" if name in V.MANUAL_CATEGORIES else f"ai_primary_category = '{name}' OR starts_with(fin, '{name}')"
 
 
-@query("q_named_filters", _with(f", {_FINAL} SELECT filter, sum(n)::BIGINT AS n, sum(s)::BIGINT AS sum_idx FROM (SELECT unnest([" + ", ".join(f"{{'f': '{f}', 'n': ({_filter_sql(f)})::INT}}" for f in review.FILTERS) + "]) AS u, idx FROM finals) x, LATERAL (SELECT u.f AS filter, u.n AS n, u.n * idx AS s) y GROUP BY filter"))
+@query("q_named_filters", _with(f", {_FINAL} SELECT filter, sum(n)::BIGINT AS n, sum(s)::BIGINT AS sum_idx, sum(n * (idx * 7919 % 1000003))::BIGINT AS sum_hash FROM (SELECT unnest([" + ", ".join(f"{{'f': '{f}', 'n': ({_filter_sql(f)})::INT}}" for f in review.FILTERS) + "]) AS u, idx FROM finals) x, LATERAL (SELECT u.f AS filter, u.n AS n, u.n * idx AS s) y GROUP BY filter"))
 def named_filters(spark, d):
-    """All 22 list filters in one pass: how many rows each keeps, and the sum of their ids."""
+    """All 22 list filters in one pass: how many rows each keeps, with the sum of their ids and of a hash of them."""
     each = F.array(*(F.struct(F.lit(f).alias("filter"), review.named_filter(f).cast("long").alias("n")) for f in review.FILTERS))
     rows = _final(spark, d).select("idx", F.inline(each))
-    return rows.groupBy("filter").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("idx")).alias("sum_idx"))
+    return rows.groupBy("filter").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("idx")).alias("sum_idx"), F.sum(F.col("n") * (F.col("idx") * 7919 % 1000003)).alias("sum_hash"))
 
 
 _SORT_SQL = {
@@ -558,16 +558,6 @@ def feature_vector(spark, d):
     return p.select("idx", F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.size(v).alias("dims"))
 
 
-@query("q_lr_preference")
-def lr_preference(spark, d):
-    """Rows only: the label of each sample by a fitted logistic regression."""
-    s = A.documents(spark, d).where(F.col("user_label") != "")
-    trained = preference.train_logistic(s)
-    if trained is None:
-        return s.select("idx", F.lit("").alias("preference_label"), F.lit(0.0).alias("preference_score"))
-    return preference.predict_logistic(trained[0], s).select("idx", "preference_label", "preference_score")
-
-
 @query("q_aesthetic_tags", f"""SELECT tag, count(*) AS n FROM (SELECT {_list(V.AESTHETIC_TAGS)}[doc_id % 11 + 1] AS tag FROM documents UNION ALL SELECT {_list(V.AESTHETIC_TAGS)}[n_chars % 13 + 1] FROM documents
   WHERE n_chars % 13 < 11 AND n_chars % 13 <> doc_id % 11) t GROUP BY 1""")
 def aesthetic_tags(spark, d):
@@ -581,8 +571,8 @@ def aesthetic_tags(spark, d):
 
 @query("q_g1_total", _with("""SELECT idx, total, CASE WHEN similar_group_status = 'duplicate' THEN '04_Duplicate_重复' WHEN total >= 90 THEN '01_Strong_Select_强烈推荐' WHEN total >= 75 THEN '02_Deliverable_可交付'
   WHEN total >= 60 THEN '03_Backup_备选' ELSE '05_Reject_废片' END AS category FROM (SELECT *,
-  round(relative_quality_score * 0.35e0 + semantic_score * 0.25e0 + portfolio_score * 0.15e0 + commercial_score * 0.10e0 + CASE WHEN similar_group_status = 'duplicate' THEN 0 ELSE 100 END * 0.15e0,
-  2)::DOUBLE AS total FROM photos) t"""))
+  printf('%.2f', relative_quality_score * 0.35e0 + semantic_score * 0.25e0 + portfolio_score * 0.15e0 + commercial_score * 0.10e0
+    + CASE WHEN similar_group_status = 'duplicate' THEN 0 ELSE 100 END * 0.15e0)::DOUBLE AS total FROM photos) t"""))
 def g1_total(spark, d):
     twin = F.col("similar_group_status") == "duplicate"
     p = A.photos(spark, d).withColumn("total", generations.total_score(F.col("relative_quality_score"), F.col("semantic_score"), F.col("portfolio_score"), F.col("commercial_score"), F.when(twin, 0.0).otherwise(100.0)))

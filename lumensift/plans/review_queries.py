@@ -18,7 +18,7 @@ from ..operators import advice, business, decision, export, generations, panel,
 from ..sources import adapters as A
 from ..sources import catalog, session
 from ..streaming import decisions
-from .catalog_queries import _FINAL, _SCORES, _SUGGEST, _case, _decided, _final, _list, _tagged, _TAGS2, _with, query
+from .catalog_queries import _FINAL, _SCORES, _SUGGEST, _advised, _case, _decided, _final, _list, _tagged, _TAGS2, _with, query
 
 def _none() -> Column:
     """An empty list of texts."""
@@ -743,6 +743,16 @@ def preference_applied(spark, d):
     return preference.applied(p, 70).select("idx", F.col("preference_model_version").alias("version"), "final_reason", F.col("preference_reason").alias("reason"))
 
 
+@query("q_lr_preference", _with("SELECT idx, CASE k % 3 WHEN 0 THEN '精选' WHEN 1 THEN '废片' ELSE '可用待修' END AS preference_label FROM photos WHERE k % 5 > 0"))
+def lr_preference(spark, d):
+    """A logistic regression on samples that a plane separates, so each must get its own label back."""
+    k = F.col("k")
+    axis = lambda n: F.when(k % 3 == n, 4.0).otherwise(0.0) + (k % 7) / 20.0
+    label = F.when(k % 3 == 0, "精选").when(k % 3 == 1, "废片").otherwise("可用待修")
+    s = A.photos(spark, d).where("k % 5 > 0").select("idx", label.alias("user_label"), F.lit("").alias("manual_category"), F.array(axis(0), axis(1), axis(2)).alias("features"))
+    return preference.train(s)(s).select("idx", "preference_label")
+
+
 @query("q_smoke_test", f"""WITH {A.VECTORS_SQL}, one AS (SELECT vector AS a FROM vectors ORDER BY idx LIMIT 1), p AS (SELECT label, arg_min(vector, idx) AS b FROM vectors GROUP BY label) SELECT label, round(list_dot_product(a,
   b) / sqrt(list_dot_product(a, a)) / sqrt(list_dot_product(b, b)), 6)::DOUBLE AS cosine FROM one, p""")
 def smoke_test(spark, d):
@@ -846,6 +856,40 @@ def pixel_features(spark, d):
     return got.select(F.col("path").cast("long").alias("idx"), *(F.round(c, 6).alias(c) for c in ("brightness", "contrast", "bright_clip", "dark_clip", "edge_density")), F.round(F.col("sharpness") * 4096).cast("long").alias("sharpness_4096"), F.round(F.col("sharpness_gradient") * 4096).cast("long").alias("gradient_4096"), "width")
 
 
+_OUTCOME = """CASE WHEN mean >= 78 AND NOT list_contains(tags, '明确废片') THEN 0 WHEN list_contains(tags, '明确废片') THEN 1 WHEN list_contains(tags, '可用待裁切') THEN 2
+  WHEN list_contains(tags, '可用待修') THEN 3 ELSE 4 END"""
+
+
+@query(
+    "q_g2_more_texts",
+    _with(f""", {_TAGS2}, o AS (SELECT *, {_OUTCOME} AS o, ai_primary_category = '相似重复待选' AS twin FROM tags)
+    SELECT idx, ['有进入精选或社交媒体发布候选的潜力，建议复核表情和细节。', '不建议进入作品集。', '不建议直接进作品集，但可作为裁切后备选。', '需要修图后再判断是否进入作品集。', '画面可用，建议结合相似组对比决定是否精选。'][o + 1] AS portfolio_suggestion,
+      CASE WHEN twin THEN '同组照片需对比后保留 1-3 张，不建议直接删除。' ELSE ['可作为客户交付候选。', '交付风险较高，建议人工复核后再决定。', '主体仍有交付价值，建议可用待裁切。', '可作为可用待修候选。', '可作为备选交付。'][o + 1] END AS delivery_suggestion,
+      '建议：' || CASE WHEN twin THEN '相似重复待选' ELSE ['推荐保留', '废片疑似', '可用待裁切', '可用待修', '人工复核'][o + 1] END || '。分类倾向为“'
+        || CASE WHEN ai_secondary_category <> '' THEN ai_primary_category || '/' || ai_secondary_category WHEN ai_primary_category = '' THEN '人工复核' ELSE ai_primary_category END
+        || '”，最终分 ' || printf('%.1f', mean) || '。' || CASE WHEN k % 3 = 0 THEN '' ELSE ' 语义候选：a, b。' END AS screening_reason FROM o"""),
+)
+def g2_more_texts(spark, d):
+    return advice.suggestions(_advised(spark, d)).select("idx", "portfolio_suggestion", "delivery_suggestion", "screening_reason")
+
+
+@query(
+    "q_first_analysis",
+    _with("""SELECT idx, clarity_score, exposure_score, contrast_score, resolution_score, total AS total_score,
+      CASE WHEN twin THEN '04_Duplicate_重复' WHEN total >= 90 THEN '01_Strong_Select_强烈推荐' WHEN total >= 75 THEN '02_Deliverable_可交付' WHEN total >= 60 THEN '03_Backup_备选' ELSE '05_Reject_废片' END AS auto_category FROM (
+      SELECT *, printf('%.2f', clarity_score * 0.35e0 + exposure_score * 0.25e0 + contrast_score * 0.15e0 + resolution_score * 0.10e0 + CASE WHEN twin THEN 0 ELSE 100 END * 0.15e0)::DOUBLE AS total FROM (
+      SELECT idx, k % 9 = 0 AS twin, round(least(100, ln(1 + lap) / ln(1201) * 100), 2)::DOUBLE AS clarity_score, round(greatest(0, least(100, 100 - abs(mean - 128) / 128 * 100 - least(60, (dark + bright) * 300))), 2)::DOUBLE AS exposure_score,
+        round(greatest(0, least(100, (contrast - 15) / 60 * 100)), 2)::DOUBLE AS contrast_score,
+        round(CASE WHEN mp >= 20 THEN 100 WHEN mp >= 12 THEN 85 + (mp - 12) / 8 * 15 WHEN mp >= 6 THEN 65 + (mp - 6) / 6 * 20 WHEN mp >= 2 THEN 40 + (mp - 2) / 4 * 25 ELSE mp / 2 * 40 END, 2)::DOUBLE AS resolution_score
+      FROM (SELECT *, width * height / 1e6 AS mp FROM photos) a) b) c"""),
+)
+def first_analysis(spark, d):
+    """The first pipeline from pixel features to category; every ninth photo is a duplicate."""
+    f = A.photos(spark, d).select("idx", "k", "width", "height", "contrast", F.col("lap").alias("sharpness"), F.col("mean").alias("brightness"), F.col("dark").alias("dark_clip"), F.col("bright").alias("bright_clip"))
+    out = generations.first_analysis(f, F.col("k") % 9 == 0)
+    return out.select("idx", "clarity_score", "exposure_score", "contrast_score", "resolution_score", "total_score", "auto_category")
+
+
 # -- the second generation's categories
 
 _FILES = ["IMG_1", "bride_1", "kid_2", "grand_3", "family_4", "team_5", "beach_6", "meeting_7", "girl_boy_8", "lady_9", "gentleman_10"]

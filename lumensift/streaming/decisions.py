@@ -26,8 +26,8 @@ def protected_merge(state: DataFrame, updates: DataFrame, key: str = "path", sta
     return both.select(key, *(F.when(F.coalesce(take, F.lit(False)), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in updates.columns else F.col(c) for c in state.columns if c != key))
 
 
-def merge_stream(updates: DataFrame, table: str, checkpoint: str, key: str = "path"):
-    """Upserts each micro-batch into a catalog table; within a batch the last row of a key counts (column ``seq``)."""
+def merge_stream(updates: DataFrame, table: str, checkpoint: str, key: str = "path", every: str | None = None):
+    """Upserts each micro-batch into a catalog table, once for what there is or every so often; within a batch the last row of a key counts (column ``seq``)."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         rest = [c for c in batch.columns if c not in (key, "seq")]
@@ -39,7 +39,7 @@ def merge_stream(updates: DataFrame, table: str, checkpoint: str, key: str = "pa
             known = catalog.load(spark, table).select(*last.columns).join(last.select(key), key, "left_semi")  # only rows that the batch touches are written
             catalog.save(spark, protected_merge(known, last, key), table)
 
-    return updates.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return updates.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**({"processingTime": every} if every else {"availableNow": True})).start()
 
 
 def _marked(events: DataFrame, late: str) -> DataFrame:

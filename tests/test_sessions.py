@@ -70,6 +70,33 @@ def test_idle(mode, running, photos, asked, want):
     assert tasks.when_idle(mode, running, photos, asked) == want
 
 
+def test_trials(spark):
+    photos = spark.range(30).withColumnRenamed("id", "idx")
+    seen = []
+
+    def run(few, batch):
+        seen.append((batch, few.count()))
+        if batch == 16:
+            raise RuntimeError("CUDA out of memory")
+        return few
+
+    tried = tasks.trials(photos, "accurate", run)
+    assert seen == [(4, 8), (8, 8), (12, 8), (16, 8)] and [r["error"] for r in tried.orderBy("trial").collect()][3] == "显存不足"
+    assert tasks.tuned("accurate", tried)[1] in (4, 8, 12)
+    slow = spark.createDataFrame([(0, 2, True, 900.0, ""), (1, 4, True, 700.0, "")], tried.schema)
+    assert tasks.tuned("ultra", slow) == ("accurate", 4) and tasks.tuned("ultra", slow.where("false")) == ("ultra", None)
+    assert "batch" in tasks.bottleneck("ultra", 4, 10) and "解码" in tasks.bottleneck("fast", 32, 900) and "YOLO" in tasks.bottleneck("fast", 32, 10, detector_ready=False)
+
+
+def test_modules_are_pluggable_and_isolated(spark):
+    from lumensift.operators import pixels
+
+    df = spark.createDataFrame([(120.0, 128.0, 50.0, 5.0, 4000, 3000)], "sharpness double, brightness double, contrast double, noise double, width int, height int")
+    own = {"basic": pixels.basic_quality, "bad": lambda: {"bad_score": F.col("no such column")}, "mine": lambda: {"mine_score": F.lit(7.0)}}
+    row = pixels.analyse(df, own).first()
+    assert row["basic_score"] > 50 and row["bad_score"] == 0 and row["bad_confidence"] == 0 and row["bad_reason"] and row["mine_score"] == 7
+
+
 def test_project_state(tmp_path):
     path = str(tmp_path / "logs" / "state.json")
     assert session.read_state(path) == session.ProjectState()
