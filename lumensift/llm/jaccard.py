@@ -90,8 +90,8 @@ GROWTH = 2
 #: Rows of a side that is broadcast, at most (24 bytes each); beyond, it is joined by shuffle.
 BROADCAST_ROWS = 100_000
 
-#: Members from which a component's rows are told its name by broadcast, if there are few such components.
-LARGE_COMPONENT = 1000
+#: Rows from which a key (copies of one text, or a component) is met by broadcast, if there are few such keys.
+LARGE_KEY = 1000
 
 #: Stands for the outer cell among the pivots' keys.
 OUTER = -1
@@ -423,6 +423,13 @@ def _few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
 
 
+def _named(rows: DataFrame, names: DataFrame, on: str) -> DataFrame:
+    """rows with what names (one row a key) says of their key, or nulls; keys that many rows share don't meet in one task."""
+    large = rows.groupBy(on).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= LARGE_KEY).select(on)
+    known = _few(written(large.join(names, on, "left")))
+    return rows.join(known, on).unionByName(rows.join(known.select(on), on, "left_anti").join(names, on, "left"))
+
+
 def _nearest(large: DataFrame, sketches: DataFrame, threshold: Fraction, level: int) -> DataFrame:
     """cell, child, key and n of the members of large cells (cell, key, n, weight): a member is in the cell of its nearest pivot and of those within the window."""
     share = F.xxhash64("key", F.lit(level)) / F.lit(2.0**64) + 0.5
@@ -502,10 +509,8 @@ def vertices(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     with temporary(docs.sparkSession):
         placed = written(_placed(plain, plain, n, threshold), keep=True)
     worded = placed.where("n_shingles > 0")
-    least = written(worded.groupBy("root").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("members")))
-    large = _few(least.where(F.col("members") >= LARGE_COMPONENT).select("root", "least"))
-    own = worded.join(large, "root").unionByName(worded.join(large, "root", "left_anti").join(least.where(F.col("members") < LARGE_COMPONENT).select("root", "least"), "root"))
-    return own.select("id", "n_shingles", F.col("least").alias("root")).unionByName(placed.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("root")))
+    least = written(worded.groupBy("root").agg(F.min("id").alias("least")))
+    return _named(worded, least, "root").select("id", "n_shingles", F.col("least").alias("root")).unionByName(placed.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("root")))
 
 
 def _placed(plain: DataFrame, rows: DataFrame, n: int, threshold: Fraction) -> DataFrame:
@@ -518,8 +523,8 @@ def _placed(plain: DataFrame, rows: DataFrame, n: int, threshold: Fraction) -> D
     cells = _bounded(written(around.join(sketches.select("key", "n"), "key")), sketches, threshold)
     alive = written(_alive(cells, sketches, threshold))
     sets = _sets(plain, alive.select("key").distinct(), n)
-    roots = components(_links(alive, sets, threshold))
-    return profiles.drop("sketch").join(roots.withColumnRenamed("v", "key"), "key", "left").select(*(c for c in profiles.columns if c not in ("key", "sketch")), F.coalesce("root", "key").alias("root"))
+    roots = components(_links(alive, sets, threshold)).withColumnRenamed("v", "key")
+    return _named(profiles.drop("sketch"), roots, "key").select(*(c for c in profiles.columns if c not in ("key", "sketch")), F.coalesce("root", "key").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:

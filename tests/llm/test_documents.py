@@ -279,7 +279,7 @@ def test_links_of_a_group_grow_with_its_members(spark):
 @pytest.mark.parametrize("rows_,members", [(100_000, 2), (0, 2), (1, 10)])
 def test_large_components_are_named_by_broadcast_or_shuffle(spark, monkeypatch, rows_, members):
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", rows_)
-    monkeypatch.setattr(jaccard, "LARGE_COMPONENT", members)
+    monkeypatch.setattr(jaccard, "LARGE_KEY", members)
     got = by_row(jaccard.near_duplicates(frame(spark)), "doc_id", "n_shingles", "component_id")
     assert got == _components(rows(), 3, 90, 100)
 
