@@ -18,6 +18,7 @@ from ..operators import advice, business, decision, export, generations, panel,
 from ..sources import adapters as A
 from ..sources import catalog, session
 from ..streaming import decisions
+from . import analysis
 from .catalog_queries import _FINAL, _SCORES, _SUGGEST, _advised, _case, _decided, _final, _list, _tagged, _TAGS2, _with, query
 
 def _none() -> Column:
@@ -890,6 +891,49 @@ def first_analysis(spark, d):
     return out.select("idx", "clarity_score", "exposure_score", "contrast_score", "resolution_score", "total_score", "auto_category")
 
 
+@query(
+    "q_pixel_evidence",
+    f"""WITH {A.VECTORS_SQL}, px AS (SELECT idx, (i - 1) // 8 AS y, (i - 1) % 8 AS x, greatest(0, least(254, floor((vector[i] + 0.5) * 127) * 2))::INT AS g FROM (SELECT idx, vector, unnest(range(1, 65)) AS i FROM vectors) t),
+    m AS (SELECT *, avg(g) OVER (PARTITION BY idx) AS mean FROM px)
+    SELECT idx, floor(any_value(mean))::INT AS dominant, round(stddev_pop(g), 6) AS color_std, round(avg((g > 185)::INT), 6) AS white, round(avg((g > 185)::INT) FILTER (y >= 4), 6) AS lower_white,
+      round(sum((g > 185)::INT * CASE WHEN y = 7 THEN 4 ELSE 12 END) FILTER (y >= 2 AND x BETWEEN 2 AND 5) / (4 * 64.0), 6)::DOUBLE AS center_white, 0::DOUBLE AS green, count(*) FILTER (g >= mean)::INT AS from_mean, count(*) FILTER (g > mean)::INT AS above_mean,
+      round(avg(g) / 255, 6) AS net_mean, round(stddev_pop(g) / 255, 6) AS net_std FROM m GROUP BY idx""",
+)
+def pixel_evidence(spark, d):
+    """Colours, shares of white, both average hashes and the scaled mean and deviation, of grey pictures of 8 x 8 with even values."""
+    v = A.vectors(spark, d)
+    grey = F.transform("vector", lambda x: F.greatest(F.lit(0), F.least(F.lit(254), F.floor((x + 0.5) * 127) * 2)).cast("int"))
+    data = F.unhex(F.array_join(F.transform(grey, lambda g: F.lpad(F.hex(g), 2, "0")), ""))
+    image = F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), data.alias("data"))
+    got = pixels.features(v.select(F.col("idx").cast("string").alias("path"), image.alias("image")))
+    to = {"color_std": "color_std", "white_ratio": "white", "lower_white_ratio": "lower_white", "center_white_ratio": "center_white", "green_ratio": "green"}
+    return got.select(
+        F.col("path").cast("long").alias("idx"), F.col("dominant_r").alias("dominant"), *(F.round(c, 6).alias(n) for c, n in to.items()), F.bit_count("hash").alias("from_mean"), F.bit_count("hash_above").alias("above_mean"),
+        F.round(F.get("rgb_mean", F.lit(0)), 6).alias("net_mean"), F.round(F.get("rgb_std", F.lit(2)), 6).alias("net_std"),
+    )
+
+
+@query(
+    "q_analysis",
+    _PIXELS + """, m AS (SELECT idx, avg(g) AS e FROM px GROUP BY idx), ed AS (SELECT idx, avg(sqrt(gx * gx + gy * gy)) AS edge FROM gr GROUP BY idx), j AS (SELECT *, idx % 10 = 0 AS broken FROM m JOIN ed USING (idx))
+    SELECT idx, 'current' AS status, '无法判断' AS photo_type, CASE WHEN broken THEN 0 ELSE 50 END::DOUBLE AS face, CASE WHEN broken THEN 0 ELSE 52 END::DOUBLE AS pose, CASE WHEN broken THEN 0 ELSE 50 END::DOUBLE AS expression,
+      CASE WHEN broken THEN 0 ELSE 72 - CASE WHEN edge > 42 THEN 8 ELSE 0 END - CASE WHEN e < 80 OR e > 200 THEN 6 ELSE 0 END END::DOUBLE AS composition, CASE WHEN broken THEN 0 ELSE 0.92 END::DOUBLE AS basic_confidence, broken AS failed FROM j""",
+)
+def analysis_run(spark, d):
+    """Pictures to decisions and payloads, without a detector; every tenth picture can't be read, which costs no other."""
+    v = A.vectors(spark, d)
+    grey = F.transform("vector", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((x + 0.5) * 255))).cast("int"))
+    data = F.unhex(F.array_join(F.transform(grey, lambda g: F.lpad(F.hex(g), 2, "0")), ""))
+    image = F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), F.when(F.col("idx") % 10 > 0, data).otherwise(F.unhex(F.lit("00"))).alias("data"))
+    out = analysis.analyse(v.select(F.concat(F.lit("/v/"), F.col("idx").cast("string")).alias("path"), image.alias("image")))
+    said = lambda at: F.get_json_object("ai_suggestion", f"$.{at}").cast("double")
+    failed = F.col("error").isNotNull() & (F.col("commercial_score") == 0) & (F.col("quality_rating") == "X")
+    return out.select(
+        F.substring("path", 4, 20).cast("long").alias("idx"), review.suggestion_status(F.col("ai_suggestion"), F.col("path")).alias("status"), "photo_type", said("face.score").alias("face"), said("pose.score").alias("pose"),
+        said("expression.score").alias("expression"), said("composition.score").alias("composition"), said("basic.confidence").alias("basic_confidence"), failed.alias("failed"),
+    )
+
+
 # -- the second generation's categories
 
 _FILES = ["IMG_1", "bride_1", "kid_2", "grand_3", "family_4", "team_5", "beach_6", "meeting_7", "girl_boy_8", "lady_9", "gentleman_10"]
