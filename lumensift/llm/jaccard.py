@@ -384,7 +384,7 @@ def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _in_cells(rows: DataFrame) -> DataFrame:
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell").sortWithinPartitions("cell")
+    return rows.repartition("cell").sortWithinPartitions("cell")  # no number, so that small partitions are put together at run time
 
 
 def _alive(cells: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFrame:
@@ -419,14 +419,14 @@ def _links(alive: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
 
 
 def _few(rows: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast if it is counted as small enough, so that a hot key of the other side meets it without a shuffle."""
+    """A table, marked for broadcast if it is counted as small enough, so that a hot key of the other side meets it without a shuffle."""
     return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
 
 
 def _named(rows: DataFrame, names: DataFrame, on: str) -> DataFrame:
     """rows with what names (one row a key) says of their key, or nulls; keys that many rows share don't meet in one task."""
     large = rows.groupBy(on).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= LARGE_KEY).select(on)
-    known = _few(written(large.join(names, on, "left")))
+    known = _few(large.join(names, on, "left"))
     return rows.join(known, on).unionByName(rows.join(known.select(on), on, "left_anti").join(names, on, "left"))
 
 
@@ -469,7 +469,7 @@ def _nearest(large: DataFrame, sketches: DataFrame, threshold: Fraction, level:
 def _bounded(cells: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFrame:
     """cell and key: the cells (cell, key, n), with those above LIMIT split until none is."""
     weight = F.sum(F.greatest("n", F.lit(FLOOR))).alias("weight")
-    sized = written(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("members"), weight).where(F.col("weight") > LIMIT))
+    sized = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("members"), weight).where(F.col("weight") > LIMIT)
     if not sized.limit(1).count():
         return cells.select("cell", "key")
     sized = _few(sized)
@@ -509,7 +509,7 @@ def vertices(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     with temporary(docs.sparkSession):
         placed = written(_placed(plain, plain, n, threshold), keep=True)
     worded = placed.where("n_shingles > 0")
-    least = written(worded.groupBy("root").agg(F.min("id").alias("least")))
+    least = worded.groupBy("root").agg(F.min("id").alias("least"))
     return _named(worded, least, "root").select("id", "n_shingles", F.col("least").alias("root")).unionByName(placed.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("root")))
 
 
@@ -539,7 +539,7 @@ def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     with temporary(docs.sparkSession):
         placed = written(_placed(_plain(docs, key, text), _plain(docs, key, text, tag.alias("tag")), n, threshold), keep=True)
     worded = placed.where("n_shingles > 0")
-    stays = written(worded.groupBy("root").agg(F.min(F.struct("id", "tag")).alias("least")).select("least.id", "least.tag"))
+    stays = worded.groupBy("root").agg(F.min(F.struct("id", "tag")).alias("least")).select("least.id", "least.tag")
     # rows of equal id and text are in one component, and only of these, one is chosen by its columns
     known = worded.groupBy("id", "tag").agg(F.count(F.lit(1)).alias("rows")).join(stays.withColumn("stays", F.lit(True)), ["id", "tag"], "left")
     marked = written(known.where("stays IS NULL OR rows > 1").select(F.col("id").alias("jaccard:key"), F.col("tag").alias("jaccard:tag"), F.col("stays").isNull().alias("gone")))
