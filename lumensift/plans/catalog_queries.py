@@ -474,7 +474,11 @@ def no_export(spark, d):
     return A.photos(spark, d).where(review.not_exported()).select("idx", "filename")
 
 
-@query("q_safe_name", r"SELECT doc_id AS idx, CASE WHEN s = '' THEN '未命名' ELSE s END AS name FROM (SELECT doc_id, rtrim(regexp_replace(trim(replace(coalesce(text, ''), chr(10), ' ')), '[<>:""/\\|?*]', '_', 'g'), ' .') AS s FROM documents) t".replace('""', '"'))
+@query(
+    "q_safe_name",
+    r"""SELECT doc_id AS idx, CASE WHEN s = '' THEN '未命名' ELSE s END AS name
+    FROM (SELECT doc_id, rtrim(regexp_replace(trim(replace(coalesce(text, ''), chr(10), ' ')), '[<>:"/\\|?*]', '_', 'g'), ' .') AS s FROM documents) t""",
+)
 def safe_names(spark, d):
     line = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
     return A.table(spark, d, "documents").select(F.col("doc_id").alias("idx"), S.safe_name(line, "未命名").alias("name"))
