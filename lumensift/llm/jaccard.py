@@ -518,8 +518,9 @@ def _placed(plain: DataFrame, rows: DataFrame, n: int, threshold: Fraction) -> D
     profiles = written(_profiles(rows, n))
     # the cell of a pivot: the members of all its regions
     around = written(_members(_regions(plain, n, threshold)).select(F.col("pivot").alias("cell"), "key").distinct())
-    named = profiles.select("key", F.col("n_shingles").alias("n"), "sketch").join(around.select("key").distinct(), "key", "left_semi")
-    sketches = written(named.groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    # copies are put together before they meet
+    named = profiles.groupBy("key").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    sketches = written(named.join(around.select("key").distinct(), "key", "left_semi"))
     cells = _bounded(written(around.join(sketches.select("key", "n"), "key")), sketches, threshold)
     alive = written(_alive(cells, sketches, threshold))
     sets = _sets(plain, alive.select("key").distinct(), n)
