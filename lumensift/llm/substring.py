@@ -58,7 +58,7 @@ SLICE_BYTES = 32 << 20
 BUCKET_BYTES = 16 << 20
 
 #: Packed bytes above which a bucket is dealt again, over how many buckets, and how often.
-HOT_BYTES = 16 << 20
+HOT_BYTES = 8 << 20
 SPREAD = 64
 LEVELS = 4
 
