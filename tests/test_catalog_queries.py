@@ -21,9 +21,8 @@ def test_same_as_sql(spark, name):
     same_rows(Q.QUERIES[name](spark, TINY), Q.SQL[name], TINY)
 
 
-@pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.SQL)))
-def test_has_rows(spark, name):
-    assert Q.QUERIES[name](spark, TINY).count() > 0
+def test_every_query_has_sql():
+    assert set(Q.QUERIES) == set(Q.SQL)
 
 
 def test_entry(spark):
