@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, jaccard, langid, licenses, lm, packing, preferences, quality, substring
+from . import audit, bpe, clusters, decontaminate, html, jaccard, langid, licenses, lm, packing, preferences, quality, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": html.op1_html_extraction,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": langid.op8_language_id,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_lm_scoring": lm.op10_lm_scoring,
+    "op11_byte_bpe": bpe.op11_byte_bpe,
+    "op12_centroid_clustering": clusters.op12_centroid_clustering,
+    "op13_filter_audit": audit.op13_filter_audit,
 }
 
 SQL: dict[str, str] = {
@@ -28,4 +31,6 @@ SQL: dict[str, str] = {
     "op5_jaccard_join": jaccard.OP5_SQL,
     "op6_quality_rules": quality.OP6_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
+    "op12_centroid_clustering": clusters.OP12_SQL,
+    "op13_filter_audit": audit.OP13_SQL,
 }
