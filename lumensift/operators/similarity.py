@@ -1,7 +1,6 @@
 """Near-duplicate groups of photos: hash pairs, components, ranks, recommendations and human protection.
 
-Input order (``idx``) breaks every tie. Pairs are found by equi joins on parts of the
-64-bit hash, among different hashes; components by alternating stars, with every round written to the shared
+Input order (``idx``) breaks every tie. Pairs are found among different hashes (``hamming``); components by alternating stars, with every round written to the shared
 folder, so a lost executor costs no lineage.
 """
 
@@ -14,10 +13,7 @@ from .. import vocab as V
 from ..functions import scalars as S
 from ..functions.durable import written
 from ..functions.ranks import numbered, placed
-from . import graph
-
-FULL = 64
-
+from . import graph, hamming
 
 def average_hash(grid: Column) -> Column:
     """64 bits of an 8 x 8 grid (64 numbers), first cell highest: whether a cell is at least the mean."""
@@ -27,27 +23,8 @@ def average_hash(grid: Column) -> Column:
 
 
 def near_hashes(hashes: DataFrame, threshold: int) -> DataFrame:
-    """a, b and distance of all different hashes (column hash, distinct) at most threshold bits apart, exactly; a < b.
-
-    The bits are cut into threshold // 3 + 1 parts; two hashes that close differ by
-    two bits at most in some part. So they meet, in that part, in a value that is one
-    bit at most from either: both sides are sent to all such values, by an equi join over
-    long keys (two parts of 32 bits at threshold 5, three of 21 at 8), and what meets is
-    verified. Among random hashes that is one pair in 3,000 at threshold 8.
-    """
-    parts = threshold // 3 + 1
-    cuts = [FULL * n // parts for n in range(parts + 1)]
-
-    def part(n: int) -> Column:
-        return F.shiftrightunsigned("hash", cuts[n]).bitwiseAND(F.lit((1 << (cuts[n + 1] - cuts[n])) - 1 if parts > 1 else -1).cast("long"))
-
-    flips = [(n, x) for n in range(parts) for x in range(-1, cuts[n + 1] - cuts[n])]
-    values = F.array(*(F.struct(F.lit(n).alias("part"), part(n).bitwiseXOR(F.lit(0 if x < 0 else _bit(x)).cast("long")).alias("bits")) for n, x in flips))
-    sent = hashes.select("hash", F.inline(values))
-    a, b = sent.alias("a"), sent.alias("b")
-    met = a.join(b, (F.col("a.part") == F.col("b.part")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.hash") < F.col("b.hash")))
-    d = S.hamming(F.col("a.hash"), F.col("b.hash"))
-    return met.where(d <= threshold).select(F.col("a.hash").alias("a"), F.col("b.hash").alias("b"), d.alias("distance")).distinct()
+    """a, b and distance of all different hashes (column hash, distinct) at most threshold bits apart, exactly; a < b."""
+    return hamming.near(hashes, threshold)
 
 
 def _hashed(photos: DataFrame, *more: str) -> DataFrame:
@@ -78,8 +55,47 @@ def hamming_links(photos: DataFrame, threshold: int) -> DataFrame:
     return near.join(a, "a").join(b, "b").select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")).unionByName(stars)
 
 
-def _bit(n: int) -> int:
-    return 1 << n if n < 63 else -(1 << 63)
+def hash_classes(photos: DataFrame) -> DataFrame:
+    """idx, hash and class, the first photo with the same hash, of every photo with a hash."""
+    known = _hashed(photos)
+    return known.join(known.groupBy("hash").agg(F.min("idx").alias("class")), "hash").select("idx", "hash", "class")
+
+
+def class_pairs(photos: DataFrame, threshold: int) -> DataFrame:
+    """Classes (i < j, named by their first photos) of hashes at most threshold bits apart, with distance and members n_i and n_j. With ``hash_classes`` it tells every pair of photos, in rows that don't grow with the square of a group of copies."""
+    first = written(_hashed(photos).groupBy("hash").agg(F.min("idx").alias("first"), F.count(F.lit(1)).alias("n")))
+    near = near_hashes(first.select("hash"), threshold)
+    a, b = (first.select(F.col("hash").alias(c), F.struct("first", "n").alias(f"of_{c}")) for c in "ab")
+    low, high = F.least("of_a", "of_b"), F.greatest("of_a", "of_b")
+    return near.join(a, "a").join(b, "b").select(low["first"].alias("i"), high["first"].alias("j"), "distance", low["n"].alias("n_i"), high["n"].alias("n_j"))
+
+
+def start_groups(photos: DataFrame, threshold: int) -> DataFrame:
+    """idx, hash and root, the first photo of its group, of all photos with a hash (itself if alone): the state that ``grow_groups`` carries on."""
+    known = _hashed(photos)
+    roots = components(hamming_links(photos, threshold))
+    return known.join(roots, "idx", "left").select("idx", "hash", F.coalesce("root", "idx").alias("root"))
+
+
+def grow_groups(state: DataFrame, arrived: DataFrame, threshold: int) -> DataFrame:
+    """The state after photos have arrived, as if all had been grouped at once.
+
+    Only arrived hashes probe the index of known ones, and known hashes that none of them
+    can meet are told in the scan. What is contracted is the graph of labels: groups that arrived photos join,
+    and the arrived ones; photos of other groups keep their root without being compared.
+    Null hashes stay out; a photo whose idx is known already must not arrive again.
+    """
+    new = written(_hashed(arrived).groupBy("hash").agg(F.min("idx").alias("first")))
+    index = written(state.groupBy("hash").agg(F.min("root").alias("root")))  # photos of one hash have one root
+    among = near_hashes(new.select("hash"), threshold)
+    a, b = (new.select(F.col("hash").alias(c), F.col("first").alias(f"of_{c}")) for c in "ab")
+    links = among.join(a, "a").join(b, "b").select(F.col("of_a").alias("u"), F.col("of_b").alias("v"))
+    across = hamming.near_between(new.select("hash"), index.select("hash"), threshold)
+    known = index.select(F.col("hash").alias("b"), F.col("root").alias("v"))
+    links = links.unionByName(across.join(a, "a").join(known, "b").select(F.col("of_a").alias("u"), "v").distinct())
+    moved = written(graph.components(links).where("v <> root").select(F.col("v").alias("was"), F.col("root").alias("to")))
+    mine = _hashed(arrived).join(new, "hash").select("idx", "hash", F.col("first").alias("root"))
+    return state.select("idx", "hash", "root").unionByName(mine).join(moved, F.col("root") == F.col("was"), "left").select("idx", "hash", F.coalesce("to", "root").alias("root"))
 
 
 def blocked_pairs(photos: DataFrame, mode: str = "standard") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions import scalars as S
+from ..functions.durable import written
 from ..functions.ranks import neighbours
 from ..operators import advice, business, decision, export, generations, preference, report, review, similarity
 from ..sources import adapters as A
@@ -72,6 +73,28 @@ for _t in V.HAMMING_BY_MODE.values():
     query("q_hash_pairs" if _t == NEAR else f"q_hash_pairs_{_t}", f"WITH {_PAIRS.replace(f'<= {NEAR}', f'<= {_t}')} SELECT i, j, distance::INT AS distance FROM pairs")(lambda spark, d, t=_t: similarity.hamming_pairs(A.bursts(spark, d), t))
 
 
+@query("q_hash_classes", f"WITH {A.BURSTS_SQL} SELECT idx, min(idx) OVER (PARTITION BY bits) AS class FROM vectors")
+def hash_classes(spark, d):
+    return similarity.hash_classes(A.bursts(spark, d)).select("idx", "class")
+
+
+_CLASS_PAIRS = f"""WITH {A.BURSTS_SQL}, classes AS (SELECT bits, min(idx) AS first, count(*) AS n FROM vectors GROUP BY bits)
+SELECT a.first AS i, b.first AS j, hamming(a.bits, b.bits)::INT AS distance, a.n AS n_i, b.n AS n_j FROM classes a JOIN classes b ON a.first < b.first WHERE hamming(a.bits, b.bits) <= {{t}}"""
+for _t in V.HAMMING_BY_MODE.values():
+    query(f"q_hash_class_pairs_{_t}", _CLASS_PAIRS.format(t=_t))(lambda spark, d, t=_t: similarity.class_pairs(A.bursts(spark, d), t))
+
+
+@query("q_incremental_groups", _GROUPS + " SELECT idx, coalesce(root, idx) AS root FROM vectors LEFT JOIN roots USING (idx)")
+def incremental_groups(spark, d):
+    """Photos arrive in three parts that cut bursts; the groups are those of one run over all."""
+    v = written(A.bursts(spark, d).select("idx", "hash"))
+    part = lambda n: v.where(F.pmod(F.col("idx") + F.floor(F.col("idx") / 4), F.lit(3)) == n)
+    state = similarity.start_groups(part(0), NEAR)
+    for n in (1, 2):
+        state = written(similarity.grow_groups(state, part(n), NEAR))
+    return state.select("idx", "root")
+
+
 @query("q_average_hash", f"WITH {A.VECTORS_SQL} SELECT idx, bits, list_sum(list_transform(string_split(bits, ''), lambda x: (x = '1')::INT))::INT AS ones FROM vectors")
 def hashes(spark, d):
     return A.vectors(spark, d).select("idx", F.lpad(F.bin("hash"), 64, "0").alias("bits"), F.bit_count("hash").alias("ones"))

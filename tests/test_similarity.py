@@ -2,12 +2,14 @@
 
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumensift import vocab as V
-from lumensift.operators import similarity
+from lumensift.functions.durable import written
+from lumensift.operators import hamming, similarity
 
 SCHEMA = "idx long, path string, filename string, hash long, area long, absolute_quality_score double, commercial_score double, portfolio_score double, quality_rating string, issue_tags array<string>, ai_quality_tags array<string>, basic_score double, best_in_group boolean, similar_group_note string, human_group_decision string, similar_group_status string, review_status string, recommended_keep boolean, delivery_use array<string>, similar_group_id string"
 
@@ -93,3 +95,75 @@ def test_boxes_that_overlap_go(spark):
     boxes = [(0, 0, 10, 10), (1, 1, 10, 10), (50, 50, 5, 5)]
     df = spark.createDataFrame([([dict(zip("xywh", b)) for b in boxes],)], "b array<struct<x:int,y:int,w:int,h:int>>")
     assert [tuple(b) for b in df.select(similarity.kept_boxes(F.col("b"))).first()[0]] == [boxes[0], boxes[2]]
+
+
+def _clustered(rng, n):
+    base = [rng.getrandbits(64) for _ in range(n // 5)]
+    values = {b ^ sum({1 << rng.randrange(64) for _ in range(rng.randrange(11))}) for b in base for _ in range(5)} | {1 << 63, 0, (1 << 64) - 1, (1 << 63) | 1}
+    return [v - (1 << 64) if v >> 63 else v for v in values]
+
+
+def _bits_apart(a, b):
+    return ((a ^ b) & (1 << 64) - 1).bit_count()
+
+
+@pytest.mark.parametrize("size", [10, 10**4, 10**6, 10**8])
+@pytest.mark.parametrize("threshold", [0, 3, 5, 8, 12])
+def test_plans_of_any_size_lose_no_pair(spark, monkeypatch, size, threshold):
+    """The parts that so many hashes would take, on few of them."""
+    values, plan = _clustered(random.Random(threshold), 60), hamming.plan
+    if sum(hamming.ball(len(p.bits), p.left) for p in plan(size, size, threshold)) > 600:
+        pytest.skip("as many values as this machine is slow with")
+    monkeypatch.setattr(hamming, "plan", lambda a, b, t, bits=tuple(range(64)): plan(size, size, t, bits))
+    got = [tuple(r) for r in hamming.near(spark.createDataFrame([(v,) for v in values], "hash long"), threshold).collect()]
+    assert sorted(got) == sorted((a, b, _bits_apart(a, b)) for a in values for b in values if a < b and _bits_apart(a, b) <= threshold)
+
+
+@pytest.mark.parametrize("threshold", [5, 8])
+def test_crowded_buckets_are_dealt_again(spark, threshold):
+    """Hashes that agree in most bits, as those of plain photos do."""
+    rng = random.Random(3)
+    values = sorted({rng.getrandbits(20) << 9 | rng.getrandbits(2) << 50 for _ in range(150)} | {1 << b for b in range(40)})
+    got = [tuple(r) for r in hamming.near(spark.createDataFrame([(v,) for v in values], "hash long"), threshold, hot=12).collect()]
+    assert sorted(got) == sorted((a, b, _bits_apart(a, b)) for a in values for b in values if a < b and _bits_apart(a, b) <= threshold)
+
+
+@pytest.mark.parametrize("sizes", [(7, 200), (200, 7), (60, 60)])
+def test_few_against_many(spark, sizes):
+    rng = random.Random(11)
+    values = _clustered(rng, 300)
+    few, many = values[: sizes[0]], values[-sizes[1] :]
+    got = hamming.near_between(*(spark.createDataFrame([(v,) for v in x], "hash long") for x in (few, many)), 8).collect()
+    assert sorted(tuple(r) for r in got) == sorted((a, b, _bits_apart(a, b)) for a in few for b in many if _bits_apart(a, b) <= 8)
+
+
+def test_meetings_of_a_hash_do_not_grow_with_their_number(spark):
+    rng = random.Random(5)
+    rate = {}
+    for n in (500, 4_000, 32_000):
+        df = spark.createDataFrame([(rng.getrandbits(64) - (1 << 63),) for _ in range(n)], "hash long")
+        rate[n] = hamming.meetings(df, 8) / n
+    assert max(rate.values()) < 100  # the square alone would be 64 times more for the last than for the first
+    # beyond what can be run here, by the plan: the square would be 1,000 times more a hash
+    expected = lambda n: sum(n * hamming.ball(len(p.bits), p.radius) / 2 ** len(p.bits) for p in hamming.plan(n, n, 8))
+    assert expected(10**9) < 60 * expected(10**6)
+
+
+def test_copies_are_classes(spark):
+    df = spark.createDataFrame([(i, [0, 0, 3, -1][i % 4]) for i in range(400)] + [(999, None)], "idx long, hash long")
+    assert [tuple(r) for r in similarity.class_pairs(df, 5).collect()] == [(0, 2, 2, 200, 100)]
+    assert {r["class"]: r["n"] for r in similarity.hash_classes(df).groupBy("class").agg(F.count("*").alias("n")).collect()} == {0: 200, 2: 100, 3: 100}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_groups_grow_as_if_made_at_once(spark, seed):
+    rng = random.Random(seed)
+    values = _clustered(rng, 80)
+    rows = [(i, rng.choice(values)) for i in range(160)]
+    rng.shuffle(rows)
+    frame_ = lambda x: spark.createDataFrame(x, "idx long, hash long")
+    state = similarity.start_groups(frame_(rows[:50]), 5)
+    for a, b in ((50, 60), (60, 60), (60, 160)):
+        state = similarity.grow_groups(written(state), frame_(rows[a:b]), 5)
+    whole = similarity.start_groups(frame_(rows), 5)
+    assert sorted(map(tuple, state.collect())) == sorted(map(tuple, whole.collect())) and state.count() == 160
