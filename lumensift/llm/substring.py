@@ -309,7 +309,7 @@ def _found(blocks: DataFrame, k: int, m: int, level: int) -> DataFrame:
 def _with_spans(docs: DataFrame, key: str, text: str, k: int, m: int) -> DataFrame:
     """docs with substring:starts and substring:ends, the word ranges to remove (null: none)."""
     found = repeated_spans(docs, key, text, k, m)
-    spans = found.groupBy(F.col("key").alias("substring:key"), F.col("tag").alias("substring:tag")).agg(F.collect_list(F.struct("first", "n")).alias("substring:spans"))
+    spans = found.groupBy(F.col("key").alias("substring:key"), F.col("tag").alias("substring:tag")).agg(F.collect_set(F.struct("first", "n")).alias("substring:spans"))  # repeated rows report the same spans
     own, tag = F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)), F.xxhash64(F.col(text))
     # only rows that may have spans are shuffled to meet them
     hit = may_hold(found.select("key", "tag").distinct(), [own, tag])
