@@ -11,7 +11,8 @@ source numbers and bits over the cluster numbers of its shard.
 
 Packing is sequential, so pieces are dealt by hash into shards of about
 ``SHARD_PIECES`` pieces, whose number follows the count of pieces; bins never
-span shards. Only ids, sources, cluster hashes and sizes are shuffled, not texts.
+span shards. Repeated rows, which would all have one hash, are counted and dealt by
+their number among equals, so a row that stands often fills no shard. Only ids, sources, cluster hashes and sizes are shuffled, not texts.
 
 Ids are whole numbers, or text that reads as one.
 
@@ -93,8 +94,9 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", text:
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, key: str = "doc_id", text: str = "text", source: str = "source", cluster: str | None = None) -> DataFrame:
     """shard, bin (in its shard), doc_id, piece, first_word and n_tokens of every piece."""
-    cut = written(pieces(docs, capacity, key, text, source, cluster))
-    shards = max(1, -(-cut.count() // SHARD_PIECES))
+    each = pieces(docs, capacity, key, text, source, cluster)
+    cut = written(each.groupBy(*each.columns).agg(F.count(F.lit(1)).alias("times")))
+    shards = max(1, -(-(cut.agg(F.sum("times")).first()[0] or 0) // SHARD_PIECES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -112,7 +114,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
         if held:
             yield _packed(held, capacity, per_source)
 
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "h", "piece"), F.lit(shards)))
+    every = cut.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    dealt = every.withColumn("shard", F.pmod(F.xxhash64("doc_id", "h", "piece", "nth"), F.lit(shards)))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["shard", F.desc("n_tokens"), "doc_id", "h", "piece"]
     rows = dealt.select("shard", "doc_id", "h", "source", "cluster", "piece", "first_word", "n_tokens").repartition(min(parts, shards), "shard").sortWithinPartitions(*order)
