@@ -17,7 +17,7 @@ text as it goes.
 
 The unigram lower-cases A-Z and counts tokens exactly by 64-bit hash over all
 training texts. The
-HEAD most frequent tokens (a fixed number) are looked up in the scan; all other
+most frequent tokens (at most HEAD, by counts of counts, without a sort) are looked up in the scan; all other
 tokens of a document meet their counts in a join by token, where none is hot,
 since a hot token would be among the first.
 
@@ -206,7 +206,7 @@ def resolved(grams: DataFrame, pairs: np.ndarray) -> DataFrame:
 
 
 def most_frequent(grams: DataFrame, limit: int) -> DataFrame:
-    """The grams with at least a count that no more than limit have: no sort, only the number of grams for each size of count meets."""
+    """The grams (or tokens) with at least a count that no more than limit have: no sort, only the number of grams for each size of count meets."""
     size = F.when(F.col("n") < 1024, F.col("n")).otherwise(1013 + F.ceil(F.log2(F.col("n") + 1)).cast("long"))
     sizes = grams.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("c")).collect()
     least, total = 1 << 20, 0
@@ -259,7 +259,7 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
     cached = most_frequent(grams, CACHE).select("k", "log").toArrow()
     gk = cached.column("k").to_numpy()
     g_order = np.argsort(gk)
-    head = tokens.orderBy(F.desc("n"), "k").limit(HEAD).toArrow()
+    head = most_frequent(tokens, HEAD).toArrow()
     end = tokens.where(F.col("k") == END_TOKEN).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hk = head.column("k").to_numpy().view(np.uint64)
     order = np.argsort(hk)
