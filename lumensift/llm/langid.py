@@ -95,6 +95,7 @@ class Model:
 
     languages: list[str]
     roots: np.ndarray
+    bits_a_phrase: np.ndarray  # what naming a place in a language's text takes
     keys: np.ndarray  # state * 256 + byte
     to: np.ndarray
     bits: int
@@ -110,10 +111,10 @@ class Model:
         return np.where(self.keys[a] == key, self.to[a], np.where(self.keys[b] == key, self.to[b], -1))
 
 
-def _table(languages: list[str], roots: list[int], key: np.ndarray, to: np.ndarray) -> Model:
+def _table(languages: list[str], roots: list[int], sizes: list[int], key: np.ndarray, to: np.ndarray) -> Model:
     bits = max(4, int(np.ceil(np.log2(max(1, len(key)) * 2.5))))
     while True:
-        model = Model(languages, np.array(roots, np.int64), np.full(1 << bits, -1), np.zeros(1 << bits, np.int64), bits)
+        model = Model(languages, np.array(roots, np.int64), np.log2(sizes), np.full(1 << bits, -1), np.zeros(1 << bits, np.int64), bits)
         first, second = model.places(key)
         held = np.full(1 << bits, -1)
         at, todo = first.copy(), np.arange(len(key))
@@ -138,7 +139,7 @@ def train(samples: dict[str, list[bytes]], train_bytes: int = TRAIN_BYTES) -> li
     languages = sorted(samples)
     models = []
     for begin in range(0, len(languages), AT_ONCE):
-        names, roots, keys, to, states = languages[begin : begin + AT_ONCE], [], [], [], 0
+        names, roots, sizes, keys, to, states = languages[begin : begin + AT_ONCE], [], [], [], [], 0
         for language in names:
             taken, left = [], train_bytes
             for t in map(plain, samples[language]):
@@ -147,10 +148,10 @@ def train(samples: dict[str, list[bytes]], train_bytes: int = TRAIN_BYTES) -> li
                     left -= len(t) + 1
             text = b" ".join(taken) if taken else min(map(plain, samples[language]), key=len)[:train_bytes]
             a, c, b, n = suffix_automaton(b" " + text + b" ")
-            roots.append(states)
+            roots.append(states), sizes.append(len(text) + 2)
             keys.append((a + states) * 256 + c), to.append(b + states)
             states += n
-        models.append(_table(names, roots, np.concatenate(keys), np.concatenate(to)))
+        models.append(_table(names, roots, sizes, np.concatenate(keys), np.concatenate(to)))
     return models
 
 
@@ -185,19 +186,19 @@ def phrase_counts(texts: list[bytes], model: Model) -> np.ndarray:
 
 
 def predict_texts(texts: list[bytes | None], models: list[Model]) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text: 1 less the share of phrases of the best language to the second's."""
+    """Language and score of each text: 1 less the share of the best language's bits to the second's. A phrase takes log2 of the bytes of its language's text, so a language with little text isn't held back by its longer phrase list."""
     n = len(texts)
     languages = [x for m in models for x in m.languages]
     scores, best = np.zeros(n), np.zeros(n, np.int64)
     if languages:
         own = [plain(t or b"") for t in texts]
-        per = np.concatenate([phrase_counts(own, m) for m in models], axis=1)
+        per = np.concatenate([phrase_counts(own, m) * m.bits_a_phrase for m in models], axis=1)
         best = per.argmin(1)
         if len(languages) == 1:
             scores += 1
         else:
             two = np.partition(per, 1, axis=1)[:, :2]
-            scores = np.where(two[:, 1] > 0, 1 - two[:, 0] / np.maximum(two[:, 1], 1), 0)
+            scores = np.where(two[:, 1] > 0, 1 - two[:, 0] / np.where(two[:, 1] > 0, two[:, 1], 1), 0)
     out = []
     for i, t in enumerate(texts):
         lettered = bool(languages) and t is not None and (len(t.translate(None, _LETTERS)) < len(t) or any(c.isalpha() for c in t.decode("utf-8", "replace")))

@@ -164,6 +164,14 @@ def test_rows_that_share_an_id_lose_only_their_own_repeats(spark):
     assert cut == Counter((i, h) for i, _, _, h in want.elements())
 
 
+def test_spans_of_repeated_rows_are_one_list(spark):
+    t = " ".join(f"w{i}" for i in range(60))
+    docs = frame(spark, [(1, t, "en", "s", 0, "k", 0, 0)] + [(2, t, "en", "s", 0, "k", 0, 0)] * 600)
+    marked = substring._with_spans(docs.select("doc_id", "text"), "doc_id", "text", 20, substring.M)
+    assert max(len(r["substring:starts"] or []) for r in marked.collect()) < 12  # super-k-mers of one text
+    assert by_row(substring.digest(docs), "doc_id", "n_removed") == Counter({(1, 0): 1, (2, 60): 600})
+
+
 def test_substring_documents(spark):
     data = [r for r in rows() if r[0] is not None]
     out = substring.dedup_documents(frame(spark, data), length="n_chars")
@@ -498,7 +506,7 @@ def test_languages_equal_a_plain_parse(spark, monkeypatch):
         sources[x] = b" " + (b" ".join(taken) if taken else _plain_text(samples[x][0].decode())[:700]) + b" "
     want = Counter()
     for d in data:
-        counts = [(_plain_phrases(_plain_text(d[1]), v, langid.PIECE), x) for x, v in sources.items()]
+        counts = [(_plain_phrases(_plain_text(d[1]), v, langid.PIECE) * math.log2(len(v)), x) for x, v in sources.items()]
         one, two = sorted(counts)[:2]
         want[(d[0], min(counts)[1] if d[1] else "und", round(1 - one[0] / two[0], 9) if d[1] else 0.0)] += 1
     got = langid.identify(frame(spark, data), langid.train(samples, 700))
@@ -512,6 +520,18 @@ def test_held_out_accuracy(spark):
     assert all_ > 200 and right >= 0.99 * all_
 
 
+def test_unequal_samples(spark):
+    """A language with 5 labelled rows beside others with 200."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    train_ = docs.where(~langid.held_out(F.col("doc_id")))
+    few = train_.where("lang = 'es'").orderBy("doc_id").limit(5)
+    models = langid.train(langid.sample(train_.where("lang <> 'es'").unionByName(few)))
+    test = docs.where(langid.held_out(F.col("doc_id")))
+    got = langid.identify(test, models).join(test.select("doc_id", "lang"), "doc_id").where("lang IS NOT NULL AND lang_pred <> 'und'")
+    right, all_ = got.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count(F.lit(1))).first()
+    assert all_ > 200 and right >= 0.99 * all_
+
+
 # -- language model
 
 
@@ -633,6 +653,13 @@ def test_packing(spark):
     assert packing.pack(empty(spark)).count() == 0 and packing.pack(frame(spark)).count() > len(packed) // 2
 
 
+def test_repeated_rows_fill_no_shard(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_PIECES", 500)
+    row = (7, "one row again and again", "en", "s", 0, "k", 0, 0)
+    out = packing.pack(spark.range(20_000).select(*(F.lit(x).alias(c) for x, c in zip(row, ("doc_id", "text", "lang", "source", "n_chars", "key", "bucket", "n"))))).groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("bin").alias("bins")).collect()
+    assert sum(r["n"] for r in out) == 20_000 and max(r["n"] for r in out) < 700 and all(r["n"] == r["bins"] for r in out)
+
+
 def test_best_fit_equals_plain_search():
     import random
 
