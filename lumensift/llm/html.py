@@ -3,22 +3,25 @@
 A page becomes lines, one a block of its markup. Within each host, pages are
 sorted by URL path; the neighbour with the longer common path is a page's pair.
 The two pages' lines are aligned by a longest common subsequence and the shared
-lines, which come from the site and not from the article, are deleted. A pair
-that shares nearly every line is a copy, not a template, and the other neighbour is
+lines, which come from the site and not from the article, are deleted. Where a page without marks has
+no line that its pair lacks, the pair is a copy (or a longer version), not a template, and the other neighbour is
 taken instead.
 
 Markup goes into the alignment:
 
 * What HTML itself sets apart (``nav``, page headers, ``footer``, ``aside``, forms, scripts,
   styles, hidden elements, roles such as ``navigation``) and what a class or id calls a menu, footer, sidebar,
-  advert, cookie notice or reader comment is no line. Of an article's own header, headings and paragraphs are
-  lines and what stands beside them (bylines, dates) isn't. An article within an article is a comment.
+  advert, cookie notice or reader comment is no line. Of an article's own header, headings, paragraphs, lists and other blocks are
+  lines; bylines, dates and text beside blocks aren't. An article within an article is a comment.
+* Inside ``article`` or ``main`` only names of adverts, sharing and reader comments do so, and any other name is no more than a suggestion:
+  a ``div`` of class ``social`` may be a paragraph on social questions. ``menu`` and ``dialog`` are the article's there.
 * Elements whose class or id only suggests a part of the site (``related``, ``notice``,
   ``banner`` ...) are aligned by their name instead of their text: where the pair has such an
-  element in the same place, it is the site's and goes; where it hasn't, it is the article's and stays.
+  element in the same place, it is the site's and goes; where it hasn't, it is the article's and stays. So are, on pages without marks, list items that
+  are nothing but a link: menus differ in their words and agree in their form.
 * Lines are units of the innermost ``div``, ``section`` or table cell around them. Articles of one host do
   share lines (quotations, passages, near copies), so a unit with more text of its own than shared text
-  stays whole, and shared lines are deleted from all others.
+  keeps its shared lines, but for those with which the page and its neighbours on both sides begin (before a heading) or end; from all other units shared lines are deleted.
 * Where a page marks its article (``article``, ``main``), the lines inside stay however many a neighbour shares,
   and only suggestively named elements (teasers of other stories too) are decided by alignment. A page whose article has none of these is decided without a pair.
 
@@ -28,7 +31,7 @@ two rows a range. Alignments take memory in proportion to the lines of two pages
 
 Defined results: null html is an empty text; null urls have an empty host and
 path; equal urls are ordered by id; repeated rows pair with each other as copies,
-which deletes nothing; pages without a neighbour lose the suggestively named elements and no other line; cut-off markup ends
+which deletes nothing; pages without a neighbour lose the suggestively named elements (but for those that only a name inside the article tells) and no other line; cut-off markup ends
 with the page; an empty table gives no rows; other columns are not read.
 """
 
@@ -47,9 +50,6 @@ from pyspark.sql import functions as F
 
 from ..functions.durable import written
 
-#: Share of a page's lines from which its pair is a copy.
-COPY = 0.9
-
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<[!?][^>]*>|<[/!?a-zA-Z][^<>]*\Z""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
@@ -57,7 +57,10 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden|itemprop)\
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "canvas"}
 
 #: Elements that are never part of an article.
-_APART = {"nav", "footer", "aside", "form", "head", "button", "select", "dialog", "menu"}
+_APART = {"nav", "footer", "aside", "form", "head", "button", "select"}
+
+#: Elements that are so outside of articles only.
+_APART_OUTSIDE = {"dialog", "menu"}
 
 _BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul video audio".split()
@@ -66,8 +69,7 @@ _BLOCKS = set(
 #: Elements whose lines are a unit.
 _UNITS = {"div", "section", "article", "main", "td", "th"}
 
-#: Blocks of an article's header that are the article's.
-_HEADING = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 #: Elements without content.
 _EMPTY = {"br", "img", "input", "hr", "meta", "link", "wbr", "source", "col", "area", "base", "embed", "track", "param"}
@@ -79,17 +81,21 @@ _STRONG = re.compile(
     re.I,
 )
 
+# Of these, the ones that set an element apart inside an article too, and those of a byline in its header.
+_READERS = re.compile(r"(?:ads?|advert|adverts|advertisement|advertising|sponsored|comments?|commentlist|disqus|sharing)(?:-(?:list|box|bar|area|section|container|wrapper|block|unit|slot|form|banner|links))?", re.I)
+_BYLINE = re.compile(r"(?:by-?line|authors?|date|dateline|published|posted(?:-on)?|timestamp|(?:post|entry|article)-(?:meta|date|author)|meta)", re.I)
+
 # Words that suggest a part of the site, as any part of a class name or id; differencing decides.
 _WEAK = re.compile(r"(?:^|[_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|notice|alert|overlay|subscribe|signup|side|widget\w*|related|recommend\w*|share|teaser|toolbar|skip|print-only)(?:$|[_-])", re.I)
 
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "toolbar"}
 
-APART, SITE = "apart", "site"
+APART, SITE, MAYBE = "apart", "site", "maybe"
 
 
-def _named(tag: str, attributes: str) -> tuple[str, str]:
-    """APART, SITE (differencing decides) or blank, and the name that says so."""
-    if tag in _APART:
+def _named(tag: str, attributes: str, inside: bool, header: bool) -> tuple[str, str]:
+    """APART, SITE or MAYBE (differencing decides; without a neighbour, SITE goes and MAYBE stays) or blank, and the name that says so; inside: an article or main."""
+    if tag in _APART or not inside and tag in _APART_OUTSIDE or header and tag in ("time", "address"):
         return APART, tag
     found = ("", "")
     if not attributes or "=" not in attributes and "hidden" not in attributes:
@@ -99,8 +105,12 @@ def _named(tag: str, attributes: str) -> tuple[str, str]:
         if name in ("class", "id"):
             for token in value.split():
                 if _STRONG.fullmatch(token):
+                    if not inside or _READERS.fullmatch(token):
+                        return APART, token
+                    found = found if found[0] == SITE else (MAYBE, f"{tag}.{token.lower()}")
+                elif header and _BYLINE.fullmatch(token):
                     return APART, token
-                if _WEAK.search(token):
+                elif _WEAK.search(token):
                     found = SITE, f"{tag}.{token.lower()}"
         if name == "role" and value.lower() in _ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return APART, name
@@ -114,14 +124,17 @@ class Line:
     text: str
     unit: int  # the element around it
     site: str  # the name of a suggestively named element around it
+    sure: bool  # that name suggests it without a neighbour too
     article: bool
     main: bool
+    heading: bool
 
 
 def _all_lines(page: str) -> list[Line]:
     """The lines of a page that markup doesn't set apart."""
     lines: list[Line] = []
     text: list[str] = []
+    links, plain = 0, False  # open links, and whether the line has text outside of them
     units: list[tuple[str, int]] = []  # open elements of _UNITS and their numbers
     sites: list[list] = []  # open suggestively named elements: tag, name, how often the tag is open inside
     count, article, mains = 0, False, 0
@@ -129,10 +142,13 @@ def _all_lines(page: str) -> list[Line]:
     headers, block = 0, ""  # open headers of an article, and the block that its text is in
 
     def end() -> None:
+        nonlocal plain
         line = " ".join(references.unescape("".join(text)).split())
         text.clear()
-        if line and (not headers or block in _HEADING):
-            lines.append(Line(line, units[-1][1] if units else 0, sites[-1][1] if sites else "", article, mains > 0))
+        if line and (not headers or block not in ("", "header")):
+            site = sites[-1][1] if sites else "li.a" if block == "li" and not plain and not article and not mains else ""
+            lines.append(Line(line, units[-1][1] if units else 0, site, bool(sites) and sites[-1][3], article, mains > 0, block in _HEADINGS))
+        plain = False
 
     at, size = 0, len(page)
     while at < size:
@@ -140,6 +156,7 @@ def _all_lines(page: str) -> list[Line]:
         begin = m.start() if m else size
         if begin > at and not apart:
             text.append(page[at:begin])
+            plain = plain or not links and not page[at:begin].isspace()
         if not m:
             break
         at = m.end()
@@ -160,11 +177,13 @@ def _all_lines(page: str) -> list[Line]:
             if tag not in ("article", "main") or closing or article or mains:
                 continue
             apart, depth = "", 0  # it was never closed
-        kind, name = ("", "") if closing or alone or tag in ("html", "body") else _named(tag, m[3])
+        kind, name = ("", "") if closing or alone or tag in ("html", "body") else _named(tag, m[3], article or mains > 0, headers > 0)
         if kind == APART or not closing and (tag == "header" and not article and not mains or tag == "article" and article):
             end()
             apart, depth = tag, 1
             continue
+        if tag == "a":
+            links = max(0, links + (-1 if closing else 1))
         if tag == "br":
             text.append(" ")
         elif tag in _BLOCKS:
@@ -187,8 +206,8 @@ def _all_lines(page: str) -> list[Line]:
         elif not alone:
             if sites and sites[-1][0] == tag:
                 sites[-1][2] += 1
-            elif kind == SITE and not sites:
-                sites.append([tag, name, 1])
+            elif kind and not sites:
+                sites.append([tag, name, 1, kind == SITE])
             if tag in _UNITS:
                 count += 1
                 units.append((tag, count))
@@ -295,7 +314,7 @@ def _direct(a: list[int], b: list[int]) -> list[bool]:
 
 
 def parsed(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """row, key, url, host, path, decided, lines, and of each line hash, unit and sort (0: its unit decides, 1: stays, 2: a suggestively named element) of every page."""
+    """row, key, url, host, path, decided, lines, and of each line hash, unit and sort (0, and -1 for headings: its unit decides, 1: stays, 2 and 3: a suggestively named element, which goes or stays without a neighbour) of every page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,7 +327,7 @@ def parsed(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
                     lines.append([x.text for x in own])
                     hashes.append([xxhash.xxh3_64_intdigest(f"<{x.site}>" if x.site else x.text) - (1 << 63) for x in own])
                     units.append([x.unit for x in own])
-                    sorts.append([2 if x.site else int(marked) for x in own])
+                    sorts.append([(2 if x.sure else 3) if x.site else 1 if marked else -x.heading for x in own])
                 made = [pa.array(decided), pa.array(lines, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64())), pa.array(units, pa.list_(pa.int32())), pa.array(sorts, pa.list_(pa.int8()))]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(5)), *made], ["row", "key", "url", "host", "path", "decided", "lines", "hashes", "units", "sorts"])
 
@@ -338,7 +357,7 @@ def neighbours(table: DataFrame) -> DataFrame:
     return met.select("row", "host", "path", "hashes", "units", "sorts", "sizes", F.coalesce("before", "last_before").alias("before"), F.coalesce("after", "first_after").alias("after"))
 
 
-def _prefix(a: str, b: str) -> int:
+def _prefix(a: str | list[int], b: str | list[int]) -> int:
     n = 0
     for x, y in zip(a, b):
         if x != y:
@@ -347,23 +366,26 @@ def _prefix(a: str, b: str) -> int:
     return n
 
 
-def kept_mask(page: dict, copy: float = COPY) -> list[bool]:
+def kept_mask(page: dict) -> list[bool]:
     """Which lines of a page (as neighbours returns it) stay after differencing with the nearest page of the host that is no copy."""
     own, sorts, units, sizes = page["hashes"], page["sorts"], page["units"], page["sizes"]
     near = [p for p in (page["before"], page["after"]) if p is not None and p["host"] == page["host"]]
     if not near:
         return [s != 2 for s in sorts]
-    shared = [False] * len(own)
+    found = []  # shared lines, common lines at the beginning and at the end, nearest first
     for other in sorted(near, key=lambda p: -_prefix(p["path"], page["path"])):
-        found = shared_lines(own, list(other["hashes"]))
-        if sum(found) < copy * len(own) or all(sorts):
-            shared = found
-            break
+        theirs = list(other["hashes"])
+        if not all(shared := shared_lines(own, theirs)) or min(sorts, default=1) > 0:
+            found.append((shared, _prefix(own, theirs), _prefix(own[::-1], theirs[::-1])))
+    shared, begun, ended = (found[0][0], *(min(f[k] for f in found) for k in (1, 2))) if found else ([False] * len(own), 0, 0)
     text: dict[int, int] = {}  # characters of each unit, less shared ones twice
     for s, u, sort, n in zip(shared, units, sorts, sizes):
-        if not sort:
+        if sort <= 0:
             text[u] = text.get(u, 0) + (-n if s else n)
-    return [not s if sort == 2 else sort == 1 or not s or text[u] > 0 and u > 0 for s, u, sort in zip(shared, units, sorts)]
+    begun = min(begun, sorts.index(-1) if -1 in sorts else begun)
+    inner = lambda i, u: u > 0 and text[u] > 0 and begun <= i < len(own) - ended
+    named = {(u, h) for s, u, sort, h in zip(shared, units, sorts, own) if s and sort >= 2}  # a menu goes whole, however many lines the neighbour's has
+    return [(u, own[i]) not in named if sort >= 2 else sort == 1 or not s or inner(i, u) for i, (s, u, sort) in enumerate(zip(shared, units, sorts))]
 
 
 def main_texts(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

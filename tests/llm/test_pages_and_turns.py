@@ -76,29 +76,30 @@ def test_main_texts_equal_a_plain_version(spark):
     made.sort()
     for n, ((host, path, i), lines) in enumerate(made):
         near = [made[m] for m in (n - 1, n + 1) if 0 <= m < len(made) and made[m][0][0] == host]
-        prefix = lambda p: next((k for k, (x, y) in enumerate(zip(p[0][1], path)) if x != y), min(len(p[0][1]), len(path)))  # noqa: B023, E731
-        gone = set()
-        for other in sorted(near, key=lambda p: -prefix(p)):
+        prefix = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        gone, begun, ended = None, 999, 999
+        for other in sorted(near, key=lambda p: -prefix(p[0][1], path)):  # noqa: B023
             theirs = [x for _, x in other[1]]
             if len({x for _, x in lines}) < len(lines) or len(set(theirs)) < len(theirs) or _common([x for _, x in lines], theirs) != len({x for _, x in lines} & set(theirs)):
-                gone = None  # several longest alignments
+                gone = 0  # several longest alignments
                 break
             shared = {x for _, x in lines} & set(theirs)
-            if len(shared) < 0.9 * len(lines):
-                gone = shared
-                break
-        if gone is None:
+            if len(shared) < len(lines):
+                mine = [x for _, x in lines]
+                gone, begun, ended = shared if gone is None else gone, min(begun, prefix(mine, theirs)), min(ended, prefix(mine[::-1], theirs[::-1]))
+        if gone == 0:
             continue
+        gone = gone or set()
         own = {}
         for u, x in lines:
             own[u] = own.get(u, 0) + (-len(x) if x in gone else len(x))
-        want[i] = "\n".join(x for u, x in lines if x not in gone or u and own[u] > 0)
+        want[i] = "\n".join(x for k, (u, x) in enumerate(lines) if x not in gone or u and own[u] > 0 and begun <= k < len(lines) - ended)
     got = {r["page_id"]: r["text"] for r in html.main_texts(pages(spark, data)).collect()}
     assert len(want) > 80 and {i: got[i] for i in want} == want
 
 
 def test_pages_of_the_tables_are_their_documents(spark):
-    """Heading, then the document, white space aside; the same where no page marks its article."""
+    """Heading, then the document, white space aside; nearly the same where no page marks its article."""
     from pyspark.sql import functions as F
 
     d = "/root/testdata/sf0.01"
@@ -107,7 +108,8 @@ def test_pages_of_the_tables_are_their_documents(spark):
     texts = {r["page_id"]: r["text"] for r in html.main_texts(found).collect()}
     assert len(texts) == 250 and all(" ".join(t.split("\n", 1)[1].split()) in documents for t in texts.values())
     plain = found.withColumn("html", F.regexp_replace("html", r"(</?)(article|main)\b", "$1div"))
-    assert {r["page_id"]: r["text"] for r in html.main_texts(plain).collect()} == texts
+    unmarked = {r["page_id"]: r["text"] for r in html.main_texts(plain).collect()}
+    assert sum(unmarked[i] == texts[i] for i in texts) >= 249  # one article and those of both neighbours end with the same passage
 
 
 def test_suggestive_names_are_decided_by_differencing(spark):
@@ -120,9 +122,51 @@ def test_suggestive_names_are_decided_by_differencing(spark):
 
 
 def test_units_keep_passages_that_neighbours_share(spark):
-    page = "<body><div><p>Site</p></div><div><p>quotation</p><p>text of page {0} that is long</p></div><p>quotation</p><section id=comments><p>reader</p></section></body>"
+    page = "<body><div><p>Site</p></div><div><p>Menu</p><p>begin {0}</p><p>quotation</p><p>text of page {0} that is long</p><p>Next</p></div><p>quotation</p><section id=comments><p>reader</p></section></body>"
     got = {r["page_id"]: r["text"] for r in html.main_texts(pages(spark, [(i, f"https://h.org/a/{i}", page.format(i)) for i in range(4)])).collect()}
-    assert all(got[i] == f"quotation\ntext of page {i} that is long" for i in range(4))
+    assert all(got[i] == f"begin {i}\nquotation\ntext of page {i} that is long" for i in range(4))
+
+
+def _texts(spark, page, more=lambda i: ""):
+    return [r["text"] for r in sorted(html.main_texts(pages(spark, [(i, f"https://h.org/a/{i}", page.format(i, more(i))) for i in range(4)])).collect(), key=lambda r: r["page_id"])]
+
+
+def test_a_page_that_shares_nearly_all_lines_is_no_copy(spark):
+    menu = "".join(f"<p>menu {n}</p>" for n in range(12))
+    assert _texts(spark, "<body>" + menu + "<p>own {0}</p></body>") == [f"own {i}" for i in range(4)]
+    assert _texts(spark, "<body><div>" + menu + "<p>own {0} " + "that is longer than the menu before it " * 9 + "</p></div></body>") == [(f"own {i} " + "that is longer than the menu before it " * 9).strip() for i in range(4)]
+
+
+def test_names_inside_an_article_are_suggestions(spark):
+    own = lambda i: "<div class='social'>The social contract</div><section class='replies'>So they replied</section>" if i == 1 else ""
+    assert _texts(spark, "<article><p>text {0}</p>{1}</article>", own)[:2] == ["text 0", "text 1\nThe social contract\nSo they replied"]
+    every = lambda i: "<div class='social'>Tell your friends</div><div class='comments'>reader</div>"
+    assert _texts(spark, "<article><p>text {0}</p>{1}</article>", every) == [f"text {i}" for i in range(4)]
+    alone = html.main_texts(pages(spark, [(1, "https://a.org/1", "<article><p>t</p><div class='social'>The social contract</div><p class=comments>r</p></article>")])).first()
+    assert alone["text"] == "t\nThe social contract"
+
+
+def test_headers_menus_and_dialogs_of_articles(spark):
+    page = "<article><header><h1>Head {0}</h1><div>standfirst</div><ul><li>key point</li></ul><div class=byline>By X</div><time>now</time><address>there</address>loose</header><menu><li>soup</li></menu><dialog open>she said</dialog></article><menu><li>site</li></menu><dialog>cookies</dialog>"
+    assert _texts(spark, page) == [f"Head {i}\nstandfirst\nkey point\nsoup\nshe said" for i in range(4)]
+
+
+def test_lists_of_links_are_told_by_their_form(spark):
+    page = "<div><ul><li><a href=/>w{0}</a></li><li><a href=/>x{0}</a> </li></ul></div><div><h1>Head {0}</h1><p>text <a>{0}</a></p><ul><li>point <a>{0}</a></li></ul></div>"
+    assert _texts(spark, page) == [f"Head {i}\ntext {i}\npoint {i}" for i in range(4)]
+
+
+def test_pages_without_any_marks(spark):
+    """Tags become div and names go: what the site puts around articles is then told by form and neighbours alone; the article itself stays whole but for shared ends."""
+    from pyspark.sql import functions as F
+
+    found = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r["page_id"]: r["text"] for r in html.main_texts(found).collect()}
+    bare = F.regexp_replace(F.regexp_replace("html", r"(</?)(article|main|nav|header|footer|aside|form|section)\b", "$1div"), r"\s(class|id|role|style)=(\"[^\"]*\"|\S+?(?=[\s>]))", "")
+    got = {r["page_id"]: r["text"] for r in html.main_texts(found.withColumn("html", bare)).collect()}
+    lines = lambda t: t.split("\n")
+    assert sum(set(lines(want[i])) <= set(lines(got[i])) for i in want) >= 245
+    assert sum(len(lines(got[i])) - len(lines(want[i])) <= 2 for i in want) >= 240  # an advert and a closing line, whose words no neighbour has
 
 
 def test_very_long_pages_take_little_memory():
