@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions import scalars as S
+from ..functions.durable import written
 from ..functions.ranks import placed
+from . import vectors as vectors_
 
 EMBEDDING_DIMS = 32
 LEAST_SAMPLES = 50
@@ -65,15 +67,24 @@ def nearest(items: DataFrame, centres: DataFrame, vector: str = "features", limi
     """Adds label, distance and score 1 / (1 + distance) of the nearest centroid, ties by label.
 
     Centroids, one a label, become one broadcast row with an array; beyond ``limit``
-    labels this is refused, since the row would no longer be small.
+    labels they are compared in blocks.
     """
     if centres.limit(limit + 1).count() > limit:
-        raise ValueError("too many labels to compare every item with each")
+        keyed = written(items.withColumn("row_", F.monotonically_increasing_id()))
+        found = vectors_.matches(keyed, centres.withColumnRenamed("centroid", vector), 1, "row_", vector).select("row_", F.col("label").alias("near_"), F.col("distance").alias("distance_"))
+        d = F.col("distance_")
+        out = keyed.join(found, "row_", "left")
+        return out.withColumns({"preference_label": F.coalesce("near_", F.lit("")), "distance": d, "preference_score": _closeness(d)}).drop("row_", "near_", "distance_")
     one = centres.agg(F.sort_array(F.collect_list(F.struct("label", "centroid"))).alias("centres_"))
     found = F.array_min(F.transform("centres_", lambda c: F.struct(S.euclidean(F.col(vector), c["centroid"]).alias("distance"), c["label"].alias("label"))))
     out = items.crossJoin(F.broadcast(one)).withColumn("near_", found).drop("centres_")  # one row against all: no product
     d = F.col("near_.distance")
-    return out.withColumns({"preference_label": F.coalesce(F.col("near_.label"), F.lit("")), "distance": d, "preference_score": F.coalesce(S.clamp(1.0 / (1.0 + d), 0.0, 1.0), F.lit(0.0))}).drop("near_")
+    return out.withColumns({"preference_label": F.when(d.isNull(), "").otherwise(F.col("near_.label")), "distance": d, "preference_score": _closeness(d)}).drop("near_")
+
+
+def _closeness(distance: Column) -> Column:
+    """1 / (1 + distance); what has no vector, and so no distance, isn't close to anything."""
+    return F.when(distance.isNull(), 0.0).otherwise(S.clamp(1.0 / (1.0 + distance), 0.0, 1.0))
 
 
 def report_lines(samples: DataFrame) -> DataFrame:
@@ -183,9 +194,9 @@ def predict_logistic(model, items: DataFrame, vector: str = "features") -> DataF
 
 
 def zero_shot(vectors: DataFrame, labels: DataFrame, k: int = 3, scale: float = 100.0, limit: int = 10_000) -> DataFrame:
-    """idx, place, label and probability: softmax of scaled cosines to label vectors, the k highest."""
+    """idx, place, label and probability: softmax of scaled cosines to label vectors, the k highest; beyond ``limit`` labels in blocks."""
     if labels.limit(limit + 1).count() > limit:
-        raise ValueError("too many labels to compare every item with each")
+        return vectors_.matches(vectors, labels, k, scale=scale)
     one = labels.agg(F.sort_array(F.collect_list(F.struct("label", F.col("vector").cast("array<double>").alias("vector")))).alias("labels_"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     norm = lambda a: F.sqrt(dot(a, a))

@@ -170,18 +170,52 @@ def write_csv(photos: DataFrame, path: str, records: DataFrame | None = None) ->
     csv_rows(photos, records).write.mode("overwrite").option("header", True).csv(path)
 
 
-def _text_file(lines: DataFrame, folder: str, name: str) -> str:
-    """Writes lines (column value, of one partition), without collecting them, as one named file; returns its path."""
+def _text_file(lines: DataFrame, order: list[str], head: str | None, folder: str, name: str) -> str:
+    """Writes lines (column value, in an order without ties) as one named file after a head, and returns its path.
+
+    Ranges of lines are written as parts by as many tasks, and the parts, whose names are in
+    order, are put together by the file system: by its concat where it has one, else part by
+    part through a buffer. No task and no driver holds more than a part, or a buffer.
+    """
     spark = lines.sparkSession
-    lines.write.mode("overwrite").text(folder)
-    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    part = next(s.getPath() for s in files.listStatus(root) if s.getPath().getName().startswith("part-"))
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-    files.rename(part, target)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lines.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("value")
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    files = at(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    dealt.write.mode("overwrite").text(f"{folder}/parts")
+    found = sorted((s.getPath() for s in files.listStatus(at(f"{folder}/parts")) if s.getPath().getName().startswith("part-") and s.getLen()), key=lambda p: p.getName())
+    target = at(f"{folder}/{name}")
+    out = files.create(target, True)
+    if head is not None:
+        out.write(bytearray(f"{head}\n".encode()))
+    if head is not None and _joined(spark, files, out, target, found):
+        pass
+    else:
+        for part in found:
+            stream = files.open(part)
+            spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
+            stream.close()
+        out.close()
+    files.delete(at(f"{folder}/parts"), True)
     return target.toString()
 
 
+def _joined(spark, files, out, target, found: list) -> bool:
+    """Whether the file system has put the parts behind what is in the target; if so, out is closed."""
+    if not found or files.getScheme() not in CONCAT:
+        return False
+    out.close()
+    array = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Path, len(found))
+    for n, part in enumerate(found):
+        array[n] = part
+    files.concat(target, array)
+    return True
+
+
+#: File systems with a concat.
+CONCAT = ("hdfs",)
+
+
 def write_csv_file(photos: DataFrame, folder: str, records: DataFrame | None = None, name: str = "review_report.csv") -> str:
     """The review report as one CSV file that begins with a byte order mark, in input order; returns its path."""
     return _csv_file(csv_rows(photos, records, "idx"), folder, name)
@@ -191,8 +225,7 @@ def _csv_file(rows: DataFrame, folder: str, name: str) -> str:
     """rows (with idx, their order) as a file with a header."""
     names = [c for c in rows.columns if c != "idx"]
     line = F.to_csv(F.struct(*(F.col(f"`{c}`") for c in names)), {"escape": "\"", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}).alias("value")
-    head = rows.sparkSession.createDataFrame([(None, "\ufeff" + ",".join(names))], "idx long, value string")
-    return _text_file(head.unionByName(rows.select(F.col("idx").cast("long").alias("idx"), line)).coalesce(1).sortWithinPartitions(F.asc_nulls_first("idx")).select("value"), folder, name)
+    return _text_file(rows.select(F.col("idx").cast("long").alias("idx"), line), ["idx"], "\ufeff" + ",".join(names), folder, name)
 
 
 def first_rows(photos: DataFrame, *more: str) -> DataFrame:
@@ -279,9 +312,9 @@ def markdown_lines(photos: DataFrame, title: str = "筛片复盘报告") -> Data
 _LINE_ORDER = ("section", "part", "at", "id")
 
 
-def markdown(photos: DataFrame, title: str = "筛片复盘报告") -> str:
-    """The whole report as one text; ``write_markdown`` is for catalogs whose lists don't fit the driver."""
-    return "\n".join(r["value"] for r in markdown_lines(photos, title).orderBy(*_LINE_ORDER).select("value").collect())
+def write_markdown_file(photos: DataFrame, folder: str, title: str = "筛片复盘报告", name: str = "review_report.md") -> str:
+    """The whole report as one file; returns its path."""
+    return _text_file(markdown_lines(photos, title), list(_LINE_ORDER), None, folder, name)
 
 
 def write_markdown(photos: DataFrame, path: str, title: str = "筛片复盘报告") -> None:

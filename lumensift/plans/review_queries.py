@@ -687,26 +687,6 @@ def cached_rows(spark, d):
     return both.join(now.select("path"), "path", "left_semi").select("idx", "origin", "value")
 
 
-_TREE = ["a.jpg", "sub/b.JPEG", "sub/deep/c.png", "sub/d.webp", "e.cr2", "sub/f.NEF", "g.txt", "skip/h.jpg", "i", "sub/j.tar.jpg"]
-
-
-@query(
-    "q_scan",
-    """SELECT * FROM (VALUES ('photos', 'a.jpg'), ('photos', 'b.JPEG'), ('photos', 'c.png'), ('photos', 'd.webp'), ('photos', 'j.tar.jpg'), ('all', 'a.jpg'), ('all', 'b.JPEG'), ('all', 'c.png'), ('all',
-  'd.webp'), ('all', 'j.tar.jpg'), ('all', 'h.jpg'), ('raw', 'e.cr2'), ('raw', 'f.NEF')) t(kind, filename)""",
-)
-def scan(spark, d):
-    """Files below a folder by their extensions, with and without an excluded folder name, and raw files."""
-    at = _folder(spark)
-    for name in _TREE:  # ten files
-        where = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/{name}")
-        out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
-        out.write(bytearray(b"x"))
-        out.close()
-    kind = lambda df, k: df.select(F.lit(k).alias("kind"), "filename")
-    return kind(catalog.scan(spark, at, excluded=["skip"]), "photos").unionByName(kind(catalog.scan(spark, at), "all")).unionByName(kind(catalog.scan_raw(spark, at), "raw"))
-
-
 @query("q_capture_times", _with("SELECT idx, CASE k % 3 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(ts + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') ELSE '' END AS taken_at FROM photos"))
 def capture_times(spark, d):
     """Times in EXIF blocks: of the plain tag, of the original's tag before it, and none."""

@@ -185,6 +185,9 @@ def latest(rows: DataFrame, key: str, *order: Column) -> DataFrame:
     return rows.groupBy(key).agg(first.alias("row_")).select(key, *(F.col(f"row_.{c}").alias(c) for c in rest))
 
 
+#: For ``save``: whatever has been committed before.
+ANY = -1
+
 #: Deltas after which a table is written anew as one snapshot.
 COMPACT_AFTER = 20
 
@@ -227,8 +230,8 @@ def _commit(spark: SparkSession, path: str, version: int, kind: str, name: str)
     return True
 
 
-def save(spark: SparkSession, new: DataFrame, path: str) -> int:
-    """Upserts new rows into a table by path; returns the version.
+def save(spark: SparkSession, new: DataFrame, path: str, after: int | None = ANY) -> int | None:
+    """Upserts new rows into a table by path; returns the version. With after (a version, None: no table yet), only if no other has been committed since: else nothing is, and the result is None.
 
     Only the new rows are written, as a delta that counts once its commit file exists. Two
     writers can't make the same commit file: the second one takes the next version. After
@@ -240,6 +243,8 @@ def save(spark: SparkSession, new: DataFrame, path: str) -> int:
     while True:
         parts = _committed(spark, path)
         version = parts[-1][0] + 1 if parts else 0
+        if after != ANY and version != (0 if after is None else after + 1):
+            return None  # the delta stays for vacuum
         if _commit(spark, path, version, "delta", name):
             break
     if len(parts) >= COMPACT_AFTER:

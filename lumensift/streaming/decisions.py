@@ -33,11 +33,14 @@ def merge_stream(updates: DataFrame, table: str, checkpoint: str, key: str = "pa
         rest = [c for c in batch.columns if c not in (key, "seq")]
         last = batch.groupBy(key).agg(F.max_by(F.struct(*rest), "seq").alias("row_")).select(key, *(F.col(f"row_.{c}").alias(c) for c in rest))
         spark = batch.sparkSession
-        if catalog.current(spark, table) is None:
-            catalog.save(spark, last, table)
-        else:
-            known = catalog.load(spark, table).select(*last.columns).join(last.select(key), key, "left_semi")  # only rows that the batch touches are written
-            catalog.save(spark, protected_merge(known, last, key), table)
+        while True:
+            seen = catalog.current(spark, table)
+            new = last
+            if seen is not None:
+                known = catalog.load(spark, table, seen).select(*last.columns).join(last.select(key), key, "left_semi")  # only rows that the batch touches are written
+                new = protected_merge(known, last, key)
+            if catalog.save(spark, new, table, after=seen) is not None:
+                return  # else someone has committed since: a decision of theirs must be seen before it is written over
 
     return updates.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**({"processingTime": every} if every else {"availableNow": True})).start()
 

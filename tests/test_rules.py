@@ -150,10 +150,15 @@ def test_second_generation_category(spark):
     assert round(got("none", "environment")["confidence"], 2) == 0.52
 
 
-def test_report_text(spark):
+def _markdown(photos, folder):
+    at = report.write_markdown_file(photos, f"file://{folder}")
+    return open(at.removeprefix("file:"), encoding="utf-8").read()
+
+
+def test_report_text(spark, tmp_path):
     from lumensift.sources import adapters
 
-    text = report.markdown(adapters.photos(spark, "/root/testdata/sf0.001"))
+    text = _markdown(adapters.photos(spark, "/root/testdata/sf0.001"), tmp_path / "one")
     assert text.count("\n## ") == 12 and "1500" in text
 
 
@@ -164,7 +169,7 @@ def test_report_lists_are_whole(spark, tmp_path):
 
     p = adapters.photos(spark, "/root/testdata/sf0.001")
     p = p.unionByName(p.withColumn("idx", F.col("idx") + 100_000)).unionByName(p.withColumn("idx", F.col("idx") + 200_000))
-    text = report.markdown(p)
+    text = _markdown(p, tmp_path / "one")
     wanted = [r["filename"] for r in p.where(review.not_exported()).orderBy("idx").select("filename").collect()]
     own = text.split("、不导出照片清单\n\n")[1].split("\n\n")[0].split("\n")
     assert len(wanted) > 1000 and [x.split(" | ")[0].removeprefix("| ") for x in own[2:]] == wanted
