@@ -7,21 +7,9 @@ from pyspark.sql import functions as F
 
 from .durable import written
 
-BLOCK = 65_536
-
-
-def numbered(df: DataFrame, key: str, name: str, block: int = BLOCK) -> DataFrame:
-    """Adds name, 1 for the smallest key (a unique whole number) and so on.
-
-    Keys fall in blocks of consecutive numbers. Only the counts of the blocks meet in
-    one task; rows are numbered block by block.
-    """
-    at = F.floor(F.col(key) / block)
-    marked = df.withColumn("block_", at)
-    before = Window.orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)
-    counts = marked.groupBy("block_").agg(F.count(F.lit(1)).alias("n_")).select("block_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))
-    own = F.row_number().over(Window.partitionBy("block_").orderBy(key))
-    return marked.withColumn("own_", own).join(counts, "block_").withColumn(name, F.col("own_") + F.col("before_")).drop("block_", "own_", "before_")
+def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Adds name, 1 for the smallest key (unique) and so on."""
+    return placed(df, [F.col(key)], name)
 
 
 def placed(df: DataFrame, order: list[Column], name: str, partitions: int | None = None) -> DataFrame:
@@ -37,7 +25,7 @@ def placed(df: DataFrame, order: list[Column], name: str, partitions: int | None
 def neighbours(df: DataFrame, order: list[str], value: str, partitions: int | None = None) -> DataFrame:
     """Adds previous_value and next_value in the order of the columns, by range partitions and their ends."""
     parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, *order).withColumn("range_", F.spark_partition_id())
+    dealt = written(df.repartitionByRange(parts, *order).withColumn("range_", F.spark_partition_id()))  # once, so that both readers see the same ranges
     near = Window.partitionBy("range_").orderBy(*order)
     inner = dealt.withColumns({"previous_": F.lag(value).over(near), "next_": F.lead(value).over(near)})
     ends = dealt.groupBy("range_").agg(F.min_by(value, F.struct(*order)).alias("first_"), F.max_by(value, F.struct(*order)).alias("last_"))

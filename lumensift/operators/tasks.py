@@ -1,50 +1,17 @@
-"""Long jobs as tasks: a first-in-first-out queue, one handler a kind, counts and errors kept, pause and stop, and a log.
-
-A handler returns a frame of one row (success, skipped, failed, note) or such numbers;
-the work itself is Spark's. A stop cancels the Spark jobs of the running task.
-"""
+"""What long jobs count: each a frame of one row (success, skipped, failed, note), and trials of batch sizes."""
 
 from __future__ import annotations
 
-import threading
 import time
-import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
-from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions import scalars as S
 from . import report
 
-PENDING, RUNNING, PAUSED, STOPPED, COMPLETED, ERROR = "pending", "running", "paused", "stopped", "completed", "error"
-
-
-@dataclass
-class Task:
-    kind: str
-    name: str
-    total: int = 0
-    status: str = PENDING
-    success: int = 0
-    skipped: int = 0
-    failed: int = 0
-    completed: int = 0
-    note: str = ""
-    started_at: str = ""
-    finished_at: str = ""
-    id: str = field(default_factory=lambda: uuid.uuid4().hex)
-
-
-def _now() -> str:
-    return f"{datetime.now():%Y-%m-%d %H:%M:%S}"
-
-
-# -- handlers
-
 
 def preference_stats(photos: DataFrame) -> DataFrame:
     """Photos that a human has labelled, marked or confirmed are a success; the others are skipped."""
@@ -75,6 +42,13 @@ def missing_thumbnails(photos: DataFrame, existing: DataFrame) -> DataFrame:
     return photos.join(have, "thumbnail_path", "left").where(F.col("made_").isNull() | (F.floor("made_") < F.floor("mtime"))).select(*photos.columns)
 
 
+def thumbnail_counts(photos: DataFrame, existing: DataFrame) -> DataFrame:
+    """Photos whose thumbnail is to be made, and those that are skipped."""
+    lacking = missing_thumbnails(photos, existing).agg(F.count(F.lit(1)).alias("success"))
+    every = photos.agg(F.count(F.lit(1)).alias("n"))
+    return every.crossJoin(lacking).select("success", (F.col("n") - F.col("success")).alias("skipped"), F.lit(0).cast("long").alias("failed"), F.lit("").alias("note"))  # one row each
+
+
 def placeholder(photos: DataFrame, note: str = "模型未接入，已跳过") -> DataFrame:
     """For kinds whose model isn't plugged in: all photos are skipped."""
     return photos.agg(F.lit(0).cast("long").alias("success"), F.count(F.lit(1)).alias("skipped"), F.lit(0).cast("long").alias("failed"), F.lit(note).alias("note"))
@@ -85,7 +59,7 @@ def placeholder(photos: DataFrame, note: str = "模型未接入，已跳过") ->
 # Batch sizes to try by profile, and limits of the advice.
 CANDIDATES = {"fast": [8, 16, 32], "balanced": [4, 8, 16, 32], "accurate": [4, 8, 12, 16]}
 OTHER_CANDIDATES = [2, 4, 6, 8]
-POOR_MS, SLOW_MS, POOR_BATCH = 650.0, 800.0, 8
+POOR_MS, POOR_BATCH = 650.0, 8
 TRIAL_PHOTOS = 8
 
 
@@ -105,19 +79,6 @@ def trials(photos: DataFrame, profile: str, run: Callable[[DataFrame, int], Data
     return photos.sparkSession.createDataFrame(rows, "trial int, batch int, success boolean, avg_ms double, error string")
 
 
-def bottleneck(profile: str, batch: int, avg_ms: float, semantic_ready: bool = True, detector_ready: bool = True) -> str:
-    """What holds a run up, by the first rule that applies."""
-    if not semantic_ready:
-        return "OpenCLIP 未就绪，当前语义分类为 fallback，精度有限。"
-    if not detector_ready:
-        return "YOLO 未就绪，人数和主体完整性判断主要依赖 fallback。"
-    if profile == "ultra" and batch < POOR_BATCH:
-        return "ultra 模型导致 batch 较低，GPU 可能频繁等待数据，建议 accurate 或 balanced。"
-    if avg_ms > SLOW_MS:
-        return "单张耗时较高，可能是图片解码、磁盘读取或模型过重。"
-    return "当前瓶颈不明显；如果 GPU 占用低，多半是数据读取、缓存命中或 UI 等待造成。"
-
-
 def tuned(profile: str, tried: DataFrame) -> tuple[str, int | None]:
     """The profile and batch size that trials speak for: the fastest that succeeded; a slow ultra gives way to accurate."""
     best = report.best_trial(tried.where("success")).first()
@@ -125,108 +86,3 @@ def tuned(profile: str, tried: DataFrame) -> tuple[str, int | None]:
         return profile, None
     poor = profile == "ultra" and (best["batch"] < POOR_BATCH or best["avg_ms"] > POOR_MS)
     return ("accurate" if poor else profile), best["batch"]
-
-
-# -- queue
-
-
-class Queue:
-    """Runs tasks one after the other; listeners hear of every change."""
-
-    def __init__(self, spark: SparkSession, log: Callable[[str], None] = lambda line: None):
-        self.spark, self.log = spark, log
-        self.tasks: list[Task] = []
-        self.handlers: dict[str, Callable[[Task], DataFrame]] = {}
-        self.listeners: list[Callable[[Task], None]] = []
-        self._go, self._stop = threading.Event(), threading.Event()
-        self._go.set()
-
-    def add(self, kind: str, name: str) -> Task:
-        self.tasks.append(Task(kind, name))
-        return self.tasks[-1]
-
-    def pause(self) -> None:
-        self._go.clear()
-
-    def resume(self) -> None:
-        self._go.set()
-
-    def stop(self) -> None:
-        """No further task begins, and Spark jobs of the running one are cancelled."""
-        self._stop.set()
-        self._go.set()
-        for t in self.tasks:
-            if t.status == RUNNING:
-                self.spark.sparkContext.cancelJobGroup(t.id)
-
-    def _tell(self, task: Task) -> None:
-        for listener in self.listeners:
-            listener(task)
-
-    def run(self) -> list[Task]:
-        for task in [t for t in self.tasks if t.status == PENDING]:
-            while not self._go.wait(0.1):
-                task.status = PAUSED
-            if self._stop.is_set():
-                task.status, task.finished_at = STOPPED, _now()
-                self._tell(task)
-                continue
-            self._run(task)
-        return self.tasks
-
-    def _run(self, task: Task) -> None:
-        task.status, task.started_at = RUNNING, _now()
-        self.log(f"任务开始：{task.name} ({task.id})")
-        self._tell(task)
-        self.spark.sparkContext.setJobGroup(task.id, task.name, True)
-        try:
-            handler = self.handlers.get(task.kind)
-            if handler is None:
-                raise KeyError(task.kind)
-            row = handler(task).first()
-            task.success, task.skipped, task.failed, task.note = row["success"], row["skipped"], row["failed"], row["note"]
-            task.completed = task.total = task.success + task.skipped + task.failed
-            task.status = STOPPED if self._stop.is_set() else COMPLETED
-            self.log(f"任务完成：{task.name} 成功 {task.success} 跳过 {task.skipped} 失败 {task.failed}")
-        except Exception as e:  # a task that fails is a task with an error, and the next one runs
-            task.status, task.note = (STOPPED if self._stop.is_set() else ERROR), f"{type(e).__name__}: {e}"
-            self.log(f"任务出错：{task.name} {task.note}")
-        finally:
-            self.spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-            task.finished_at = _now()
-            self._tell(task)
-
-    # work that runs elsewhere, such as an export
-
-    def track(self, kind: str, name: str, total: int) -> Task:
-        task = self.add(kind, name)
-        task.total, task.status, task.started_at = total, RUNNING, _now()
-        self._tell(task)
-        return task
-
-    def update(self, task: Task | None, completed: int, success: int | None = None, skipped: int | None = None, failed: int | None = None, note: str = "") -> None:
-        if task is None:
-            return
-        task.completed = completed
-        for name, value in (("success", success), ("skipped", skipped), ("failed", failed), ("note", note or None)):
-            if value is not None:
-                setattr(task, name, value)
-        self._tell(task)
-
-    def finish(self, task: Task | None, status: str = COMPLETED, success: int = 0, skipped: int = 0, failed: int = 0, note: str = "") -> None:
-        if task is None:
-            return
-        task.status, task.success, task.skipped, task.failed, task.note, task.finished_at = status, success, skipped, failed, note, _now()
-        if status == COMPLETED:
-            task.completed = task.total
-        self.log(f"外部任务结束：{task.name} 状态 {status} 成功 {success} 跳过 {skipped} 失败 {failed}")
-        self._tell(task)
-
-
-def when_idle(mode: str, running: bool, photos: int, asked: bool) -> str:
-    """What an idle moment leads to: nothing, ``ask`` (once) or ``run``."""
-    if running or not photos or mode == "manual":
-        return ""
-    if mode == "ask_when_idle":
-        return "" if asked else "ask"
-    return "run" if mode == "auto_low_priority" else ""

@@ -448,16 +448,9 @@ def write_settings(settings: Settings, path: str) -> None:
         json.dump(asdict(settings), f, ensure_ascii=False, indent=2)
 
 
-def presets(path: str) -> dict[str, dict[str, int]]:
-    """Presets of a YAML file; without a YAML reader, or where it fails, of its plain lines."""
+def presets(spark: SparkSession, folder: str) -> DataFrame:
+    """preset, name and weight of the preset files of a folder or path."""
     from . import session
 
-    with open(path, encoding="utf-8") as f:
-        text = f.read()
-    try:
-        import yaml
-
-        loaded = yaml.safe_load(text) or {}
-    except Exception:
-        return session.plain_presets(text)
-    return {} if not isinstance(loaded, dict) else {str(k): {str(a): int(b) for a, b in v.items()} for k, v in loaded.items() if isinstance(v, dict)}
+    found = spark.read.text(folder, wholetext=True).select(F.explode(session.plain_presets(F.col("value"))).alias("preset", "own"))
+    return found.select("preset", F.explode("own").alias("name", "weight"))

@@ -9,11 +9,10 @@ from lumensift.operators.graph import components
 from lumensift.streaming import decisions
 
 
-@pytest.mark.parametrize("block", [1, 3, 1000])
-def test_numbers(spark, block):
+def test_numbers(spark):
     ids = random.Random(1).sample(range(-50, 500), 60)
     df = spark.createDataFrame([(i,) for i in ids], "k long").repartition(7)
-    assert {r["k"]: r["n"] for r in numbered(df, "k", "n", block).collect()} == {k: n for n, k in enumerate(sorted(ids), 1)}
+    assert {r["k"]: r["n"] for r in numbered(df, "k", "n").collect()} == {k: n for n, k in enumerate(sorted(ids), 1)}
     assert numbered(df.limit(0), "k", "n").count() == 0
 
 

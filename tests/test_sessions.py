@@ -1,7 +1,6 @@
-"""Tasks, sessions, tables with several writers, imports, models and whole exports."""
+"""Trials, sessions, tables with several writers, imports, models and whole exports."""
 
 import threading
-import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,65 +10,6 @@ from lumensift.operators import export, panel, preference, tasks
 from lumensift.sources import catalog, session
 
 
-def counts(spark, success, skipped=0, failed=0, note=""):
-    return spark.createDataFrame([(success, skipped, failed, note)], "success long, skipped long, failed long, note string")
-
-
-def test_tasks_run_in_order_and_keep_errors(spark):
-    lines, heard = [], []
-    queue = tasks.Queue(spark, lines.append)
-    queue.listeners.append(lambda t: heard.append((t.name, t.status)))
-
-    def broken(task):
-        raise ValueError("no model")
-
-    queue.handlers = {"ok": lambda t: counts(spark, 3, 1), "bad": broken}
-    for kind, name in (("ok", "one"), ("bad", "two"), ("none", "three"), ("ok", "four")):
-        queue.add(kind, name)
-    done = queue.run()
-    assert [t.status for t in done] == [tasks.COMPLETED, tasks.ERROR, tasks.ERROR, tasks.COMPLETED]
-    assert (done[0].success, done[0].skipped, done[0].completed) == (3, 1, 4) and "no model" in done[1].note
-    assert [n for n, s in heard if s == tasks.RUNNING] == ["one", "two", "three", "four"] and any("任务出错" in x for x in lines)
-
-
-def test_pause_and_stop(spark):
-    queue = tasks.Queue(spark)
-    began = threading.Event()
-
-    def slow(task):
-        began.set()
-        time.sleep(0.5)
-        return counts(spark, 1)
-
-    queue.handlers = {"slow": slow}
-    first, second = queue.add("slow", "a"), queue.add("slow", "b")
-    queue.pause()
-    runner = threading.Thread(target=queue.run)
-    runner.start()
-    time.sleep(0.3)
-    assert first.status == tasks.PAUSED and not began.is_set()
-    queue.resume()
-    began.wait(10)
-    queue.stop()
-    runner.join(20)
-    assert first.status == second.status == tasks.STOPPED and second.started_at == ""
-
-
-def test_outside_work_is_tracked(spark):
-    queue = tasks.Queue(spark)
-    t = queue.track("export", "e", 10)
-    queue.update(t, 4, success=3, failed=1, note="x")
-    assert (t.status, t.completed, t.success, t.failed, t.note) == (tasks.RUNNING, 4, 3, 1, "x")
-    queue.finish(t, success=9, failed=1)
-    queue.update(None, 1), queue.finish(None)
-    assert (t.status, t.completed, t.success) == (tasks.COMPLETED, 10, 9)
-
-
-@pytest.mark.parametrize("mode,running,photos,asked,want", [("manual", False, 5, False, ""), ("ask_when_idle", False, 5, False, "ask"), ("ask_when_idle", False, 5, True, ""), ("auto_low_priority", False, 5, False, "run"), ("auto_low_priority", True, 5, False, ""), ("auto_low_priority", False, 0, False, "")])
-def test_idle(mode, running, photos, asked, want):
-    assert tasks.when_idle(mode, running, photos, asked) == want
-
-
 def test_trials(spark):
     photos = spark.range(30).withColumnRenamed("id", "idx")
     seen = []
@@ -85,7 +25,6 @@ def test_trials(spark):
     assert tasks.tuned("accurate", tried)[1] in (4, 8, 12)
     slow = spark.createDataFrame([(0, 2, True, 900.0, ""), (1, 4, True, 700.0, "")], tried.schema)
     assert tasks.tuned("ultra", slow) == ("accurate", 4) and tasks.tuned("ultra", slow.where("false")) == ("ultra", None)
-    assert "batch" in tasks.bottleneck("ultra", 4, 10) and "解码" in tasks.bottleneck("fast", 32, 900) and "YOLO" in tasks.bottleneck("fast", 32, 10, detector_ready=False)
 
 
 def test_modules_are_pluggable_and_isolated(spark):
@@ -110,12 +49,15 @@ def test_project_state(tmp_path):
     assert (tmp_path / "a" / "log").read_text().endswith("] hello\n")
 
 
-def test_presets_with_and_without_yaml(tmp_path):
-    text = "# weights\n个人写真:\n  构图: 15\n  清晰度: 10\n  note: many\n\n默认:\n  曝光: 20\n"
-    plain = session.plain_presets(text)
-    assert plain == {"个人写真": {"构图": 15, "清晰度": 10}, "默认": {"曝光": 20}}
-    (tmp_path / "p.yaml").write_text(text.replace("  note: many\n", ""))
-    assert catalog.presets(str(tmp_path / "p.yaml")) == plain
+def test_presets(spark, tmp_path):
+    text = "# weights\n个人写真:\n  构图: 15\n  清晰度: 10\n  note: many\n\n  # more\n默认:\n  曝光: 20\n  曝光: -3 \n空:\nloose: 4\n  lost: 5\n"
+    (tmp_path / "p.yaml").write_text(text)
+    assert {(r["preset"], r["name"]): r["weight"] for r in catalog.presets(spark, str(tmp_path)).collect()} == {("个人写真", "构图"): 15, ("个人写真", "清晰度"): 10, ("默认", "曝光"): -3}
+    whole = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(session.plain_presets(F.col("t"))).collect()
+    assert whole[0][0]["空"] == {} and not whole[1][0] and not whole[2][0]
+
+
+def test_names_of_modes():
     assert (session.mode_of("宽松"), session.mode_of("?"), session.strategy_of("作品集"), session.strategy_of("")) == ("loose", "standard", "portfolio", "delivery")
 
 
