@@ -2,8 +2,8 @@
 
 Images come from Spark's ``image`` source (BGR rows). Face and person detectors are
 plug-ins: their boxes arrive as columns. Grey is 0.299 R + 0.587 G + 0.114 B in
-integers. Halving and thumbnails average areas, and the smoothing for noise is
-three box blurs; both are close to, but not bit-equal with, other libraries' filters.
+integers. Hashes, colours and noise come from small pictures with the kernels and rounding of
+``functions.resample``; the scaled mean and deviation, and ``hash_area``, average areas.
 """
 
 from __future__ import annotations
@@ -16,11 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.resample import gaussian_blur, halved, resized
 
 FEATURES = (
     "width int, height int, sharpness double, sharpness_gradient double, brightness double, contrast double, noise double, bright_clip double, dark_clip double, edge_density double, "
     "dominant_r int, dominant_g int, dominant_b int, color_std double, white_ratio double, lower_white_ratio double, center_white_ratio double, green_ratio double, blue_ratio double, "
-    "hash long, hash_above long, rgb_mean array<double>, rgb_std array<double>, error string"
+    "hash long, hash_above long, hash_area long, rgb_mean array<double>, rgb_std array<double>, error string"
 )
 
 
@@ -78,46 +79,36 @@ def resize_to_edge(rgb: np.ndarray, edge: int) -> np.ndarray:
     return np.round(area_resize(rgb, max(1, int(h * ratio)), max(1, int(w * ratio)))).astype(np.uint8)
 
 
-def _box_blur(a: np.ndarray, radius: int) -> np.ndarray:
-    for axis in (0, 1):
-        x = np.concatenate([np.repeat(a.take([0], axis), radius + 1, axis), a, np.repeat(a.take([-1], axis), radius, axis)], axis)
-        c = np.cumsum(x, axis)
-        n = a.shape[axis]
-        a = (c.take(range(2 * radius + 1, 2 * radius + 1 + n), axis) - c.take(range(n), axis)) / (2 * radius + 1)
-    return a
-
-
 def noise(g: np.ndarray) -> float:
-    small = area_resize(g, max(1, g.shape[0] // 2), max(1, g.shape[1] // 2))
-    smooth = small
-    for _ in range(3):
-        smooth = _box_blur(smooth, 1)
-    return float(np.std(small - smooth))
+    """Deviation of what a blur takes from the picture in half its size."""
+    small = halved(g)
+    return float(np.std(small.astype(np.float32) - gaussian_blur(small, 1.2).astype(np.float32)))
 
 
-def hash_bits(g: np.ndarray, inclusive: bool, size: int = 8) -> int:
-    """Average hash as a signed 64-bit number, first cell highest."""
-    cells = area_resize(g, size, size).ravel()
-    on = cells >= cells.mean() if inclusive else cells > cells.mean()
+def hash_bits(cells: np.ndarray, inclusive: bool) -> int:
+    """Average hash of a small grey picture as a signed number, first cell highest: which cells are above (or at) the mean."""
+    flat = cells.ravel().astype(np.float64)
+    on = flat >= flat.mean() if inclusive else flat > flat.mean()
     value = int("".join("1" if x else "0" for x in on), 2)
-    return value - (1 << 64) if value >= 1 << 63 else value
+    return value - (1 << flat.size) if value >> (flat.size - 1) else value
 
 
 def image_features(data: bytes, height: int, width: int, channels: int) -> dict:
     rgb = to_rgb(data, height, width, channels)
     g = grey(rgb)
     gx, gy = gradient(g)
-    small = area_resize(rgb, 96, 96)
+    small = resized(rgb, 96, 96, "bicubic").astype(np.float32)
+    lanczos, area = resized(g, 8, 8, "lanczos"), np.rint(area_resize(g, 8, 8))
     white = (small > 185).all(axis=2)
     r, gr, b = small[:, :, 0], small[:, :, 1], small[:, :, 2]
-    dominant = [int(x) for x in rgb.reshape(-1, 3).mean(axis=0)]
+    dominant = resized(rgb, 1, 1, "bicubic").ravel().tolist()
     net = area_resize(rgb, 224, 224) / 255
     return {
         "width": width, "height": height, "sharpness": laplacian_variance(g), "sharpness_gradient": float((gx.var() + gy.var()) * 4), "brightness": float(g.mean()), "contrast": float(g.std()), "noise": noise(g),
         "bright_clip": float((g >= 250).mean()), "dark_clip": float((g <= 5).mean()), "edge_density": float(np.hypot(gx, gy).mean()),
-        "dominant_r": dominant[0], "dominant_g": dominant[1], "dominant_b": dominant[2], "color_std": float(small.std()), "white_ratio": float(white.mean()), "lower_white_ratio": float(white[48:].mean()),
+        "dominant_r": dominant[0], "dominant_g": dominant[1], "dominant_b": dominant[2], "color_std": float(small.std(dtype=np.float64)), "white_ratio": float(white.mean()), "lower_white_ratio": float(white[48:].mean()),
         "center_white_ratio": float(white[24:88, 24:72].mean()), "green_ratio": float(((gr > r + 18) & (gr > b + 12)).mean()), "blue_ratio": float(((b > r + 18) & (b > gr + 8)).mean()),
-        "hash": hash_bits(g, True), "hash_above": hash_bits(g, False), "rgb_mean": net.mean(axis=(0, 1)).tolist(), "rgb_std": net.std(axis=(0, 1)).tolist(), "error": None,
+        "hash": hash_bits(lanczos, True), "hash_above": hash_bits(lanczos, False), "hash_area": hash_bits(area, False), "rgb_mean": net.mean(axis=(0, 1)).tolist(), "rgb_std": net.std(axis=(0, 1)).tolist(), "error": None,
     }
 
 
@@ -135,7 +126,7 @@ def features(images: DataFrame, key: str = "path") -> DataFrame:
                     found = dict.fromkeys(names) | {"error": f"{type(e).__name__}: {e}"}
                 rows.append({"key": k} | found)
             out = pd.DataFrame(rows, columns=["key", *names])
-            for c in ("width", "height", "dominant_r", "dominant_g", "dominant_b", "hash", "hash_above"):
+            for c in ("width", "height", "dominant_r", "dominant_g", "dominant_b", "hash", "hash_above", "hash_area"):
                 out[c] = out[c].astype("Int64")
             yield out
 

@@ -864,23 +864,31 @@ def first_analysis(spark, d):
 @query(
     "q_pixel_evidence",
     f"""WITH {A.VECTORS_SQL}, px AS (SELECT idx, (i - 1) // 8 AS y, (i - 1) % 8 AS x, greatest(0, least(254, floor((vector[i] + 0.5) * 127) * 2))::INT AS g FROM (SELECT idx, vector, unnest(range(1, 65)) AS i FROM vectors) t),
-    m AS (SELECT *, avg(g) OVER (PARTITION BY idx) AS mean FROM px)
-    SELECT idx, floor(any_value(mean))::INT AS dominant, round(stddev_pop(g), 6) AS color_std, round(avg((g > 185)::INT), 6) AS white, round(avg((g > 185)::INT) FILTER (y >= 4), 6) AS lower_white,
-      round(sum((g > 185)::INT * CASE WHEN y = 7 THEN 4 ELSE 12 END) FILTER (y >= 2 AND x BETWEEN 2 AND 5) / (4 * 64.0), 6)::DOUBLE AS center_white, 0::DOUBLE AS green, count(*) FILTER (g >= mean)::INT AS from_mean, count(*) FILTER (g > mean)::INT AS above_mean,
-      round(avg(g) / 255, 6) AS net_mean, round(stddev_pop(g) / 255, 6) AS net_std FROM m GROUP BY idx""",
+    m AS (SELECT *, avg(g) OVER (PARTITION BY idx) AS mean FROM px),
+    k AS (SELECT [403726, 500145, 575239, 618041, 618041, 575239, 500145, 403726] AS k),
+    across AS (SELECT idx, y, greatest(0, least(255, floor((sum(g * k[x + 1]) + 2097152) / 4194304))) AS g FROM px, k GROUP BY idx, y),
+    one AS (SELECT idx, greatest(0, least(255, floor((sum(g * k[y + 1]) + 2097152) / 4194304)))::INT AS dominant FROM across, k GROUP BY idx)
+    SELECT idx, any_value(dominant) AS dominant, round(stddev_pop(g), 6) AS color_std, round(avg((g > 185)::INT), 6) AS white, round(avg((g > 185)::INT) FILTER (y >= 4), 6) AS lower_white,
+      round(sum((g > 185)::INT * CASE WHEN y = 7 THEN 4 ELSE 12 END) FILTER (y >= 2 AND x BETWEEN 2 AND 5) / (4 * 64.0), 6)::DOUBLE AS center_white, 0::DOUBLE AS green,
+      string_agg(CASE WHEN g >= mean THEN '1' ELSE '0' END, '' ORDER BY y, x) AS from_mean, string_agg(CASE WHEN g > mean THEN '1' ELSE '0' END, '' ORDER BY y, x) AS above_mean,
+      round(avg(g) / 255, 6) AS net_mean, round(stddev_pop(g) / 255, 6) AS net_std FROM m JOIN one USING (idx) GROUP BY idx""",
 )
 def pixel_evidence(spark, d):
-    """Colours, shares of white, both average hashes and the scaled mean and deviation, of grey pictures of 8 x 8 with even values."""
+    """Grey pictures with even values, once as 8 x 8 pixels (hashes bit for bit, the picture as one pixel, scaled mean and deviation), and once as 96 x 96 with blocks of 12 (colours and shares of white)."""
     v = A.vectors(spark, d)
     grey = F.transform("vector", lambda x: F.greatest(F.lit(0), F.least(F.lit(254), F.floor((x + 0.5) * 127) * 2)).cast("int"))
-    data = F.unhex(F.array_join(F.transform(grey, lambda g: F.lpad(F.hex(g), 2, "0")), ""))
-    image = F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), data.alias("data"))
-    got = pixels.features(v.select(F.col("idx").cast("string").alias("path"), image.alias("image")))
-    to = {"color_std": "color_std", "white_ratio": "white", "lower_white_ratio": "lower_white", "center_white_ratio": "center_white", "green_ratio": "green"}
-    return got.select(
-        F.col("path").cast("long").alias("idx"), F.col("dominant_r").alias("dominant"), *(F.round(c, 6).alias(n) for c, n in to.items()), F.bit_count("hash").alias("from_mean"), F.bit_count("hash_above").alias("above_mean"),
-        F.round(F.get("rgb_mean", F.lit(0)), 6).alias("net_mean"), F.round(F.get("rgb_std", F.lit(2)), 6).alias("net_std"),
-    )
+
+    def found(times: int) -> DataFrame:
+        text = F.transform(grey, lambda g: F.repeat(F.lpad(F.hex(g), 2, "0"), F.lit(times)))
+        rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.repeat(F.array_join(F.slice(text, y * 8 + 1, F.lit(8)), ""), F.lit(times)))
+        image = F.struct(F.lit(8 * times).alias("height"), F.lit(8 * times).alias("width"), F.lit(1).alias("nChannels"), F.unhex(F.array_join(rows, "")).alias("data"))
+        return pixels.features(v.select(F.col("idx").cast("string").alias("path"), image.alias("image")))
+
+    bits = lambda c: F.lpad(F.bin(c), 64, "0")
+    first = found(1).select("path", F.col("dominant_r").alias("dominant"), bits("hash").alias("from_mean"), bits("hash_above").alias("above_mean"), F.round(F.get("rgb_mean", F.lit(0)), 6).alias("net_mean"), F.round(F.get("rgb_std", F.lit(2)), 6).alias("net_std"))
+    to = {"white_ratio": "white", "lower_white_ratio": "lower_white", "center_white_ratio": "center_white", "green_ratio": "green"}
+    second = found(12).select("path", F.round("color_std", 6).alias("color_std"), *(F.round(c, 6).alias(n) for c, n in to.items()))
+    return first.join(second, "path").withColumn("idx", F.col("path").cast("long")).drop("path")
 
 
 @query(
