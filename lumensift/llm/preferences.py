@@ -12,9 +12,9 @@ A first turn that a third of all conversations share is no hot group: conversati
 dealt by ranges of (first turn, id), whatever the ids are, and ranks come from the counts of the ranges.
 
 Defined results: turns are ordered by turn number, then role and text (repeated
-rows stay, null numbers first); a null role renders as ``none`` and a null text as
+rows stay, null numbers first); ``<|`` in a role or a text is rendered with a backslash between, so no text can forge the mark of a turn; a null role renders as ``none`` and a null text as
 empty; turns are equal when role and text are (null equals null); ids may be numbers or
-text; all null ids are one conversation, which comes first; a missing side has no turn, so its common prefix is empty; an
+text; a turn without an id is a conversation of its own (these come first), so they are no group without bound; a missing side has no turn, so its common prefix is empty; an
 empty table gives no rows; other columns are not read.
 """
 
@@ -28,8 +28,12 @@ from ..functions.durable import written
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
 
 
+def _shown(text: Column, default: str) -> Column:
+    return F.replace(F.coalesce(text, F.lit(default)), F.lit(OPEN), F.lit("<\\|"))
+
+
 def rendered_turn(turn: Column) -> Column:
-    return F.concat(F.lit(OPEN), F.coalesce(turn["role"], F.lit("none")), F.lit(MIDDLE), F.coalesce(turn["text"], F.lit("")), F.lit(CLOSE))
+    return F.concat(F.lit(OPEN), _shown(turn["role"], "none"), F.lit(MIDDLE), _shown(turn["text"], ""), F.lit(CLOSE))
 
 
 def rendered(turns: Column) -> Column:
@@ -48,8 +52,8 @@ def loss_spans(turns: Column) -> Column:
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
     def add(acc: Column, turn: Column) -> Column:
-        head = F.length(F.coalesce(turn["role"], F.lit("none"))) + len(OPEN) + len(MIDDLE)
-        size = F.length(F.coalesce(turn["text"], F.lit("")))
+        head = F.length(_shown(turn["role"], "none")) + len(OPEN) + len(MIDDLE)
+        size = F.length(_shown(turn["text"], ""))
         start = acc["at"] + head
         span = F.struct(start.alias("start"), (start + size).alias("end"))
         own = F.coalesce(turn["role"] == "assistant", F.lit(False)) & (size > 0)
@@ -59,9 +63,10 @@ def loss_spans(turns: Column) -> Column:
 
 
 def conversations(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """key and turns, an ordered array of (role, text)."""
+    """key and turns, an ordered array of (role, text), and own, which tells conversations without a key apart."""
     ordered = F.array_sort(F.collect_list(F.struct(F.coalesce(F.col(turn).cast("long"), F.lit(-(1 << 63))).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("r"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(role).alias("role"), F.col(text).alias("text"))))
-    return turns.groupBy(F.col(key).alias("key")).agg(ordered.alias("turns")).select("key", F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
+    own = F.when(F.col(key).isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1).cast("long"))
+    return turns.withColumn("own", own).groupBy(F.col(key).alias("key"), "own").agg(ordered.alias("turns")).select("key", "own", F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
 
 
 def pair_by_prompt(convs: DataFrame) -> DataFrame:
@@ -70,11 +75,11 @@ def pair_by_prompt(convs: DataFrame) -> DataFrame:
     # two hashes of the first turn, as a key of fixed size
     asked = F.struct(F.xxhash64(first["role"], first["text"]).alias("a"), F.hash(first["text"], first["role"]).alias("b"))
     parts = int(convs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["asked", F.asc_nulls_first("key")]
+    order = ["asked", F.asc_nulls_first("key"), "own"]
     dealt = written(convs.withColumn("asked", asked).repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()))
     before = Window.partitionBy("asked").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy("asked", "range").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("asked", "range").orderBy(F.asc_nulls_first("key"))) - 1
+    rank = F.row_number().over(Window.partitionBy("asked", "range").orderBy(F.asc_nulls_first("key"), "own")) - 1
     ranked = dealt.withColumn("rank", rank).join(counts.select("asked", "range", "before"), ["asked", "range"]).withColumn("rank", F.col("rank") + F.col("before"))
     side = lambda s, c: F.max(F.when(F.col("rank") % 2 == s, F.struct(F.col("key"), F.col("turns"), F.lit(1).alias("there"))))[c]
     paired = ranked.groupBy("asked", F.floor(F.col("rank") / 2).alias("pair")).agg(side(0, "key").alias("chosen_id"), side(0, "turns").alias("chosen"), side(1, "key").alias("rejected_id"), side(1, "turns").alias("rejected"))
@@ -121,7 +126,7 @@ WITH t AS (
   UNION ALL SELECT chosen_id, rejected_id, n, 'c', unnest(chosen[n + 1:]), unnest(range(n + 1, len(chosen) + 1)) FROM same
   UNION ALL SELECT chosen_id, rejected_id, n, 'r', unnest(rejected[n + 1:]), unnest(range(n + 1, len(rejected) + 1)) FROM same
 ), shown AS (
-  SELECT chosen_id, s, i, x.role AS role, '<|' || coalesce(x.role, 'none') || '|>' || chr(10) AS head, coalesce(x.text, '') AS body FROM side
+  SELECT chosen_id, s, i, x.role AS role, '<|' || replace(coalesce(x.role, 'none'), '<|', '<\|') || '|>' || chr(10) AS head, replace(coalesce(x.text, ''), '<|', '<\|') AS body FROM side
 ), placed AS (
   SELECT *, coalesce(sum(length(head) + length(body) + 8) OVER (PARTITION BY chosen_id, s ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS from_ FROM shown
 ), made AS (
