@@ -131,6 +131,67 @@ def train(samples: DataFrame):
     return lambda items: nearest(items, centres)
 
 
+# -- statistics that learn on: of each label and component the number, sum and sum of squares
+
+
+def statistics(samples: DataFrame) -> DataFrame:
+    """label, pos, n, total and squares of samples with features; what ``merged`` adds up."""
+    each = samples.where(F.size(F.coalesce("features", F.array().cast("array<double>"))) > 0).select(label_of().alias("label"), F.posexplode("features").alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
+    return each.groupBy("label", "pos").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("total"), F.sum(F.col("x") * F.col("x")).alias("squares"))
+
+
+def merged(*parts: DataFrame) -> DataFrame:
+    """Statistics of all samples of the parts together."""
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows.groupBy("label", "pos").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"))
+
+
+def centroids_of(learnt: DataFrame) -> DataFrame:
+    """label, n, centroid and deviation (of each component, over the population)."""
+    mean = F.col("total") / F.col("n")
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("squares") / F.col("n") - mean * mean))
+    listed = F.array_sort(F.collect_list(F.struct("pos", mean.alias("mean"), spread.alias("spread"))))
+    return learnt.groupBy("label").agg(F.max("n").alias("n"), listed.alias("l")).select("label", "n", F.transform("l", lambda s: s["mean"]).alias("centroid"), F.transform("l", lambda s: s["spread"]).alias("deviation"))
+
+
+def versions(spark, path: str) -> list[int]:
+    """The versions of a model store, oldest first."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/statistics")
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(int(s.getPath().getName()) for s in files.listStatus(at) if files.exists(done(s.getPath(), "_SUCCESS"))) if files.exists(at) else []
+
+
+def learn(samples: DataFrame, path: str) -> int:
+    """Adds new samples to the statistics of a store, reading none of the earlier samples, as a new version; returns it. One writer at a time."""
+    spark = samples.sparkSession
+    known = versions(spark, path)
+    new = statistics(samples)
+    whole = merged(spark.read.parquet(f"{path}/statistics/{known[-1]:012d}"), new) if known else new
+    version = known[-1] + 1 if known else 0
+    whole.coalesce(1 + whole.sparkSession.sparkContext.defaultParallelism // 4).write.mode("overwrite").parquet(f"{path}/statistics/{version:012d}")
+    return version
+
+
+def learnt(spark, path: str, version: int | None = None) -> DataFrame:
+    """The statistics of a version, the last one by default."""
+    known = versions(spark, path)
+    return spark.read.parquet(f"{path}/statistics/{known[-1] if version is None else version:012d}")
+
+
+def store_fitted(fitted, path: str, version: int) -> None:
+    """Keeps a fitted pipeline (of ``train_logistic``) beside the statistics of the version that it was fitted at."""
+    fitted.write().overwrite().save(f"{path}/fitted/{version:012d}")
+
+
+def stored_fitted(path: str, version: int):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(f"{path}/fitted/{version:012d}")
+
+
 def save_model(centres: DataFrame, path: str) -> None:
     centres.write.mode("overwrite").parquet(path)
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..operators import vectors
+from ..operators import preference, vectors
 from ..sources import adapters as A
 from ..sources import photo_source
 from ..streaming import protection
@@ -69,6 +69,22 @@ def likeliest_vectors(spark, d):
     return vectors.matches(q, v, 3, scale=100.0).withColumn("probability", F.round("probability", 6))
 
 
+@query(
+    "q_incremental_centroids",
+    f"""WITH {A.DOCUMENTS_SQL}, u AS (SELECT label, unnest(features) AS x, unnest(range(len(features))) AS pos FROM samples),
+    m AS (SELECT label, pos, count(*) AS n, avg(x) AS c, stddev_pop(x) AS s FROM u GROUP BY 1, 2)
+    SELECT label, max(n) AS n, round(max(c) FILTER (pos = 0), 6) AS c0, round(max(c) FILTER (pos = 1), 6) AS c1, round(max(c) FILTER (pos = 2), 6) AS c2, round(max(s) FILTER (pos = 0), 5) AS s0, round(max(s) FILTER (pos = 2), 5) AS s2 FROM m GROUP BY label""",
+)
+def incremental_centroids(spark, d):
+    """A model store that learns samples in three parts; each part is read once."""
+    at, samples = _folder(spark), A.documents(spark, d)
+    for n in range(3):
+        preference.learn(samples.where(F.pmod("idx", F.lit(3)) == n), at)
+    c = preference.centroids_of(preference.learnt(spark, at))
+    one = lambda name, n, places: F.round(F.get(name, F.lit(n)), places)
+    return c.select("label", "n", *(one("centroid", n, 6).alias(f"c{n}") for n in range(3)), one("deviation", 0, 5).alias("s0"), one("deviation", 2, 5).alias("s2"))
+
+
 _EXTENSIONS = ["jpg", "JPEG", "png", "webp", "cr2", "NEF", "txt", "tar.jpg"]
 _HEADS = {"jpg": b"\xff\xd8\xff\xe0 rest", "jpeg": b"\xff\xd8\xff\xe0 rest", "png": b"\x89PNG\r\n\x1a\n rest", "webp": b"RIFF0000WEBP rest"}
 

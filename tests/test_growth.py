@@ -123,3 +123,27 @@ def test_photo_stream_gives_each_file_once(spark, tmp_path):
     time.sleep(6)
     put("x/y/c.jpg")
     assert run() == ["a.jpg", "b.jpg", "c.jpg"]
+
+
+def test_a_store_learns_on(spark, tmp_path):
+    at, rng = str(tmp_path / "store"), random.Random(3)
+    rows = [(rng.choice("ab"), [rng.gauss(0, 1), float(i)]) for i in range(90)] + [("a", None), ("a", [])]
+    frame = lambda x: spark.createDataFrame(x, "user_label string, features array<double>").withColumn("manual_category", F.lit(""))
+    assert [preference.learn(frame(part), at) for part in (rows[:30], rows[30:31], rows[31:])] == [0, 1, 2] and preference.versions(spark, at) == [0, 1, 2]
+    got = {r["label"]: (r["n"], [round(x, 9) for x in r["centroid"]], [round(x, 6) for x in r["deviation"]]) for r in preference.centroids_of(preference.learnt(spark, at)).collect()}
+    whole = {r["label"]: [round(x, 9) for x in r["centroid"]] for r in preference.centroids(frame(rows)).collect()}
+    assert {k: v[1] for k, v in got.items()} == whole and sum(v[0] for v in got.values()) == 90
+    own = [r[1][1] for r in rows if r[0] == "b" and r[1]]
+    mean = sum(own) / len(own)
+    assert got["b"][2][1] == round(math.sqrt(sum((x - mean) ** 2 for x in own) / len(own)), 6)
+    assert preference.learnt(spark, at, 0).agg(F.sum("n")).first()[0] == 60
+
+
+def test_a_fitted_model_is_stored(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [("ab"[i % 2], [rng.gauss(0, 1) + 6 * (i % 2), 1.0]) for i in range(60)]
+    samples = spark.createDataFrame(rows, "user_label string, features array<double>").withColumn("manual_category", F.lit(""))
+    fitted = preference.train_logistic(samples)[0]
+    preference.store_fitted(fitted, str(tmp_path / "store"), 0)
+    label = lambda m: [r["preference_label"] for r in preference.predict_logistic(m, samples.select("features").coalesce(1)).collect()]
+    assert label(preference.stored_fitted(str(tmp_path / "store"), 0)) == label(fitted)
