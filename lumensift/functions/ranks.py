@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,3 +34,46 @@ def neighbours(df: DataFrame, order: list[str], value: str, partitions: int | No
     ranges = Window.orderBy("range_")
     borders = ends.select("range_", F.lag("last_").over(ranges).alias("before_"), F.lead("first_").over(ranges).alias("after_"))
     return inner.join(borders, "range_").withColumns({f"previous_{value}": F.coalesce("previous_", "before_"), f"next_{value}": F.coalesce("next_", "after_")}).drop("range_", "previous_", "next_", "before_", "after_")
+
+
+@dataclass(frozen=True)
+class OrderIndex:
+    """A table dealt by ranges of an order without ties, one folder a range, and beside it the number, first and last row of each range."""
+
+    folder: str
+    order: tuple[str, ...]
+
+
+def build_index(df: DataFrame, order: list[str], folder: str, partitions: int | None = None) -> OrderIndex:
+    """Writes the order columns of df as an index, once for any number of questions; nulls come first."""
+    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.select(*order).repartitionByRange(parts, *order).withColumn("range_", F.spark_partition_id()).write.mode("overwrite").partitionBy("range_").parquet(f"{folder}/rows")
+    key = F.struct(*order)
+    rows = df.sparkSession.read.parquet(f"{folder}/rows")
+    counts = rows.groupBy("range_").agg(F.count(F.lit(1)).alias("n_"), F.min(key).alias("first_"), F.max(key).alias("last_"))
+    by = Window.orderBy("range_")  # a row a range
+    before = F.coalesce(F.sum("n_").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts.select("range_", "n_", "first_", "last_", before.alias("before_"), F.lag("last_").over(by).alias("left_"), F.lead("first_").over(by).alias("right_")).write.mode("overwrite").parquet(f"{folder}/ranges")
+    return OrderIndex(folder, tuple(order))
+
+
+def asked_ranges(asked: DataFrame, index: OrderIndex) -> DataFrame:
+    """asked (with the order columns) and the range_ that each row falls in, told from the ranges alone."""
+    ranges = asked.sparkSession.read.parquet(f"{index.folder}/ranges")
+    listed = ranges.agg(F.sort_array(F.collect_list(F.struct("first_", "range_"))).alias("listed_"))  # a row a range
+    own = F.struct(*index.order)
+    below = F.filter("listed_", lambda r: r["first_"] <= own)
+    return asked.crossJoin(F.broadcast(listed)).withColumn("range_", F.try_element_at(below, F.lit(-1))["range_"]).drop("listed_")  # one row against all
+
+
+def index_places(asked: DataFrame, index: OrderIndex) -> DataFrame:
+    """asked with place (from 1), previous and next (structs of the order columns); only the ranges that asked rows fall in are read. Rows that the index lacks have no place."""
+    spark = asked.sparkSession
+    own = written(asked_ranges(asked, index))
+    wanted = [r["range_"] for r in own.select("range_").distinct().collect() if r["range_"] is not None]  # as many as there are ranges, at most
+    rows = spark.read.parquet(f"{index.folder}/rows").where(F.col("range_").isin(wanted))
+    ranges = spark.read.parquet(f"{index.folder}/ranges").select("range_", "before_", "left_", "right_")
+    key, near = F.struct(*index.order), Window.partitionBy("range_").orderBy(*index.order)
+    told = rows.select("range_", key.alias("key_"), F.row_number().over(near).alias("nth_"), F.lag(key).over(near).alias("previous"), F.lead(key).over(near).alias("next")).join(F.broadcast(ranges), "range_")
+    told = told.select("key_", (F.col("before_") + F.col("nth_")).alias("place"), F.coalesce("previous", "left_").alias("previous"), F.coalesce("next", "right_").alias("next"))
+    return own.drop("range_").withColumn("key_", F.struct(*index.order)).join(told, "key_", "left").drop("key_")

@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ..functions.ranks import build_index, index_places
 from ..operators import preference, vectors
 from ..sources import adapters as A
 from ..sources import photo_source
 from ..streaming import protection
-from .catalog_queries import query
+from .catalog_queries import _with, query
 from .review_queries import _folder
 
 _KEYED = "SELECT '/u/' || user_id AS key, ts AS happened, event_id, event_type = 'purchase' AS human, event_type AS status, CASE WHEN event_id % 5 = 0 THEN NULL ELSE 'v' || event_id END AS note, 1 AS n FROM events"
@@ -69,6 +70,14 @@ def likeliest_vectors(spark, d):
     return vectors.matches(q, v, 3, scale=100.0).withColumn("probability", F.round("probability", 6))
 
 
+@query("q_view_places", _with("""SELECT idx, row_number() OVER w AS place, lag(idx) OVER w AS previous, lead(idx) OVER w AS next FROM photos WINDOW w AS (ORDER BY lower(filename), idx) QUALIFY idx % 20 = 0"""))
+def view_places(spark, d):
+    """Place, previous and next photo of each twentieth one in the order of names, from an index of the order that is read by ranges."""
+    p = A.photos(spark, d).select(F.lower("filename").alias("name"), "idx")
+    index = build_index(p, ["name", "idx"], _folder(spark))
+    return index_places(p.where("idx % 20 = 0"), index).select("idx", F.col("place").cast("long").alias("place"), F.col("previous.idx").alias("previous"), F.col("next.idx").alias("next"))
+
+
 @query(
     "q_incremental_centroids",
     f"""WITH {A.DOCUMENTS_SQL}, u AS (SELECT label, unnest(features) AS x, unnest(range(len(features))) AS pos FROM samples),

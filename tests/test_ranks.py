@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from lumensift.functions.ranks import neighbours, numbered, placed
+from lumensift.functions.ranks import asked_ranges, build_index, index_places, neighbours, numbered, placed
 from lumensift.operators.graph import components
 from lumensift.streaming import decisions
 
@@ -50,3 +51,21 @@ def test_latest_and_merge(spark):
     state = spark.createDataFrame([("/a", "S", "人工已确认"), ("/b", "B", "AI已审")], "path string, quality_rating string, review_status string")
     new = spark.createDataFrame([("/a", "X", "AI已审"), ("/b", "A", "AI已审"), ("/c", "C", "AI已审")], "path string, quality_rating string, review_status string")
     assert {r["path"]: r["quality_rating"] for r in decisions.protected_merge(state, new).collect()} == {"/a": "S", "/b": "A", "/c": "C"}
+
+
+@pytest.mark.parametrize("parts", [1, 5, 40])
+def test_places_from_an_index(spark, tmp_path, parts):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", "ü", None]), i) for i in rng.sample(range(10_000), 300)]
+    df = spark.createDataFrame(rows, "name string, idx long").repartition(3)
+    index = build_index(df, ["name", "idx"], str(tmp_path / "index"), parts)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    asked = rng.sample(rows, 12)
+    frame = spark.createDataFrame([*asked, ("zz", 1), (None, -5)], "name string, idx long").withColumn("more", F.lit(1))
+    got = {(r["name"], r["idx"]): (r["place"], r["previous"] and tuple(r["previous"]), r["next"] and tuple(r["next"])) for r in index_places(frame, index).collect()}
+    at = {r: n for n, r in enumerate(order)}
+    for r in asked:
+        n = at[r]
+        assert got[r] == (n + 1, order[n - 1] if n else None, order[n + 1] if n + 1 < len(order) else None)
+    assert got["zz", 1] == got[None, -5] == (None, None, None) and len(got) == 14
+    assert asked_ranges(frame, index).select("range_").distinct().count() <= min(parts, 14) + 1
