@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..functions.ranks import build_index, index_places
 from ..operators import preference, vectors
 from ..sources import adapters as A
-from ..sources import photo_source
+from ..sources import photo_source, value_cache
 from ..streaming import protection
 from .catalog_queries import _with, query
 from .review_queries import _folder
@@ -133,3 +134,48 @@ def scan(spark, d):
     kind = lambda df, name: df.select(F.lit(name).alias("kind"), "branch", "filename", "extension", "error")
     pngs = read().where("extension = 'png' AND branch = 'building'")
     return kind(read(excluded="skip", branches="7"), "photos").unionByName(kind(pngs, "pngs")).unionByName(kind(read(extensions="cr2,NEF"), "raw"))
+
+
+_KEYS = "SELECT vec_id AS idx, sha1('/v/' || vec_id || ':' || (vec_id * 7) || ':' || (vec_id % 1000) || ':openclip') AS key, embedding[1]::DOUBLE AS x, make_timestamp(1735689600000000 + (vec_id % 28) * 86400000000) AS made_at FROM embeddings"
+
+
+def _keyed_vectors(spark, d):
+    """Vectors by the digest of path, size, time and model, each made on one of 28 days."""
+    n = F.col("vec_id")
+    made = F.timestamp_micros(F.lit(1_735_689_600_000_000) + (n % 28) * 86_400_000_000)
+    return A.table(spark, d, "embeddings").select(n.alias("idx"), S.cache_key(F.concat(F.lit("/v/"), n.cast("string")), n * 7, n % 1000, F.lit("openclip")).alias("key"), F.col("embedding").cast("array<float>").alias("value"), made.alias("made_at"))
+
+
+@query(
+    "q_keyed_cache",
+    f"WITH v AS ({_KEYS}) SELECT idx, key, CASE WHEN idx % 5 > 0 AND (idx % 3 > 0 AND idx % 7 > 0 OR idx % 6 = 0) THEN 'cached' ELSE 'made' END AS origin, round(x, 5) AS x FROM v",
+)
+def keyed_cache(spark, d):
+    """Vectors found by content in a cache of two puts, of which some are empty and some were made from another file, and the others made; then all are found."""
+    v, at = _keyed_vectors(spark, d), _folder(spark)
+    other = F.when(F.col("idx") % 5 > 0, F.col("key")).otherwise(F.sha1(F.concat("key", F.lit("old"))))
+    broken = F.when(F.col("idx") % 7 > 0, F.col("value")).otherwise(F.array().cast("array<float>"))
+    value_cache.put(v.where("idx % 3 > 0").withColumns({"key": other, "value": broken}), at)
+    value_cache.put(v.where("idx % 6 = 0").withColumn("key", other), at)
+    asked = v.select("idx", "key")
+    hits, lacking = value_cache.lookup(asked, at)
+    value_cache.put(lacking.join(v.drop("key"), "idx"), at)
+    origins = hits.select("idx", F.lit("cached").alias("origin")).unionByName(lacking.select("idx", F.lit("made").alias("origin")))
+    return value_cache.lookup(asked, at)[0].join(origins, "idx").select("idx", "key", "origin", F.round(F.get("value", F.lit(0)).cast("double"), 5).alias("x"))
+
+
+@query(
+    "q_cache_compacted",
+    f"""WITH v AS ({_KEYS}), u AS (SELECT idx, key, x, greatest(made_at, CASE WHEN idx % 4 = 0 THEN make_timestamp(1735689600000000 + (20 + idx % 20) * 86400000000) END) AS last FROM v)
+    SELECT idx, epoch_us(last)::BIGINT AS last_us, round(x, 5) AS x FROM u QUALIFY row_number() OVER (ORDER BY last DESC, key) <= (SELECT count(*) // 3 FROM v)""",
+)
+def cache_compacted(spark, d):
+    """What is left of a cache once it's cut to a third by last use."""
+    v, at, into = _keyed_vectors(spark, d), _folder(spark), _folder(spark)
+    for n in range(2):
+        value_cache.put(v.where(F.col("idx") % 2 == n), at)
+    day = F.timestamp_micros(F.lit(1_735_689_600_000_000) + (20 + F.col("idx") % 20) * 86_400_000_000)
+    value_cache.note_use(v.where("idx % 4 = 0"), at, day)
+    value_cache.compacted(spark, at, into, v.count() // 3)
+    hits, _ = value_cache.lookup(v.select("idx", "key"), into)
+    return hits.join(value_cache.last_uses(spark, into), "key").select("idx", F.unix_micros("last").alias("last_us"), F.round(F.get("value", F.lit(0)).cast("double"), 5).alias("x"))
