@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -550,6 +551,21 @@ def test_held_out_accuracy(spark):
     assert all_ > 200 and right >= 0.99 * all_
 
 
+def test_tasks_learn_what_the_driver_would(spark, monkeypatch):
+    """Automata built by a task a language, texts that fit and one that doesn't, repeated rows and null languages."""
+    monkeypatch.setattr(langid, "TRAIN_BYTES", 400)
+    rng = random.Random(5)
+    word = lambda own: "".join(rng.choice(own) for _ in range(rng.randint(1, 7)))
+    data = [(n, " ".join(word(own) for _ in range(rng.randint(1, 40))), lang, *[None] * 5) for n, (lang, own) in enumerate([("aa", "abc"), ("bb", "bcdé"), ("cc", "xyz ß")] * 30)]
+    data += [(1000, "only one much longer text " * 40, "dd", *[None] * 5), data[0], data[0], (1001, None, "aa", *[None] * 5), (1002, "no language", None, *[None] * 5), (None, "a text without id", "bb", *[None] * 5)]
+    docs = frame(spark, data)
+    mine, plain = langid.trained(docs), langid.train(langid.sample(docs), 400)
+    assert [m.languages for m in mine] == [m.languages for m in plain] == [["aa", "bb", "cc", "dd"]]
+    for a, b in zip(mine, plain):
+        assert all((getattr(a, f) == getattr(b, f)).all() for f in ("roots", "bits_a_phrase", "keys", "to"))
+    assert langid.trained(empty(spark)) == []
+
+
 def test_unequal_samples(spark):
     """A language with 5 labelled rows beside others with 200."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
