@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-import os
+import re
 import shutil
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions import scalars as S
+from ..functions.durable import written
 
 
 @dataclass(frozen=True)
@@ -32,10 +38,11 @@ def options_from_mode(mode: str, **switches: bool) -> Options:
 
 def fresh_folder(base: str, now: str) -> str:
     """base if it is missing or empty; otherwise base_now, or the first base_now_NN that is free."""
-    if not os.path.isdir(base) or not os.listdir(base):
+    store, at = store_of(base)
+    if not store.get_file_info(fs.FileSelector(at, allow_not_found=True)):
         return base
     found, n = f"{base}_{now}", 0
-    while os.path.exists(found):
+    while store.get_file_info(store_of(found)[1]).type != fs.FileType.NotFound:
         n += 1
         found = f"{base}_{now}_{n:02d}"
     return found
@@ -85,32 +92,66 @@ def records(photos: DataFrame, options: Options = Options()) -> DataFrame:
     return photos.select("path", where.alias("destinations"), status.alias("export_status"))
 
 
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system that a path or URI names, and the path in it, in which any letters may stand."""
+    found = re.fullmatch(r"([A-Za-z][\w+.-]*:)(//[^/]*)?(/.*)", path, re.DOTALL)
+    if not found:
+        return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri(f"{found[1]}{found[2] or '//'}/")[0], found[3]
+
+
+def _same(a: tuple[fs.FileSystem, str], b: tuple[fs.FileSystem, str], block: int = 1 << 20) -> bool:
+    if a[0].get_file_info(a[1]).size != b[0].get_file_info(b[1]).size:
+        return False
+    with a[0].open_input_stream(a[1]) as x, b[0].open_input_stream(b[1]) as y:
+        while own := x.read(block):
+            if own != y.read(block):
+                return False
+    return True
+
+
+def copy_file(source: str, target: str, staging: str) -> None:
+    """Copies a file by way of a staging folder, from which it is moved once it is whole. A target that holds the same bytes counts as copied by an earlier try of the task; one that holds others is an error and stays."""
+    (own, at), (store, to), (_, part) = store_of(source), store_of(target), store_of(f"{staging}/{uuid.uuid4().hex}")
+    if store.get_file_info(to).type != fs.FileType.NotFound:
+        if not _same((own, at), (store, to)):
+            raise FileExistsError(target)
+        return
+    with own.open_input_stream(at) as x:
+        store.create_dir(part.rsplit("/", 1)[0], recursive=True)
+        with store.open_output_stream(part) as y:
+            shutil.copyfileobj(x, y, 1 << 20)
+    if isinstance(own, fs.LocalFileSystem) and isinstance(store, fs.LocalFileSystem):
+        shutil.copystat(at, part)
+    store.create_dir(to.rsplit("/", 1)[0], recursive=True)
+    store.move(part, to)
+
+
 def run(photos: DataFrame, root: str, options: Options = Options()) -> DataFrame:
-    """Copies originals by executors to a shared root and returns path, exported_paths, export_status and export_error.
+    """Copies originals by executors to a shared root (a path or URI) and returns path, exported_paths, export_status and export_error.
 
-    Nothing is overwritten: a target that exists is taken as copied by an earlier try
-    of the task if sizes agree, and as an error otherwise. A row with one good copy is exported.
+    Nothing is overwritten, and a row with one good copy is exported. What tasks have seen is written once, so reading the
+    result copies nothing again; then the staging folder goes, with whatever lost executors have left in it.
     """
+    staging = f"{root}/.staging-{uuid.uuid4().hex}"
 
-    def copied(batches):
+    def copied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             done, errors = [], []
             for source, folder, name in zip(frame["path"], frame["destination"], frame["target"]):
-                target = os.path.join(root, folder, name)
+                target = f"{root}/{folder}/{name}"
                 try:
-                    os.makedirs(os.path.dirname(target), exist_ok=True)
-                    if os.path.exists(target) and os.path.getsize(target) != os.path.getsize(source):
-                        raise FileExistsError(target)
-                    part = f"{target}.{os.getpid()}.part"
-                    shutil.copy2(source, part)
-                    os.replace(part, target)
+                    copy_file(source, target, staging)
                     done.append(target), errors.append(None)
-                except OSError as e:
+                except (OSError, pa.ArrowException) as e:
                     done.append(None), errors.append(f"{folder}: {e}")
             yield frame.assign(done=done, error=errors)[["path", "done", "error"]]
 
     copies = plan(photos, options).select("path", "destination", "target").mapInPandas(copied, "path string, done string, error string")
-    each = copies.groupBy("path").agg(F.array_compact(F.collect_list("done")).alias("exported_paths"), F.array_join(F.array_compact(F.collect_list("error")), "；").alias("export_error"))
+    each = written(copies.groupBy("path").agg(F.array_sort(F.array_compact(F.collect_list("done"))).alias("exported_paths"), F.array_join(F.array_sort(F.array_compact(F.collect_list("error"))), "；").alias("export_error")))
+    store, at = store_of(staging)
+    if store.get_file_info(at).type == fs.FileType.Directory:
+        store.delete_dir(at)
     none = F.array().cast("array<string>")
     status = F.when(F.col("export_status") != "planned", F.col("export_status")).when(F.size("exported_paths") > 0, "exported").otherwise("failed")
     return records(photos, options).join(each, "path", "left").select("path", F.coalesce("exported_paths", none).alias("exported_paths"), status.alias("export_status"), F.coalesce("export_error", F.lit("")).alias("export_error"))
@@ -130,7 +171,6 @@ class Result:
 
 def export(photos: DataFrame, base: str, now: str, options: Options = Options()) -> Result:
     """A whole export into a fresh folder: copies, then the reports that the options ask for, below 00_报告."""
-    from ..functions.durable import written
     from . import report
 
     folder = fresh_folder(base, now)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.ranks import build_index, index_places
-from ..operators import preference, vectors
+from ..operators import export, preference, vectors
 from ..sources import adapters as A
 from ..sources import photo_source, value_cache
 from ..streaming import protection
@@ -95,6 +96,21 @@ def incremental_centroids(spark, d):
     return c.select("label", "n", *(one("centroid", n, 6).alias(f"c{n}") for n in range(3)), one("deviation", 0, 5).alias("s0"), one("deviation", 2, 5).alias("s2"))
 
 
+def _made_files(files: DataFrame, at: str, of: Callable[[str], bytes]) -> None:
+    """Writes a file for each row of files (name, content) below a folder, by executors."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = export.store_of(at)
+        for batch in batches:
+            for own, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                store.create_dir(f"{top}/{own}".rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(f"{top}/{own}") as f:
+                    f.write(of(content))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    files.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 _EXTENSIONS = ["jpg", "JPEG", "png", "webp", "cr2", "NEF", "txt", "tar.jpg"]
 _HEADS = {"jpg": b"\xff\xd8\xff\xe0 rest", "jpeg": b"\xff\xd8\xff\xe0 rest", "png": b"\x89PNG\r\n\x1a\n rest", "webp": b"RIFF0000WEBP rest"}
 
@@ -118,18 +134,7 @@ def scan(spark, d):
     name = F.concat(F.lower("c_mktsegment"), middle, F.lit("IMG_"), k.cast("string"), F.lit("."), ext)
     files = A.table(spark, d, "customer").select(name.alias("name"), F.when(k % 11 == 0, "empty").when(k % 13 == 0, "bad").otherwise(F.lower(F.regexp_extract(ext, "[^.]*$", 0))).alias("content"))
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, top = fs.FileSystem.from_uri(at) if ":" in at else (fs.LocalFileSystem(), at)
-        for batch in batches:
-            for own, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                store.create_dir(f"{top}/{own}".rsplit("/", 1)[0], recursive=True)
-                with store.open_output_stream(f"{top}/{own}") as f:
-                    f.write(b"" if content == "empty" else _HEADS.get(content, b"any content"))
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
-
-    files.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    _made_files(files, at, lambda content: b"" if content == "empty" else _HEADS.get(content, b"any content"))
     read = lambda **o: spark.read.format("photo_folder").options(path=at, **o).load()
     kind = lambda df, name: df.select(F.lit(name).alias("kind"), "branch", "filename", "extension", "error")
     pngs = read().where("extension = 'png' AND branch = 'building'")
@@ -179,3 +184,29 @@ def cache_compacted(spark, d):
     value_cache.compacted(spark, at, into, v.count() // 3)
     hits, _ = value_cache.lookup(v.select("idx", "key"), into)
     return hits.join(value_cache.last_uses(spark, into), "key").select("idx", F.unix_micros("last").alias("last_us"), F.round(F.get("value", F.lit(0)).cast("double"), 5).alias("x"))
+
+
+@query(
+    "q_export_copies",
+    """WITH c AS (SELECT c_custkey AS k, 'IMG_' || (c_custkey % 50) || '.jpg' AS filename, 'photo ' || c_custkey || repeat('x', (c_custkey % 7)::INT) AS content, c_custkey % 5 = 0 AS reject, c_custkey % 11 = 0 AS gone FROM customer),
+    d AS (SELECT *, unnest(CASE WHEN reject THEN []::VARCHAR[] WHEN k % 3 = 0 THEN ['01_客户可选', '03_作品集候选'] WHEN k % 3 = 1 THEN ['01_客户可选'] ELSE ['02_精修候选'] END
+      || CASE WHEN reject THEN []::VARCHAR[] ELSE ['10_按类型整理/未分类/未细分/' || CASE WHEN k % 2 = 0 THEN 'A_可交付' ELSE '未评级' END] END) AS folder FROM c),
+    p AS (SELECT *, row_number() OVER (PARTITION BY folder, filename ORDER BY k) - 1 AS nth FROM d)
+    SELECT k AS idx, 'exported' AS export_status, folder || '/' || CASE WHEN nth = 0 THEN filename ELSE replace(filename, '.jpg', '') || '_' || lpad(nth::VARCHAR, greatest(3, len(nth::VARCHAR))::INT, '0') || '.jpg' END AS target, content FROM p WHERE NOT gone
+    UNION ALL SELECT k, CASE WHEN reject THEN 'skipped_no_export' ELSE 'failed' END, NULL, NULL FROM c WHERE reject OR gone""",
+)
+def export_copies(spark, d):
+    """An original for each customer, some of them gone and some rejected, copied to the folders of uses and types under names of their own, and the copies read again."""
+    source, base, k = _folder(spark), _folder(spark), F.col("c_custkey")
+    name, content = F.concat(F.lit("c"), k.cast("string"), F.lit(".jpg")), F.concat(F.lit("photo "), k.cast("string"), F.expr("repeat('x', cast(c_custkey % 7 as int))"))
+    c = A.table(spark, d, "customer")
+    _made_files(c.where(k % 11 > 0).select(name.alias("name"), content.alias("content")), source, str.encode)
+    uses = F.when(k % 3 == 0, F.array(F.lit("客户可选"), F.lit("作品集候选"))).when(k % 3 == 1, F.array(F.lit("客户可选"))).otherwise(F.array(F.lit("精修候选")))
+    photos = c.select(
+        k.alias("idx"), F.concat(F.lit(f"{source}/"), name).alias("path"), F.concat(F.lit("IMG_"), (k % 50).cast("string"), F.lit(".jpg")).alias("filename"), uses.alias("delivery_use"), F.lit("").alias("photo_type"), F.lit("").alias("subtype"),
+        F.when(k % 5 == 0, "X").when(k % 2 == 0, "A").otherwise("").alias("quality_rating"), F.lit("").alias("similar_group_status"),
+    )
+    made = export.export(photos, base, "2026-01-01_0000", export.Options(csv=False, markdown=False))
+    seen = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jpg").load(made.folder).select(F.regexp_extract("path", "/files-[0-9a-f]+/(.*)$", 1).alias("target"), F.decode("content", "UTF-8").alias("content"))
+    each = made.done.join(photos.select("idx", "path"), "path").select("idx", "export_status", F.explode_outer("exported_paths").alias("to"))
+    return each.withColumn("target", F.regexp_extract("to", "/files-[0-9a-f]+/(.*)$", 1)).join(seen, "target", "left").select("idx", "export_status", "target", "content")

@@ -147,3 +147,22 @@ def test_a_fitted_model_is_stored(spark, tmp_path):
     preference.store_fitted(fitted, str(tmp_path / "store"), 0)
     label = lambda m: [r["preference_label"] for r in preference.predict_logistic(m, samples.select("features").coalesce(1)).collect()]
     assert label(preference.stored_fitted(str(tmp_path / "store"), 0)) == label(fitted)
+
+
+def test_copies_overwrite_nothing_and_leave_no_parts(spark, tmp_path):
+    from lumensift.operators import export
+
+    (tmp_path / "a.jpg").write_bytes(b"one"), (tmp_path / "b.jpg").write_bytes(b"two")
+    p = spark.createDataFrame(
+        [(1, f"file://{tmp_path}/a.jpg", "x.jpg", ["客户可选"], "A", "", "", ""), (2, str(tmp_path / "b.jpg"), "y.jpg", ["客户可选"], "A", "", "", ""), (3, str(tmp_path / "gone.jpg"), "z.jpg", ["客户可选"], "A", "", "", "")],
+        "idx long, path string, filename string, delivery_use array<string>, quality_rating string, photo_type string, subtype string, similar_group_status string",
+    )
+    out = tmp_path / "out"
+    (out / "01_客户可选").mkdir(parents=True)
+    (out / "01_客户可选" / "x.jpg").write_bytes(b"oth")  # as long as the original, but another picture
+    (out / "01_客户可选" / "y.jpg").write_bytes(b"two")  # left by an earlier try
+    done = {r["path"].rsplit("/", 1)[1]: r for r in export.run(p, f"file://{out}", export.Options(by_type=False)).collect()}
+    assert {k: r["export_status"] for k, r in done.items()} == {"a.jpg": "failed", "b.jpg": "exported", "gone.jpg": "failed"}
+    assert (out / "01_客户可选" / "x.jpg").read_bytes() == b"oth" and done["b.jpg"]["exported_paths"] == [f"file://{out}/01_客户可选/y.jpg"]
+    assert sorted(f.name for f in out.rglob("*")) == ["01_客户可选", "x.jpg", "y.jpg"]
+    assert export.fresh_folder(f"file://{out}", "t") == f"file://{out}_t"
