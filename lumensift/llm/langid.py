@@ -13,7 +13,7 @@ rows about ``SAMPLE_DOCS`` are chosen by a hash of id and text, among those of u
 ``TRAIN_BYTES`` bytes, and taken whole, in order of the hash, as long as they fit into ``TRAIN_BYTES``
 together. (A language that has longer texts only is learnt from the first
 ``TRAIN_BYTES`` bytes of the shortest.) The model has about 60 bytes for each byte of it, and
-languages are parsed ``AT_ONCE`` at a time. Each automaton is built by a task of its own. Only ``lang`` and ``text`` of rows that aren't held out are
+languages are parsed ``AT_ONCE`` at a time. Automata are built in Spark's tasks, a group a language. Only ``lang`` and ``text`` of rows that aren't held out are
 learnt; a prediction sees the text alone.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0,
@@ -176,7 +176,7 @@ def assembled(automata: list[Automaton]) -> list[Model]:
 
 
 def train(samples: dict[str, list[bytes]], train_bytes: int = TRAIN_BYTES) -> list[Model]:
-    """The models of languages whose texts are at hand; ``trained`` learns them from a table, by a task a language."""
+    """The models of languages whose texts are at hand; ``trained`` learns them from a table, in tasks."""
     return assembled([automaton(k, v, train_bytes) for k, v in samples.items()])
 
 
@@ -262,7 +262,7 @@ def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 
 def trained(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> list[Model]:
-    """The models learnt from the sample of docs. A task builds the automaton of each language; the driver only joins them, about 9 bytes an arc and 3 arcs a byte of TRAIN_BYTES."""
+    """The models learnt from the sample of docs. Automata are built in tasks, a group a language (Spark may put small groups into one task); the driver only joins them, about 9 bytes an arc and 3 arcs a byte of TRAIN_BYTES."""
     train_bytes = TRAIN_BYTES
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
