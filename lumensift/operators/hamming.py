@@ -38,6 +38,9 @@ HOT = 2048
 #: Times that buckets are dealt, at most.
 LEVELS = 3
 
+#: Values sent that a task joins, on average.
+ROWS = 400_000
+
 
 @dataclass(frozen=True)
 class Part:
@@ -123,9 +126,25 @@ def _met_here(paths: Paths, level: int) -> str:
     return _case(paths, rule).replace("{0}", "a.")
 
 
-def _joined(left: DataFrame, right: DataFrame, levels: int, rules: list[str]) -> DataFrame:
-    keys = [f"a.{c}{n} = b.{c}{n}" for n in range(levels) for c in "pk"]
-    return left.alias("a").join(right.alias("b"), F.expr(" AND ".join([*keys, *rules])))
+def _tasks(rows: int) -> int:
+    return -(-rows // ROWS) or 1
+
+
+def _values(parts: list[Part]) -> tuple[int, int]:
+    """Values that a left and a right hash are sent to."""
+    return sum(ball(len(p.bits), p.left) for p in parts), sum(ball(len(p.bits), p.radius - p.left) for p in parts)
+
+
+def _spread(hashes: DataFrame, values: int) -> DataFrame:
+    """hashes over as many tasks as their values fill: a small file, read by one task, may hold hashes for millions of them."""
+    return hashes.repartition(_tasks(values), "hash") if values > ROWS else hashes
+
+
+def _joined(left: DataFrame, right: DataFrame, levels: int, rules: list[str], tasks: int) -> DataFrame:
+    """Both sides are dealt over so many tasks and merged. Spark would judge a side by the size of the hashes before they are sent to their values, and gather it in the driver."""
+    names = [f"{c}{n}" for n in range(levels) for c in "pk"]
+    keys = [f"a.{c} = b.{c}" for c in names]
+    return left.repartition(tasks, *names).alias("a").join(right.repartition(tasks, *names).alias("b").hint("merge"), F.expr(" AND ".join([*keys, *rules])))
 
 
 def _met(left: DataFrame, right: DataFrame, sizes: tuple[int, int], threshold: int, rules: list[str], hot: int, sieve: bool = False) -> list[DataFrame]:
@@ -134,6 +153,8 @@ def _met(left: DataFrame, right: DataFrame, sizes: tuple[int, int], threshold: i
     paths: Paths = {(): plan(*sizes, threshold, everything)}
     rest = {(): everything}
     out = []
+    rows = [n * v for n, v in zip(sizes, _values(paths[()]))]
+    left, right = (_spread(x, n) for x, n in zip((left, right), rows))
     for level in range(LEVELS):
         a, b = _sent(left, paths, level, True), _sent(right, paths, level, False)
         names = [f"{c}{n}" for n in range(level + 1) for c in "pk"]
@@ -144,16 +165,18 @@ def _met(left: DataFrame, right: DataFrame, sizes: tuple[int, int], threshold: i
         crowds = {}
         if sizes[1] > hot and level < LEVELS - 1:
             crowded = b.groupBy(*names).agg(F.count(F.lit(1)).alias("n_")).where(F.col("n_") > hot)
-            largest = crowded.groupBy(*names[::2]).agg(F.max("n_").alias("n_")).collect()
+            largest = crowded.groupBy(*names[::2]).agg(F.max("n_").alias("n_"), F.sum("n_").alias("rows_")).collect()
             # in buckets with no more bits left than the threshold, everything is close
-            crowds = {path: r["n_"] for r in largest if len(rest[path := tuple(r[: level + 1])]) > threshold}
+            crowds = {path: (r["n_"], r["rows_"]) for r in largest if len(rest[path := tuple(r[: level + 1])]) > threshold}
         if not crowds:
-            return [*out, _joined(a, b, level + 1, rules)]
+            return [*out, _joined(a, b, level + 1, rules, _tasks(sum(rows)))]
         chosen = F.expr(" OR ".join("(" + " AND ".join(f"p{n} = {j}" for n, j in enumerate(path)) + ")" for path in crowds))
         marks = crowded.where(chosen).select(*names)
-        out.append(_joined(a.join(marks, names, "left_anti"), b.join(marks, names, "left_anti"), level + 1, rules))
+        out.append(_joined(a.join(marks, names, "left_anti"), b.join(marks, names, "left_anti"), level + 1, rules, _tasks(sum(rows))))
         left, right = a.join(marks, names, "left_semi"), b.join(marks, names, "left_semi")
-        paths = {path: plan(n, n, threshold, rest[path]) for path, n in crowds.items()}
+        share = rows[0] / max(1, rows[1])  # left rows of a bucket for each right one
+        paths = {path: plan(n, n, threshold, rest[path]) for path, (n, _) in crowds.items()}
+        rows = [sum(int(crowds[path][1] * of * _values(parts)[side]) for path, parts in paths.items()) for side, of in enumerate((share, 1))]
     return out
 
 
@@ -182,4 +205,4 @@ def meetings(hashes: DataFrame, threshold: int) -> int:
     """Rows that meet in the join of ``near`` before its rules, where no bucket is crowded."""
     n = hashes.count()
     paths: Paths = {(): plan(n, n, threshold)}
-    return _joined(_sent(hashes, paths, 0, True), _sent(hashes, paths, 0, False), 1, ["a.hash < b.hash"]).count()
+    return _joined(_sent(hashes, paths, 0, True), _sent(hashes, paths, 0, False), 1, ["a.hash < b.hash"], _tasks(n * sum(_values(paths[()])))).count()

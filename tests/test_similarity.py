@@ -1,6 +1,8 @@
 """Groups on constructed hashes: pairs, components, protection and group statuses."""
 
 import random
+import re
+from itertools import combinations
 
 import pytest
 from hypothesis import given, settings
@@ -167,3 +169,18 @@ def test_groups_grow_as_if_made_at_once(spark, seed):
         state = similarity.grow_groups(written(state), frame_(rows[a:b]), 5)
     whole = similarity.start_groups(frame_(rows), 5)
     assert sorted(map(tuple, state.collect())) == sorted(map(tuple, whole.collect())) and state.count() == 160
+
+
+def test_values_sent_are_dealt_over_tasks(spark, monkeypatch):
+    """Hashes of one small file are sent to many values: no side may be gathered as if it were as small as the file."""
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) - (1 << 63) for _ in range(300)]
+    hashes = written(spark.createDataFrame([(x,) for x in {*base, *(x ^ 5 for x in base)}], "hash long").coalesce(1))
+    monkeypatch.setattr(hamming, "ROWS", 1000)
+    found = hamming.near(hashes, 12)
+    planned = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in planned and "SortMergeJoin" in planned
+    dealt = [int(n) for n in re.findall(r"hashpartitioning\([^)]*, (\d+)\), REPARTITION_BY_NUM", planned)]
+    assert max(dealt, default=0) > 10 and "hashpartitioning(hash" in planned
+    want = sum((a ^ b).bit_count() <= 12 for a, b in combinations([x & (1 << 64) - 1 for x in {*base, *(x ^ 5 for x in base)}], 2))
+    assert found.count() == want >= 300
