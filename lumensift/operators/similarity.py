@@ -38,7 +38,7 @@ def hamming_pairs(photos: DataFrame, threshold: int) -> DataFrame:
 
 def _pairs(photos: DataFrame, threshold: int, *more: str) -> DataFrame:
     """Pairs, with more columns of both as left_ and right_ (of i and of j)."""
-    known = _hashed(photos, *more)
+    known = written(_hashed(photos, *more))
     near = near_hashes(known.select("hash").distinct(), threshold)
     both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance")).unionByName(known.select(F.col("hash").alias("a"), F.col("hash").alias("b"), F.lit(0).alias("distance")).distinct())
     left = known.select(F.col("idx").alias("i"), F.col("hash").alias("a"), *(F.col(c).alias(f"left_{c}") for c in more))
@@ -48,8 +48,9 @@ def _pairs(photos: DataFrame, threshold: int, *more: str) -> DataFrame:
 
 def hamming_links(photos: DataFrame, threshold: int) -> DataFrame:
     """i and j of links that connect whatever pairs connect: photos of one hash by a star around the first, and the first ones of close hashes. No more than copies and close hashes, so groups of copies cost no square."""
-    first = _hashed(photos).groupBy("hash").agg(F.min("idx").alias("first"))
-    stars = _hashed(photos).join(first, "hash").where("idx > first").select(F.col("first").alias("i"), F.col("idx").alias("j"))
+    known = written(_hashed(photos))
+    first = written(known.groupBy("hash").agg(F.min("idx").alias("first")))
+    stars = known.join(first, "hash").where("idx > first").select(F.col("first").alias("i"), F.col("idx").alias("j"))
     near = near_hashes(first.select("hash"), threshold)
     a, b = first.select(F.col("hash").alias("a"), F.col("first").alias("x")), first.select(F.col("hash").alias("b"), F.col("first").alias("y"))
     return near.join(a, "a").join(b, "b").select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")).unionByName(stars)
