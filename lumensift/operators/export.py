@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .. import vocab as V
 from ..functions import scalars as S
@@ -127,6 +128,36 @@ def copy_file(source: str, target: str, staging: str) -> None:
     store.move(part, to)
 
 
+#: Files that a task copies, writes or reads, on average: their rows are small, but each costs the file system a round trip.
+FILES = 5_000
+
+
+def dealt(files: DataFrame) -> DataFrame:
+    """files over as many tasks as their number asks for, however small their rows are."""
+    return files.repartition(files.count() // FILES + 1)
+
+
+def contents(files: DataFrame, path: str) -> DataFrame:
+    """Adds content (binary) of the file that a path or URI names, NULL where there is none. Tasks open the files by their paths, so no folder is listed in the driver."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for name in batch.column(path).to_pylist():
+                try:
+                    if name is not None:
+                        store, at = store_of(name)
+                        with store.open_input_stream(at) as f:
+                            found.append(f.read())
+                    else:
+                        found.append(None)
+                except FileNotFoundError:
+                    found.append(None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, "content"])
+
+    return dealt(files).mapInArrow(read, StructType([*files.schema.fields, StructField("content", BinaryType())]))
+
+
 def run(photos: DataFrame, root: str, options: Options = Options()) -> DataFrame:
     """Copies originals by executors to a shared root (a path or URI) and returns path, exported_paths, export_status and export_error.
 
@@ -147,7 +178,7 @@ def run(photos: DataFrame, root: str, options: Options = Options()) -> DataFrame
                     done.append(None), errors.append(f"{folder}: {e}")
             yield frame.assign(done=done, error=errors)[["path", "done", "error"]]
 
-    copies = plan(photos, options).select("path", "destination", "target").mapInPandas(copied, "path string, done string, error string")
+    copies = dealt(written(plan(photos, options).select("path", "destination", "target"))).mapInPandas(copied, "path string, done string, error string")
     each = written(copies.groupBy("path").agg(F.array_sort(F.array_compact(F.collect_list("done"))).alias("exported_paths"), F.array_join(F.array_sort(F.array_compact(F.collect_list("error"))), "；").alias("export_error")))
     store, at = store_of(staging)
     if store.get_file_info(at).type == fs.FileType.Directory:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.durable import written
 from ..functions.ranks import build_index, index_places
 from ..operators import export, preference, vectors
 from ..sources import adapters as A
@@ -108,7 +109,7 @@ def _made_files(files: DataFrame, at: str, of: Callable[[str], bytes]) -> None:
                     f.write(of(content))
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
-    files.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    export.dealt(files).mapInArrow(write, "n long").agg(F.sum("n")).collect()
 
 
 _EXTENSIONS = ["jpg", "JPEG", "png", "webp", "cr2", "NEF", "txt", "tar.jpg"]
@@ -207,6 +208,5 @@ def export_copies(spark, d):
         F.when(k % 5 == 0, "X").when(k % 2 == 0, "A").otherwise("").alias("quality_rating"), F.lit("").alias("similar_group_status"),
     )
     made = export.export(photos, base, "2026-01-01_0000", export.Options(csv=False, markdown=False))
-    seen = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jpg").load(made.folder).select(F.regexp_extract("path", "/files-[0-9a-f]+/(.*)$", 1).alias("target"), F.decode("content", "UTF-8").alias("content"))
     each = made.done.join(photos.select("idx", "path"), "path").select("idx", "export_status", F.explode_outer("exported_paths").alias("to"))
-    return each.withColumn("target", F.regexp_extract("to", "/files-[0-9a-f]+/(.*)$", 1)).join(seen, "target", "left").select("idx", "export_status", "target", "content")
+    return export.contents(written(each), "to").select("idx", "export_status", F.regexp_extract("to", "/files-[0-9a-f]+/(.*)$", 1).alias("target"), F.decode("content", "UTF-8").alias("content"))

@@ -7,7 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lumensift.operators import preference, report, vectors
+from lumensift.operators import export, preference, report, vectors
+from lumensift.plans import catalog_queries as Q
+from lumensift.plans import growth_queries  # noqa: F401 (registers its queries)
 from lumensift.sources import photo_source
 
 ITEMS, LABELS = "idx long, vector array<double>", "label string, vector array<double>"
@@ -166,3 +168,19 @@ def test_copies_overwrite_nothing_and_leave_no_parts(spark, tmp_path):
     assert (out / "01_客户可选" / "x.jpg").read_bytes() == b"oth" and done["b.jpg"]["exported_paths"] == [f"file://{out}/01_客户可选/y.jpg"]
     assert sorted(f.name for f in out.rglob("*")) == ["01_客户可选", "x.jpg", "y.jpg"]
     assert export.fresh_folder(f"file://{out}", "t") == f"file://{out}_t"
+
+
+def test_contents_are_read_by_paths_and_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    """Copies are read back by tasks that open their paths; the driver lists no folder, and few small rows are more than one task."""
+    for n in range(12):
+        (tmp_path / f"a b%{n}.jpg").write_bytes(b"photo %d" % n)
+    monkeypatch.setattr(export, "FILES", 3)
+    names = [(n, str(tmp_path / f"a b%{n}.jpg")) for n in range(12)] + [(12, str(tmp_path / "gone.jpg")), (13, None)]
+    found = export.contents(spark.createDataFrame(names, "n long, at string").coalesce(1), "at")
+    assert found.rdd.getNumPartitions() == 5 and not found.inputFiles()
+    assert {r["n"]: r["content"] and bytes(r["content"]) for r in found.collect()} == {n: b"photo %d" % n for n in range(12)} | {12: None, 13: None}
+
+
+def test_export_copies_lists_no_folder(spark):
+    made = Q.QUERIES["q_export_copies"](spark, "/root/testdata/sf0.001")
+    assert "binaryFile" not in made._jdf.queryExecution().executedPlan().toString()
