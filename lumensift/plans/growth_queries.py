@@ -27,17 +27,18 @@ _KEYED = "SELECT '/u/' || user_id AS key, ts AS happened, event_id, event_type =
     FROM e QUALIFY row_number() OVER (PARTITION BY key ORDER BY human DESC, happened DESC, event_id DESC) = 1""",
 )
 def protected_stream(spark, d):
-    """Events in files of which each is a micro-batch and the third has every tenth event again; the stream stops after two files and is started anew."""
+    """Events in files of a million or so, four sets of them; each set is a micro-batch and the third has every tenth event again; the stream stops after two files and is started anew."""
     e = A.table(spark, d, "events").select(
         F.concat(F.lit("/u/"), F.col("user_id").cast("string")).alias("key"), F.col("ts").cast("timestamp").alias("at"), "event_id", (F.col("event_type") == "purchase").alias("human"), F.col("event_type").alias("status"),
         F.when(F.col("event_id") % 5 > 0, F.concat(F.lit("v"), F.col("event_id").cast("string"))).alias("note"),
     )
     source, out, mark = _folder(spark), _folder(spark), _folder(spark)
+    files = e.count() // 4_000_000 + 1
     part = lambda n: e.where(F.pmod(F.xxhash64("event_id"), F.lit(4)) == n)
     for own, then_run in ((part(0), False), (part(1), True), (part(2).unionByName(e.where("event_id % 10 = 0")), False), (part(3), True)):
-        own.coalesce(1).write.mode("append").parquet(source)
+        (own.repartition(files) if files > 1 else own.coalesce(1)).write.mode("append").parquet(source)
         if then_run:
-            stream = spark.readStream.schema(protection.EVENT).option("maxFilesPerTrigger", 1).parquet(source)
+            stream = spark.readStream.schema(protection.EVENT).option("maxFilesPerTrigger", files).parquet(source)
             protection.run(stream, out, mark, late="3650 days", keep_ms=3650 * 86_400_000)
     return protection.standing(spark, out).select("key", "human", F.unix_micros("at").alias("at_us"), "event_id", "status", "note", "n_events")
 

@@ -3,7 +3,9 @@
 import datetime as dt
 import random
 import threading
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 
 from lumensift import vocab as V
@@ -62,3 +64,41 @@ def test_two_writers_of_one_version(spark, tmp_path):
     assert catalog.save(spark, one, table, after=None) == 0 and catalog.save(spark, one, table, after=None) is None
     assert catalog.save(spark, one, table, after=0) == 1 and catalog.save(spark, one, table, after=0) is None and catalog.save(spark, one, table) == 2
     assert pytest.approx(catalog.current(spark, table)) == 2
+
+
+@pytest.mark.parametrize("held", [100_000, 50])
+def test_the_state_is_asked_once_a_key_and_micro_batch(monkeypatch, held):
+    """A key's events don't cost a question each."""
+    calls = []
+
+    class State:
+        def __init__(self, empty):
+            self.value = empty
+
+        def __getattr__(self, name):
+            calls.append(name)
+            return {
+                "exists": lambda: self.value is not None, "get": lambda: iter(self.value) if isinstance(self.value, list) else self.value, "update": lambda x: setattr(self, "value", x), "appendList": lambda x: self.value.extend(x), "clear": lambda: setattr(self, "value", [] if isinstance(self.value, list) else None),
+                "containsKey": lambda k: k in self.value, "updateValue": lambda k, v: self.value.update({k: v}), "getValueState": lambda *_: State(None), "getListState": lambda *_: State([]), "getMapState": lambda *_: State({}),
+                "listTimers": lambda: iter([]), "registerTimer": lambda t: None, "deleteTimer": lambda t: None,
+            }[name]
+
+    monkeypatch.setattr(protection, "HELD", held, raising=False)
+    rng = random.Random(9)
+    events = [e[1:] for e in _events(rng, 400)]
+    events += events[:60]
+    own = protection.Protection(1000)
+    own.init(State(None))
+    calls.clear()
+    cut = [events[a : a + 80] for a in range(0, len(events), 80)]
+    table = lambda x: pd.DataFrame(x, columns=["at", "event_id", "human", "status", "note"])
+    out = [r for n in (0, 3) for r in own.handleInputRows(("/p",), iter([table(x) for x in cut[n : n + 3]]), None)]
+    best = max(events, key=lambda e: (e[2], e[0], e[1]))
+    assert out[-1].iloc[0][["event_id", "n_events"]].tolist() == [best[1], 400]
+    assert len(calls) < 40 and calls.count("registerTimer") == 1 and "listTimers" not in calls
+    last = max(e[0] for e in events).timestamp() * 1000 + 1000
+    for at, left in ((last - 500, 400), (last, 0)):
+        calls.clear()
+        own.handleExpiredTimer(("/p",), None, SimpleNamespace(getExpiryTimeInMs=lambda at=at: at))
+        assert len(own.seen.value) == left and ("registerTimer" in calls) == (left > 0)
+    assert own.stands.value[0] is True
