@@ -184,3 +184,11 @@ def test_values_sent_are_dealt_over_tasks(spark, monkeypatch):
     assert max(dealt, default=0) > 10 and "hashpartitioning(hash" in planned
     want = sum((a ^ b).bit_count() <= 12 for a, b in combinations([x & (1 << 64) - 1 for x in {*base, *(x ^ 5 for x in base)}], 2))
     assert found.count() == want >= 300
+
+
+def test_more_than_999_groups_have_ids_of_their_own(spark):
+    """As the reference's :03d, ids are padded to three digits and never cut (SQL's lpad would cut the thousandth to 组100)."""
+    rows = spark.range(2004).select("id", F.col("id").alias("idx"), F.floor(F.col("id") / 2).alias("hash"), F.lit(1.0).alias("score"))
+    pairs = spark.range(1002).select((F.col("id") * 2).alias("i"), (F.col("id") * 2 + 1).alias("j"))
+    found = {r["group_id"] for r in similarity.ranked_groups(rows, pairs).select("group_id").distinct().collect()}
+    assert len(found) == 1002 and {"组001", "组100", "组1000", "组1002"} <= found
