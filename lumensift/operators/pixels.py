@@ -8,7 +8,8 @@ integers. Hashes, colours and noise come from small pictures with the kernels an
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,9 @@ FEATURES = (
     "hash long, hash_above long, hash_area long, rgb_mean array<double>, rgb_std array<double>, error string"
 )
 
+#: Pixels of pictures of one size that are worked on at once (a larger picture alone).
+PIXELS = 1 << 18
+
 
 def to_rgb(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     """RGB rows from an image struct; alpha is laid on white."""
@@ -44,31 +48,70 @@ def grey(rgb: np.ndarray) -> np.ndarray:
 
 def laplacian_variance(g: np.ndarray) -> float:
     """Population variance of the 4-neighbour Laplacian, borders reflected without the edge."""
-    x = np.pad(g.astype(np.float64), 1, mode="reflect" if min(g.shape) > 1 else "edge")
-    return float((x[:-2, 1:-1] + x[2:, 1:-1] + x[1:-1, :-2] + x[1:-1, 2:] - 4 * x[1:-1, 1:-1]).var())
+    return float(_laplacian_variances(g[:, :, None])[0])
+
+
+def _by_picture(a: np.ndarray) -> np.ndarray:
+    """Rows, columns and pictures as one row of values a picture."""
+    return np.ascontiguousarray(np.moveaxis(a, -1, 0)).reshape(a.shape[-1], -1)
+
+
+def _laplacian_variances(g: np.ndarray) -> np.ndarray:
+    x = np.pad(g.astype(np.float64), [(1, 1), (1, 1), (0, 0)], mode="reflect" if min(g.shape[:2]) > 1 else "edge")
+    return _by_picture(x[:-2, 1:-1] + x[2:, 1:-1] + x[1:-1, :-2] + x[1:-1, 2:] - 4 * x[1:-1, 1:-1]).var(axis=1)
 
 
 def gradient(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if min(g.shape) < 2:
+    if min(g.shape[:2]) < 2:
         z = np.zeros(g.shape)
         return z, z
-    gy, gx = np.gradient(g.astype(np.float64))
+    gy, gx = np.gradient(g.astype(np.float64), axis=(0, 1))
     return gx, gy
 
 
+def _area_along(x: np.ndarray, n: int) -> np.ndarray:
+    total = np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(x, axis=0)])
+    at = np.linspace(0, len(x), n + 1)
+    low = np.minimum(np.floor(at).astype(int), len(x))
+    high = np.minimum(low + 1, len(x))
+    part = (at - low).reshape(-1, *([1] * (x.ndim - 1)))
+    edges = total[low] * (1 - part) + total[high] * part
+    return np.diff(edges, axis=0) / (len(x) / n)
+
+
 def area_resize(a: np.ndarray, height: int, width: int) -> np.ndarray:
     """Means over equal areas, by cumulative sums with fractional borders."""
+    return np.swapaxes(_area_along(np.swapaxes(_area_along(a.astype(np.float64), height), 0, 1), width), 0, 1)
 
-    def along(x: np.ndarray, n: int) -> np.ndarray:
-        total = np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(x, axis=0)])
-        at = np.linspace(0, len(x), n + 1)
-        low = np.minimum(np.floor(at).astype(int), len(x))
-        high = np.minimum(low + 1, len(x))
-        part = (at - low).reshape(-1, *([1] * (x.ndim - 1)))
-        edges = total[low] * (1 - part) + total[high] * part
-        return np.diff(edges, axis=0) / (len(x) / n)
 
-    return np.swapaxes(along(np.swapaxes(along(a.astype(np.float64), height), 0, 1), width), 0, 1)
+@lru_cache(256)
+def _area_band(source: int, target: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean weights of the input pixels, and the product of the weights' matrix with itself: its diagonal and the one beside it. No output pixel of a picture that grows touches more than two input pixels, so there are no others."""
+    a = _area_along(np.eye(source), target)
+    square = a.T @ a / target
+    return a.mean(axis=0), np.diag(square).copy(), np.diag(square, 1).copy()
+
+
+def area_moments(a: np.ndarray, edge: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation over edge x edge pixels of pictures scaled by ``area_resize`` (rows and columns first). Pictures that grow aren't scaled for it: both follow from the input pixels."""
+    height, width = a.shape[:2]
+    if max(height, width) > edge:
+        net = area_resize(a, edge, edge)
+        return net.mean(axis=(0, 1)), net.std(axis=(0, 1))
+
+    def banded(x: np.ndarray, band: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        own, beside = (w.reshape(-1, *([1] * (x.ndim - 1))) for w in band[1:])
+        out = x * own
+        out[1:] += x[:-1] * beside
+        out[:-1] += x[1:] * beside
+        return out
+
+    down, across = _area_band(height, edge), _area_band(width, edge)
+    x = a.astype(np.float64)
+    mean = np.tensordot(across[0], np.tensordot(down[0], x, axes=(0, 0)), axes=(0, 0))
+    x -= mean
+    square = banded(x, down) * np.swapaxes(banded(np.swapaxes(x, 0, 1), across), 0, 1)
+    return mean, np.sqrt(np.maximum(0.0, square.sum(axis=(0, 1))))
 
 
 def resize_to_edge(rgb: np.ndarray, edge: int) -> np.ndarray:
@@ -81,8 +124,12 @@ def resize_to_edge(rgb: np.ndarray, edge: int) -> np.ndarray:
 
 def noise(g: np.ndarray) -> float:
     """Deviation of what a blur takes from the picture in half its size."""
+    return float(_noises(g[:, :, None])[0])
+
+
+def _noises(g: np.ndarray) -> np.ndarray:
     small = halved(g)
-    return float(np.std(small.astype(np.float32) - gaussian_blur(small, 1.2).astype(np.float32)))
+    return _by_picture(small.astype(np.float32) - gaussian_blur(small, 1.2).astype(np.float32)).std(axis=1)
 
 
 def hash_bits(cells: np.ndarray, inclusive: bool) -> int:
@@ -94,22 +141,76 @@ def hash_bits(cells: np.ndarray, inclusive: bool) -> int:
 
 
 def image_features(data: bytes, height: int, width: int, channels: int) -> dict:
-    rgb = to_rgb(data, height, width, channels)
-    g = grey(rgb)
+    return _features_of([_planes(data, height, width, channels)])[0]
+
+
+def _planes(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
+    """RGB rows, or one plane that stands for all three."""
+    return to_rgb(data, height, width, channels)[:, :, : 1 if channels == 1 else 3]
+
+
+def _features_of(pictures: list[np.ndarray]) -> list[dict]:
+    """Features of pictures of one size and number of planes (``_planes``). Their axis is the last one, so every kernel passes once over all of them."""
+    rgb = np.stack(pictures, axis=-1)
+    height, width, planes = rgb.shape[:3]
+    three = [i % planes for i in range(3)]
+    g = grey(rgb) if planes == 3 else rgb[:, :, 0]
     gx, gy = gradient(g)
     small = resized(rgb, 96, 96, "bicubic").astype(np.float32)
     lanczos, area = resized(g, 8, 8, "lanczos"), np.rint(area_resize(g, 8, 8))
     white = (small > 185).all(axis=2)
-    r, gr, b = small[:, :, 0], small[:, :, 1], small[:, :, 2]
-    dominant = resized(rgb, 1, 1, "bicubic").ravel().tolist()
-    net = area_resize(rgb, 224, 224) / 255
-    return {
-        "width": width, "height": height, "sharpness": laplacian_variance(g), "sharpness_gradient": float((gx.var() + gy.var()) * 4), "brightness": float(g.mean()), "contrast": float(g.std()), "noise": noise(g),
-        "bright_clip": float((g >= 250).mean()), "dark_clip": float((g <= 5).mean()), "edge_density": float(np.hypot(gx, gy).mean()),
-        "dominant_r": dominant[0], "dominant_g": dominant[1], "dominant_b": dominant[2], "color_std": float(small.std(dtype=np.float64)), "white_ratio": float(white.mean()), "lower_white_ratio": float(white[48:].mean()),
-        "center_white_ratio": float(white[24:88, 24:72].mean()), "green_ratio": float(((gr > r + 18) & (gr > b + 12)).mean()), "blue_ratio": float(((b > r + 18) & (b > gr + 8)).mean()),
-        "hash": hash_bits(lanczos, True), "hash_above": hash_bits(lanczos, False), "hash_area": hash_bits(area, False), "rgb_mean": net.mean(axis=(0, 1)).tolist(), "rgb_std": net.std(axis=(0, 1)).tolist(), "error": None,
+    r, gr, b = (small[:, :, i] for i in three)
+    dominant = resized(rgb, 1, 1, "bicubic")[0, 0, three]
+    mean, deviation = (x[three] / 255 for x in area_moments(rgb, 224))
+    own = _by_picture(g)
+    values = {
+        "sharpness": _laplacian_variances(g), "sharpness_gradient": (_by_picture(gx).var(axis=1) + _by_picture(gy).var(axis=1)) * 4, "brightness": own.mean(axis=1), "contrast": own.std(axis=1), "noise": _noises(g),
+        "bright_clip": (own >= 250).mean(axis=1), "dark_clip": (own <= 5).mean(axis=1), "edge_density": _by_picture(np.hypot(gx, gy)).mean(axis=1),
+        "dominant_r": dominant[0], "dominant_g": dominant[1], "dominant_b": dominant[2], "color_std": _by_picture(small).std(axis=1, dtype=np.float64), "white_ratio": white.mean(axis=(0, 1)), "lower_white_ratio": white[48:].mean(axis=(0, 1)),
+        "center_white_ratio": white[24:88, 24:72].mean(axis=(0, 1)), "green_ratio": ((gr > r + 18) & (gr > b + 12)).mean(axis=(0, 1)), "blue_ratio": ((b > r + 18) & (b > gr + 8)).mean(axis=(0, 1)),
     }
+    listed = {c: x.tolist() for c, x in values.items()} | {"rgb_mean": mean.T.tolist(), "rgb_std": deviation.T.tolist()}
+    return [
+        {"width": width, "height": height} | {c: x[i] for c, x in listed.items()}
+        | {"hash": hash_bits(lanczos[..., i], True), "hash_above": hash_bits(lanczos[..., i], False), "hash_area": hash_bits(area[..., i], False), "error": None}
+        for i in range(len(pictures))
+    ]
+
+
+def _all_features(rows: Iterable[tuple[bytes, int, int, int]]) -> list[dict]:
+    """Features of image rows in their order, those of one size together, PIXELS at once; one bad image is a row with an error, not a failed job."""
+    names = [c.split()[0] for c in FEATURES.split(", ")]
+    out: list[dict] = []
+    waiting: dict[tuple[int, ...], list[tuple[int, np.ndarray]]] = {}
+
+    def lacking(e: Exception) -> dict:
+        return dict.fromkeys(names) | {"error": f"{type(e).__name__}: {e}"}
+
+    def done(some: list[tuple[int, np.ndarray]]) -> None:
+        try:
+            for (at, _), found in zip(some, _features_of([x for _, x in some])):
+                out[at] = found
+        except Exception as e:
+            if len(some) == 1:
+                out[some[0][0]] = lacking(e)
+            else:
+                for one in some:
+                    done([one])
+
+    for at, row in enumerate(rows):
+        out.append({})
+        try:
+            x = _planes(*row)
+        except Exception as e:
+            out[at] = lacking(e)
+            continue
+        some = waiting.setdefault(x.shape, [])
+        some.append((at, x))
+        if len(some) * max(x.shape[0] * x.shape[1], 96 * 96) >= PIXELS:
+            done(waiting.pop(x.shape))
+    for some in waiting.values():
+        done(some)
+    return out
 
 
 def features(images: DataFrame, key: str = "path") -> DataFrame:
@@ -118,14 +219,8 @@ def features(images: DataFrame, key: str = "path") -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for k, h, w, c, d in zip(frame["key"], frame["height"], frame["width"], frame["channels"], frame["data"]):
-                try:
-                    found = image_features(d, h, w, c)
-                except Exception as e:  # one bad image is a row with an error, not a failed job
-                    found = dict.fromkeys(names) | {"error": f"{type(e).__name__}: {e}"}
-                rows.append({"key": k} | found)
-            out = pd.DataFrame(rows, columns=["key", *names])
+            out = pd.DataFrame(_all_features(zip(frame["data"], frame["height"], frame["width"], frame["channels"])), columns=names)
+            out.insert(0, "key", frame["key"].to_numpy())
             for c in ("width", "height", "dominant_r", "dominant_g", "dominant_b", "hash", "hash_above", "hash_area"):
                 out[c] = out[c].astype("Int64")
             yield out

@@ -819,7 +819,7 @@ gr AS (SELECT p.idx, (r.g - l.g) / (r.x - l.x) AS gx, (d.g - u.g) / (d.y - u.y)
 )
 def pixel_features(spark, d):
     """Pixel aggregates of grey pictures of 8 x 8, made from vectors; variances over 64 whole numbers are shown times 4,096, which are whole numbers too."""
-    v = A.vectors(spark, d)
+    v = export.dealt(A.vectors(spark, d))
     grey = F.transform("vector", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((x + 0.5) * 255))).cast("int"))
     data = F.unhex(F.array_join(F.transform(grey, lambda g: F.lpad(F.hex(g), 2, "0")), ""))
     image = F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), data.alias("data"))
@@ -875,7 +875,7 @@ def first_analysis(spark, d):
 )
 def pixel_evidence(spark, d):
     """Grey pictures with even values, once as 8 x 8 pixels (hashes bit for bit, the picture as one pixel, scaled mean and deviation), and once as 96 x 96 with blocks of 12 (colours and shares of white)."""
-    v = A.vectors(spark, d)
+    v = export.dealt(A.vectors(spark, d))
     grey = F.transform("vector", lambda x: F.greatest(F.lit(0), F.least(F.lit(254), F.floor((x + 0.5) * 127) * 2)).cast("int"))
 
     def found(times: int) -> DataFrame:
@@ -899,7 +899,7 @@ def pixel_evidence(spark, d):
 )
 def analysis_run(spark, d):
     """Pictures to decisions and payloads, without a detector; every tenth picture can't be read, which costs no other."""
-    v = A.vectors(spark, d)
+    v = export.dealt(A.vectors(spark, d))
     grey = F.transform("vector", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((x + 0.5) * 255))).cast("int"))
     data = F.unhex(F.array_join(F.transform(grey, lambda g: F.lpad(F.hex(g), 2, "0")), ""))
     image = F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), F.when(F.col("idx") % 10 > 0, data).otherwise(F.unhex(F.lit("00"))).alias("data"))

@@ -91,3 +91,31 @@ def test_hashes_and_noise():
     assert f"{pixels.hash_bits(resample.resized(g, 8, 8, 'lanczos'), True) & (1 << 64) - 1:064b}" == "00001111" * 8
     assert pixels.hash_bits(np.full((8, 8), 9), True) == -1 and pixels.hash_bits(np.full((8, 8), 9), False) == 0
     assert pixels.noise(np.full((20, 20), 9, np.uint8)) == 0 and pixels.noise(np.random.default_rng(1).integers(0, 256, (40, 40), dtype=np.uint8)) > 20
+
+
+@pytest.mark.parametrize("shape", [(8, 8), (1, 1), (1, 9), (96, 30), (224, 224), (225, 10)])
+def test_area_moments(shape):
+    a = np.random.default_rng(3).integers(0, 256, (*shape, 3, 4), dtype=np.uint8)
+    a[..., 3] = 77
+    mean, deviation = pixels.area_moments(a, 224)
+    net = pixels.area_resize(a, 224, 224)
+    assert np.abs(mean - net.mean(axis=(0, 1))).max() < 1e-9 and np.abs(deviation - net.std(axis=(0, 1))).max() < 1e-9
+
+
+def test_pictures_of_one_size_together(monkeypatch):
+    """Kernels pass once over all pictures of a size, bad pictures between them cost none of these, and rows stay in order."""
+    random = np.random.default_rng(4)
+    sizes = [(8, 8, 1), (5, 7, 3), (5, 7, 4)] * 20
+    rows = [(random.integers(0, 256, s, dtype=np.uint8).tobytes(), *s) for s in sizes]
+    rows[5:5] = [(b"short", 8, 8, 1), (None, 5, 7, 3), (b"", 0, 8, 1), (b"", 0, 8, 1)]
+    calls = []
+    monkeypatch.setattr(pixels, "PIXELS", 1 << 20)
+    monkeypatch.setattr(pixels, "resized", lambda *a: calls.append(a[0].shape) or resample.resized(*a))
+    got = pixels._all_features(rows)
+    assert len([c for c in calls if c[0]]) == 2 * 3  # three kernels for each of two sizes, those of 5 x 7 with or without alpha
+    monkeypatch.undo()
+    assert [x["error"] is None for x in got] == [True] * 5 + [False] * 4 + [True] * 55
+    for row, x in zip(rows, got):
+        if x["error"] is None:
+            alone = pixels.image_features(*row)
+            assert all(x[c] == (pytest.approx(alone[c], abs=1e-9) if c.startswith("rgb") else alone[c]) for c in alone)
