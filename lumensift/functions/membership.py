@@ -18,14 +18,16 @@ def _place(columns: list[Column], bits: int) -> Column:
     return F.pmod(F.xxhash64(*columns, F.lit(0x5EED)), F.lit(bits).cast("long")) + 1  # bitmap functions count from 1
 
 
-def may_hold(keys: DataFrame, own: list[Column]) -> Column:
+def may_hold(keys: DataFrame, own: list[Column], n: int | None = None) -> Column:
     """A condition on rows whose key columns are own: true wherever keys (the same columns, in order) have it, and for about one of 16 others.
 
     The filter is a bitmap with 16 bits a key, made by an aggregation and read by a
     scalar subquery; the condition stays in the JVM. Null columns hash like any value.
+    Keys are counted once, unless n tells how many there are at most; keys that repeat cost nothing more.
     """
+    n = keys.count() if n is None else n
     bits = PART
-    while bits < min(MOST_BITS, 16 * keys.count()):
+    while bits < min(MOST_BITS, 16 * n):
         bits *= 2
     p = keys.select(_place([F.col(f"`{c}`") for c in keys.columns], bits).alias("p"))
     made = p.groupBy(F.bitmap_bucket_number("p").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))

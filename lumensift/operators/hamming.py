@@ -159,7 +159,7 @@ def _met(left: DataFrame, right: DataFrame, sizes: tuple[int, int], threshold: i
         a, b = _sent(left, paths, level, True), _sent(right, paths, level, False)
         names = [f"{c}{n}" for n in range(level + 1) for c in "pk"]
         if sieve and not level:
-            b = b.where(may_hold(a.select(*names).distinct(), [F.col(n) for n in names]))
+            b = b.where(may_hold(a.select(*names), [F.col(n) for n in names], rows[0]))
         rules = [*rules, _met_here(paths, level)]
         rest = {(*path, j): tuple(x for x in rest[path] if x not in part.bits) for path, parts in paths.items() for j, part in enumerate(parts)}
         crowds = {}

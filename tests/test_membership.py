@@ -18,3 +18,17 @@ def test_may_hold(spark, monkeypatch):
             assert found.count() < keys.count() + rows.count() / 12
             assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
     assert rows.where(membership.may_hold(keys.limit(0), [F.col("a"), F.col("b")])).count() == 0
+
+
+def test_keys_are_counted_once(spark, monkeypatch):
+    """Each doubling of the filter counted the keys anew; a bound that is known needs no count, and keys may repeat."""
+    keys, counted = spark.range(20_000).where("id % 2 = 0"), []
+    kind, real = type(keys), type(keys).count
+    monkeypatch.setattr(kind, "count", lambda self: counted.append(1) or real(self))
+    membership.may_hold(keys, [F.col("id")])
+    assert len(counted) == 1
+    hit = membership.may_hold(keys.unionByName(keys), [F.col("id")], 20_000)
+    assert len(counted) == 1
+    monkeypatch.undo()
+    found = spark.range(40_000).where(hit)
+    assert found.where("id < 20000 AND id % 2 = 0").count() == 10_000 and found.count() < 10_000 + 40_000 / 12
