@@ -60,7 +60,15 @@ ranked AS (
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = A.bursts(spark, sf_dir)
+    return _grouped(_bursts(spark, sf_dir))
+
+
+def _bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What groups are made of, written once: they read it several times."""
+    return written(A.bursts(spark, sf_dir).select("idx", "hash", "filename", "score"))
+
+
+def _grouped(v: DataFrame) -> DataFrame:
     return similarity.ranked_groups(v, similarity.hamming_links(v, NEAR))
 
 
@@ -118,8 +126,8 @@ def keep_topk(spark, d):
 
 @query("q_ungrouped", _GROUPS + " SELECT idx, filename FROM vectors WHERE idx NOT IN (SELECT idx FROM roots)")
 def ungrouped(spark, d):
-    v = A.bursts(spark, d)
-    return v.join(_groups(spark, d).select("idx"), "idx", "left_anti").select("idx", "filename")
+    v = _bursts(spark, d)
+    return v.join(_grouped(v).select("idx"), "idx", "left_anti").select("idx", "filename")
 
 
 _QUALITY = f"""(CASE WHEN absolute_quality_score <> 0 THEN absolute_quality_score * 0.35e0 ELSE 0 END + CASE WHEN commercial_score <> 0 THEN commercial_score * 0.35e0 ELSE 0 END + portfolio_score * 0.15e0

@@ -192,3 +192,11 @@ def test_more_than_999_groups_have_ids_of_their_own(spark):
     pairs = spark.range(1002).select((F.col("id") * 2).alias("i"), (F.col("id") * 2 + 1).alias("j"))
     found = {r["group_id"] for r in similarity.ranked_groups(rows, pairs).select("group_id").distinct().collect()}
     assert len(found) == 1002 and {"组001", "组100", "组1000", "组1002"} <= found
+
+
+def test_groups_read_written_bursts(spark):
+    """The result's plan had the vectors again, which groups read three times and hashed each time."""
+    from lumensift.plans import catalog_queries
+
+    df = catalog_queries.QUERIES["q_ungrouped"](spark, "/root/testdata/sf0.001")
+    assert not any("embeddings" in f for f in df.inputFiles()) and df.count() > 0
