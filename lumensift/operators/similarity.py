@@ -31,6 +31,11 @@ def _hashed(photos: DataFrame, *more: str) -> DataFrame:
     return photos.where(F.col("hash").isNotNull()).select("idx", "hash", *more)
 
 
+def _with_both(near: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """near with the columns of a and of b, merged. Spark would judge these by their files, gather them in the driver and send them to all tasks, though they grow with the photos."""
+    return near.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
+
+
 def hamming_pairs(photos: DataFrame, threshold: int) -> DataFrame:
     """i < j and distance of all photos with hashes at most threshold bits apart. Hashes are compared once each, however many photos share them."""
     return _pairs(photos, threshold).select("i", "j", "distance")
@@ -43,7 +48,7 @@ def _pairs(photos: DataFrame, threshold: int, *more: str) -> DataFrame:
     both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance")).unionByName(known.select(F.col("hash").alias("a"), F.col("hash").alias("b"), F.lit(0).alias("distance")).distinct())
     left = known.select(F.col("idx").alias("i"), F.col("hash").alias("a"), *(F.col(c).alias(f"left_{c}") for c in more))
     right = known.select(F.col("idx").alias("j"), F.col("hash").alias("b"), *(F.col(c).alias(f"right_{c}") for c in more))
-    return left.join(both, "a").join(right, "b").where("i < j")
+    return _with_both(both, left, right).where("i < j")
 
 
 def hamming_links(photos: DataFrame, threshold: int) -> DataFrame:

@@ -71,14 +71,14 @@ VECTORS_SQL = """vectors AS (
 
 
 def bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The photos of ``vectors`` as bursts of four: hashes of a burst are that of its first vector with some bits flipped, 0, 1, 6 and 11 of them, or in every third burst 0, 1, 20 and 33."""
+    """The photos of ``vectors`` as bursts of four: hashes of a burst are that of its first vector with some bits flipped, 0, 1, 6 and 11 of them, or in every third burst 0, 1, 20 and 33. First vectors are merged with theirs: they are too many to be gathered in the driver, however small their files look."""
     v = vectors(spark, sf_dir)
     base = F.col("idx") - F.pmod("idx", F.lit(4))
     flips = F.get(F.when(F.pmod(base / 4, F.lit(3)) == 0, F.array(*map(F.lit, (0, 1, 20, 33)))).otherwise(F.array(*map(F.lit, (0, 1, 6, 11)))), F.pmod("idx", F.lit(4)).cast("int"))
     bits = F.transform(F.slice(F.sequence(F.lit(0), F.lit(63)), F.lit(1), flips), lambda j: F.call_function("shiftleft", F.lit(1).cast("long"), (63 - F.pmod(base * 7 + j * 5, F.lit(64))).cast("int")))
     mask = F.aggregate(bits, F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
     first = v.select(F.col("idx").alias("base_"), F.col("hash").alias("of_"))
-    return v.withColumns({"base_": base, "mask_": mask}).join(first, "base_").withColumn("hash", F.col("of_").bitwiseXOR(F.col("mask_"))).drop("base_", "mask_", "of_")
+    return v.withColumns({"base_": base, "mask_": mask}).join(first.hint("merge"), "base_").withColumn("hash", F.col("of_").bitwiseXOR(F.col("mask_"))).drop("base_", "mask_", "of_")
 
 
 #: For DuckDB, after VECTORS_SQL: the rows of ``bursts`` as vectors.

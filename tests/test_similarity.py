@@ -200,3 +200,14 @@ def test_groups_read_written_bursts(spark):
 
     df = catalog_queries.QUERIES["q_ungrouped"](spark, "/root/testdata/sf0.001")
     assert not any("embeddings" in f for f in df.inputFiles()) and df.count() > 0
+
+
+@pytest.mark.parametrize("name", ["q_hash_pairs_blocked_loose"])
+def test_photos_are_not_gathered_to_tell_pairs(spark, name):
+    """Tables that grow with the photos were sent to every task from the driver, as long as their files looked small."""
+    from lumensift.plans import catalog_queries
+    from lumensift.sources import adapters as A
+
+    for found in (catalog_queries.QUERIES[name](spark, "/root/testdata/sf0.001"), A.bursts(spark, "/root/testdata/sf0.001")):
+        planned = found._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in planned and "SortMergeJoin" in planned
