@@ -73,7 +73,7 @@ def class_pairs(photos: DataFrame, threshold: int) -> DataFrame:
     near = near_hashes(first.select("hash"), threshold)
     a, b = (first.select(F.col("hash").alias(c), F.struct("first", "n").alias(f"of_{c}")) for c in "ab")
     low, high = F.least("of_a", "of_b"), F.greatest("of_a", "of_b")
-    return near.join(a, "a").join(b, "b").select(low["first"].alias("i"), high["first"].alias("j"), "distance", low["n"].alias("n_i"), high["n"].alias("n_j"))
+    return _with_both(near, a, b).select(low["first"].alias("i"), high["first"].alias("j"), "distance", low["n"].alias("n_i"), high["n"].alias("n_j"))
 
 
 def start_groups(photos: DataFrame, threshold: int) -> DataFrame:

@@ -202,7 +202,7 @@ def test_groups_read_written_bursts(spark):
     assert not any("embeddings" in f for f in df.inputFiles()) and df.count() > 0
 
 
-@pytest.mark.parametrize("name", ["q_hash_pairs_blocked_loose"])
+@pytest.mark.parametrize("name", ["q_hash_pairs_blocked_loose", "q_hash_class_pairs_8"])
 def test_photos_are_not_gathered_to_tell_pairs(spark, name):
     """Tables that grow with the photos were sent to every task from the driver, as long as their files looked small."""
     from lumensift.plans import catalog_queries
