@@ -44,8 +44,9 @@ def hamming_pairs(photos: DataFrame, threshold: int) -> DataFrame:
 def _pairs(photos: DataFrame, threshold: int, *more: str) -> DataFrame:
     """Pairs, with more columns of both as left_ and right_ (of i and of j)."""
     known = written(_hashed(photos, *more))
-    near = near_hashes(known.select("hash").distinct(), threshold)
-    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance")).unionByName(known.select(F.col("hash").alias("a"), F.col("hash").alias("b"), F.lit(0).alias("distance")).distinct())
+    hashes = known.select("hash").distinct()
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))  # told from one meeting, not met twice
+    both = near_hashes(hashes, threshold).select("distance", F.inline(ways)).unionByName(hashes.select(F.col("hash").alias("a"), F.col("hash").alias("b"), F.lit(0).alias("distance")))
     left = known.select(F.col("idx").alias("i"), F.col("hash").alias("a"), *(F.col(c).alias(f"left_{c}") for c in more))
     right = known.select(F.col("idx").alias("j"), F.col("hash").alias("b"), *(F.col(c).alias(f"right_{c}") for c in more))
     return _with_both(both, left, right).where("i < j")

@@ -202,7 +202,7 @@ def test_groups_read_written_bursts(spark):
     assert not any("embeddings" in f for f in df.inputFiles()) and df.count() > 0
 
 
-@pytest.mark.parametrize("name", ["q_hash_pairs_blocked_loose", "q_hash_class_pairs_8"])
+@pytest.mark.parametrize("name", ["q_hash_pairs_blocked_loose", "q_hash_class_pairs_8", "q_hash_pairs_blocked_standard", "q_hash_pairs"])
 def test_photos_are_not_gathered_to_tell_pairs(spark, name):
     """Tables that grow with the photos were sent to every task from the driver, as long as their files looked small."""
     from lumensift.plans import catalog_queries
@@ -211,3 +211,12 @@ def test_photos_are_not_gathered_to_tell_pairs(spark, name):
     for found in (catalog_queries.QUERIES[name](spark, "/root/testdata/sf0.001"), A.bursts(spark, "/root/testdata/sf0.001")):
         planned = found._jdf.queryExecution().executedPlan().toString()
         assert "Broadcast" not in planned and "SortMergeJoin" in planned
+
+
+@pytest.mark.parametrize("name", ["q_hash_pairs_blocked_standard", "q_hash_pairs"])
+def test_values_sent_are_joined_once(spark, name):
+    """Pairs of hashes were met twice, once for each order of the two."""
+    from lumensift.plans import catalog_queries
+
+    planned = catalog_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"SortMergeJoin \[p0#", planned)) == 1
