@@ -56,10 +56,10 @@ def hamming_links(photos: DataFrame, threshold: int) -> DataFrame:
     """i and j of links that connect whatever pairs connect: photos of one hash by a star around the first, and the first ones of close hashes. No more than copies and close hashes, so groups of copies cost no square."""
     known = written(_hashed(photos))
     first = written(known.groupBy("hash").agg(F.min("idx").alias("first")))
-    stars = known.join(first, "hash").where("idx > first").select(F.col("first").alias("i"), F.col("idx").alias("j"))
+    stars = known.join(first.hint("merge"), "hash").where("idx > first").select(F.col("first").alias("i"), F.col("idx").alias("j"))
     near = near_hashes(first.select("hash"), threshold)
     a, b = first.select(F.col("hash").alias("a"), F.col("first").alias("x")), first.select(F.col("hash").alias("b"), F.col("first").alias("y"))
-    return near.join(a, "a").join(b, "b").select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")).unionByName(stars)
+    return _with_both(near, a, b).select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")).unionByName(stars)
 
 
 def hash_classes(photos: DataFrame) -> DataFrame:
@@ -96,10 +96,10 @@ def grow_groups(state: DataFrame, arrived: DataFrame, threshold: int) -> DataFra
     index = written(state.groupBy("hash").agg(F.min("root").alias("root")))  # photos of one hash have one root
     among = near_hashes(new.select("hash"), threshold)
     a, b = (new.select(F.col("hash").alias(c), F.col("first").alias(f"of_{c}")) for c in "ab")
-    links = among.join(a, "a").join(b, "b").select(F.col("of_a").alias("u"), F.col("of_b").alias("v"))
+    links = _with_both(among, a, b).select(F.col("of_a").alias("u"), F.col("of_b").alias("v"))
     across = hamming.near_between(new.select("hash"), index.select("hash"), threshold)
     known = index.select(F.col("hash").alias("b"), F.col("root").alias("v"))
-    links = links.unionByName(across.join(a, "a").join(known, "b").select(F.col("of_a").alias("u"), "v").distinct())
+    links = links.unionByName(_with_both(across, a, known).select(F.col("of_a").alias("u"), "v").distinct())
     moved = written(graph.components(links).where("v <> root").select(F.col("v").alias("was"), F.col("root").alias("to")))
     mine = _hashed(arrived).join(new, "hash").select("idx", "hash", F.col("first").alias("root"))
     return state.select("idx", "hash", "root").unionByName(mine).join(moved, F.col("root") == F.col("was"), "left").select("idx", "hash", F.coalesce("to", "root").alias("root"))

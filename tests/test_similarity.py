@@ -220,3 +220,10 @@ def test_values_sent_are_joined_once(spark, name):
 
     planned = catalog_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"SortMergeJoin \[p0#", planned)) == 1
+
+
+def test_photos_are_not_gathered_to_tell_links(spark):
+    """Groups share the step of the pairs."""
+    photos = written(spark.createDataFrame([(i, i % 7 * 3) for i in range(50)], "idx long, hash long"))
+    planned = similarity.hamming_links(photos, 8)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in planned and "SortMergeJoin" in planned
